@@ -84,7 +84,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     have = 1
     while have < n:
         step = min(have, n - have)
-        out[have : have + step] = out[:step] * (out[have - 1] * base)
+        out[have : have + step] = out[:step] * (out[have - 1 : have] * base)
         have += step
     return out
 
@@ -116,8 +116,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_ranges(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of the words of a chunk and the text of each; cuts: the offsets of the texts, from 0."""
+def word_ranges(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the words of a chunk; cuts: the offsets of its texts, from 0."""
     inside = ~_BLANK[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -127,8 +127,7 @@ def word_ranges(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     edge = edge[(edge > 0) & (edge < len(raw))]
     first[edge] = inside[edge]
     last[edge - 1] = inside[edge - 1]
-    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, stop, np.searchsorted(cuts, start, "right") - 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
