@@ -15,6 +15,12 @@ def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorelake.llm.warc import warc_round_trip
 
