@@ -27,6 +27,12 @@ def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.rules import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorelake.llm.simhash import simhash_groups
 
