@@ -21,6 +21,12 @@ def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_merge_dropout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.pieces import encoded
+
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorelake.llm.warc import warc_round_trip
 
