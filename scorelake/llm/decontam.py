@@ -2,7 +2,9 @@
 
 An item of m characters may differ from a passage by `budget(m)` edits. Cut into budget+1 pieces, at least one piece
 of it stands unchanged in the passage; so an Aho-Corasick automaton of all pieces finds every candidate place, and
-Myers' bit-parallel search over the surrounding window gives the distance. Texts and items are compared in lower case
+Myers' bit-parallel search over the surrounding window gives the distance. Before the whole item is searched, the run of
+pieces around the hit is doubled step by step: a run of j pieces must lie within j-1 edits of the text, since of two
+runs that make up one within its budget at least one is within its own. Texts and items are compared in lower case
 with white space collapsed.
 
 The items are a stated query set. They are taken in blocks of bounded size, one pass over the documents per block.
@@ -40,6 +42,16 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def runs_above(piece: int, count: int) -> list[tuple[int, int]]:
+    """The ranges of pieces of a halving tree that hold a piece, from its parent up, without the whole."""
+    lo, hi, out = 0, count, []
+    while hi - lo > 1:
+        out.append((lo, hi))
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if piece < mid else (mid, hi)
+    return out[:0:-1]
+
+
 def masks(item: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(item):
@@ -80,10 +92,18 @@ class Matcher:
 
         self.items = [(k, item, budget(len(item), rate)) for k, item in items]
         self.automaton = ahocorasick.Automaton()
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int, tuple]]] = {}
         for n, (_, item, errors) in enumerate(self.items):
-            for at, piece in pieces(item, errors):
-                places.setdefault(piece, []).append((n, at + len(piece) - 1))
+            cut = pieces(item, errors)
+            ends = [at for at, _ in cut] + [len(item)]
+            trees: dict[tuple[int, int], tuple] = {}
+            for i, (at, piece) in enumerate(cut):
+                above = []
+                for lo, hi in runs_above(i, len(cut)):
+                    if (lo, hi) not in trees:
+                        trees[lo, hi] = (ends[lo], ends[hi], hi - lo - 1, masks(item[ends[lo] : ends[hi]]))
+                    above.append(trees[lo, hi])
+                places.setdefault(piece, []).append((n, at + len(piece) - 1, tuple(above)))
         for piece, owners in places.items():
             self.automaton.add_word(piece, tuple(owners))
         if places:
@@ -96,10 +116,18 @@ class Matcher:
             return
         windows: dict[int, list[list[int]]] = {}
         for at, owners in self.automaton.iter(text):
-            for n, offset in owners:
+            for n, offset, above in owners:
                 _, item, errors = self.items[n]
-                start = at - offset - errors
-                stop = at - offset + len(item) + errors
+                origin = at - offset
+                for lo, hi, few, peq in above:
+                    if myers(peq, hi - lo, text[max(0, origin + lo - few) : max(0, origin + hi + few)])[0] > few:
+                        break
+                else:
+                    few = -1
+                if few >= 0:
+                    continue
+                start = origin - errors
+                stop = origin + len(item) + errors
                 runs = windows.setdefault(n, [])
                 if runs and start <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], stop)
