@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from scorelake.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.suffix import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorelake.llm.sharding import shard_documents
 
