@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+from scorelake.plans import analytics_queries
+
+MODULES = [analytics_queries]
+
 
 def queries() -> dict:
-    return {}
+    """Every function of the query modules whose name is an operator's id and a word."""
+    return {name: f for m in MODULES for name, f in vars(m).items() if re.fullmatch(r"[a-z]\d+_\w+", name) and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
