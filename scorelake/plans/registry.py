@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from scorelake.plans import analytics_queries
+from scorelake.plans import analytics_queries, dataset_queries, scoring_queries
 
-MODULES = [analytics_queries]
+MODULES = [analytics_queries, scoring_queries, dataset_queries]
 
 
 def queries() -> dict:
