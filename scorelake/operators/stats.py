@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake.functions.numbers import ratio, rounded
 
@@ -67,13 +68,13 @@ def discordants(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series) -> pd.Series:
     """P(X > x) of one degree of freedom."""
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_tail(a: pd.Series, b: pd.Series) -> pd.Series:
     """Two-sided exact binomial p of a against b at one half."""
 
