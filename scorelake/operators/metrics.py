@@ -228,3 +228,32 @@ def score_rows(results: DataFrame, suite: list[dict], policy: dict | None = None
     score = sum((F.col(f"score_{n}") * w for n, w in parts), F.lit(0.0)) / total
     failed = F.coalesce(F.col("error"), F.lit("")) != "" if "error" in results.columns else F.lit(False)
     return out.withColumn("score", F.when(~failed, rounded(score))).withColumn("error_kind", F.when(failed, "provider").when(F.col("score").isNull(), "metric"))
+
+
+def answer_tokens(text: Column) -> Column:
+    """Latin words and numbers; for texts with CJK characters the characters and their neighbours in pairs."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    chars = F.regexp_extract_all(low, F.lit(r"(?U)\S"), 0)
+    pairs = F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), lambda c, i: F.concat(c, F.get(chars, i + 1)))
+    return F.when(low.rlike("[　-鿿]"), F.concat(chars, pairs)).otherwise(F.regexp_extract_all(low, F.lit("[a-z0-9]+(?:['’][a-z0-9]+)?"), 0))
+
+
+@register_metric("f1_token")
+def f1_token(prediction: Column, expected: Column, policy: dict | None = None) -> Column:
+    """Multiset token F1 with the best candidate."""
+    got = answer_tokens(prediction)
+
+    def f1(candidate: Column) -> Column:
+        aim = answer_tokens(candidate)
+        times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
+        common = F.aggregate(F.array_intersect(got, aim), F.lit(0), lambda n, t: n + F.least(times(got, t), times(aim, t)))
+        return F.when(common > 0, 2.0 * common / (F.size(got) + F.size(aim))).otherwise(F.lit(0.0))
+
+    return F.coalesce(F.array_max(F.transform(candidates(expected, policy), f1)), F.lit(0.0))
+
+
+@register_metric("semantic_similarity")
+def _semantic_similarity(prediction: Column, expected: Column, policy: dict | None = None) -> Column:
+    from scorelake.functions.vectorized import semantic_similarity
+
+    return semantic_similarity(prediction, expected)
