@@ -4,16 +4,18 @@ Every byte that a LENGTH-byte string covers is removed if that string also start
 
 1. The suffixes are dealt by content: each LENGTH-byte window belongs to the window's minimizer, the K-gram of least
    hash, leftmost first. Equal windows have equal minimizers, so a run of windows with one minimizer (a segment) goes to
-   the bucket of that K-gram's hash, and all equal windows of the corpus meet in one bucket. Before the shuffle, equal
-   segments of a batch are merged: the smallest id is sent, the others are known to be covered.
+   the bucket of that K-gram's hash, and all equal windows of the corpus meet in one bucket. Only segments that may
+   share a window are sent: texts are packed into parts, each part sends short hashes of its segments' K-grams with the
+   bytes beside them, and learns which of them other parts have. Equal segments of a part are merged before the shuffle:
+   the smallest id is sent, the others are known to be covered.
 2. In a bucket only K-grams of several texts matter. Equal segments are merged to their smallest id again. The suffixes
    that start in the remaining segments are sorted to LENGTH bytes: multikey quicksort on eight-byte words to the
    shallow depth SHALLOW, all open groups in step, then each group that still has a longer common prefix by a blind
    trie. Neighbours with LENGTH common bytes are equal windows; all but those of the smallest id are covered.
 3. The covered intervals of each text meet its bytes, and the rest is kept.
 
-Buckets and batches are of bounded size whatever the input; their number grows. A passage held by very many texts is
-sent once per batch.
+Buckets and parts are of bounded size whatever the input; their number grows. A passage held by very many texts is
+sent once per part.
 
 Defined cases: a null text has no bytes; texts of equal id (or with a null id, which counts as larger than any other)
 do not cover each other; bytes are judged on the input; an empty table gives an empty result.
@@ -22,21 +24,27 @@ do not cover each other; bytes are judged on the input; an empty table gives an
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from scorelake.llm.common import chunks, mixed, text_bytes
+from scorelake.llm.common import Pieces, chunks, mixed, stored, text_bytes
 
 LENGTH = 50
+HASH_BYTES = 1 << 19
 K = 16
 SHALLOW = 24
-#: Bytes of text of a batch whose equal segments are merged before the shuffle.
-BATCH_BYTES = 4 << 20
+#: Bytes of text of a part.
+BATCH_BYTES = 1 << 20
+#: Bytes of text for each bucket of segments.
+BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -64,16 +72,16 @@ def least_in_window(h: np.ndarray, width: int) -> np.ndarray:
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def segments(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, text and minimizer hash of each run of windows with one minimizer place."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+def segments(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, text, minimizer place and its hash, of each run of windows with one minimizer place."""
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     sizes = np.diff(cuts)
     if len(raw) < LENGTH or not (sizes >= LENGTH).any():
         return none
     h = gram_hashes(raw)
     place = least_in_window(h, LENGTH - K + 1)
-    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
-    inside = np.arange(len(place)) + LENGTH <= cuts[1:][owner]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[: len(place)]
+    inside = np.arange(len(place), dtype=np.int64) <= (cuts[1:] - LENGTH)[owner]
     new = np.ones(len(place), bool)
     new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
@@ -81,18 +89,20 @@ def segments(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     # windows that cross into the next text come last in a text, so a run's inner windows lead it
     good = count > 0
     first, count = first[good], count[good]
-    return first, count, owner[first], h[place[first]]
+    return first, count, owner[first], place[first], h[place[first]]
 
 
 def range_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 128-bit hash of byte ranges, as two columns."""
+    """A 128-bit hash of byte ranges, as two columns; a block of ranges at a time."""
     out = np.empty((len(start), 2), np.uint64)
-    for column, base in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-        up = _power_table(base, len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-        down = _power_table(pow(base, -1, 1 << 64), len(raw) + 1)
-        out[:, column] = mixed((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
+    for a, b in chunks(np.r_[0, np.cumsum(size)], HASH_BYTES):
+        part, ends = take_ranges(raw, start[a:b], size[a:b]).astype(np.uint64) + np.uint64(1), np.cumsum(size[a:b])
+        for column, base in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * _power_table(base, len(part)), out=sums[1:])
+            begin = ends - size[a:b]
+            down = _power_table(pow(base, -1, 1 << 64), len(part))[begin]
+            out[a:b, column] = mixed((sums[ends] - sums[begin]) * down + size[a:b].astype(np.uint64))
     return out
 
 
@@ -109,7 +119,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
             out[have : have + step] = out[:step] * (out[have - 1 : have] * step_base)
             have += step
         _tables[base] = out
-    return _tables[base]
+    return _tables[base][:n]
 
 
 def take_ranges(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -127,95 +137,221 @@ def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def spans(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes that count windows from first on cover."""
-    return first, first + count + LENGTH - 1
+#: A segment: index into its blob's owners, first window, number of windows, and the K-gram's place from there.
+SEGMENT = np.dtype([("owner", "<u4"), ("at", "<u4"), ("count", "u1"), ("gram_at", "u1")])
+#: The number of a text: its id with a hash of its bytes, which tells texts of one id apart.
+TEXT = np.dtype([("id", "<i8"), ("tag", "<u4")])
+INTERVAL = np.dtype([("id", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("stop", "<i4")])
+#: Bytes beside a K-gram that its hint covers; half of what a window has beside it.
+SIDE = (LENGTH - K) // 2
+ROW = np.dtype([("id", "<i8"), ("tag", "<u4"), ("size", "<i8")])
 
 
-SEGMENT = np.dtype([("gram", "<u8"), ("id", "<i8"), ("doc", "<i8"), ("at", "<i4"), ("count", "<i4")])
-INTERVAL = np.dtype([("doc", "<i8"), ("start", "<i4"), ("stop", "<i4")])
+def numbered(rows: np.ndarray) -> np.ndarray:
+    """A sortable number of each row's text."""
+    _, group = np.unique(rows[["id", "tag"]].astype(TEXT), return_inverse=True)
+    return group.astype(np.int64)
 
 
 def merged(intervals: np.ndarray) -> np.ndarray:
-    """Disjoint maximal intervals of each doc, sorted."""
+    """Disjoint maximal intervals of each text, sorted."""
     if not len(intervals):
         return intervals
-    intervals = intervals[np.lexsort((intervals["start"], intervals["doc"]))]
-    # a running maximum that starts anew with each doc
-    _, group = np.unique(intervals["doc"], return_inverse=True)
-    lift = group.astype(np.int64) << 32
+    intervals = intervals[np.lexsort((intervals["start"], intervals["tag"], intervals["id"]))]
+    # a running maximum that starts anew with each text
+    new = np.r_[True, (np.diff(intervals["id"]) != 0) | (intervals["tag"][1:] != intervals["tag"][:-1])]
+    lift = np.cumsum(new) << 32
     reach = np.maximum.accumulate(intervals["stop"] + lift)
-    new = np.ones(len(intervals), bool)
-    new[1:] = intervals["start"][1:] + lift[1:] > reach[:-1]
+    new[1:] |= intervals["start"][1:] + lift[1:] > reach[:-1]
     first = np.flatnonzero(new)
     out = intervals[first].copy()
     out["stop"] = np.maximum.reduceat(intervals["stop"], first)
     return out
 
 
-def pack(table: np.ndarray, text: np.ndarray) -> bytes:
-    """Columns of a structured array one after the other, then bytes, compressed."""
-    head = np.array([len(table), len(text)], "<i8").tobytes()
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(table[n]).tobytes() for n in table.dtype.names) + text.tobytes(), 1)
+def pack(*tables: np.ndarray) -> bytes:
+    """Tables column after column, compressed."""
+    parts = [np.array([len(t) for t in tables], "<i8").tobytes()]
+    for t in tables:
+        parts += [np.ascontiguousarray(t[n]).tobytes() for n in t.dtype.names] if t.dtype.names else [t.tobytes()]
+    return zstandard.compress(b"".join(parts), 3)
 
 
-def unpack(data: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.decompress(data)
-    n, size = np.frombuffer(raw, "<i8", 2)
-    out, at = np.empty(n, kind), 16
-    for name in kind.names:
-        out[name] = np.frombuffer(raw, kind[name], n, at)
-        at += n * kind[name].itemsize
-    return out, np.frombuffer(raw, np.uint8, size, at)
+def unpack(data: bytes, *kinds: np.dtype) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(data), 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, "<i8", len(kinds)).tolist(), kinds, strict=True):
+        table = np.empty(n, kind)
+        for name in kind.names or [None]:
+            one = kind[name] if name else kind
+            (table[name] if name else table)[...] = np.frombuffer(raw, one, n, at)
+            at += n * one.itemsize
+        out.append(table)
+    return out
+
+
+BYTE = np.dtype("u1")
+
+
+def _texts(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.empty(len(batch), TEXT)
+    out["id"], out["tag"] = batch["id"].fill_null(NO_ID).to_numpy(), batch["tag"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _blobs(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, (_, kind) in zip(zip(*rows, strict=True), schema, strict=True)], [n for n, _ in schema])
+
+
+PART_DATA = [("part", pa.int64()), ("data", pa.binary())]
+BUCKET_DATA = [("bucket", pa.int32()), ("part", pa.int64()), ("data", pa.binary())]
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to packed parts of BATCH_BYTES, each under a number of its own."""
+    for batch in batches:
+        raw, ends = text_bytes(batch["text"])
+        texts = _texts(batch)
+        for a, b in chunks(ends, BATCH_BYTES):
+            rows = np.empty(b - a, ROW)
+            rows["id"], rows["tag"], rows["size"] = texts["id"][a:b], texts["tag"][a:b], np.diff(ends[a : b + 1])
+            part = int.from_bytes(os.urandom(8), "little") >> 1
+            rest = _to_ipc(batch.slice(a, b - a).select(["rest"])) if "rest" in batch.schema.names else b""
+            yield _blobs([*PART_DATA, ("rest", pa.binary())], [(part, pack(rows, raw[ends[a] : ends[b]]), rest)])
+
+
+def _to_ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def _scatter(buckets: int, parts: int):
-    """Texts to blobs: segments by bucket, and intervals already known by the part of their text's number."""
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, raw = unpack(data, ROW, BYTE)
+    return raw, np.r_[0, np.cumsum(rows["size"])], rows[["id", "tag"]].astype(TEXT)
 
-    def flush(raw: np.ndarray, cuts: np.ndarray, ids: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        first, count, owner, gram = segments(raw, cuts)
+
+def side_hashes(raw: np.ndarray, first: np.ndarray, place: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment the hashes of the K-gram with SIDE bytes after it, and with SIDE bytes before it; 0 where the
+    segment's windows do not reach so far. A window has LENGTH - K bytes beside its K-gram, so SIDE or more on one side:
+    equal windows share one of the two."""
+    pieces = Pieces(raw)
+    out = []
+    for tag, start, stop, has in ((1, place, place + K + SIDE, place + K + SIDE <= first + count + LENGTH - 1), (2, place - SIDE, place + K, place - SIDE >= first)):
+        h = np.zeros(len(first), np.uint64)
+        h[has] = mixed(pieces.hash(start[has], stop[has]) + np.uint64(tag)) >> np.uint64(64 - bits) | np.uint64(1)
+        out.append(h)
+    return out[0], out[1]
+
+
+def _hints(buckets: int, bits: int):
+    """Packed parts to their sorted side hashes by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data in zip(batch["part"].to_pylist(), batch["data"], strict=True):
+                raw, cuts, _ = _unpacked(data.as_py())
+                first, count, _, place, _ = segments(raw, cuts)
+                if not len(first):
+                    continue
+                sides = np.unique(np.concatenate(side_hashes(raw, first, place, count, bits)))
+                sides = sides[sides > 0]
+                home = ((sides >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                ends = np.searchsorted(home, np.arange(buckets + 1))
+                yield _blobs(BUCKET_DATA, [(b, part, pack(np.diff(sides[ends[b] : ends[b + 1]], prepend=np.uint64(0)))) for b in range(buckets) if ends[b + 1] > ends[b]])
+
+    return run
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """The blobs of each bucket, of batches sorted by bucket."""
+    current, held = None, []
+    for batch in batches:
+        for bucket, part, data in zip(batch["bucket"].to_pylist(), batch["part"].to_pylist(), batch["data"], strict=True):
+            if bucket != current and held:
+                yield current, held
+                held = []
+            current = bucket
+            held.append((part, data.as_py()))
+    if held:
+        yield current, held
+
+
+U64 = np.dtype("<u8")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part's side hashes those that another part has too."""
+    for _, held in _grouped(batches):
+        lists = [np.cumsum(unpack(data, U64)[0]) for _, data in held]
+        every = np.sort(np.concatenate(lists))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        if len(twice):
+            for (part, _), mine in zip(held, lists, strict=True):
+                mine = mine[twice[np.minimum(np.searchsorted(twice, mine), len(twice) - 1)] == mine]
+                if len(mine):
+                    yield _blobs(PART_DATA, [(part, pack(np.diff(mine, prepend=np.uint64(0))))])
+
+
+def _scatter(buckets: int, bits: int):
+    """Cogrouped by part, texts and shared side hashes: to segments by bucket, and the intervals known in the part."""
+
+    def run(key: tuple, texts: pa.Table, hints: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        rows = []
+        for data in texts["data"]:
+            rows += [(b, part, kind, blob) for b, kind, blob in flush(*_unpacked(data.as_py()), [np.cumsum(unpack(x.as_py(), U64)[0]) for x in hints["data"]])]
+        names = [("bucket", pa.int32()), ("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())]
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(names)})
+
+    def flush(raw: np.ndarray, cuts: np.ndarray, texts: np.ndarray, shared: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+        first, count, owner, place, gram = segments(raw, cuts)
+        if not len(first):
+            return
+        right, left = side_hashes(raw, first, place, count, bits)
+        # of hashes in this part alone only repeated ones matter; a part's own lists are merged with those of others
+        wanted = [*shared]
+        for side in (right, left):
+            own = np.sort(side)
+            wanted.append(own[1:][(own[1:] == own[:-1]) & (own[1:] > 0)])
+        wanted = np.unique(np.concatenate(wanted))
+        if not len(wanted):
+            return
+        known_by = lambda side: wanted[np.minimum(np.searchsorted(wanted, side), len(wanted) - 1)] == side
+        near = known_by(right) | known_by(left)
+        first, count, owner, place, gram = (x[near] for x in (first, count, owner, place, gram))
         if not len(first):
             return
+        ids = texts["id"]
         same = range_hashes(raw, first, count + LENGTH - 1)
         order, begin = groups_of(same[:, 0], same[:, 1], gram)
         least = np.minimum.reduceat(ids[owner[order]], begin)
         group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
         known = np.zeros(len(first), bool)
         known[order] = ids[owner[order]] > least[group]
-        covered = np.empty(known.sum(), INTERVAL)
-        start, stop = spans(first[known], count[known])
-        base = cuts[owner[known]]
-        covered["doc"], covered["start"], covered["stop"] = docs[owner[known]], start - base, stop - base
-        covered = merged(covered)
-        for part, rows in _by(covered["doc"] % parts, covered):
-            yield part, 1, pack(rows, np.zeros(0, np.uint8))
-        first, count, owner, gram = first[~known], count[~known], owner[~known], gram[~known]
-        rows = np.empty(len(first), SEGMENT)
-        rows["gram"], rows["id"], rows["doc"], rows["at"], rows["count"] = gram, ids[owner], docs[owner], first - cuts[owner], count
+        covered = merged(_intervals(texts[owner[known]], first[known] - cuts[owner[known]], count[known]))
+        if len(covered):
+            yield int(covered["tag"][0]) % buckets, 1, pack(covered)
+        first, count, owner, place, gram = (x[~known] for x in (first, count, owner, place, gram))
         home = (mixed(gram) % np.uint64(buckets)).astype(np.int64)
         turn = np.argsort(home, kind="stable")
         ends = np.r_[0, np.cumsum(np.bincount(home, minlength=buckets))]
         for b in np.flatnonzero(np.diff(ends)).tolist():
             mine = turn[ends[b] : ends[b + 1]]
-            yield b, 0, pack(rows[mine], take_ranges(raw, first[mine], count[mine] + LENGTH - 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, ends = text_bytes(batch["text"])
-            ids = batch["id"].fill_null(NO_ID).to_numpy()
-            docs = batch["doc"].to_numpy()
-            for a, b in chunks(ends, BATCH_BYTES):
-                got = list(flush(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], ids[a:b], docs[a:b]))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())], ["bucket", "kind", "data"])
+            named, index = np.unique(owner[mine], return_inverse=True)
+            rows = np.empty(len(mine), SEGMENT)
+            rows["owner"], rows["at"], rows["count"], rows["gram_at"] = index, first[mine] - cuts[owner[mine]], count[mine], place[mine] - first[mine]
+            yield b, 0, pack(rows, texts[named], take_ranges(raw, first[mine], count[mine] + LENGTH - 1))
 
     return run
 
 
 def _by(key: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     key, rows = key[order], rows[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     for a, b in zip(first, [*first[1:], len(key)], strict=True):
         yield int(key[a]), rows[a:b]
 
@@ -338,21 +474,37 @@ def sorted_windows(text: np.ndarray, start: np.ndarray, group: np.ndarray) -> tu
     return order, np.cumsum(new) - 1
 
 
-def covered_in_bucket(blobs: list[bytes]) -> np.ndarray:
-    """The intervals that the segments of one bucket cover in texts of larger ids."""
-    got = [unpack(x, SEGMENT) for x in blobs]
-    rows = np.concatenate([r for r, _ in got])
-    text = np.concatenate([t for _, t in got])
-    del got
-    size = rows["count"].astype(np.int64) + LENGTH - 1
+OPEN = np.dtype([("gram", "<u8"), ("part", "<i4"), ("id", "<i8"), ("tag", "<u4"), ("at", "<i4"), ("count", "<i8")])
+#: Windows that are sorted at a time; the windows of one K-gram stay together.
+SLICE = 1 << 18
+
+
+def covered_in_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals that the segments of one bucket cover in texts of larger ids, and the blob of each."""
+    rows, owners, text, base, parts = [], [], [], 0, []
+    for n, blob in enumerate(blobs):
+        one, names, part = unpack(blob, SEGMENT, TEXT, BYTE)
+        one["owner"] += base
+        base += len(names)
+        parts.append(np.full(len(names), n, np.int32))
+        rows.append(one)
+        owners.append(names)
+        text.append(part)
+    wire, owners, text = np.concatenate(rows), np.concatenate(owners), np.concatenate(text)
+    size = wire["count"].astype(np.int64) + LENGTH - 1
     start = np.cumsum(size) - size
+    rows = np.empty(len(wire), OPEN)
+    rows["at"], rows["count"], rows["part"] = wire["at"], wire["count"], np.concatenate(parts)[wire["owner"]]
+    rows["id"], rows["tag"] = owners["id"][wire["owner"]], owners["tag"][wire["owner"]]
+    rows["gram"] = gram_hashes(take_ranges(text, start + wire["gram_at"], np.full(len(wire), K)))[::K]
+    del wire, owners
     # K-grams of one text only can cover nothing
     order, begin = groups_of(rows["gram"])
     ids = rows["id"][order]
     several = np.maximum.reduceat(ids, begin) > np.minimum.reduceat(ids, begin)
     kept = np.sort(order[np.repeat(several, np.diff(np.r_[begin, len(order)]))])
     if not len(kept):
-        return np.zeros(0, INTERVAL)
+        return np.zeros(0, INTERVAL), np.zeros(0, np.int32)
     text = take_ranges(text, start[kept], size[kept])
     rows, size = rows[kept], size[kept]
     start = np.cumsum(size) - size
@@ -363,7 +515,7 @@ def covered_in_bucket(blobs: list[bytes]) -> np.ndarray:
     group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
     covered = np.zeros(len(rows), bool)
     covered[order] = rows["id"][order] > rows["id"][order[begin]][group]
-    out = [_intervals(rows[covered], rows["at"][covered], rows["count"][covered])]
+    out = [(_intervals(rows[covered], rows["at"][covered], rows["count"][covered]), rows["part"][covered])]
     lead = order[~covered[order]]
     # only the segments that share their K-gram with a different segment are sorted window by window
     gram = rows["gram"][lead]
@@ -372,147 +524,131 @@ def covered_in_bucket(blobs: list[bytes]) -> np.ndarray:
     rivals = np.repeat(np.maximum.reduceat(ids, edge) > np.minimum.reduceat(ids, edge), np.diff(np.r_[edge, len(gram)]))
     lead, gram = lead[rivals], gram[rivals]
     if len(lead):
-        count = rows["count"][lead].astype(np.int64)
-        of = np.repeat(np.arange(len(lead)), count)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        order, equal = sorted_windows(text, start[lead][of] + offset, np.repeat(np.r_[0, np.cumsum(np.diff(gram) != 0)], count))
-        begin = np.flatnonzero(np.r_[True, equal[1:] != equal[:-1]])
-        ids = rows["id"][lead][of[order]]
-        later = ids > np.minimum.reduceat(ids, begin)[equal]
-        window = np.sort(order[later])
-        if len(window):
-            # neighbouring windows of one segment make one run
-            new = np.r_[True, (np.diff(window) != 1) | (np.diff(of[window]) != 0)]
-            at = np.flatnonzero(new)
-            run = np.diff(np.r_[at, len(window)])
-            hit = window[at]
-            out.append(_intervals(rows[lead[of[hit]]], rows["at"][lead[of[hit]]] + offset[hit], run))
-    return merged(np.concatenate(out))
+        edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        weight = np.add.reduceat(rows["count"][lead], edge)
+        turn = np.cumsum(weight) // SLICE
+        cut = edge[np.flatnonzero(np.r_[True, np.diff(turn) != 0])]
+        for a, b in zip(cut, [*cut[1:], len(lead)], strict=True):
+            mine = lead[a:b]
+            out.append(_covered_windows(rows[mine], take_ranges(text, start[mine], size[mine]), np.cumsum(size[mine]) - size[mine]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([p for _, p in out])
+
+
+def _covered_windows(rows: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of the windows of the segments, sorted by K-gram, that also start in a text with a smaller id."""
+    count = rows["count"]
+    of = np.repeat(np.arange(len(rows)), count)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    order, equal = sorted_windows(text, start[of] + offset, np.repeat(np.r_[0, np.cumsum(rows["gram"][1:] != rows["gram"][:-1])], count))
+    begin = np.flatnonzero(np.r_[True, equal[1:] != equal[:-1]])
+    ids = rows["id"][of[order]]
+    window = np.sort(order[ids > np.minimum.reduceat(ids, begin)[equal]])
+    if not len(window):
+        return np.zeros(0, INTERVAL), np.zeros(0, np.int32)
+    # neighbouring windows of one segment make one run
+    at = np.flatnonzero(np.r_[True, (np.diff(window) != 1) | (np.diff(of[window]) != 0)])
+    hit = window[at]
+    return _intervals(rows[of[hit]], rows["at"][of[hit]] + offset[hit], np.diff(np.r_[at, len(window)])), rows["part"][of[hit]]
 
 
 def _intervals(rows: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
     out = np.empty(len(rows), INTERVAL)
-    out["doc"], out["start"], out["stop"] = rows["doc"], at, at + count + LENGTH - 1
+    out["id"], out["tag"], out["start"], out["stop"] = rows["id"], rows["tag"], at, at + count + LENGTH - 1
     return out
 
 
-def _sort_buckets(parts: int):
+def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partitions sorted by bucket and kind: each bucket's segments are sorted, known intervals pass through."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        current = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                got = list(_by_part(covered_in_bucket(held)))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], ["part", "data"])
-
-        def _by_part(rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
-            for p, mine in _by(rows["doc"] % parts, rows):
-                yield p, pack(mine, np.zeros(0, np.uint8))
-
+    def open_ones() -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, kind, data in zip(batch["bucket"].to_pylist(), batch["kind"].to_pylist(), batch["data"], strict=True):
-                if kind:
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data.as_py()], pa.binary())], ["part", "data"])
-                    continue
-                if bucket != current:
-                    yield from done()
-                    held, current = [], bucket
-                held.append(data.as_py())
-        yield from done()
-
-    return run
-
-
-def _cut(kept_text: bool):
-    """Cogrouped by part: the texts (as packed rows) and the intervals of their bytes."""
-
+            closed = batch.filter(pc.equal(batch["kind"], 1))
+            passing.extend(zip(closed["part"].to_pylist(), closed["data"].to_pylist(), strict=True))
+            yield batch.filter(pc.equal(batch["kind"], 0)).select(["bucket", "part", "data"])
+
+    passing: list[tuple[int, bytes]] = []
+    for _, held in _grouped(open_ones()):
+        found, blob = covered_in_bucket([data for _, data in held])
+        rows = [(held[n][0], pack(merged(mine))) for n, mine in _by(blob, found)]
+        if rows or passing:
+            yield _blobs(PART_DATA, rows + passing)
+        passing.clear()
+    if passing:
+        yield _blobs(PART_DATA, passing)
+
+
+def _cut_texts(texts: pa.Table, found: pa.Table) -> Iterator[tuple[np.void, bytes, bytes, int]]:
+    """Cogrouped by part: the number of each text, its bytes, what is kept of them, and how many spans go."""
+    rows = [unpack(x.as_py(), INTERVAL)[0] for x in found["data"]]
+    cover = merged(np.concatenate(rows)) if rows else np.zeros(0, INTERVAL)
+    names, begin = np.unique(cover[["id", "tag"]].astype(TEXT), return_index=True)
+    stop = np.r_[begin[1:], len(cover)]
+    for blob in texts["data"]:
+        table, raw = unpack(blob.as_py(), ROW, BYTE)
+        own = table[["id", "tag"]].astype(TEXT)
+        place = np.searchsorted(names, own)
+        ends = np.cumsum(table["size"])
+        for k, p in enumerate(place):
+            mine = raw[ends[k] - table["size"][k] : ends[k]].tobytes()
+            gone = cover[begin[p] : stop[p]] if p < len(names) and names[p] == own[k] else cover[:0]
+            left, at = [], 0
+            for x, y in zip(gone["start"].tolist(), gone["stop"].tolist(), strict=True):
+                left.append(mine[at:x])
+                at = y
+            yield own[k], mine, b"".join([*left, mine[at:]]), len(gone)
+
+
+def _digests(texts: pa.Table, found: pa.Table) -> pa.Table:
+    out = [{"doc_id": None if own["id"] == NO_ID else int(own["id"]), "n_bytes": len(mine), "n_removed": len(mine) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()} for own, mine, kept, spans in _cut_texts(texts, found)]
+    return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+
+
+def _kept_rows(names: list[str], schema: pa.Schema):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        rows = [unpack(x.as_py(), INTERVAL)[0] for x in found["data"]]
-        cover = merged(np.concatenate(rows)) if rows else np.zeros(0, INTERVAL)
-        out, seen = [], set()
-        for blob in texts["data"]:
-            table, raw = unpack(blob.as_py(), ROW)
-            ends = np.cumsum(table["size"])
-            low, high = np.searchsorted(cover["doc"], table["doc"], "left"), np.searchsorted(cover["doc"], table["doc"], "right")
-            for k in range(len(table)):
-                mine = raw[ends[k] - table["size"][k] : ends[k]].tobytes()
-                gone = cover[low[k] : high[k]]
-                left, at = [], 0
-                for a, b in zip(gone["start"].tolist(), gone["stop"].tolist(), strict=True):
-                    left.append(mine[at:a])
-                    at = b
-                rest = b"".join([*left, mine[at:]])
-                row = {"doc": int(table["doc"][k]), "doc_id": None if table["id"][k] == NO_ID else int(table["id"][k]), "n_bytes": len(mine), "n_removed": len(mine) - len(rest), "n_spans": len(gone), "kept_sha256": hashlib.sha256(rest).hexdigest()}
-                if kept_text:
-                    if row["doc"] in seen:
-                        continue
-                    seen.add(row["doc"])
-                    row["kept"] = rest
-                out.append(row)
-        fields = [("doc", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-        return pa.Table.from_pylist(out, pa.schema(fields + [("kept", pa.binary())] * kept_text))
-
-    return run
-
-
-ROW = np.dtype([("doc", "<i8"), ("id", "<i8"), ("size", "<i8")])
-
-
-def _pack_texts(parts: int):
-    """Texts to compressed blobs by part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, ends = text_bytes(batch["text"])
-            rows = np.empty(len(batch), ROW)
-            rows["doc"], rows["id"], rows["size"] = batch["doc"].to_numpy(), batch["id"].fill_null(NO_ID).to_numpy(), np.diff(ends)
-            for a, b in chunks(ends, 4 * BATCH_BYTES):
-                got = [(int(p), pack(rows[a:b][mine], take_ranges(raw, ends[a:b][mine], rows["size"][a:b][mine]))) for p, mine in _by(rows["doc"][a:b] % parts, np.arange(b - a))]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], ["part", "data"])
+        if not len(texts):
+            return schema.empty_table()
+        # a character that a removed span cuts goes with it
+        kept = pa.array([kept.decode("utf-8", "ignore") for _, _, kept, _ in _cut_texts(texts, found)], pa.string())
+        rest = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in texts["rest"]])["rest"].combine_chunks()
+        rest = pa.concat_arrays(rest.chunks) if isinstance(rest, pa.ChunkedArray) else rest
+        columns = dict(zip([f.name for f in rest.type], rest.flatten(), strict=True))
+        out = pa.table({n: kept if n == "text" else columns[n] for n in names}).cast(schema)
+        return out.filter(pc.greater(pc.binary_length(out["text"]), 0))
 
     return run
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", kept_text: bool = False, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(doc, doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; doc is a number that equal rows share.
-
-    With kept_text there is one row for each doc, with the bytes that are kept.
-    """
+def covered(docs: DataFrame, key: str, text: str, bucket_bytes: int, rest: bool = False):
+    """Packed texts and covered intervals, cogrouped by part; with rest the packed texts also hold all other columns."""
     spark = docs.sparkSession
-    numbered = docs.select(F.col(key).cast("long").alias("id"), row_number_of(key, text).alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_tag(text).alias("tag"), F.col(text).cast("string").alias("text"), *[F.struct(*[c for c in docs.columns if c != text]).alias("rest")] * rest)
+    texts = stored(rows.mapInArrow(_pack_texts, "part long, data binary, rest binary"), "suffix-texts")
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
+    bits = min(63, max(36, int(total).bit_length() + 6))
     width = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    scattered = numbered.mapInArrow(_scatter(buckets, buckets), "bucket int, kind int, data binary")
-    found = scattered.repartition(width, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_sort_buckets(buckets), "part int, data binary")
-    texts = numbered.mapInArrow(_pack_texts(buckets), "part int, data binary")
-    schema = "doc long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text
-    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(kept_text), schema)
+    data = texts.select("part", "data")
+    hints = data.mapInArrow(_hints(buckets, bits), "bucket int, part long, data binary")
+    shared = hints.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, data binary")
+    scattered = data.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_scatter(buckets, bits), "bucket int, part long, kind int, data binary")
+    found = scattered.repartition(width, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_sort_buckets, "part long, data binary")
+    return (texts if rest else data).groupBy("part").cogroup(found.groupBy("part"))
 
 
-def row_number_of(key: str, text: str):
-    """A non-negative number that tells rows apart wherever their results may differ."""
-    return F.xxhash64(F.col(key), F.col(text)).bitwiseAND(F.lit((1 << 63) - 1))
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    return covered(docs, key, text, bucket_bytes).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
-    return deduplicated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def without_duplicates(docs: DataFrame, key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """docs with the duplicate passages cut from their text; rows of which no text stays go, as do null texts."""
+    schema = to_arrow_schema(docs.schema)
+    return covered(docs.where(F.col("text").isNotNull()), key, "text", bucket_bytes, rest=True).applyInArrow(_kept_rows(docs.columns, schema), docs.schema)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        # a character that a removed span cuts goes with it
-        text = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch["kept"]], pa.string())
-        yield pa.RecordBatch.from_arrays([batch["doc"], batch["n_removed"], text], ["doc", "n_removed", "kept"])
+def text_tag(text: str):
+    return F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(1 << 32))
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with the duplicate passages cut from their text; texts of which nothing stays go, as do null texts."""
-    kept = deduplicated(docs, kept_text=True).select("doc", "n_removed", "kept").mapInArrow(_decoded, "doc long, n_removed long, kept string")
-    rest = docs.select(*[c for c in docs.columns if c != "text"], row_number_of("doc_id", "text").alias("_doc"))
-    out = rest.join(kept, rest["_doc"] == kept["doc"]).where(F.octet_length("kept") > 0)
-    return out.select(*[F.col("kept").alias("text") if c == "text" else rest[c] for c in docs.columns])
+def suffix_dedup(docs: DataFrame) -> DataFrame:
+    return deduplicated(docs)
