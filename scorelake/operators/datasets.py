@@ -141,3 +141,30 @@ def deduplicated(rows: DataFrame, text: str, key: str) -> DataFrame:
     norm = F.md5(F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " "))))
     best = rows.where(~is_blank(F.col(text))).groupBy(norm.alias("_norm")).agg(F.min(key).alias("_keep"))
     return rows.join(best.select(F.col("_keep").alias(key)), key, "left_semi")
+
+
+def dry_run_summary(scored: DataFrame, head: int) -> DataFrame:
+    """Mean, full, zero and failed scores of the first rows by idx."""
+    first = scored.orderBy("row_idx").limit(head)
+    return first.agg(F.count("*").alias("n_rows"), F.avg("score").alias("avg_score"), F.count_if(F.col("score") >= 1.0).alias("n_full"), F.count_if(F.col("score") <= 0.0).alias("n_zero"), F.count_if(F.col("score").isNull()).alias("n_error"))
+
+
+def preview(rows: DataFrame, columns: list[str], offset: int, limit: int, redact) -> DataFrame:
+    """A page of rows by idx, values as text, redacted."""
+    return rows.orderBy("idx").offset(offset).limit(limit).select("idx", *[redact(F.col(c).cast("string")).alias(c) for c in columns])
+
+
+def backfilled_versions(datasets: DataFrame, versions: DataFrame) -> DataFrame:
+    """versions with a version 1 for each dataset that has none."""
+    lost = datasets.select("dataset_id").distinct().join(versions, "dataset_id", "left_anti")
+    return versions.select("dataset_id", "version").unionByName(lost.withColumn("version", F.lit(1)))
+
+
+def flat_rows(split: DataFrame) -> DataFrame:
+    """(idx, row): input, metadata and expected of a split row as one map again; expected values win."""
+    kind = "map<string,string>"
+    whole = F.from_json("input", kind)
+    inner = F.coalesce(F.from_json(F.get_json_object("input", "$._metadata"), kind), F.create_map().cast(kind))
+    expected = F.coalesce(F.from_json("expected", kind), F.create_map().cast(kind))
+    plain = F.map_filter(whole, lambda k, v: (k != "_metadata") & ~F.map_contains_key(expected, k) & ~F.map_contains_key(inner, k))
+    return split.select("idx", F.map_concat(plain, F.map_filter(inner, lambda k, v: ~F.map_contains_key(expected, k)), expected).alias("row"))

@@ -73,3 +73,17 @@ def row_cost(prompt_tokens: Column, completion_tokens: Column, input_per_1k: Col
 def fan_out(models: DataFrame, plan: DataFrame) -> DataFrame:
     """One experiment for each model and planned (dataset, benchmark, prompt)."""
     return plan.crossJoin(F.broadcast(models))
+
+
+def cost_unknown(models: DataFrame, pricing: str = "pricing") -> DataFrame:
+    """Whether a model's cost is unknown: not free, and no price in its pricing JSON."""
+    known = F.coalesce(F.get_json_object(pricing, "$.input_per_1k"), F.get_json_object(pricing, "$.output_per_1k")).isNotNull()
+    return models.withColumn("cost_unknown", ~F.coalesce(F.col("free"), F.lit(False)) & ~known)
+
+
+def few_shot(examples: Column) -> Column:
+    """Examples of a JSON list as text: strings as they are, pairs as Q and A lines, with the first known answer key."""
+    # Keys of a question and of an answer, in order.
+    pick = lambda x, keys: F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in keys])
+    one = lambda x: F.when(x.startswith("{"), F.concat(F.lit("Q: "), F.coalesce(pick(x, ["question", "input", "prompt", "text"]), F.lit("")), F.lit("\nA: "), F.coalesce(pick(x, ["answer", "expected", "output", "label"]), F.lit("")))).otherwise(x)
+    return F.array_join(F.transform(F.from_json(examples, "array<string>"), one), "\n\n")
