@@ -168,3 +168,26 @@ def flat_rows(split: DataFrame) -> DataFrame:
     expected = F.coalesce(F.from_json("expected", kind), F.create_map().cast(kind))
     plain = F.map_filter(whole, lambda k, v: (k != "_metadata") & ~F.map_contains_key(expected, k) & ~F.map_contains_key(inner, k))
     return split.select("idx", F.map_concat(plain, F.map_filter(inner, lambda k, v: ~F.map_contains_key(expected, k)), expected).alias("row"))
+
+
+def joined_choices(questions: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """Questions that have an answer, as single or multiple choice, with their options as text sorted by letter.
+
+    questions: key, question, options (map letter -> text); answers: key, answer (letters in one text).
+    """
+    letters = F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper("answer"), F.lit("[A-Z]"), 0)))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "\n")
+    out = questions.join(answers, key).withColumn("letters", letters)
+    return out.select(key, F.concat("question", F.lit("\n"), shown).alias("question"), F.array_join("letters", "").alias("answer"), F.when(F.size("letters") > 1, "multiple").otherwise("single").alias("kind"))
+
+
+def version_issues(rows: DataFrame, declared: DataFrame, template_roots: list[str], required: list[str]) -> DataFrame:
+    """(dataset_id, code, field, n) of a stored version: row-count drift, prompt variables and required fields that rows
+    lack. rows: dataset_id, idx, input; declared: dataset_id, row_count."""
+    blank = lambda c: is_blank(F.get_json_object("input", f"$.{c}"))
+    made = [F.when(blank(v), F.struct(F.lit("missing_variable").alias("code"), F.lit(v).alias("field"))) for v in template_roots]
+    made += [F.when(blank(c), F.struct(F.lit("missing_required").alias("code"), F.lit(c).alias("field"))) for c in required]
+    found = rows.select("dataset_id", F.explode(F.array_compact(F.array(*made))).alias("e")).groupBy("dataset_id", "e.code", "e.field").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("dataset_id").agg(F.count("*").alias("n"))
+    drift = declared.join(counts, "dataset_id", "left").where(F.coalesce("n", F.lit(0)) != F.col("row_count")).select("dataset_id", F.lit("row_count_drift").alias("code"), F.lit("").alias("field"), F.coalesce("n", F.lit(0)).alias("n"))
+    return drift.unionByName(found)
