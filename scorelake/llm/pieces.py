@@ -31,6 +31,7 @@ from scorelake.llm.common import Pieces, chunks, mixed, text_bytes
 MODEL = os.environ.get("SCORELAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 RATE, SEED, STREAMS = 0.1, 20240817, 8
 LONG = 256
+TEXT_BYTES = 1 << 19
 NONE = np.int64(1) << 40
 SPACE = "▁"
 
@@ -273,7 +274,7 @@ def _encoding(path: str, rate: float, seed: int):
         for batch in batches:
             raw, ends = text_bytes(batch["text"])
             streams = batch["stream"].to_numpy()
-            for a, b in chunks(ends, 2 << 20):
+            for a, b in chunks(ends, TEXT_BYTES):
                 part, cuts = raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
                 ids, at = encode(voc, part, cuts, streams[a:b], rate, seed)
                 back, back_cuts = decode(voc, ids, at)
