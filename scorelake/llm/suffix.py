@@ -14,8 +14,13 @@ Every byte that a LENGTH-byte string covers is removed if that string also start
    trie. Neighbours with LENGTH common bytes are equal windows; all but those of the smallest id are covered.
 3. The covered intervals of each text meet its bytes, and the rest is kept.
 
-Buckets and parts are of bounded size whatever the input; their number grows. A passage held by very many texts is
-sent once per part.
+At the two edges of a passage that very many texts hold, the segments reach into each text's own bytes, so all differ
+and share their K-gram. A sample of the texts tells the K-grams of more than HOT different segments. Their windows are
+dealt one by one, by a 128-bit hash of their LENGTH bytes: equal windows of a part are merged to their smallest id,
+windows whose hint no other segment has are not sent, and the others spread over all buckets.
+
+The number of buckets and parts grows with the input. A K-gram brings about HOT different segments to a bucket at most,
+besides equal ones; a segment or window held by very many texts is sent once per part, which grows with the parts.
 
 Defined cases: a null text has no bytes; texts of equal id (or with a null id, which counts as larger than any other)
 do not cover each other; bytes are judged on the input; an empty table gives an empty result.
@@ -43,6 +48,9 @@ K = 16
 SHALLOW = 24
 #: Bytes of text of a part.
 BATCH_BYTES = 1 << 20
+#: Different segments of a K-gram from which its windows are dealt one by one, and how many of them a sample shows.
+HOT = 4096
+SHOWN = 64
 #: Bytes of text for each bucket of segments.
 BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -139,6 +147,8 @@ def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: A segment: index into its blob's owners, first window, number of windows, and the K-gram's place from there.
 SEGMENT = np.dtype([("owner", "<u4"), ("at", "<u4"), ("count", "u1"), ("gram_at", "u1")])
+#: A window that is dealt alone: the hash of its bytes, index into its blob's owners, and place.
+WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("owner", "<u4"), ("at", "<u4")])
 #: The number of a text: its id with a hash of its bytes, which tells texts of one id apart.
 TEXT = np.dtype([("id", "<i8"), ("tag", "<u4")])
 INTERVAL = np.dtype([("id", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("stop", "<i4")])
@@ -293,8 +303,46 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _blobs(PART_DATA, [(part, pack(np.diff(mine, prepend=np.uint64(0))))])
 
 
-def _scatter(buckets: int, bits: int):
-    """Cogrouped by part, texts and shared side hashes: to segments by bucket, and the intervals known in the part."""
+def _sampled_segments(rate: float):
+    """The K-gram hash and the hash of the bytes of each segment of a sample of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng()
+        for batch in batches:
+            for data in batch["data"]:
+                raw, cuts, _ = _unpacked(data.as_py())
+                size = np.diff(cuts)
+                chosen = np.flatnonzero(rng.random(len(size)) < rate)
+                raw = take_ranges(raw, cuts[chosen], size[chosen])
+                first, count, _, _, gram = segments(raw, np.r_[0, np.cumsum(size[chosen])])
+                if len(first):
+                    columns = [gram, range_hashes(raw, first, count + LENGTH - 1)[:, 0]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["gram", "segment"])
+
+    return run
+
+
+def hot_grams(data: DataFrame, hot: int) -> np.ndarray:
+    """Sorted hashes of the K-grams of about hot or more different segments; of n segments there are n / hot at most.
+
+    Which K-grams are listed is a matter of cost alone: the one list decides for all parts.
+    """
+    rate = min(1.0, SHOWN / hot)
+    seen = data.mapInArrow(_sampled_segments(rate), "gram long, segment long").distinct().groupBy("gram").count()
+    found = seen.where(F.col("count") >= max(2, int(hot * rate))).select("gram").toArrow()["gram"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def is_among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _scatter(buckets: int, bits: int, hot: np.ndarray):
+    """Cogrouped by part, texts and shared side hashes: to segments by bucket, windows of the K-grams in hot by bucket
+    (numbered from buckets on), and the intervals known in the part."""
 
     def run(key: tuple, texts: pa.Table, hints: pa.Table) -> pa.Table:
         part = key[0].as_py()
@@ -317,9 +365,9 @@ def _scatter(buckets: int, bits: int):
         wanted = np.unique(np.concatenate(wanted))
         if not len(wanted):
             return
-        known_by = lambda side: wanted[np.minimum(np.searchsorted(wanted, side), len(wanted) - 1)] == side
-        near = known_by(right) | known_by(left)
-        first, count, owner, place, gram = (x[near] for x in (first, count, owner, place, gram))
+        right, left = is_among(right, wanted), is_among(left, wanted)
+        near = right | left
+        first, count, owner, place, gram, right, left = (x[near] for x in (first, count, owner, place, gram, right, left))
         if not len(first):
             return
         ids = texts["id"]
@@ -332,7 +380,11 @@ def _scatter(buckets: int, bits: int):
         covered = merged(_intervals(texts[owner[known]], first[known] - cuts[owner[known]], count[known]))
         if len(covered):
             yield int(covered["tag"][0]) % buckets, 1, pack(covered)
-        first, count, owner, place, gram = (x[~known] for x in (first, count, owner, place, gram))
+        first, count, owner, place, gram, right, left = (x[~known] for x in (first, count, owner, place, gram, right, left))
+        many = is_among(gram, hot)
+        if many.any():
+            yield from windows(raw, cuts, texts, *(x[many] for x in (first, count, owner, place, right, left)))
+            first, count, owner, place, gram = (x[~many] for x in (first, count, owner, place, gram))
         home = (mixed(gram) % np.uint64(buckets)).astype(np.int64)
         turn = np.argsort(home, kind="stable")
         ends = np.r_[0, np.cumsum(np.bincount(home, minlength=buckets))]
@@ -343,6 +395,30 @@ def _scatter(buckets: int, bits: int):
             rows["owner"], rows["at"], rows["count"], rows["gram_at"] = index, first[mine] - cuts[owner[mine]], count[mine], place[mine] - first[mine]
             yield b, 0, pack(rows, texts[named], take_ranges(raw, first[mine], count[mine] + LENGTH - 1))
 
+    def windows(raw: np.ndarray, cuts: np.ndarray, texts: np.ndarray, first: np.ndarray, count: np.ndarray, owner: np.ndarray, place: np.ndarray, right: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        of = np.repeat(np.arange(len(first)), count)
+        at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        # a window with SIDE bytes after its K-gram has the right hint, any other the left one
+        some = np.where(at + LENGTH >= place[of] + K + SIDE, right[of], left[of])
+        at, owner = at[some], owner[of[some]]
+        if not len(at):
+            return
+        same, ids = range_hashes(raw, at, np.full(len(at), LENGTH)), texts["id"]
+        order, begin = groups_of(same[:, 0], same[:, 1])
+        group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
+        known = np.zeros(len(at), bool)
+        known[order] = ids[owner[order]] > np.minimum.reduceat(ids[owner[order]], begin)[group]
+        covered = merged(_intervals(texts[owner[known]], at[known] - cuts[owner[known]], np.ones(known.sum(), np.int64)))
+        if len(covered):
+            yield int(covered["tag"][0]) % buckets, 1, pack(covered)
+        at, owner, same = at[~known], owner[~known], same[~known]
+        home = ((same[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        for b, mine in _by(home, np.arange(len(home))):
+            named, index = np.unique(owner[mine], return_inverse=True)
+            rows = np.empty(len(mine), WINDOW)
+            rows["high"], rows["low"], rows["owner"], rows["at"] = same[mine, 0], same[mine, 1], index, at[mine] - cuts[owner[mine]]
+            yield buckets + b, 0, pack(rows, texts[named])
+
     return run
 
 
@@ -557,24 +633,40 @@ def _intervals(rows: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarra
     return out
 
 
-def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def covered_by_hash(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals that windows dealt alone cover in texts of larger ids, and the blob of each."""
+    pairs = [unpack(blob, WINDOW, TEXT) for blob in blobs]
+    parts = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(rows) for rows, _ in pairs])
+    texts = np.concatenate([names[rows["owner"]] for rows, names in pairs])
+    rows = np.concatenate([rows for rows, _ in pairs])
+    order, begin = groups_of(rows["high"], rows["low"])
+    ids = texts["id"][order]
+    group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
+    gone = order[ids > np.minimum.reduceat(ids, begin)[group]]
+    return _intervals(texts[gone], rows["at"][gone].astype(np.int64), np.ones(len(gone), np.int64)), parts[gone]
+
+
+def _sort_buckets(buckets: int):
     """Partitions sorted by bucket and kind: each bucket's segments are sorted, known intervals pass through."""
 
-    def open_ones() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            closed = batch.filter(pc.equal(batch["kind"], 1))
-            passing.extend(zip(closed["part"].to_pylist(), closed["data"].to_pylist(), strict=True))
-            yield batch.filter(pc.equal(batch["kind"], 0)).select(["bucket", "part", "data"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def open_ones() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                closed = batch.filter(pc.equal(batch["kind"], 1))
+                passing.extend(zip(closed["part"].to_pylist(), closed["data"].to_pylist(), strict=True))
+                yield batch.filter(pc.equal(batch["kind"], 0)).select(["bucket", "part", "data"])
+
+        passing: list[tuple[int, bytes]] = []
+        for bucket, held in _grouped(open_ones()):
+            found, blob = (covered_in_bucket if bucket < buckets else covered_by_hash)([data for _, data in held])
+            rows = [(held[n][0], pack(merged(mine))) for n, mine in _by(blob, found)]
+            if rows or passing:
+                yield _blobs(PART_DATA, rows + passing)
+            passing.clear()
+        if passing:
+            yield _blobs(PART_DATA, passing)
 
-    passing: list[tuple[int, bytes]] = []
-    for _, held in _grouped(open_ones()):
-        found, blob = covered_in_bucket([data for _, data in held])
-        rows = [(held[n][0], pack(merged(mine))) for n, mine in _by(blob, found)]
-        if rows or passing:
-            yield _blobs(PART_DATA, rows + passing)
-        passing.clear()
-    if passing:
-        yield _blobs(PART_DATA, passing)
+    return run
 
 
 def _cut_texts(texts: pa.Table, found: pa.Table) -> Iterator[tuple[np.void, bytes, bytes, int]]:
@@ -618,8 +710,8 @@ def _kept_rows(names: list[str], schema: pa.Schema):
     return run
 
 
-def covered(docs: DataFrame, key: str, text: str, bucket_bytes: int, rest: bool = False):
-    """Packed texts and covered intervals, cogrouped by part; with rest the packed texts also hold all other columns."""
+def dealt(docs: DataFrame, key: str, text: str, bucket_bytes: int, rest: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame, int]:
+    """Packed texts, the segments and windows sent to the buckets, and the number of buckets."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), text_tag(text).alias("tag"), F.col(text).cast("string").alias("text"), *[F.struct(*[c for c in docs.columns if c != text]).alias("rest")] * rest)
     texts = stored(rows.mapInArrow(_pack_texts, "part long, data binary, rest binary"), "suffix-texts")
@@ -630,14 +722,21 @@ def covered(docs: DataFrame, key: str, text: str, bucket_bytes: int, rest: bool
     data = texts.select("part", "data")
     hints = data.mapInArrow(_hints(buckets, bits), "bucket int, part long, data binary")
     shared = hints.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, data binary")
-    scattered = data.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_scatter(buckets, bits), "bucket int, part long, kind int, data binary")
-    found = scattered.repartition(width, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_sort_buckets, "part long, data binary")
-    return (texts if rest else data).groupBy("part").cogroup(found.groupBy("part"))
+    scatter = _scatter(buckets, bits, hot_grams(data, hot))
+    return texts, data.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(scatter, "bucket int, part long, kind int, data binary"), buckets
+
+
+def covered(docs: DataFrame, key: str, text: str, bucket_bytes: int, rest: bool = False, hot: int = HOT):
+    """Packed texts and covered intervals, cogrouped by part; with rest the packed texts also hold all other columns."""
+    texts, scattered, buckets = dealt(docs, key, text, bucket_bytes, rest, hot)
+    width = max(1, min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = scattered.repartition(width, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_sort_buckets(buckets), "part long, data binary")
+    return (texts if rest else texts.select("part", "data")).groupBy("part").cogroup(found.groupBy("part"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    return covered(docs, key, text, bucket_bytes).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return covered(docs, key, text, bucket_bytes, hot=hot).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_duplicates(docs: DataFrame, key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -50,6 +50,31 @@ def test_suffix_dedup_equals_brute_force(edge_docs, edge_rows, bucket):
     assert sorted(map(tuple, got), key=str) == brute_suffix([(r[0], r[1]) for r in edge_rows])
 
 
+def test_suffix_dedup_deals_the_edges_of_a_hot_passage_window_by_window(spark):
+    rng = np.random.default_rng(3)
+    own = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage = own(200)
+    rows = [(i, own(60) + passage + own(60)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, sent, buckets = suffix.dealt(docs, "doc_id", "text", 2000, hot=32)
+    most = 0
+    for r in sent.where("kind = 0").collect():
+        if r["bucket"] < buckets:
+            wire, _, text = suffix.unpack(r["data"], suffix.SEGMENT, suffix.TEXT, suffix.BYTE)
+            size = wire["count"].astype(np.int64) + suffix.LENGTH - 1
+            start = np.cumsum(size) - size
+            grams = [text[a : a + suffix.K].tobytes() for a in start + wire["gram_at"]]
+            most = max(most, max(map(grams.count, grams)))
+    assert most < 64  # all 300 segments of an edge had one K-gram
+    got = suffix.deduplicated(docs, bucket_bytes=2000, hot=32).collect()
+    assert sorted(map(tuple, got), key=str) == brute_suffix(rows)
+
+
+def test_suffix_dedup_window_by_window_equals_brute_force(edge_docs, edge_rows):
+    got = suffix.deduplicated(edge_docs, bucket_bytes=2000, hot=2).collect()
+    assert sorted(map(tuple, got), key=str) == brute_suffix([(r[0], r[1]) for r in edge_rows])
+
+
 def test_suffix_dedup_of_runs_and_short_texts(spark):
     rows = [(5, "a" * 300), (6, "a" * 200), (7, "ab" * 100), (3, "b" * 49), (2, "b" * 49), (9, "ab" * 60 + "c" * 60), (9, "c" * 60)]
     got = suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
