@@ -2,16 +2,19 @@
 
 A text is its words, each a run of spaces with what follows it. A word starts as characters; an agenda holds the
 adjacent pairs whose concatenation is a piece, best score first and then leftmost; each candidate is skipped for good
-if a hash keyed by the seed and the document's stream, of the word, the pair's place and its two pieces, falls below the
-dropout rate; the others are merged in agenda order. Characters outside the vocabulary become byte pieces, and so does
-a literal U+2581, so that decoding restores every text exactly. A document's stream is a hash of its id modulo STREAMS:
-equal words of one stream are segmented alike and once per chunk, other streams vary.
+if a hash keyed by the seed, the document's id and the word's place in the text, of the pair's place and its two pieces,
+falls below the dropout rate; the others are merged in agenda order. Characters outside the vocabulary become byte pieces, and so does
+a literal U+2581, so that decoding restores every text exactly. So every
+occurrence of a word has draws of its own.
+
+A word's merges without dropout are found once per chunk. An occurrence of which no such merge is skipped has just these,
+since a skipped candidate that would not be merged changes nothing; only the others run an agenda of their own.
 
 Since the choice to skip a candidate depends only on its identity, skipped candidates are simply never listed. The words
 of a chunk run their agendas side by side in arrays, one merge per word and round; words of over LONG characters use a
 heap each.
 
-Defined cases: null and empty texts have no pieces; a null id has stream 0; repeated rows are encoded alike; only the
+Defined cases: null and empty texts have no pieces; a null id counts as a hash of 0; repeated rows are encoded alike; only the
 id and text columns are read. The tokenizer file is a parameter.
 """
 
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import Pieces, chunks, mixed, text_bytes
 
 MODEL = os.environ.get("SCORELAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-RATE, SEED, STREAMS = 0.1, 20240817, 8
+RATE, SEED = 0.1, 20240817
 LONG = 256
 TEXT_BYTES = 1 << 19
 NONE = np.int64(1) << 40
@@ -151,8 +154,11 @@ def segment_word(voc: Vocabulary, chars: np.ndarray, key: int, rate: float) -> n
     return np.array([s for s, a in zip(sym, alive, strict=True) if a], np.int64)
 
 
-def segment_words(voc: Vocabulary, chars: np.ndarray, cuts: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """All words chars[cuts[k]:cuts[k+1]] by parallel agendas: final symbols in order, and the word of each."""
+def segment_words(voc: Vocabulary, chars: np.ndarray, cuts: np.ndarray, keys: np.ndarray, rate: float, log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All words chars[cuts[k]:cuts[k+1]] by parallel agendas: final symbols in order, and the word of each.
+
+    log: takes (word, place, left, right) of the merges of each round, of words of LONG characters at most.
+    """
     sizes = np.diff(cuts)
     word = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(chars)) - cuts[:-1][word]
@@ -201,6 +207,8 @@ def segment_words(voc: Vocabulary, chars: np.ndarray, cuts: np.ndarray, keys: np
             at = moved[best & ((1 << 40) - 1)]
         else:
             at = best & ((1 << 40) - 1)
+        if log is not None:
+            log.append((word[at], place[at], sym[at], sym[at + 1]))
         sym[at] = made[at]
         left = np.ones(len(sym), bool)
         left[at + 1] = False
@@ -216,6 +224,31 @@ def segment_words(voc: Vocabulary, chars: np.ndarray, cuts: np.ndarray, keys: np
     return s[turn], w[turn]
 
 
+def _segmented(voc: Vocabulary, spread: np.ndarray, start: np.ndarray, stop: np.ndarray, keys: np.ndarray, rate: float, log: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """segment_words of byte ranges, and the number of characters of each."""
+    size = stop - start
+    ends = np.r_[0, np.cumsum(size)]
+    taken = spread[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+    chars = np.frombuffer(taken.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    points = np.r_[0, np.cumsum((taken & 0xC0) != 0x80)][ends]
+    return *segment_words(voc, chars, points, keys, rate, log), np.diff(points)
+
+
+def _differs(log: list, keys: np.ndarray, which: np.ndarray, words: int, rate: float) -> np.ndarray:
+    """Of which occurrences a merge of their word is skipped; keys, which: the key and the word of each."""
+    if not log:
+        return np.zeros(len(keys), bool)
+    word, place, left, right = (np.concatenate(x) for x in zip(*log, strict=True))
+    turn = np.argsort(word, kind="stable")
+    merges = np.bincount(word, minlength=words)
+    base, n = np.cumsum(merges) - merges, merges[which]
+    of = np.repeat(np.arange(len(which)), n)
+    at = turn[np.repeat(base[which] - (np.cumsum(n) - n), n) + np.arange(len(of))]
+    out = np.zeros(len(keys), bool)
+    out[of[skipped(keys[of], place[at], left[at], right[at], rate)]] = True
+    return out
+
+
 def encode(voc: Vocabulary, raw: np.ndarray, cuts: np.ndarray, streams: np.ndarray, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of the texts of a chunk, and the n+1 offsets of their texts."""
     n = len(cuts) - 1
@@ -232,23 +265,27 @@ def encode(voc: Vocabulary, raw: np.ndarray, cuts: np.ndarray, streams: np.ndarr
     owner = np.searchsorted(starts, start, "right") - 1
     if not len(start):
         return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-    hashed = mixed(Pieces(spread).hash(start, stop) ^ mixed(streams[owner].astype(np.uint64) + np.uint64(seed)))
-    keys, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-    u_start, u_size = start[first], stop[first] - start[first]
-    ends = np.r_[0, np.cumsum(u_size)]
-    taken = spread[np.repeat(u_start - ends[:-1], u_size) + np.arange(ends[-1])]
-    chars = np.frombuffer(taken.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    points = np.r_[0, np.cumsum((taken & 0xC0) != 0x80)]
-    sym, word = segment_words(voc, chars, points[ends], keys, rate)
+    _, first, which = np.unique(Pieces(spread).hash(start, stop), return_index=True, return_inverse=True)
+    log: list | None = [] if rate > 0 else None
+    sym, word, sizes = _segmented(voc, spread, start[first], stop[first], np.zeros(len(first), np.uint64), 0.0, log)
+    total = len(first)
+    if rate > 0:
+        keys = mixed(mixed(streams[owner].astype(np.uint64) + np.uint64(seed)) + (start - starts[owner]).astype(np.uint64))
+        own = np.flatnonzero(_differs(log, keys, which, total, rate) | (sizes > LONG)[which])
+        if len(own):
+            more, of, _ = _segmented(voc, spread, start[own], stop[own], keys[own], rate)
+            sym, word = np.r_[sym, more], np.r_[word, of + total]
+            which[own] = total + np.arange(len(own))
+            total += len(own)
     if (sym < 0).any():
-        sizes = np.ones(len(sym), np.int64)
+        width = np.ones(len(sym), np.int64)
         lost = np.flatnonzero(sym < 0)
         as_bytes = [chr(-1 - c).encode() for c in sym[lost].tolist()]
-        sizes[lost] = [len(b) for b in as_bytes]
-        out = np.repeat(sym, sizes)
-        out[np.repeat(sym < 0, sizes)] = voc.byte_ids[np.frombuffer(b"".join(as_bytes), np.uint8)]
-        sym, word = out, np.repeat(word, sizes)
-    count = np.bincount(word, minlength=len(keys))
+        width[lost] = [len(b) for b in as_bytes]
+        out = np.repeat(sym, width)
+        out[np.repeat(sym < 0, width)] = voc.byte_ids[np.frombuffer(b"".join(as_bytes), np.uint8)]
+        sym, word = out, np.repeat(word, width)
+    count = np.bincount(word, minlength=total)
     base = np.cumsum(count) - count
     of_word = count[which]
     place = np.cumsum(of_word)
@@ -289,11 +326,14 @@ def _encoding(path: str, rate: float, seed: int):
     return run
 
 
-def encoded(docs: DataFrame, path: str = MODEL, rate: float = RATE, seed: int = SEED, streams: int = STREAMS) -> DataFrame:
-    """(doc_id, stream, ids, n_pieces, lossless): the pieces of each text and whether they decode to it."""
-    stream = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(streams)), F.lit(0)).cast("int")
+def encoded(docs: DataFrame, path: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
+    """(doc_id, stream, ids, n_pieces, lossless): the pieces of each text and whether they decode to it.
+
+    stream: the hash of the id that keys the draws of the text.
+    """
+    stream = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "doc_id")).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stream.alias("stream"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoding(path, rate, seed), "doc_id long, stream int, ids array<int>, n_pieces long, lossless boolean")
+    return rows.mapInArrow(_encoding(path, rate, seed), "doc_id long, stream long, ids array<int>, n_pieces long, lossless boolean")
 
 
 def _decoding(path: str):

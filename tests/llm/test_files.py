@@ -102,3 +102,24 @@ def test_dropout_is_keyed_and_equals_the_heap():
     for k, c in enumerate(chars):
         assert np.array_equal(got[word == k], pieces.segment_word(voc, c, int(keys[k]), 0.5))
     assert len({tuple(got[word == k]) for k in range(0, 20, 4)}) > 1
+
+
+def test_pieces_of_a_word_vary_with_its_place_and_document():
+    voc = pieces.vocabulary(pieces.MODEL)
+    text = b" international" * 400
+    raw, cuts = np.frombuffer(text * 40, np.uint8), np.arange(41) * len(text)
+    ids, at = pieces.encode(voc, raw, cuts, np.arange(40))
+    words, now = set(), []
+    for i in ids[at[0] : at[1]].tolist():
+        if voc.bytes_of[i].startswith(b" ") and now:
+            words.add(tuple(now))
+            now = []
+        now.append(i)
+    assert len(words) > 8  # one document and 400 occurrences: it had one segmentation for each key of 8
+    assert len({ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)}) == 40
+    # the law: each occurrence is segmented as by an agenda of its own
+    starts = np.arange(400) * len(b" international")
+    keys = pieces.mixed(pieces.mixed(np.uint64([pieces.SEED + 3])) + np.r_[0, starts[1:] + 1].astype(np.uint64))
+    chars = [np.frombuffer(("  international" if k == 0 else " international").encode("utf-32-le"), np.uint32) for k in range(400)]
+    want = np.concatenate([pieces.segment_word(voc, c, int(k), pieces.RATE) for c, k in zip(chars, keys, strict=True)])
+    assert np.array_equal(ids[at[3] : at[4]], want)
