@@ -37,8 +37,12 @@ def s3_read_csv(s, d):
 
 
 def s6_write_results(s, d):
+    return s6_write_all_results(s, d).where("experiment_id <= 10")
+
+
+def s6_write_all_results(s, d):
     path = work_dir(s)
-    results = view(s, d, "eval_results").where("experiment_id <= 10").select("experiment_id", "row_idx", "score")
+    results = view(s, d, "eval_results").select("experiment_id", "row_idx", "score")
     files.write_results(results, path)
     files.write_results(results.where("experiment_id = 3").withColumn("score", F.lit(0.5)), path)
     return s.read.parquet(path).groupBy(F.col("experiment_id").cast("long").alias("experiment_id")).agg(F.count("*").alias("n"), rounded(F.avg("score")).alias("mean"))
@@ -75,6 +79,7 @@ ORACLE = {
     "s2_read_json": oracle("SELECT COUNT(*) AS n, CAST(SUM(row_idx) AS BIGINT) AS sum_idx FROM dataset_rows"),
     "s3_read_csv": oracle("SELECT row_idx, LENGTH(question)+7 AS n_chars FROM dataset_rows"),
     "s6_write_results": oracle(f"SELECT experiment_id, COUNT(*) AS n, {r6('AVG(CASE WHEN experiment_id=3 THEN 0.5 ELSE score END)')} AS mean FROM eval_results WHERE experiment_id<=10 GROUP BY 1"),
+    "s6_write_all_results": oracle(f"SELECT experiment_id, COUNT(*) AS n, {r6('AVG(CASE WHEN experiment_id=3 THEN 0.5 ELSE score END)')} AS mean FROM eval_results GROUP BY 1"),
     "s7_read_page": oracle("SELECT row_idx, question FROM dataset_rows WHERE dataset_id=2 ORDER BY row_idx LIMIT 10 OFFSET 20"),
     "s8_reconcile": oracle("SELECT experiment_id, n_source, n_target FROM (SELECT experiment_id, COUNT(*) AS n_source, NULLIF(COUNT(*) FILTER (experiment_id%9<>0 OR row_idx%2=0), 0) AS n_target FROM eval_results GROUP BY 1) WHERE n_target IS DISTINCT FROM n_source"),
     "a32_markdown_facts": oracle(f"SELECT experiment_id, '| ' || experiment_id || ' | ' || COUNT(*) || ' | ' || COUNT(*) FILTER {'(' + WRONG + ')'} || ' |' AS line FROM eval_results GROUP BY 1"),

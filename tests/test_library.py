@@ -110,3 +110,16 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_all_results_are_written(spark, monkeypatch):
+    from scorelake.plans import source_queries
+    from scorelake.sources import files
+
+    written = []
+    write = files.write_results
+    monkeypatch.setattr(files, "write_results", lambda rows, path: (written.append(rows.select("experiment_id").distinct().count()), write(rows, path)))
+    sf_dir = "/root/testdata/sf0.01"
+    every = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert {r["experiment_id"] for r in source_queries.s6_write_results(spark, sf_dir).collect()} <= set(range(11))
+    assert written == [every, 1] and every > 11
