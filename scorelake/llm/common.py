@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,12 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; an own one only where the session names none."""
+    """The folder that the driver and all executors see. A local master may go without one: its own folder will do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
         folder = "file://" + tempfile.mkdtemp(prefix="scorelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,11 +36,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: a cut of the lineage that outlives any executor."""
-    path = fresh_path(df.sparkSession, name)
+    return stored_at(df, fresh_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(path: str) -> None:
+    """Remove what `stored_at` wrote, once nothing reads it any more."""
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(root).type == fs.FileType.Directory:
+        store.delete_dir(root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -130,23 +145,52 @@ def word_ranges(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
+#: A key with more than this share of the rows is hot: there are at most 1 / HOT_SHARE of them, few enough to broadcast.
+HOT_SHARE = 1e-3
+#: Edges up to which connected components join without a look at hot nodes.
+PLAIN_EDGES = 1 << 20
+
+
+def join_with_hot(rows: DataFrame, names: DataFrame, key: str, counted: str, total: int) -> DataFrame:
+    """rows joined to names, one row of which tells by `counted` how many of the `total` rows have its key.
+
+    Keys of over HOT_SHARE of the rows meet their names by broadcast, at most 1 / HOT_SHARE of them, and stay where they
+    are; all others are dealt by key.
+    """
+    few = max(1, int(total * HOT_SHARE))
+    hot, cold = names.where(F.col(counted) > few).drop(counted), names.where(F.col(counted) <= few).drop(counted)
+    keys = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).union(rows.join(keys, key, "left_anti").join(cold, key))
+
+
+def connected_components(edges: DataFrame, limit: int = 60, plain: int = PLAIN_EDGES) -> DataFrame:
     """(node, component) of an edge list (a, b): alternating large and small stars until nothing moves.
 
     Each step rewrites the edges as min-aggregates and equi-joins and is written to the shared folder, so a lost
-    executor costs one step. component is the smallest node that is reachable. Nodes without an edge do not occur.
+    executor costs one step; the step before is then removed. The centre of a large star is a hot key: with over `plain`
+    edges such nodes are joined by broadcast. Two steps are equal if the number of edges and the sum of their hashes are.
+    component is the smallest node that is reachable. Nodes without an edge do not occur.
     """
-    links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        path = fresh_path(spark, "links")
+        out = stored_at(df, path)
+        return out, path, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    def least_joined(pairs: DataFrame, total: int) -> DataFrame:
+        least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        return pairs.join(least.drop("n"), "a") if total <= plain else join_with_hot(pairs, least, "a", "n", total)
+
+    links, path, state = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(limit):
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        grown = stored(small, "links")
-        moved = grown.join(links, ["a", "b"], "left_anti").limit(1).count() or links.join(grown, ["a", "b"], "left_anti").limit(1).count()
-        links = grown
-        if not moved:
+        large = least_joined(both, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = least_joined(large, state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        before, old = state, path
+        links, path, state = kept(small)
+        discard(old)
+        if state == before:
             break
     else:
         raise RuntimeError(f"components have not settled after {limit} rounds")

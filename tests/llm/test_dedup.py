@@ -81,6 +81,31 @@ def test_suffix_dedup_of_runs_and_short_texts(spark):
     assert sorted(map(tuple, got), key=str) == brute_suffix(rows)
 
 
+def test_suffix_dedup_of_long_runs_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BATCH_BYTES", 300)
+    rng = np.random.default_rng(8)
+    own = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    shared = own(700)
+    rows = [(4, "a" * 900 + own(30)), (3, "-" * 400), (8, "a" * 500 + "-" * 100), (9, "ab- " * 200), (2, "ab- " * 60 + own(20) + "ab- " * 40)]
+    rows += [(11, own(100) + shared + own(400)), (10, own(333) + shared[:500] + own(50)), (12, shared[100:] + "a" * 70 + shared[:90])]
+    for hot in (suffix.HOT, 2):
+        got = suffix.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=2000, hot=hot).collect()
+        assert sorted(map(tuple, got), key=str) == brute_suffix(rows)
+
+
+def test_a_run_of_one_byte_is_sent_as_one_record():
+    import pyarrow as pa
+
+    text = np.full(3_000_000, 97, np.uint8)
+    rows = np.zeros(1, suffix.ROW)
+    rows["size"] = len(text)
+    data = suffix.pack(rows, text)
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([data])], ["part", "data"])
+    hints = pa.table({"data": [x.as_py() for b in suffix._hints(4, 40)(iter([batch])) for x in b["data"]]})
+    sent = suffix._scatter(4, 40, np.zeros(0, np.uint64))((pa.scalar(1),), pa.table({"data": [data]}), hints)
+    assert sum(len(suffix.unpack(x.as_py(), suffix.SEGMENT, suffix.TEXT, suffix.BYTE)[0]) for x in sent["data"]) <= 4
+
+
 def test_suffix_dedup_empty(empty_docs):
     assert suffix.suffix_dedup(empty_docs).count() == 0
     assert suffix.without_duplicates(empty_docs).columns == empty_docs.columns
@@ -90,6 +115,7 @@ def test_kept_text_keeps_columns(edge_docs):
     out = suffix.without_duplicates(edge_docs)
     assert out.columns == edge_docs.columns
     assert out.where("doc_id = 100").count() == 0 and out.where("doc_id = 0").count() == 2
+    assert out.where("text IS NULL").count() == 1 and out.where("text = ''").count() == 1  # nothing of them was cut
 
 
 def test_multikey_quicksort_and_trie_sort_windows():
@@ -124,7 +150,50 @@ def test_simhash_links_chains_and_large_groups(spark):
     assert [found.get(int(x), int(x)) for x in values.view(np.int64)] == groups
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_simhash_splits_hot_segments(spark, hot):
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 1 << 32, 3, np.uint64)
+    values = np.array([int(low[i % 3]) | int(x) << 32 for i, x in enumerate(rng.integers(0, 1 << 32, 120, np.uint64))], np.uint64)
+    flips = np.array([1 << int(a) | 1 << int(b) | 1 << int(c) for a, b, c in rng.integers(0, 64, (200, 3))], np.uint64)
+    values = np.unique(np.r_[values, rng.choice(values, 200) ^ flips])
+    rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(values.view(np.int64))], "id long, fp long").repartition(4)
+    from scorelake.llm.common import stored
+
+    named = simhash.group_names(stored(rows, "rows"), hot).collect()
+    least = {}
+    for r in named:
+        least[r["component"]] = min(r["rep"], least.get(r["component"], 1 << 40))
+    got = {r["rep"]: least[r["component"]] for r in named}
+    assert [got[i] for i in range(len(values))] == brute_groups(values, list(range(len(values))))
+
+
+def test_components_with_hot_nodes(spark):
+    from scorelake.llm.common import connected_components
+
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(1040, 299)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), plain=10).collect()}
+    assert set(found.values()) == {0} and len(found) == 341
+
+
+def test_one_row_of_each_group_stays(spark, edge_docs, edge_rows):
+    kept = [tuple(r) for r in simhash.keep_one(edge_docs).collect()]
+    fp = [simhash.fingerprint((r[1] or "").encode()) for r in edge_rows]
+    groups = brute_groups(np.array(fp, np.uint64), list(range(len(fp))))  # by row, so that ids don't matter
+    members = {}
+    for row, g in zip(edge_rows, groups, strict=True):
+        members.setdefault(g, []).append(row)
+    assert len(kept) == len(members)
+    for rows in members.values():
+        mine = [k for k in kept if k in rows]
+        ids = [r[0] for r in rows if r[0] is not None]
+        assert len(mine) == 1 and mine[0][0] == min(ids, default=None)
+    two = spark.createDataFrame([(1, "one text that stands here alone"), (1, "a second text under the same id"), (0, "a second text under the same id"), (0, "a second text under the same id")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(two).collect())) == [(0, "a second text under the same id"), (1, "one text that stands here alone")]
+
+
 def test_simhash_empty(empty_docs):
+    assert simhash.keep_one(empty_docs).columns == empty_docs.columns and simhash.keep_one(empty_docs).count() == 0
     assert simhash.simhash_groups(empty_docs).count() == 0
 
 
