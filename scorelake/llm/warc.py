@@ -1,10 +1,13 @@
 """WARC archives compressed by Zstandard: one frame per record, with the dictionary in a leading skippable frame.
 
-The writer makes one archive per Spark partition. Its dictionary comes from a bounded sample of the archive's own
-records and is stored in a skippable frame with the magic number 0x184D2A5D, as the public draft for .warc.zst says.
-Every record is then a frame of its own. The reader takes whole archives as binary files, loads the dictionary, finds
-each frame's end from its block headers, decodes it alone, and checks version, mandatory headers, block length, record
-end and SHA-1 digests. A broken record is returned with its `error`; it does not end the job.
+The writer streams the records of a Spark partition into archives and begins a new one at ARCHIVE_BYTES. An archive's
+dictionary comes from its first records, a bounded sample, and is stored in a skippable frame with the magic number
+0x184D2A5D, as the public draft for .warc.zst says. Every record is then a frame of its own. What the tasks that counted
+have written is listed in a manifest beside the archives, so that leavings of lost attempts are never read.
+
+The reader takes whole archives as binary files, loads the dictionary, finds each frame's end from its block headers,
+decodes it alone, whether or not the frame tells its size, and checks version, mandatory headers, block length, record
+end and SHA-1 digests. A broken record is returned with its `error`, and reading goes on at the next frame that is whole.
 
 Defined cases: a null payload is empty; a null url or id leaves its header out or written as `null`; of rows with equal
 payloads those with the largest page_id are responses (a row repeated with the same page_id is a response again) and the
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -27,13 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import fresh_path
+from scorelake.llm.common import fresh_path, stored
 
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 DICTIONARY_BYTES = 32 << 10
 #: Records and bytes of each that a dictionary is made from.
 SAMPLE_RECORDS, SAMPLE_BYTES = 200, 8 << 10
+#: Bytes of records that wait for the dictionary, compressed bytes of an archive, and bytes of a record that is read.
+HEAD_BYTES, ARCHIVE_BYTES, MAX_RECORD = 16 << 20, 64 << 20, 1 << 30
+MANIFEST = "_manifest"
+#: Repeated payloads that are broadcast at most, about 100 bytes each.
+FEW = 200_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -65,8 +73,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def archive(records: list[bytes]) -> bytes:
-    """A whole .warc.zst file."""
+def packer_of(records: list[bytes]) -> tuple[bytes, zstandard.ZstdCompressor]:
+    """The leading frame of an archive that begins with records, and the compressor of its record frames."""
     trained = b""
     sample = [r[:SAMPLE_BYTES] for r in records[:: max(1, len(records) // SAMPLE_RECORDS)][:SAMPLE_RECORDS]]
     if len(sample) >= 16:
@@ -75,7 +83,13 @@ def archive(records: list[bytes]) -> bytes:
         except zstandard.ZstdError:  # samples too small or too alike for a dictionary
             trained = b""
     packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True, **({"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}))
-    return struct.pack("<II", DICTIONARY_FRAME, len(trained)) + trained + b"".join(map(packer.compress, records))
+    return struct.pack("<II", DICTIONARY_FRAME, len(trained)) + trained, packer
+
+
+def archive(records: list[bytes]) -> bytes:
+    """A whole .warc.zst file."""
+    head, packer = packer_of(records)
+    return head + b"".join(map(packer.compress, records))
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -96,27 +110,63 @@ def frame_end(data: memoryview, at: int) -> int:
     return end
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """The decoded frames of an archive, each by itself."""
+def scan(data: bytes, most: int = MAX_RECORD) -> Iterator[tuple[bytes | None, str | None]]:
+    """The decoded frames of an archive in order, each (bytes, None); (None, error) where a stretch of it is broken."""
     view, at, known = memoryview(data), 0, None
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_FRAME:
         size = struct.unpack_from("<I", data, 4)[0]
         known, at = bytes(view[8 : 8 + size]), 8 + size
         if len(known) != size:
-            raise ValueError("truncated dictionary")
+            yield None, "truncated dictionary"
+            return
         if known.startswith(ZSTD_MAGIC):
-            known = zstandard.ZstdDecompressor().decompress(known)
+            known = zstandard.ZstdDecompressor().stream_reader(known).read()
     unpacker = zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(known)} if known else {}))
+
+    def decoded(end: int) -> bytes:
+        parts, size = [], 0
+        with unpacker.stream_reader(view[at:end]) as source:
+            while part := source.read(1 << 20):
+                parts.append(part)
+                size += len(part)
+                if size > most:
+                    raise ValueError(f"record of over {most} bytes")
+        return b"".join(parts)
+
+    lost = False
     while at < len(data):
         magic = struct.unpack_from("<I", data, at)[0] if at + 4 <= len(data) else 0
-        if 0x184D2A50 <= magic <= 0x184D2A5F:  # other skippable frames hold no record
+        if 0x184D2A50 <= magic <= 0x184D2A5F and at + 8 <= len(data):  # other skippable frames hold no record
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
             continue
-        end = frame_end(view, at)
-        yield unpacker.decompress(view[at:end])
+        end = None
+        try:
+            end = frame_end(view, at)
+            whole = decoded(end)
+        except (ValueError, struct.error, zstandard.ZstdError) as broken:
+            if not lost:
+                yield None, str(broken)[:500]
+            # the next frame begins where this one says it ends, or else at the next magic number that leads a whole frame
+            lost = True
+            told = end is not None and (end == len(data) or data[end : end + 4] == ZSTD_MAGIC or 0x184D2A50 <= int.from_bytes(data[end : end + 4], "little") <= 0x184D2A5F)
+            at = end if told else data.find(ZSTD_MAGIC, at + 1)
+            if at < 0:
+                return
+            lost = not told
+            continue
+        lost = False
+        yield whole, None
         at = end
 
 
+def frames(data: bytes) -> Iterator[bytes]:
+    """The decoded frames of an archive; ValueError where it is broken."""
+    for whole, error in scan(data):
+        if error is not None:
+            raise ValueError(error)
+        yield whole
+
+
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
@@ -162,14 +212,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             rows, held, name = [], 0, path.as_py()
-            source = frames(content.as_py())
-            while True:
+            for raw, error in scan(content.as_py()):
                 try:
-                    raw = next(source, None)
-                    if raw is None:
-                        break
-                    row = parsed(raw)
-                except (ValueError, struct.error, zstandard.ZstdError) as broken:
+                    row = parsed(raw) if error is None else dict.fromkeys(RECORDS.names) | {"error": error}
+                except ValueError as broken:
                     row = dict.fromkeys(RECORDS.names) | {"error": str(broken)[:500]}
                 rows.append(row | {"archive": name})
                 held += len(rows[-1]["payload"] or b"")
@@ -181,43 +227,72 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of all archives under folder."""
+    """One row per record of the archives under folder: of those in its manifest, or of all where there is none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    store, root = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.Directory:
+        listed = spark.read.parquet(f"{folder}/{MANIFEST}").select("archive")
+        files = files.join(listed, F.element_at(F.split("path", "/"), -1) == F.col("archive"), "left_semi")
     return files.select("path", "content").mapInArrow(_read, RECORDS_SQL)
 
 
-def _writer(folder: str):
+def _writer(folder: str, archive_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                payload = row["payload"] or b""
-                records.append(record(row["page_id"], row["url"], payload, sha1_base32(payload), row["refers_to"], row["revisit"]))
-        if not records:
-            return
         task = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
-        name = f"{root}/part-{task.partitionId():06d}.warc.zst"
-        # an attempt writes under its own name and then takes the place of any earlier attempt, whole
-        own = f"{root}/.{os.path.basename(name)}.{task.taskAttemptId()}"
-        with store.open_output_stream(own) as out:
-            out.write(archive(records))
-        store.move(own, name)
-        yield pa.RecordBatch.from_pylist([{"archive": name, "records": len(records)}])
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for a in range(0, len(batch), 256):
+                    for row in batch.slice(a, 256).to_pylist():
+                        payload = row["payload"] or b""
+                        yield record(row["page_id"], row["url"], payload, sha1_base32(payload), row["refers_to"], row["revisit"])
+
+        source, number = records(), 0
+        while first := _head(source):
+            # the name holds the attempt: no attempt touches what another one wrote
+            name = f"part-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.zst"
+            count = 0
+            head, packer = packer_of(first)
+            with store.open_output_stream(f"{root}/.{name}", compression=None) as out:
+                out.write(head)
+                size = len(head)
+                for one in itertools.chain(first, source):
+                    frame = packer.compress(one)
+                    out.write(frame)
+                    size, count = size + len(frame), count + 1
+                    if size >= archive_bytes and count >= len(first):
+                        break
+            store.move(f"{root}/.{name}", f"{root}/{name}")
+            yield pa.RecordBatch.from_pylist([{"archive": name, "records": count}])
+            number += 1
 
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, page: str = "page_id", url: str = "url", html: str = "html") -> int:
+def _head(source: Iterator[bytes]) -> list[bytes]:
+    """The next records, up to SAMPLE_RECORDS of them or HEAD_BYTES."""
+    out, size = [], 0
+    while len(out) < SAMPLE_RECORDS and size < HEAD_BYTES and (one := next(source, None)) is not None:
+        out.append(one)
+        size += len(one)
+    return out
+
+
+def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, page: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> int:
     """Write pages as archives under folder; the number of records. Equal payloads of at least min_payload bytes are
-    stored once, by the row with the largest id, and revisited by the others."""
+    stored once, by the row with the largest id, and revisited by the others. Up to FEW repeated payloads are broadcast
+    and the pages stay where they are; with more, both are dealt by digest."""
+    spark = pages.sparkSession
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("same"))
     kept = rows.where(F.octet_length("payload") >= min_payload).groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = rows.join(kept, "same", "left").select("page_id", "url", "payload", F.col("refers_to"), F.coalesce(F.col("page_id") < F.col("refers_to"), F.col("page_id").isNull() & F.col("refers_to").isNotNull()).alias("revisit"))
+    kept = stored(kept, "repeated-payloads")
+    rows = rows.join(F.broadcast(kept) if kept.count() <= FEW else kept, "same", "left").select("page_id", "url", "payload", F.col("refers_to"), F.coalesce(F.col("page_id") < F.col("refers_to"), F.col("page_id").isNull() & F.col("refers_to").isNotNull()).alias("revisit"))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return rows.mapInArrow(_writer(folder), "archive string, records long").agg(F.sum("records").alias("n")).first()["n"] or 0
+    rows.mapInArrow(_writer(folder, archive_bytes), "archive string, records long").write.parquet(f"{folder}/{MANIFEST}")
+    return spark.read.schema("archive string, records long").parquet(f"{folder}/{MANIFEST}").agg(F.sum("records").alias("n")).first()["n"] or 0
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:

@@ -22,6 +22,30 @@ def test_shards_repeat_and_keep_clashing_columns(edge_docs):
     assert runs[0] == runs[1] and {x[3] for x in runs[0]} == {7}
 
 
+def test_shards_of_hot_repeats(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, f"text {i}", {"b": 1, "a": 2}) for i in range(50)], "doc_id long, text string, m map<string,int>")
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x" * 20).alias("text"), F.lit(None).cast("map<string,int>").alias("m"))
+    docs = rows.union(same).drop("m").repartition(3)
+    got = sharding.sharded(docs, bucket_bytes=4000).collect()
+    assert len(got) == 3050 and sum(r["record"]["doc_id"] is None for r in got) == 3000
+    sizes = np.bincount([r["bucket"] for r in got])
+    assert sizes.max() < 150  # the repeats are spread over about 65 buckets
+    slots = {k: sorted(r["slot"] for r in got if r["shard"] == k) for k in range(8)}
+    assert all(v == list(range(len(v))) for v in slots.values())
+    key = lambda rs: sorted((r["shard"], r["slot"], r["record"]["text"]) for r in rs)
+    assert key(sharding.sharded(docs.repartition(5), bucket_bytes=4000).collect()) == key(got)
+    assert sharding.sharded(rows, bucket_bytes=500).count() == 50  # with maps
+
+
+def test_bucket_bases_are_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 4)
+    counts = [(b, 3 * b % 7) for b in range(23) if b % 5]
+    got = {r["bucket"]: r["base"] for r in sharding.bucket_bases(spark.createDataFrame(counts, "bucket int, n long")).collect()}
+    assert got == {b: sum(n for c, n in counts if c < b) for b, _ in counts}
+
+
 def test_fisher_yates_is_a_uniform_permutation():
     counts = np.zeros((4, 4))
     rng = np.random.default_rng(0)
@@ -64,6 +88,39 @@ def test_warc_dictionary_and_frames():
         list(warc.frames(data[:-3]))
 
 
+def test_warc_reads_frames_without_a_size_and_goes_on_after_damage(spark, tmp_path):
+    import zstandard
+
+    rows = [(i, b"<p>page %d</p>" % i) for i in range(10)]
+    records = [warc.record(i, "u", body, warc.sha1_base32(body), None, False) for i, body in rows]
+    packer = zstandard.ZstdCompressor(write_content_size=False, write_checksum=True)
+    packed = [packer.compress(r) for r in records]
+    assert list(warc.frames(b"".join(packed))) == records
+    for at in (0, 2, 7, len(packed[4]) // 2, len(packed[4]) - 2):
+        bad = bytearray(packed[4])
+        bad[at] ^= 0x5A
+        got = list(warc.scan(b"".join([*packed[:4], bytes(bad), *packed[5:]])))
+        assert [w for w, _ in got if w is not None] == records[:4] + records[5:] and sum(e is not None for _, e in got) == 1
+    (tmp_path / "a.warc.zst").write_bytes(b"".join([*packed[:4], packed[4][:-6], *packed[5:]]))
+    back = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert sorted(r["page_id"] for r in back if r["error"] is None) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+    assert sum(r["error"] is not None for r in back) == 1
+    assert [e for _, e in warc.scan(packer.compress(b"x" * 5000), most=1000)] == ["record of over 1000 bytes"]
+
+
+def test_warc_rolls_over_and_reads_only_what_the_manifest_lists(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"http://h/{i}", rng.bytes(1500).hex()) for i in range(700)]
+    folder = f"file://{tmp_path}/archives"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert warc.write_archives(pages, folder, archive_bytes=200_000) == 700
+    names = sorted((tmp_path / "archives").glob("*.warc.zst"))
+    assert len(names) > 2 and names[0].read_bytes()[:4] == b"\x5d\x2a\x4d\x18"
+    (tmp_path / "archives" / "part-000000-0000-999.warc.zst").write_bytes(names[0].read_bytes())  # of a lost attempt
+    assert {r["page_id"]: r["payload"].decode() for r in warc.read_archives(spark, folder).collect()} == {i: h for i, _, h in rows}
+    assert warc.read_archives(spark, folder).count() == 700
+
+
 @pytest.mark.parametrize("change", [lambda r: r.replace(b"WARC/1.1", b"WARC/9.9"), lambda r: r.replace(b"Content-Length: ", b"Content-Length: 1", 1), lambda r: r.replace(b"<p>", b"<q>"), lambda r: r.replace(b"WARC-Date", b"WARC-Day"), lambda r: r[:-2]])
 def test_warc_broken_records_are_told(change):
     raw = warc.record(1, "u", b"<p>x</p>", warc.sha1_base32(b"<p>x</p>"), None, False)
