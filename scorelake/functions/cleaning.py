@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorelake.functions.numbers import bound
+
 # Answer prefixes, labels, units and punctuation that scores depend on.
 PREFIX = r"(?iU)^(?:最\s*终\s*答\s*案[：:\s]*|答\s*案(?:\s*是)?[：:\s]*|回\s*答[：:\s]*|答\s*题?[：:\s]*|answer[s]?[：:]?\s*|final\s+answer\s*[：:]?\s*|结\s*论[：:\s]*)"
 LABELS = r"(?U)^(?:面积|周长|半周长|体积|质量|速度|时间|长度|宽度|高度)[=：:\s]*"
@@ -22,16 +24,26 @@ def stripped(x: Column) -> Column:
 
 def clean_prediction(text: Column, split_commas: bool = True, normalize_whitespace: bool = True, strip_units: bool = True) -> Column:
     """The bare answer of a model output: its last line with an answer prefix, or its last line, without the noise."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"), stripped), lambda x: x != "")
-    told = F.filter(lines, lambda x: x.rlike(PREFIX))
-    last = F.when(F.size(told) > 0, F.try_element_at(told, F.lit(-1))).otherwise(F.try_element_at(lines, F.lit(-1)))
-    last = F.regexp_replace(F.coalesce(last, F.lit("")), PREFIX, "")
-    last = stripped(F.regexp_replace(F.regexp_replace(stripped(last), r'^"+|"+$', ""), r"^'+|'+$", ""))
-    last = F.when(last.rlike(r"^[（(][^）)]*[）)]$"), last).otherwise(F.regexp_replace(last, r"(?U)\s*[（(][^）)]*[）)]\s*$", ""))
-    last = F.when(last.rlike(r"(?s)^\(.*\)$|^（.*）$"), stripped(F.regexp_replace(last, r"(?s)^.|.$", ""))).otherwise(last)
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), stripped), lambda x: x != "")
+
+    def last_line(lines: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.rlike(PREFIX)), F.lit(-1)), F.try_element_at(lines, F.lit(-1)), F.lit(""))
+
+    def without_note(x: Column) -> Column:
+        return F.when(x.rlike(r"^[（(][^）)]*[）)]$"), x).otherwise(F.regexp_replace(x, r"(?U)\s*[（(][^）)]*[）)]\s*$", ""))
+
+    def without_parens(x: Column) -> Column:
+        return F.when(x.rlike(r"(?s)^\(.*\)$|^（.*）$"), stripped(F.regexp_replace(x, r"(?s)^.|.$", ""))).otherwise(x)
+
+    def first_part(x: Column) -> Column:
+        first = lambda comma: stripped(F.split(x, comma)[0])
+        return F.when(x.contains("，"), first("，")).when(x.contains(",") & ~x.rlike(GROUPED_NUMBER), first(",")).otherwise(x)
+
+    last = stripped(F.regexp_replace(bound(lines, last_line), PREFIX, ""))
+    last = stripped(F.regexp_replace(F.regexp_replace(last, r'^"+|"+$', ""), r"^'+|'+$", ""))
+    last = bound(bound(last, without_note), without_parens)
     if split_commas:
-        first = lambda comma: stripped(F.split(last, comma)[0])
-        last = F.when(last.contains("，"), first("，")).when(last.contains(",") & ~last.rlike(GROUPED_NUMBER), first(",")).otherwise(last)
+        last = bound(last, first_part)
     last = F.regexp_replace(last, LABELS, "")
     if strip_units:
         last = F.regexp_replace(F.regexp_replace(last, MONEY, ""), rf"(?U)(?<=\d)\s*(?:{'|'.join(UNITS)})$", "")
@@ -54,14 +66,32 @@ def half_width(x: Column) -> Column:
     return F.translate(x, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
 
 
+#: Folds that lower-casing does not make: sharp s, final sigma, the long s and Latin ligatures.
+FOLDS = {"ß": "ss", "ς": "σ", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def case_folded(x: Column) -> Column:
+    """Lower case with the folds of FOLDS; other special folds are left as lower-casing makes them."""
+    low = F.translate(F.lower(x), "ςſ", "σs")
+    for sign, letters in FOLDS.items():
+        if len(letters) > 1:
+            low = F.replace(low, F.lit(sign), F.lit(letters))
+    return low
+
+
 def match_text(x: Column, strip_units: bool = True, remove_whitespace: bool = True) -> Column:
     """The form in which answers are compared."""
+
+    def without_unit(text: Column) -> Column:
+        def chosen(compact: Column) -> Column:
+            bare = F.regexp_replace(compact, rf"(?iu)(?<=\d)(?:{'|'.join(MATCH_UNITS)})$", "")
+            return bound(bare, lambda b: F.when(b != compact, b).otherwise(text))
+
+        return bound(F.regexp_replace(text, r"(?U)\s+", ""), chosen)
+
     text = half_width(stripped(F.coalesce(x, F.lit(""))))
     if strip_units:
-        compact = F.regexp_replace(text, r"(?U)\s+", "")
-        bare = F.regexp_replace(compact, rf"(?iu)(?<=\d)(?:{'|'.join(MATCH_UNITS)})$", "")
-        text = F.when(bare != compact, bare).otherwise(text)
-    text = F.when(text.rlike(r"(?s)^\(.*\)$"), stripped(F.regexp_replace(text, r"(?s)^.|.$", ""))).otherwise(text)
+        text = bound(text, without_unit)
+    text = bound(text, lambda t: F.when(t.rlike(r"(?s)^\(.*\)$"), stripped(F.regexp_replace(t, r"(?s)^.|.$", ""))).otherwise(t))
     text = F.regexp_replace(text, TRAILING, "")
-    text = F.regexp_replace(text, r"(?U)\s+", "" if remove_whitespace else " ")
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return case_folded(F.regexp_replace(text, r"(?U)\s+", "" if remove_whitespace else " "))

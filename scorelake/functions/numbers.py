@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def rounded(x: Column, digits: int = 6) -> Column:
     return F.floor(x * k + 0.5) / F.lit(k)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) where f names x more than once: x is computed once and does not multiply the plan."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom, 0 where bottom is 0."""
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top.cast("double") / bottom)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.sources.storage import stored
+
 # Column names that hold the expected answer, in order of preference.
 EXPECTED_NAMES = ["expected", "answer", "label", "output", "target", "ground_truth"]
 
@@ -94,14 +96,17 @@ def split_roles(rows: DataFrame, contract: dict) -> DataFrame:
     return rows.select("idx", part([*contract["input"], *contract["metadata"]]).alias("input"), part(contract["expected"]).alias("expected"))
 
 
-def with_dense_index(rows: DataFrame, order: str) -> DataFrame:
-    """0-based idx in the given order without one task for all: ranges, counts per range, then offsets."""
+def with_dense_index(rows: DataFrame, *order: str) -> DataFrame:
+    """0-based idx in the given order without one task for all: ranges are sorted and stored once with a number in each,
+    and their counts give where each range begins. Equal rows are numbered as they were stored."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    ranged = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    # the high bits of the number are the range, the low ones the place in it
+    ranged = ranged.withColumn("_part", F.shiftright("_place", 33)).withColumn("_n", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
-    starts = counts.withColumn("_start", F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_start", F.lit(0)).alias("_start"))
-    return within.join(F.broadcast(starts), "_part").withColumn("idx", F.col("_start") + F.col("_n")).drop("_part", "_n", "_start")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))  # a row per range
+    return ranged.join(F.broadcast(starts), "_part").withColumn("idx", F.col("_start") + F.col("_n")).drop("_part", "_n", "_start")
 
 
 def appended_version(rows: DataFrame, dataset: str, new: DataFrame) -> DataFrame:

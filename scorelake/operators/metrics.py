@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.cleaning import clean_prediction, match_text
-from scorelake.functions.numbers import rounded
+from scorelake.functions.numbers import bound, rounded
 
 METRICS: dict[str, Callable[..., Column]] = {}
 # The metric that each task type takes by default.
@@ -84,10 +84,11 @@ def exact_match_ci(prediction: Column, expected: Column, policy: dict | None = N
     if policy.get("multi_answer") in ("all", "set"):
         score = _many(prediction, expected, policy, form)
     else:
-        accepted = F.transform(candidates(expected, policy), form)
-        letter = option_letter(prediction)
-        rescued = F.exists(accepted, lambda c: c.rlike("^[a-z]$")) & (letter != "") & F.array_contains(accepted, form(letter))
-        score = one(F.array_contains(accepted, form(prediction)) | rescued)
+        def matched(accepted: Column) -> Column:
+            rescued = lambda letter: F.exists(accepted, lambda c: c.rlike("^[a-z]$")) & (letter != "") & F.array_contains(accepted, F.lower(letter))
+            return F.array_contains(accepted, form(prediction)) | bound(option_letter(prediction), rescued)
+
+        score = one(bound(F.transform(candidates(expected, policy), form), matched))
     return F.when(form(expected) == "", F.lit(0.0)).otherwise(score)
 
 
@@ -99,13 +100,12 @@ def _many(prediction: Column, expected: Column, policy: dict, form: Callable[[Co
     parts = F.array_distinct(F.when(letters, F.split(compact, "")).otherwise(F.transform(split_answers(prediction), form)))
     parts = F.filter(parts, lambda p: (p != "") | ~letters)
     aliases = policy.get("aliases") or {}
-    known = F.lit(False)
     hit = lambda r: F.array_contains(parts, r)
     if isinstance(aliases, dict) and aliases:
         pairs = [(form(F.lit(k)), F.transform(F.array(*[F.lit(str(v)) for v in (vs if isinstance(vs, list) else [vs])]), form)) for k, vs in aliases.items()]
 
         def hit(r: Column) -> Column:
-            return F.array_contains(parts, r) | (known if not pairs else _any([(r == k) & F.arrays_overlap(v, parts) for k, v in pairs]))
+            return F.array_contains(parts, r) | _any([(r == k) & F.arrays_overlap(v, parts) for k, v in pairs])
 
     matched = F.size(F.filter(required, hit))
     score = matched / F.size(required) if policy.get("partial_credit") else one(matched == F.size(required))
@@ -127,15 +127,14 @@ def contains(prediction: Column, expected: Column, policy: dict | None = None) -
     """Whether a candidate stands in the prediction as words of its own."""
     units = (policy or {}).get("strip_units", True)
     form = lambda x: match_text(x, units, remove_whitespace=False)
-    text = form(prediction)
 
-    def found(c: Column) -> Column:
+    def found_in(text: Column, c: Column) -> Column:
         quoted = F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
         ascii_ = F.rlike(text, F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
         cjk = F.rlike(text, F.concat(F.lit(r"(?<![㐀-鿿])"), quoted, F.lit(r"(?![㐀-鿿])")))
         return F.when(c == "", False).when(c.rlike("^[a-z0-9]+(?:[ _-][a-z0-9]+)*$"), ascii_).when(c.rlike(r"[㐀-鿿]"), cjk).otherwise(F.contains(text, c))
 
-    return F.when(match_text(expected, units) == "", F.lit(0.0)).otherwise(one(F.exists(F.transform(candidates(expected, policy), form), found)))
+    return F.when(match_text(expected, units) == "", F.lit(0.0)).otherwise(one(bound(form(prediction), lambda text: F.exists(F.transform(candidates(expected, policy), form), lambda c: found_in(text, c)))))
 
 
 def numbers(x: Column) -> Column:
@@ -178,7 +177,7 @@ def fuzzy_match(prediction: Column, expected: Column, policy: dict | None = None
 
 @register_metric("fuzzy_match_ci")
 def fuzzy_match_ci(prediction: Column, expected: Column, policy: dict | None = None, threshold: float = 0.8) -> Column:
-    return _fuzzy(match_text(prediction), F.transform(candidates(expected, policy), lambda c: match_text(c)), threshold)
+    return bound(match_text(prediction), lambda p: _fuzzy(p, F.transform(candidates(expected, policy), lambda c: match_text(c)), threshold))
 
 
 def judge_verdict(text: Column, yes: list[str], no: list[str]) -> Column:
@@ -209,7 +208,7 @@ def check_suite(suite: list[dict]) -> list[tuple[str, float]]:
 
 def guarded(score: Column) -> Column:
     """A score in [0, 1], else null."""
-    return F.when(~F.isnan(score) & score.between(0.0, 1.0), score)
+    return bound(score, lambda s: F.when(~F.isnan(s) & s.between(0.0, 1.0), s))
 
 
 def score_reason(metric: str, score: Column, cleaned: Column, expected: Column) -> Column:

@@ -1,12 +1,13 @@
 """Statistics of experiments and pairs: bootstrap, McNemar, Wilson, calibration and agreement.
 
 Row scores are first counted by value, so that a resample is one multinomial draw over the distinct values and costs
-the same for any number of rows; only that draw and two tail functions are Python, over one small frame per group.
+the same for any number of rows; only that draw and two tail functions are Python. Pairs are drawn in batches of many.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,11 @@ RESAMPLES, SEED = 2000, 42
 
 
 def resampled_means(values: np.ndarray, counts: np.ndarray, resamples: int, seed: list[int]) -> np.ndarray:
-    """Sorted means of resamples of rows that have these values and counts."""
-    n = int(counts.sum())
-    return np.sort(np.random.default_rng(seed).multinomial(n, counts / n, resamples) @ values / n)
+    """Sorted means of resamples of rows that have these values and counts: draws of few rows one by one, else of counts."""
+    n, rng = int(counts.sum()), np.random.default_rng(seed)
+    if n <= 4 * len(values):
+        return np.sort(np.repeat(values, counts)[rng.integers(0, n, (resamples, n))].sum(axis=1) / n)
+    return np.sort(rng.multinomial(n, counts / n, resamples) @ values / n)
 
 
 def bounds(means: np.ndarray, level: float = 0.95) -> tuple[float, float]:
@@ -44,22 +47,44 @@ def bootstrap_means(results: DataFrame, resamples: int = RESAMPLES, seed: int =
     return counts.groupBy("experiment_id").applyInPandas(draw, "experiment_id long, n long, mean double, ci_low double, ci_high double")
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """(a, b, n, diff, ci_low, ci_high, p_value): mean difference of paired scores, with a centred two-sided p."""
-    counts = pairs.groupBy("a", "b", (F.col("score_a") - F.col("score_b")).alias("diff")).agg(F.count("*").alias("n"))
+def pair_histograms(pairs: DataFrame) -> DataFrame:
+    """(a, b, diffs, only_a, only_b) of (a, b, score_a, score_b): the values of the difference with their counts, in
+    order, and how often only a, or only b, passes. Rows are counted by value first, so that a pair's list is short."""
+    a, b = F.col("score_a") >= 1, F.col("score_b") >= 1
+    counts = pairs.groupBy("a", "b", (F.col("score_a") - F.col("score_b")).alias("diff")).agg(F.count("*").alias("n"), F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"))
+    return counts.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("diff", "n"))).alias("diffs"), F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"))
 
-    def draw(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("diff")
-        values, n = frame["diff"].to_numpy(), frame["n"].to_numpy()
-        mean = float(values @ n / n.sum())
-        means = resampled_means(values, n, resamples, [seed, int(key[0]), int(key[1])])
-        low, high = bounds(means)
-        centred = means - mean
-        tails = (centred >= abs(mean) - 1e-12).sum(), (centred <= -abs(mean) + 1e-12).sum()
-        p = min(1.0, 2 * (min(tails) + 1) / (resamples + 1))
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "n": [int(n.sum())], "diff": [mean], "ci_low": [low], "ci_high": [high], "p_value": [p]})
 
-    return counts.groupBy("a", "b").applyInPandas(draw, "a long, b long, n long, diff double, ci_low double, ci_high double, p_value double")
+def centred_p(means: np.ndarray, mean: float) -> float:
+    """Two-sided p of a mean difference from its centred resamples: the smaller tail, with one added."""
+    centred = means - mean
+    tails = (centred >= abs(mean) - 1e-12).sum(), (centred <= -abs(mean) + 1e-12).sum()
+    return min(1.0, 2 * (min(tails) + 1) / (len(means) + 1))
+
+
+def _draws(resamples: int, seed: int):
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for a, b, diffs in zip(batch["a"], batch["b"], batch["diffs"], strict=True):
+                values, n = np.array([x["diff"] for x in diffs]), np.array([x["n"] for x in diffs])
+                mean = float(values @ n / n.sum())
+                means = resampled_means(values, n, resamples, [seed, int(a), int(b)])
+                rows.append((int(n.sum()), mean, *bounds(means), centred_p(means, mean)))
+            yield pd.concat([batch.drop(columns="diffs").reset_index(drop=True), pd.DataFrame(rows, columns=["n", "diff", "ci_low", "ci_high", "p_value"])], axis=1)
+
+    return draw
+
+
+def _bootstrapped(histograms: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """Histograms with the draws of many pairs per batch, dealt evenly over the tasks."""
+    parts = int(histograms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return histograms.repartition(parts, "a", "b").mapInPandas(_draws(resamples, seed), "a long, b long, only_a long, only_b long, n long, diff double, ci_low double, ci_high double, p_value double")
+
+
+def paired_bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """(a, b, n, diff, ci_low, ci_high, p_value): mean difference of paired scores, with a centred two-sided p."""
+    return _bootstrapped(pair_histograms(pairs), resamples, seed).drop("only_a", "only_b")
 
 
 def discordants(pairs: DataFrame) -> DataFrame:
@@ -108,7 +133,8 @@ def wilson(counts: DataFrame, z: float = 1.959963984540054) -> DataFrame:
 
 def significance(pairs: DataFrame) -> DataFrame:
     """Paired bootstrap and McNemar of each pair, with a verdict."""
-    out = paired_bootstrap(pairs).join(mcnemar_corrected(discordants(pairs)).withColumnRenamed("p_value", "mcnemar_p"), ["a", "b"])
+    drawn = _bootstrapped(pair_histograms(pairs), RESAMPLES, SEED).withColumnRenamed("p_value", "boot_p")
+    out = mcnemar_corrected(drawn).withColumnsRenamed({"p_value": "mcnemar_p", "boot_p": "p_value"})
     return out.withColumn("verdict", F.when((F.col("p_value") < 0.05) & (F.col("diff") > 0), "a better").when((F.col("p_value") < 0.05) & (F.col("diff") < 0), "b better").otherwise("no difference"))
 
 

@@ -105,7 +105,7 @@ def a14_bootstrap_intervals(s, d):
 
 
 def _pairs(s, d):
-    return A.paired(view(s, d, "eval_results"), A.cohort_pairs(view(s, d, "models")))
+    return A.cohort_paired(view(s, d, "eval_results"), view(s, d, "models"))
 
 
 def a15_paired_bootstrap(s, d):
@@ -134,7 +134,7 @@ def a19_pair_significance(s, d):
 
 
 def a21_failure_diff(s, d):
-    return A.failure_diff(view(s, d, "eval_results"), A.cohort_pairs(view(s, d, "models")))
+    return A.failure_diff(view(s, d, "eval_results"), view(s, d, "models"))
 
 
 def a22_model_routing(s, d):

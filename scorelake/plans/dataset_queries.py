@@ -53,7 +53,8 @@ def d10_empty_rows(s, d):
 
 
 def d12_dense_index(s, d):
-    return D.with_dense_index(raw(s, d, "orders").select("o_orderkey").distinct(), "o_orderkey").select("o_orderkey", F.col("idx").cast("long").alias("idx"))
+    orders = raw(s, d, "orders")
+    return D.with_dense_index(orders, "o_orderkey", "o_custkey", "o_totalprice").withColumn("idx", F.col("idx").cast("long"))
 
 
 def d13_appended_version(s, d):
@@ -215,7 +216,7 @@ ORACLE = {
     "d6_type_errors": oracle("SELECT idx, 'answer' AS field, 'type' AS code FROM src WHERE TRY_CAST(answer AS DOUBLE) IS NULL", src=ROWS),
     "d8_import_errors": oracle("SELECT field, idx, code, turn FROM (SELECT idx, 'category' AS field, 'required' AS code, 0 AS turn FROM src WHERE TRIM(category)='' UNION ALL SELECT idx, 'answer', 'type', 1 FROM src) ORDER BY turn, idx, field LIMIT 150", src=ROWS),
     "d10_empty_rows": oracle("SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (TRIM(question)='' AND TRIM(answer)='') AS n_empty FROM dataset_rows"),
-    "d12_dense_index": "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey)-1 AS idx FROM (SELECT DISTINCT o_orderkey FROM orders)",
+    "d12_dense_index": "SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey, o_custkey, o_totalprice)-1 AS idx FROM orders",
     "d13_appended_version": oracle("SELECT dataset_id, COUNT(*)+COUNT(*) FILTER (idx<10) AS n, MAX(idx)+1+MAX(idx) FILTER (idx<10) AS last_idx FROM (SELECT dataset_id, CAST(FLOOR(row_idx/4.0) AS BIGINT) AS idx FROM dataset_rows) GROUP BY 1"),
     "d14_active_version": oracle("SELECT dataset_id, CASE WHEN dataset_id=1 THEN MIN(dataset_version) ELSE MAX(dataset_version) END AS version FROM models GROUP BY 1"),
     "d15_content_hash": "SELECT SHA256(text) AS content_hash, COUNT(*) AS n, MIN(doc_id) AS first_id FROM documents GROUP BY 1",
