@@ -138,6 +138,21 @@ def top_models(board: DataFrame, top: int) -> DataFrame:
     return best.orderBy(F.desc("best_accuracy"), "model_id").limit(top)
 
 
+def accuracy_series(board: DataFrame, when: str = "created_at") -> DataFrame:
+    """(when, experiment_id, accuracy, running_accuracy) of all runs in time order within their model."""
+    so_far = Window.partitionBy("model_id").orderBy(when, "experiment_id")
+    return board.select("model_id", when, "experiment_id", "accuracy", rounded(F.avg("accuracy").over(so_far)).alias("running_accuracy"))
+
+
+def running_spend(costs: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(organization_id, day, day_cost, spent, budget, exhausted): what has been spent in the month up to each day."""
+    day = F.col("created_at").cast("date")
+    daily = costs.groupBy("organization_id", day.alias("day")).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("day_cost"))
+    so_far = Window.partitionBy("organization_id", F.trunc("day", "month")).orderBy("day")
+    out = daily.join(budgets, "organization_id", "left").withColumn("spent", rounded(F.sum("day_cost").over(so_far)))
+    return out.withColumns({"day_cost": rounded(F.col("day_cost")), "exhausted": F.coalesce(F.col("spent") >= F.col("budget"), F.lit(False))})
+
+
 def monthly_budget(costs: DataFrame, budgets: DataFrame) -> DataFrame:
     """Month-to-date cost of each organization against its budget; null costs are counted as unknown.
 
@@ -161,6 +176,56 @@ def report_facts(results: DataFrame, summaries: DataFrame, first: int = 5) -> Da
     return summaries.select("experiment_id", "accuracy", "total_cost", "rows_total").join(counts, "experiment_id", "left").join(shown, "experiment_id", "left").withColumn("failure_count", F.coalesce("failure_count", F.lit(0)))
 
 
+def report_totals(facts: DataFrame) -> DataFrame:
+    """One row over report facts: counts, totals, and the best, cheapest and most failing runs; ties go to the first id.
+    facts: report_facts with name, total_tokens and runtime_ms."""
+    lead = lambda order: F.min_by(F.struct("experiment_id", "name", "model", "accuracy", "total_cost", "failure_count"), F.struct(*order, "experiment_id"))
+    rated, priced = F.col("accuracy").isNotNull(), F.col("total_cost").isNotNull()
+    return facts.agg(
+        F.count("*").alias("n"), rounded(F.sum("total_cost")).alias("cost"), F.sum("total_tokens").alias("tokens"), F.sum("failure_count").alias("failures"),
+        F.min_by(F.when(rated, F.struct("experiment_id", "name", "model", "accuracy")), F.struct((~rated).alias("x"), -F.col("accuracy"), "experiment_id")).alias("best"),
+        F.min_by(F.when(priced, F.struct("experiment_id", "name", "model", "total_cost")), F.struct((~priced).alias("x"), "total_cost", "experiment_id")).alias("cheapest"),
+        lead([-F.col("failure_count")]).alias("most_failing"),
+    )
+
+
+def markdown_report(facts: DataFrame) -> DataFrame:
+    """(section, title, body) of a report in six sections. One line per run is sorted and joined: a report is read by
+    people, and its runs are as many as they want to read; rows of results never come here."""
+    number = lambda c, digits=2: F.format_number(c, digits)
+    percent = lambda c: F.concat(number(c * 100, 1), F.lit(" %"))
+    joined = lambda line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("experiment_id", line.alias("t")))), lambda x: x["t"]), "\n")
+    named = F.concat(F.col("name"), F.lit(" ("), F.col("model"), F.lit(")"))
+    table = F.concat(F.lit("| "), F.concat_ws(" | ", "name", "model", percent(F.col("accuracy")), percent(F.col("coverage")), percent(F.col("failure_rate")), number(F.col("avg_latency_ms")), F.col("rows_scored").cast("string"), F.col("rows_failed").cast("string")), F.lit(" |"))
+    price = F.concat(F.lit("- "), F.col("name"), F.lit(": $"), number(F.col("total_cost")), F.lit(", "), F.col("total_tokens").cast("string"), F.lit(" tokens"))
+    failed = F.when(F.col("failure_count") > 0, F.concat(F.lit("- "), named, F.lit(": "), F.col("failure_count").cast("string"), F.lit(" rows, the first "), F.coalesce("first_failures", F.lit("unknown"))))
+    lines = facts.agg(joined(table).alias("table"), joined(price).alias("prices"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(failed.isNotNull(), F.struct("experiment_id", failed.alias("t"))))), lambda x: x["t"]), "\n").alias("fails"))
+    one = report_totals(facts).crossJoin(lines)  # one row each
+    run = lambda c: F.concat(F.col(f"{c}.name"), F.lit(" ("), F.col(f"{c}.model"), F.lit(")"))
+    head = "| run | model | accuracy | coverage | failures | latency ms | scored | failed |\n|---|---|---|---|---|---|---|---|\n"
+    spent = F.concat(F.lit("Total cost $"), number(F.col("cost")), F.lit(", "), F.col("tokens").cast("string"), F.lit(" tokens."))
+    best = F.when(F.col("best").isNotNull(), F.concat(F.lit("\nBest accuracy: "), run("best"), F.lit(", "), percent(F.col("best.accuracy")), F.lit(".")))
+    cheap = F.when(F.col("cheapest").isNotNull(), F.concat(F.lit("\nCheapest: "), run("cheapest"), F.lit(", $"), number(F.col("cheapest.total_cost")), F.lit(".")))
+    advice = F.concat_ws("\n", F.when(F.col("best").isNotNull(), F.concat(F.lit("Use "), run("best"), F.lit(" where accuracy counts."))), F.when(F.col("cheapest.experiment_id") != F.col("best.experiment_id"), F.concat(F.lit("Consider "), run("cheapest"), F.lit(" where cost counts."))), F.when(F.col("most_failing.failure_count") > 0, F.concat(F.lit("Look into "), run("most_failing"), F.lit(": it has the most failed rows."))))
+    none = F.coalesce
+    sections = [
+        ("Summary", F.concat(F.col("n").cast("string"), F.lit(" runs. "), spent, none(best, F.lit("")), F.when(F.col("failures") > 0, F.concat(F.lit("\nFailed rows: "), F.col("failures").cast("string"), F.lit("."))).otherwise(""))),
+        ("Performance", F.concat(F.lit(head), F.col("table"))),
+        ("Cost", F.concat(spent, none(cheap, F.lit("")), F.lit("\n"), F.col("prices"))),
+        ("Failures", F.when(F.col("fails") != "", F.col("fails")).otherwise("No failed rows were found.")),
+        ("Recommendations", F.when(advice != "", advice).otherwise("Run again on a larger dataset.")),
+        ("Next steps", F.lit("1. Read performance and failures run by run.\n2. Mend prompts or data of the runs that fail most.\n3. Build this report again.")),
+    ]
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("section"), F.lit(title).alias("title"), body.alias("body")) for i, (title, body) in enumerate(sections)])
+    return one.select(F.explode(rows).alias("s")).select("s.*")
+
+
+def report_markdown(sections: DataFrame) -> DataFrame:
+    """(markdown): the sections of one report as one text."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("section", "title", "body"))), lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n\n"), x["body"]))
+    return sections.agg(F.concat(F.lit("# Evaluation report\n\n"), F.array_join(parts, "\n\n")).alias("markdown"))
+
+
 def result_matrix(board: DataFrame, datasets: list[int]) -> DataFrame:
     """Best accuracy of each model on each dataset, one column per dataset."""
     wide = board.groupBy("model_id").pivot("dataset_id", datasets).agg(F.max("accuracy"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelake.sources.storage import stored
@@ -47,8 +49,9 @@ def infer_contract(columns: list[str], given: dict | None = None) -> dict:
 
 
 def missing_required(rows: DataFrame, required: list[str]) -> DataFrame:
-    """(idx, field, code) of each required field that is blank."""
-    errors = F.array_compact(F.array(*[F.when(is_blank(F.get_json_object("input", f"$.{c}")), F.lit(c)) for c in required]))
+    """(idx, field, code) of each required field that is blank, both in the row and in its nested `expected`."""
+    blank = lambda c: is_blank(F.get_json_object("input", f"$.{c}")) & is_blank(F.get_json_object("input", f"$.expected.{c}"))
+    errors = F.array_compact(F.array(*[F.when(blank(c), F.lit(c)) for c in required]))
     return rows.select("idx", F.explode(errors).alias("field"), F.lit("required").alias("code"))
 
 
@@ -76,11 +79,15 @@ def type_errors(rows: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def chat_errors(chats: DataFrame) -> DataFrame:
-    """(idx, field, code) where `messages` is no list of {role, content} with a known role and a text."""
-    messages = F.from_json(F.get_json_object("input", "$.messages"), "array<struct<role:string,content:string>>")
-    there = F.get_json_object("input", "$.messages").isNotNull()
+    """(idx, field, code) where `messages` is no list of {role, content} with a known role and a text, or `examples` no
+    list of texts and objects."""
+    given, shots = F.get_json_object("input", "$.messages"), F.get_json_object("input", "$.examples")
+    messages = F.from_json(given, "array<struct<role:string,content:string>>")
     bad = messages.isNull() | F.exists(messages, lambda m: m.isNull() | ~F.coalesce(m["role"].isin("system", "user", "assistant"), F.lit(False)) | m["content"].isNull())
-    return chats.where(there & bad).select("idx", F.lit("messages").alias("field"), F.lit("chat").alias("code"))
+    kinds = F.from_json(shots, "array<variant>")
+    odd = kinds.isNull() | F.exists(kinds, lambda x: ~F.coalesce(F.schema_of_variant(x).rlike("^(STRING|OBJECT)"), F.lit(False)))
+    found = F.array_compact(F.array(F.when(given.isNotNull() & bad, "messages"), F.when(shots.isNotNull() & odd, "examples")))
+    return chats.select("idx", F.explode(found).alias("field"), F.lit("chat").alias("code"))
 
 
 def import_errors(rows: DataFrame, contract: dict, limit: int = 100) -> DataFrame:
@@ -89,11 +96,53 @@ def import_errors(rows: DataFrame, contract: dict, limit: int = 100) -> DataFram
     return found.orderBy("turn", "idx", "field").limit(limit)
 
 
-def split_roles(rows: DataFrame, contract: dict) -> DataFrame:
-    """(idx, input, expected): input and expected as JSON objects of their columns."""
+def split_roles(rows: DataFrame, contract: dict | None = None) -> DataFrame:
+    """(idx, input, expected) as JSON objects. By a contract: its input and metadata columns, and its expected ones. Without
+    one: an object under `expected` is taken out whole; else the first known answer key is; else nothing is expected."""
+    value = lambda c: F.get_json_object("input", f"$.{c}")
+    if contract is not None:
+        part = lambda names: F.to_json(F.struct(*[value(c).alias(c) for c in names])) if names else F.lit(None).cast("string")
+        return rows.select("idx", part([*contract["input"], *contract["metadata"]]).alias("input"), part(contract["expected"]).alias("expected"))
+    keys = F.json_object_keys("input")
+    whole = F.from_json("input", "map<string,string>")
+    explicit = F.coalesce(value("expected").startswith("{"), F.lit(False))
+    known = F.get(F.filter(F.array(*map(F.lit, EXPECTED_NAMES)), lambda k: F.array_contains(keys, k)), F.lit(0))
+    taken = F.when(explicit, F.lit("expected")).otherwise(known)
+    rest = F.to_json(F.map_filter(whole, lambda k, v: ~k.eqNullSafe(taken)))
+    expected = F.when(explicit, value("expected")).when(known.isNotNull(), F.to_json(F.map_filter(whole, lambda k, v: k == known)))
+    return rows.select("idx", rest.alias("input"), expected.alias("expected"))
+
+
+def empty_rows(rows: DataFrame, required: list[str]) -> DataFrame:
+    """(n_rows, n_empty, n_missing): rows, those with all their fields blank, and those with a blank required field."""
+    values = F.map_values(F.from_json("input", "map<string,string>"))
+    missing = F.exists(F.array(*[F.get_json_object("input", f"$.{c}") for c in required]), is_blank) if required else F.lit(False)
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(F.forall(F.coalesce(values, F.array().cast("array<string>")), is_blank)).alias("n_empty"), F.count_if(missing).alias("n_missing"))
+
+
+# Names of columns that may hold personal data, and of columns that may hold the answer.
+SENSITIVE_NAME = "(?i)(手机|电话|phone|mobile|邮箱|email|身份证|idcard|id_card|订单|order|地址|address|姓名|name|银行卡|bank)"
+ANSWER_NAME = "(?i)(答案|回复|结论|result|output|target|label|标签|类别|ground|expected)"
+# Parts of an answer column's name that tell the task, and the mean length from which it is free text.
+TASK_WORDS = {"classification": ["label", "标签", "类别", "分类"], "coding": ["prompt", "代码", "code"]}
+LONG_ANSWER = 40
+
+
+def suggested_contract(rows: DataFrame, columns: list[str], head: int = 100) -> dict:
+    """Guesses from the names and from the first rows: answer and sensitive columns, chat rows, task type, several answers.
+    Only one row of sums comes to the driver."""
+    low = {c.lower(): c for c in columns}
+    answers = list(dict.fromkeys([*(low[k] for k in EXPECTED_NAMES if k in low), *(c for c in columns if re.search(ANSWER_NAME, c))]))
     value = lambda c: F.get_json_object("input", f"$.{c}")
-    part = lambda names: F.to_json(F.struct(*[value(c).alias(c) for c in names])) if names else F.lit(None).cast("string")
-    return rows.select("idx", part([*contract["input"], *contract["metadata"]]).alias("input"), part(contract["expected"]).alias("expected"))
+    listed = lambda c: F.coalesce(value(c).startswith("["), F.lit(False))
+    first = rows.orderBy("idx").limit(head)
+    length = F.avg(F.when(F.coalesce(value(answers[0]), F.lit("")) != "", F.length(value(answers[0])))) if answers else F.lit(None)
+    said = first.agg(F.count_if(listed("messages")).alias("chats"), length.alias("length"), *[F.count_if(listed(c)).alias(f"many{i}") for i, c in enumerate(answers)]).first()
+    task = "qa"
+    if answers:
+        named = next((t for t, words in TASK_WORDS.items() if any(w in answers[0].lower() for w in words)), None)
+        task = named or ("generation" if (said["length"] or 0) > LONG_ANSWER else "qa")
+    return {"answer_candidates": answers, "sensitive_candidates": [c for c in columns if re.search(SENSITIVE_NAME, c)], "structured_chat": said["chats"] > 0, "task_type": task, "multi_answer": any(said[f"many{i}"] for i in range(len(answers)))}
 
 
 def with_dense_index(rows: DataFrame, *order: str) -> DataFrame:
@@ -116,14 +165,32 @@ def appended_version(rows: DataFrame, dataset: str, new: DataFrame) -> DataFrame
     return rows.unionByName(moved)
 
 
+def replaced_version(rows: DataFrame, dataset: str, new: DataFrame) -> DataFrame:
+    """A version in which the datasets that new has are its rows alone, and all others keep theirs."""
+    return rows.join(new.select(dataset).distinct(), dataset, "left_anti").select(*rows.columns).unionByName(new.select(*rows.columns))
+
+
+def content_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content_hash): SHA-256 of the bytes of each file."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"))
+
+
+def new_imports(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """wanted (project_id, idempotency_key, content_hash) without those whose key the project has used, with same_as: the
+    first done import of the project with equal content, or null."""
+    fresh = wanted.dropDuplicates(["project_id", "idempotency_key"]).join(done, ["project_id", "idempotency_key"], "left_anti")
+    same = done.groupBy("project_id", "content_hash").agg(F.min("import_id").alias("same_as"))
+    return fresh.join(same, ["project_id", "content_hash"], "left")
+
+
 def active_version(versions: DataFrame, chosen: DataFrame) -> DataFrame:
     """The chosen version of each dataset, else the latest."""
     latest = versions.groupBy("dataset_id").agg(F.max("version").alias("latest"))
     return latest.join(chosen, "dataset_id", "left").select("dataset_id", F.coalesce("chosen", "latest").alias("version"))
 
 
-def row_signals(scored: DataFrame) -> DataFrame:
-    """(code, n_rows, first_row) of what looks wrong in a dry run."""
+def row_signals(scored: DataFrame, listed: int = 100) -> DataFrame:
+    """(code, n_rows, first_row, rows) of what looks wrong in a dry run; rows: the first `listed` row numbers of a code."""
     clean, raw = F.coalesce("cleaned", F.lit("")), F.coalesce("output", F.lit(""))
     codes = F.array_compact(F.array(
         F.when(is_blank(F.col("expected")), "no_expected"),
@@ -132,7 +199,11 @@ def row_signals(scored: DataFrame) -> DataFrame:
         F.when(raw.rlike("[,，]") & ~clean.rlike("[,，]"), "comma_truncated"),
         F.when(F.coalesce("error", F.lit("")) != "", "row_error"),
     ))
-    return scored.select("row_idx", F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n_rows"), F.min("row_idx").alias("first_row"))
+    found = scored.select("row_idx", F.explode(codes).alias("code"))
+    counts = found.groupBy("code").agg(F.count("*").alias("n_rows"), F.min("row_idx").alias("first_row"))
+    # the window keeps `listed` rows of a code in each task before the shuffle
+    first = found.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("row_idx"))).where(F.col("place") <= listed)
+    return counts.join(first.groupBy("code").agg(F.array_sort(F.collect_list("row_idx")).alias("rows")), "code")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, per_stratum: int, seed: int = 42) -> DataFrame:

@@ -13,10 +13,10 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 MARK = "[REDACTED]"
 
 
-def dangling(child: DataFrame, column: str, parent: DataFrame, key: str, name: str) -> DataFrame:
-    """(check, n): child rows whose reference is set but has no parent."""
+def dangling(child: DataFrame, column: str, parent: DataFrame, key: str, name: str, nulls: bool = False) -> DataFrame:
+    """(check, n): child rows whose reference is set but has no parent; with nulls, also those where it is not set."""
     ids = parent.select(F.col(key).alias(column)).distinct()
-    lost = child.where(F.col(column).isNotNull()).select(column).join(ids, column, "left_anti")
+    lost = (child if nulls else child.where(F.col(column).isNotNull())).select(column).join(ids, column, "left_anti")
     return lost.agg(F.lit(name).alias("check"), F.count("*").alias("n"))
 
 
@@ -43,10 +43,36 @@ def model_survivors(models: DataFrame, used: DataFrame) -> DataFrame:
     return flagged.select("id", F.first("id").over(order).alias("survivor"))
 
 
+def repointed(experiments: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Experiments whose model_id is the survivor of its model; ids without one stay."""
+    moved = experiments.join(survivors.select(F.col("id").alias("model_id"), "survivor"), "model_id", "left")
+    return moved.withColumn("model_id", F.coalesce("survivor", "model_id")).select(*experiments.columns)
+
+
+def bound_versions(experiments: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Experiments without a dataset version take the current one of their dataset."""
+    now = datasets.select("dataset_id", F.col("version").alias("_current"))
+    return experiments.join(now, "dataset_id", "left").withColumn("dataset_version", F.coalesce("dataset_version", "_current")).select(*experiments.columns)
+
+
+def renamed_providers(models: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Models with legacy provider names replaced."""
+    return models.replace(names, subset=["provider"])
+
+
 def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+# What the status and format columns may hold.
+ALLOWED = {"format": ["csv", "tsv", "json", "jsonl", "xlsx"], "status": ["draft", "queued", "running", "completed", "partial", "failed", "cancelled"], "task_status": ["queued", "running", "succeeded", "failed", "cancelled"]}
+
+
+def invalid_values(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """(value, n) of what the column may not hold; nulls count as invalid."""
+    return rows.where(~F.coalesce(F.col(column).isin(allowed), F.lit(False))).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
 def redacted(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, EMAIL, MARK), PHONE, MARK)
 
@@ -87,9 +113,25 @@ def bounded_error(text: Column, limit: int = 500) -> Column:
     return F.substring(text, 1, limit)
 
 
-def longest_streaks(rows: DataFrame, flag: Column, limit: int = 10) -> DataFrame:
-    """Longest run of flagged rows of each experiment, by gaps and islands."""
-    by = Window.partitionBy("experiment_id").orderBy("row_idx")
-    marked = rows.select("experiment_id", "row_idx", flag.alias("f")).withColumn("island", F.sum(F.when(F.col("f"), 0).otherwise(1)).over(by))
-    runs = marked.where("f").groupBy("experiment_id", "island").agg(F.count("*").alias("run"))
+#: Row numbers of a block: no task orders more rows of one experiment.
+BLOCK = 1 << 20
+
+
+def longest_streaks(rows: DataFrame, flag: Column, limit: int = 10, block: int = BLOCK) -> DataFrame:
+    """Longest run of flagged rows of each experiment, by gaps and islands within blocks of row numbers; islands that
+    reach the edges of their blocks are put together over the blocks."""
+    by = Window.partitionBy("experiment_id", "block").orderBy("row_idx")
+    marked = rows.select("experiment_id", "row_idx", F.floor(F.col("row_idx") / block).alias("block"), flag.alias("f")).withColumn("island", F.sum(F.when(F.col("f"), 0).otherwise(1)).over(by))
+    last = marked.groupBy("experiment_id", "block").agg(F.max("island").alias("last"))
+    islands = marked.where("f").groupBy("experiment_id", "block", "island").agg(F.count("*").alias("run"))
+    ends = islands.join(last, ["experiment_id", "block"], "right")
+    # of each block: its first and last runs and whether it is one run; few rows per experiment
+    edges = ends.groupBy("experiment_id", "block").agg(F.coalesce(F.max(F.when(F.col("island") == 0, F.col("run"))), F.lit(0)).alias("head"), F.coalesce(F.max(F.when(F.col("island") == F.col("last"), F.col("run"))), F.lit(0)).alias("tail"), (F.max("last") == 0).alias("whole"))
+    order = Window.partitionBy("experiment_id").orderBy("block")
+    grouped = edges.withColumn("group", F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(order))
+    # a chain: the tail of a broken block, the whole blocks after it, and the head of the next broken one
+    tails = grouped.select("experiment_id", "group", F.when(F.col("whole"), F.col("head")).otherwise(F.col("tail")).alias("part"))
+    heads = grouped.where("NOT whole").select("experiment_id", (F.col("group") - 1).alias("group"), F.col("head").alias("part"))
+    chains = tails.unionByName(heads).groupBy("experiment_id", "group").agg(F.sum("part").alias("run"))
+    runs = islands.select("experiment_id", "run").unionByName(chains.select("experiment_id", "run")).where("run > 0")
     return runs.groupBy("experiment_id").agg(F.max("run").alias("longest")).withColumn("tripped", F.col("longest") >= limit)

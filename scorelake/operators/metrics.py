@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.cleaning import clean_prediction, match_text
+from scorelake.functions.cleaning import clean_prediction, match_text, stripped
 from scorelake.functions.numbers import bound, rounded
 
 METRICS: dict[str, Callable[..., Column]] = {}
@@ -187,8 +187,29 @@ def judge_verdict(text: Column, yes: list[str], no: list[str]) -> Column:
 
 
 def judge_key(prediction: Column, expected: Column, model: Column, provider: Column, kind: Column) -> Column:
-    """The key under which equal judge calls are made once."""
-    return F.substring(F.sha2(F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("")) for c in (prediction, expected, model, provider, kind)]), 256), 1, 32)
+    """The key under which equal judge calls are made once; blanks at the edges do not matter, and no kind is qa."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    parts = [stripped(text(prediction)), stripped(text(expected)), text(model), text(provider), F.coalesce(kind.cast("string"), F.lit("qa"))]
+    return F.substring(F.sha2(F.concat_ws("|||", *parts), 256), 1, 32)
+
+
+def canonical_expected(expected: Column) -> Column:
+    """The answer that an expected JSON object states. Objects of texts and whole numbers stay in the engine; nested and
+    other ones are handed to a helper, which sees nothing of the rest."""
+    from scorelake.functions.vectorized import ANSWER_KEYS, nested_answers
+
+    text = r'"(?:[^"\\]|\\.)*"'
+    flat = expected.rlike(rf"^\s*\{{\s*(?:{text}\s*:\s*(?:{text}|-?\d+|null)\s*(?:,\s*|(?=\}})))*\}}\s*$")
+    value = lambda c: F.nullif(stripped(c), F.lit(""))
+    known = [value(F.get_json_object(expected, f"$.{k}")) for k in ANSWER_KEYS]
+    first = value(F.get(F.map_values(F.from_json(expected, "map<string,string>")), F.lit(0)))
+    return F.coalesce(F.when(flat, F.coalesce(*known, first)), nested_answers(F.when(~flat, expected)), F.lit(""))
+
+
+def test_pass_rate(rows: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with pass_rate, the share of a row's test outcomes (keys, passed) that passed; 0 without any."""
+    rates = outcomes.groupBy(*keys).agg(rounded(F.avg(F.coalesce(F.col("passed"), F.lit(False)).cast("double"))).alias("pass_rate"))
+    return rows.join(rates, keys, "left").withColumn("pass_rate", F.coalesce("pass_rate", F.lit(0.0)))
 
 
 def check_suite(suite: list[dict]) -> list[tuple[str, float]]:
@@ -211,10 +232,24 @@ def guarded(score: Column) -> Column:
     return bound(score, lambda s: F.when(~F.isnan(s) & s.between(0.0, 1.0), s))
 
 
-def score_reason(metric: str, score: Column, cleaned: Column, expected: Column) -> Column:
+def quoted(x: Column) -> Column:
+    """A text in quotes: single ones, or double ones where it holds a single but no double one."""
+    body = F.replace(F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    single, double = x.contains("'"), x.contains('"')
+    return F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def score_reason(metric: str, score: Column, cleaned: Column, expected: Column, components: dict[str, Column] | None = None) -> Column:
+    """Why a row has its score. components: the metric scores of a weighted suite, by name."""
     # The wording of a reason.
     details = {"contains": "expected substring matched as a standalone text span", "agent": "expected substring matched as a standalone text span", "numeric_match": "first numeric values matched within tolerance", "fuzzy_match": "normalized Levenshtein similarity met the configured threshold", "fuzzy_match_ci": "normalized Levenshtein similarity met the configured threshold", "llm_judge": "LLM judge classified the prediction as semantically equivalent"}
-    detail = F.lit(details[metric]) if metric in details else F.when(cleaned == expected, "cleaned prediction equals expected canonical answer").otherwise(F.concat(F.lit("cleaned prediction '"), cleaned, F.lit("' vs expected '"), expected, F.lit("'")))
+    if components:
+        parts = [F.concat(F.lit(f"{name}="), F.format_string("%.4f", value)) for name, value in components.items()]
+        detail = F.concat(F.lit("weighted metric components: "), F.concat_ws(", ", *parts))
+    elif metric in details:
+        detail = F.lit(details[metric])
+    else:
+        detail = F.when(cleaned == expected, "cleaned prediction equals expected canonical answer").otherwise(F.concat(F.lit("cleaned prediction "), quoted(cleaned), F.lit(" vs expected "), quoted(expected)))
     return F.concat(F.lit(f"{metric}: "), F.when(score >= 1.0, "matched").otherwise("did not match"), F.lit("; "), detail)
 
 
@@ -251,6 +286,14 @@ def f1_token(prediction: Column, expected: Column, policy: dict | None = None) -
     return F.coalesce(F.array_max(F.transform(candidates(expected, policy), f1)), F.lit(0.0))
 
 
+@register_metric("tool_call")
+def tool_call(prediction: Column, expected: Column, policy: dict | None = None, expected_json: Column | None = None) -> Column:
+    """1, 0.5 or 0: whether the output calls the expected tool with the argument keys of expected_json."""
+    from scorelake.functions.vectorized import tool_scores
+
+    return tool_scores(prediction, expected, F.lit(None).cast("string") if expected_json is None else expected_json)
+
+
 @register_metric("semantic_similarity")
 def _semantic_similarity(prediction: Column, expected: Column, policy: dict | None = None) -> Column:
     from scorelake.functions.vectorized import semantic_similarity

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import rounded
 
+#: Models that are broadcast at most.
+FEW = 10_000
 #: {name}, {a.b} or {items.0}; doubled braces are literal.
 VARIABLE = r"\{([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*)\}"
 
@@ -71,8 +73,13 @@ def row_cost(prompt_tokens: Column, completion_tokens: Column, input_per_1k: Col
 
 
 def fan_out(models: DataFrame, plan: DataFrame) -> DataFrame:
-    """One experiment for each model and planned (dataset, benchmark, prompt)."""
-    return plan.crossJoin(F.broadcast(models))
+    """One experiment for each model and planned (dataset, benchmark, prompt). Up to FEW models are broadcast; with more,
+    both sides are dealt by a number, so that each task joins a share of the models."""
+    if models.limit(FEW + 1).count() <= FEW:
+        return plan.crossJoin(F.broadcast(models))
+    shares = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = models.withColumn("_share", F.pmod(F.xxhash64(*models.columns), F.lit(shares)))
+    return plan.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long")).join(dealt, "_share").drop("_share")
 
 
 def cost_unknown(models: DataFrame, pricing: str = "pricing") -> DataFrame:
@@ -87,3 +94,46 @@ def few_shot(examples: Column) -> Column:
     pick = lambda x, keys: F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in keys])
     one = lambda x: F.when(x.startswith("{"), F.concat(F.lit("Q: "), F.coalesce(pick(x, ["question", "input", "prompt", "text"]), F.lit("")), F.lit("\nA: "), F.coalesce(pick(x, ["answer", "expected", "output", "label"]), F.lit("")))).otherwise(x)
     return F.array_join(F.transform(F.from_json(examples, "array<string>"), one), "\n\n")
+
+
+def path_missing(name: str, source: Column) -> Column:
+    """Whether a JSON row lacks a nested path; a null at its end counts as there."""
+    *above, last = name.split(".")
+    parent = F.get_json_object(source, json_path(".".join(above)))
+    inside = F.array_contains(F.coalesce(F.json_object_keys(parent), F.array().cast("array<string>")), last)
+    return F.get_json_object(source, json_path(name)).isNull() & ~F.coalesce(inside, F.lit(False))
+
+
+def rendered_or_dumped(template: str, source: Column) -> Column:
+    """The rendered template; where a nested variable is missing, the template as it stands and the row's fields, one
+    `key: value` line each. Missing plain variables are empty."""
+    nested = [path_missing(v, source) for v in variables(template) if "." in v]
+    if not nested:
+        return rendered(template, source)
+    lines = F.transform(F.map_entries(F.from_json(source, "map<string,string>")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None"))))
+    missing = nested[0]
+    for m in nested[1:]:
+        missing = missing | m
+    return F.when(missing, F.concat(F.lit(template + "\n\n"), F.array_join(lines, "\n"))).otherwise(rendered(template, source))
+
+
+def message_chain(template: str, source: Column) -> Column:
+    """(messages, error) of a structured row: its `messages` as history, then a user turn of its examples and the rendered
+    prompt. A message of unknown role or without a text is an error, and so are messages or examples that are no list."""
+    history = F.from_json(F.get_json_object(source, "$.messages"), "array<struct<role:string,content:string>>")
+    given, shots = F.get_json_object(source, "$.messages"), F.get_json_object(source, "$.examples")
+    bad = F.exists(history, lambda m: m.isNull() | ~F.coalesce(m["role"].isin("system", "user", "assistant"), F.lit(False)) | m["content"].isNull())
+    error = F.when(given.isNotNull() & ~F.coalesce(given.startswith("["), F.lit(False)), "messages must be a list").when(F.coalesce(bad, F.lit(False)), "a message needs a known role and a text").when(shots.isNotNull() & ~F.coalesce(shots.startswith("["), F.lit(False)), "examples must be a list")
+    prompt = rendered_or_dumped(template, source)
+    last = F.when(F.coalesce(few_shot(shots), F.lit("")) != "", F.trim(F.concat(few_shot(shots), F.lit("\n\n"), prompt))).otherwise(prompt)
+    turn = F.array(F.struct(F.lit("user").alias("role"), last.alias("content")))
+    chain = F.concat(F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), turn)
+    return F.struct(F.when(error.isNull(), chain).alias("messages"), error.alias("error"))
+
+
+def price_catalog(models: DataFrame, free_ids: list[str] = ()) -> DataFrame:
+    """models (model_id, name, prompt_price, completion_price per token) with prices per thousand tokens and a flag for
+    free ones, by the ending `:free` or by name, in order of name."""
+    per_1k = lambda c: rounded(F.col(c).try_cast("double") * 1000, 9)
+    free = F.col("model_id").endswith(":free") | F.col("model_id").isin(list(free_ids))
+    return models.select("model_id", "name", per_1k("prompt_price").alias("input_per_1k"), per_1k("completion_price").alias("output_per_1k"), free.alias("free")).orderBy("name", "model_id")

@@ -44,9 +44,9 @@ def run_summary(results: DataFrame, planned: DataFrame | None = None) -> DataFra
     })
 
 
-def with_status(summary: DataFrame, streak: int = 10) -> DataFrame:
-    """failed if rate limits stopped the run, partial if any row failed, else completed."""
-    return summary.withColumn("status", F.when(F.col("rate_limited") >= streak, "failed").when(F.col("rows_failed") > 0, "partial").otherwise("completed"))
+def with_status(summary: DataFrame) -> DataFrame:
+    """failed if any row was refused for rate limits, partial if any row failed otherwise, else completed."""
+    return summary.withColumn("status", F.when(F.col("rate_limited") > 0, "failed").when(F.col("rows_failed") > 0, "partial").otherwise("completed"))
 
 
 def metric_means(scores: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def _board_sql(sql: str, **more: str) -> str:
     return oracle(sql, summary=SUMMARY, board=BOARD, **more)
 
 
-STATUS = "CASE WHEN rate_limited>=10 THEN 'failed' WHEN rows_failed>0 THEN 'partial' ELSE 'completed' END"
+STATUS = "CASE WHEN rate_limited>0 THEN 'failed' WHEN rows_failed>0 THEN 'partial' ELSE 'completed' END"
 ORACLE = {
     "a1_run_summary": oracle(SUMMARY),
     "a2_run_status": oracle(f"SELECT experiment_id, rate_limited, rows_failed, {STATUS} AS status FROM summary", summary=SUMMARY),

@@ -48,8 +48,7 @@ def d8_import_errors(s, d):
 
 
 def d10_empty_rows(s, d):
-    blank = F.forall(F.array("question", "answer"), lambda x: D.is_blank(x))
-    return view(s, d, "dataset_rows").agg(F.count("*").alias("n_rows"), F.count_if(blank).alias("n_empty"))
+    return D.empty_rows(_rows(s, d), ["category"])
 
 
 def d12_dense_index(s, d):
@@ -70,13 +69,15 @@ def d14_active_version(s, d):
 
 
 def d15_content_hash(s, d):
-    return raw(s, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    done = raw(s, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("import_id"), (F.col("doc_id") % 2).alias("project_id"), F.col("source").alias("idempotency_key"), F.sha2("text", 256).alias("content_hash"))
+    wanted = raw(s, d, "documents").select((F.col("doc_id") % 2).alias("project_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("k"), F.col("doc_id"))).otherwise(F.col("source")).alias("idempotency_key"), F.sha2("text", 256).alias("content_hash"))
+    return D.new_imports(wanted, done)
 
 
 def d17_row_signals(s, d):
     from scorelake.functions.cleaning import clean_prediction
 
-    return D.row_signals(view(s, d, "answer_pairs").withColumn("cleaned", clean_prediction(F.col("output"))).withColumn("error", F.lit("")))
+    return D.row_signals(view(s, d, "answer_pairs").withColumn("cleaned", clean_prediction(F.col("output"))).withColumn("error", F.lit(""))).select("code", "n_rows", "first_row")
 
 
 def d19_stratified_sample(s, d):
@@ -118,7 +119,9 @@ def p10_row_cost(s, d):
 
 
 def p12_price_catalog(s, d):
-    return raw(s, d, "supplier").select("s_suppkey", rounded((F.col("s_suppkey") % 100) / 1e6 * 1000, 9).alias("input_per_1k"), (F.col("s_suppkey") % 10 == 0).alias("free"))
+    price = lambda k: ((F.col("s_suppkey") % k) / 1e6).cast("string")
+    models = raw(s, d, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 10 == 0, ":free").otherwise("")).alias("model_id"), F.col("s_name").alias("name"), price(100).alias("prompt_price"), price(7).alias("completion_price"))
+    return P.price_catalog(models, ["m7"])
 
 
 def p13_fan_out(s, d):
@@ -182,8 +185,8 @@ def g12_seed_defaults(s, d):
 
 
 def g13_provider_names(s, d):
-    legacy = F.when(F.col("n_name").isin("CHINA", "JAPAN"), "EAST").otherwise(F.col("n_name"))
-    return raw(s, d, "nation").join(raw(s, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(legacy.alias("provider")).agg(F.count("*").alias("n"))
+    models = view(s, d, "models").select("experiment_id", F.lower("provider").alias("provider"))
+    return G.renamed_providers(models, {"china": "east", "japan": "east"}).groupBy("provider").agg(F.count("*").alias("n"))
 
 
 def g14_due_schedules(s, d):
@@ -215,11 +218,11 @@ ORACLE = {
     "d5_missing_required": oracle("SELECT idx, 'category' AS field, 'required' AS code FROM src WHERE TRIM(category)=''", src=ROWS),
     "d6_type_errors": oracle("SELECT idx, 'answer' AS field, 'type' AS code FROM src WHERE TRY_CAST(answer AS DOUBLE) IS NULL", src=ROWS),
     "d8_import_errors": oracle("SELECT field, idx, code, turn FROM (SELECT idx, 'category' AS field, 'required' AS code, 0 AS turn FROM src WHERE TRIM(category)='' UNION ALL SELECT idx, 'answer', 'type', 1 FROM src) ORDER BY turn, idx, field LIMIT 150", src=ROWS),
-    "d10_empty_rows": oracle("SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (TRIM(question)='' AND TRIM(answer)='') AS n_empty FROM dataset_rows"),
+    "d10_empty_rows": oracle("SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (TRIM(question)='' AND TRIM(answer)='') AS n_empty, COUNT(*) FILTER (TRIM(category)='') AS n_missing FROM src", src=ROWS),
     "d12_dense_index": "SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey, o_custkey, o_totalprice)-1 AS idx FROM orders",
     "d13_appended_version": oracle("SELECT dataset_id, COUNT(*)+COUNT(*) FILTER (idx<10) AS n, MAX(idx)+1+MAX(idx) FILTER (idx<10) AS last_idx FROM (SELECT dataset_id, CAST(FLOOR(row_idx/4.0) AS BIGINT) AS idx FROM dataset_rows) GROUP BY 1"),
     "d14_active_version": oracle("SELECT dataset_id, CASE WHEN dataset_id=1 THEN MIN(dataset_version) ELSE MAX(dataset_version) END AS version FROM models GROUP BY 1"),
-    "d15_content_hash": "SELECT SHA256(text) AS content_hash, COUNT(*) AS n, MIN(doc_id) AS first_id FROM documents GROUP BY 1",
+    "d15_content_hash": "SELECT w.project_id, w.content_hash, w.idempotency_key, s.same_as FROM (SELECT doc_id%2 AS project_id, 'k' || doc_id AS idempotency_key, SHA256(text) AS content_hash FROM documents WHERE doc_id%3=0) w LEFT JOIN (SELECT doc_id%2 AS project_id, SHA256(text) AS content_hash, MIN(doc_id) AS same_as FROM documents WHERE doc_id%3<>0 GROUP BY 1, 2) s USING (project_id, content_hash)",
     "d17_row_signals": oracle("SELECT 'empty_output' AS code, COUNT(*) AS n_rows, MIN(row_idx) AS first_row FROM answer_pairs WHERE TRIM(output)='' GROUP BY 1"),
     "d19_stratified_sample": "SELECT doc_id, lang FROM (SELECT doc_id, lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY MD5('42:' || doc_id), doc_id) AS r FROM documents) WHERE r<=20",
     "d21_deduplicated": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT MIN(doc_id) FROM documents WHERE REGEXP_MATCHES(text,'\\S') GROUP BY LOWER(TRIM(REGEXP_REPLACE(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))))",
@@ -230,7 +233,7 @@ ORACLE = {
     "p7_estimated_tokens": f"SELECT doc_id, {TOKENS} AS est_tokens FROM documents",
     "p8_context_overflow": f"SELECT doc_id, {TOKENS}+100 AS needed, {TOKENS}+100 > CASE WHEN doc_id%2=0 THEN 400 ELSE 2000 END AS overflow FROM documents",
     "p10_row_cost": "SELECT l_suppkey, FLOOR(SUM(FLOOR((FLOOR(l_quantity)/1000*0.5 + FLOOR(l_quantity)*2/1000*CASE WHEN l_suppkey%2=0 THEN 1.5 ELSE 0 END)*1000000+0.5)/1000000)*10000+0.5)/10000 AS cost FROM lineitem GROUP BY 1",
-    "p12_price_catalog": "SELECT s_suppkey, FLOOR((s_suppkey%100)/1e6*1000*1e9+0.5)/1e9 AS input_per_1k, s_suppkey%10=0 AS free FROM supplier",
+    "p12_price_catalog": "SELECT 'm' || s_suppkey || CASE WHEN s_suppkey%10=0 THEN ':free' ELSE '' END AS model_id, s_name AS name, FLOOR((s_suppkey%100)/1e6*1000*1e9+0.5)/1e9 AS input_per_1k, FLOOR((s_suppkey%7)/1e6*1000*1e9+0.5)/1e9 AS output_per_1k, s_suppkey%10=0 OR s_suppkey=7 AS free FROM supplier",
     "p13_fan_out": oracle("SELECT * FROM (SELECT DISTINCT model_id FROM models) CROSS JOIN (SELECT DISTINCT dataset_id, benchmark_id FROM models)"),
     "g1_integrity_report": oracle("SELECT 'results_without_experiment' AS \"check\", COUNT(*) AS n FROM eval_results WHERE experiment_id NOT IN (SELECT experiment_id FROM models WHERE experiment_id%10<>3) UNION ALL SELECT 'results_without_row', COUNT(*) FROM eval_results WHERE row_idx NOT IN (SELECT row_idx FROM dataset_rows WHERE row_idx%7<>1) UNION ALL SELECT 'experiments_without_dataset', COUNT(*) FROM models WHERE dataset_id NOT IN (SELECT dataset_id FROM dataset_rows WHERE dataset_id>0)"),
     "g2_metric_drift": "SELECT s_suppkey, s_suppkey/1000.0 AS accuracy, (s_suppkey+1)/1000.0 AS stored FROM supplier WHERE s_suppkey%5=0",
@@ -241,7 +244,7 @@ ORACLE = {
     "g10_history": "SELECT event_id, user_id AS entity_id FROM events WHERE event_type='view' AND user_id=(SELECT MIN(user_id) FROM events) ORDER BY ts DESC, event_id DESC LIMIT 20",
     "g11_tenant_scope": oracle("SELECT experiment_id, organization_id FROM models WHERE organization_id=1"),
     "g12_seed_defaults": oracle("SELECT DISTINCT provider, model_id FROM models"),
-    "g13_provider_names": "SELECT CASE WHEN n_name IN ('CHINA','JAPAN') THEN 'EAST' ELSE n_name END AS provider, COUNT(*) AS n FROM nation JOIN supplier ON s_nationkey=n_nationkey GROUP BY 1",
+    "g13_provider_names": "SELECT CASE WHEN n_name IN ('CHINA','JAPAN') THEN 'east' ELSE LOWER(n_name) END AS provider, COUNT(*) AS n FROM nation JOIN supplier ON s_nationkey=n_nationkey GROUP BY 1",
     "g14_due_schedules": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + CAST(CASE o_orderkey%3 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 30 END AS INT) AS DATE) AS following_run FROM orders WHERE o_orderkey%2=0 AND CAST(o_orderdate AS DATE)<=DATE '1996-01-01'",
     "g15_notifications": oracle("SELECT sub_id, status, COUNT(*) AS n FROM (SELECT experiment_id%4 AS project_id, status FROM result_stream) JOIN (SELECT n_nationkey AS sub_id, n_nationkey%4 AS project_id, n_nationkey%2=0 AS even FROM nation WHERE n_nationkey%5<>0) USING (project_id) WHERE status='failed' OR (even AND status='completed') GROUP BY 1, 2"),
     "g16_bounded_errors": "SELECT doc_id, LEAST(LENGTH(text), 500) AS kept_chars FROM documents",

@@ -67,8 +67,8 @@ def m13_fuzzy_match(s, d):
 
 
 def m16_test_pass_rate(s, d):
-    tests = raw(s, d, "lineitem").groupBy("l_orderkey").agg(rounded(F.avg((F.col("l_returnflag") == "N").cast("double"))).alias("rate"))
-    return raw(s, d, "orders").join(tests, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("rate", F.lit(0.0)).alias("pass_rate"))
+    outcomes = raw(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_returnflag") == "N").alias("passed"))
+    return M.test_pass_rate(raw(s, d, "orders").select("o_orderkey"), outcomes, ["o_orderkey"])
 
 
 def m17_judge_verdict(s, d):
@@ -130,7 +130,7 @@ ORACLE = {
     "m13_fuzzy_match": "SELECT p_partkey, CASE WHEN 1-levenshtein(p_brand||'x',p_brand)/CAST(LENGTH(p_brand)+1 AS DOUBLE)>=0.8 THEN 1.0 ELSE 0.0 END AS near, CASE WHEN 1-levenshtein(p_name,p_type)/CAST(GREATEST(LENGTH(p_name),LENGTH(p_type)) AS DOUBLE)>=0.5 THEN 1.0 ELSE 0.0 END AS far FROM part",
     "m16_test_pass_rate": "SELECT o_orderkey, COALESCE(FLOOR(AVG(CASE WHEN l_orderkey IS NULL THEN NULL WHEN l_returnflag='N' THEN 1.0 ELSE 0.0 END)*1000000+0.5)/1000000, 0.0) AS pass_rate FROM orders LEFT JOIN lineitem ON o_orderkey=l_orderkey GROUP BY o_orderkey",
     "m17_judge_verdict": "SELECT doc_id, CASE doc_id%4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 3 THEN 1.0 END AS verdict FROM labels",
-    "m18_judge_dedup": oracle("SELECT SUBSTRING(SHA256(CONCAT_WS(CHR(1), LOWER(category), answer, 'm', 'p', 'qa')), 1, 32) AS judge_key, COUNT(*) AS calls_saved_for, MIN(row_idx) AS first_row FROM dataset_rows GROUP BY 1"),
+    "m18_judge_dedup": oracle("SELECT SUBSTRING(SHA256(CONCAT_WS('|||', LOWER(category), answer, 'm', 'p', 'qa')), 1, 32) AS judge_key, COUNT(*) AS calls_saved_for, MIN(row_idx) AS first_row FROM dataset_rows GROUP BY 1"),
     "m21_weighted_suite": oracle(f"SELECT row_idx, s1, s2, FLOOR((2*s1+s2)/3*1000000+0.5)/1000000 AS score FROM (SELECT row_idx, {CI} AS s1, CASE WHEN row_idx%6<>4 AND row_idx%6<>5 AND POSITION(' ' IN expected)=0 THEN 1.0 ELSE 0.0 END AS s2 FROM answer_pairs)"),
     "m22_score_guard": "SELECT event_id, COALESCE(NOT ISNAN(value) AND value/100 BETWEEN 0 AND 1, FALSE) AS valid FROM events",
     "m23_default_metric": oracle("SELECT CASE row_idx%5 WHEN 0 THEN 'exact_match_ci' WHEN 1 THEN 'exact_match_ci' WHEN 2 THEN 'contains' WHEN 3 THEN 'f1_token' ELSE 'contains' END AS metric, COUNT(*) AS n FROM dataset_rows GROUP BY 1"),
