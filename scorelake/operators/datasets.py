@@ -106,10 +106,11 @@ def split_roles(rows: DataFrame, contract: dict | None = None) -> DataFrame:
     keys = F.json_object_keys("input")
     whole = F.from_json("input", "map<string,string>")
     explicit = F.coalesce(value("expected").startswith("{"), F.lit(False))
-    known = F.get(F.filter(F.array(*map(F.lit, EXPECTED_NAMES)), lambda k: F.array_contains(keys, k)), F.lit(0))
+    known = F.coalesce(*[F.when(F.array_contains(keys, k), F.lit(k)) for k in EXPECTED_NAMES])
     taken = F.when(explicit, F.lit("expected")).otherwise(known)
     rest = F.to_json(F.map_filter(whole, lambda k, v: ~k.eqNullSafe(taken)))
-    expected = F.when(explicit, value("expected")).when(known.isNotNull(), F.to_json(F.map_filter(whole, lambda k, v: k == known)))
+    own = F.to_json(F.create_map(F.coalesce(known, F.lit("")), F.element_at(whole, F.coalesce(known, F.lit("")))))
+    expected = F.coalesce(F.when(explicit, value("expected")), F.when(known.isNotNull(), own))
     return rows.select("idx", rest.alias("input"), expected.alias("expected"))
 
 

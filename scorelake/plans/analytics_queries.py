@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions.numbers import rounded
 from scorelake.operators import analytics as A
 from scorelake.operators import stats, summaries
 from scorelake.sources.fixtures import oracle, raw, view
@@ -117,7 +118,7 @@ def a16_mcnemar_corrected(s, d):
 
 
 def a17_mcnemar_exact(s, d):
-    return stats.mcnemar_exact(stats.discordants(_pairs(s, d)))
+    return stats.mcnemar_exact(stats.discordants(_pairs(s, d))).withColumn("p_value", rounded(F.col("p_value"), 9))
 
 
 def a18_wilson_interval(s, d):
@@ -161,6 +162,21 @@ def a28_top_models(s, d):
     return A.top_models(_board(s, d), 5)
 
 
+def a28_accuracy_series(s, d):
+    last = view(s, d, "eval_results").groupBy("experiment_id").agg(F.max("created_at").cast("date").alias("created_at"))
+    return A.accuracy_series(_board(s, d).join(last, "experiment_id"))
+
+
+def _spend(s, d):
+    costs = raw(s, d, "orders").join(raw(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("organization_id"), F.col("o_orderdate").alias("created_at"), F.floor(F.col("o_totalprice")).cast("double").alias("cost"))
+    budgets = raw(s, d, "nation").select(F.col("n_nationkey").alias("organization_id"), (F.col("n_nationkey") * 100000).cast("double").alias("budget"))
+    return costs, budgets
+
+
+def a29_running_spend(s, d):
+    return A.running_spend(*_spend(s, d))
+
+
 def a29_monthly_budget(s, d):
     costs = raw(s, d, "orders").join(raw(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("organization_id"), F.col("o_orderdate").alias("created_at"), F.floor(F.col("o_totalprice")).cast("double").alias("cost"))
     budgets = raw(s, d, "nation").select(F.col("n_nationkey").alias("organization_id"), (F.col("n_nationkey") * 100000).cast("double").alias("budget"))
@@ -223,6 +239,7 @@ ORACLE = {
     "a12_project_summary": _board_sql(f"SELECT organization_id, COUNT(*) AS runs, COUNT(*) FILTER (rows_failed=0) AS clean_runs, {r6('AVG(accuracy)')} AS avg_accuracy, {r6('SUM(total_cost)')} AS sum_cost, CAST(SUM(total_tokens) AS BIGINT) AS sum_tokens, {r6('SUM(rows_scored)/CAST(SUM(rows_total) AS DOUBLE)')} AS pooled_coverage, {r6('SUM(rows_failed)/CAST(SUM(rows_total) AS DOUBLE)')} AS pooled_failure_rate, ARG_MAX(experiment_id, accuracy*1e6 - experiment_id/1e6) AS best_experiment FROM board GROUP BY 1"),
     "a13_subgroups": oracle(f"SELECT CASE WHEN TRIM(COALESCE(category,''))='' THEN '(unlabelled)' ELSE category END AS subgroup, COUNT(*) AS n_rows, {r6(f'AVG(CASE WHEN {CLEAN} THEN score END)')} AS avg_score, COUNT(*) FILTER ({CLEAN} AND score>=1) AS n_pass, COUNT(*) FILTER ({CLEAN} AND score<1) AS n_fail, COUNT(*) FILTER (NOT ({CLEAN})) AS n_error FROM eval_results LEFT JOIN dataset_rows USING (row_idx) GROUP BY 1"),
     "a16_mcnemar_corrected": oracle("SELECT a, b, only_a, only_b, CASE WHEN only_a+only_b=0 THEN 0.0 ELSE FLOOR(POWER(ABS(only_a-only_b)-1,2)/CAST(only_a+only_b AS DOUBLE)*1000000+0.5)/1000000 END AS chi2 FROM d", pairs=PAIRS, paired=PAIRED, d=DISCORDANT),
+    "a17_mcnemar_exact": oracle(f"SELECT a, b, only_a, only_b, {r6('LEAST(1.0, 2*LIST_SUM(LIST_TRANSFORM(RANGE(0, LEAST(only_a, only_b)+1), lambda i: EXP(LGAMMA(only_a+only_b+1)-LGAMMA(i+1)-LGAMMA(only_a+only_b-i+1)-(only_a+only_b)*LN(2)))))', 9)} AS p_value FROM d", pairs=PAIRS, paired=PAIRED, d=DISCORDANT),
     "a18_wilson_interval": oracle(f"SELECT experiment_id, passed, n, {r6(f'(p+{Z*Z}/(2*n))/(1+{Z*Z}/n) - {Z}*SQRT(p*(1-p)/n+{Z*Z}/(4.0*n*n))/(1+{Z*Z}/n)')} AS low, {r6(f'(p+{Z*Z}/(2*n))/(1+{Z*Z}/n) + {Z}*SQRT(p*(1-p)/n+{Z*Z}/(4.0*n*n))/(1+{Z*Z}/n)')} AS high FROM (SELECT experiment_id, COUNT(*) FILTER ({CLEAN} AND score>=1) AS passed, COUNT(*) FILTER ({CLEAN}) AS n, COUNT(*) FILTER ({CLEAN} AND score>=1)/CAST(COUNT(*) FILTER ({CLEAN}) AS DOUBLE) AS p FROM eval_results GROUP BY 1)"),
     "a21_failure_diff": oracle("SELECT a, b, COUNT(*) AS shared_rows, COUNT(*) FILTER (x.w AND NOT y.w) AS a_only_wrong, COUNT(*) FILTER (y.w AND NOT x.w) AS b_only_wrong, COUNT(*) FILTER (x.w AND y.w) AS both_wrong FROM pairs JOIN marked x ON x.experiment_id=a JOIN marked y ON y.experiment_id=b AND y.row_idx=x.row_idx GROUP BY a, b", pairs=PAIRS, marked=f"SELECT experiment_id, row_idx, {WRONG} AS w FROM eval_results"),
     "a22_model_routing": _board_sql(f"SELECT model_id, experiment_id, accuracy, cost_per_row, qualified, CAST(ROW_NUMBER() OVER w AS INT) AS route_rank, qualified AND ROW_NUMBER() OVER w = 1 AS recommended FROM (SELECT model_id, experiment_id, accuracy, {r6('total_cost/CAST(rows_total AS DOUBLE)', 9)} AS cost_per_row, accuracy>=0.4 AS qualified, ROW_NUMBER() OVER (PARTITION BY model_id ORDER BY accuracy DESC, experiment_id) AS r FROM board JOIN top USING ({COHORT})) WHERE r=1 WINDOW w AS (ORDER BY qualified DESC, CASE WHEN qualified THEN cost_per_row END NULLS FIRST, accuracy DESC, model_id)", top=f"SELECT {COHORT} FROM board GROUP BY {COHORT} ORDER BY COUNT(*) DESC, {COHORT} LIMIT 1"),
@@ -232,6 +249,8 @@ ORACLE = {
     "a27_status_counts": oracle(f"SELECT {STATUS} AS status, COUNT(*) AS n FROM summary GROUP BY 1", summary=SUMMARY),
     "a28_top_models": _board_sql("SELECT model_id, MAX(accuracy) AS best_accuracy FROM board GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
     "a29_monthly_budget": f"SELECT organization_id, month, month_cost, unknown_costs, CAST(organization_id*100000 AS DOUBLE) AS budget, month_cost>=organization_id*100000 OR unknown_costs>0 AS exhausted FROM (SELECT c_nationkey AS organization_id, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS month, {r6('SUM(FLOOR(o_totalprice))')} AS month_cost, CAST(0 AS BIGINT) AS unknown_costs FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1, 2)",
+    "a28_accuracy_series": _board_sql(f"SELECT model_id, created_at, b.experiment_id, accuracy, {r6('AVG(accuracy) OVER (PARTITION BY model_id ORDER BY created_at, b.experiment_id ROWS UNBOUNDED PRECEDING)')} AS running_accuracy FROM board b JOIN last_day l ON l.experiment_id=b.experiment_id", last_day="SELECT experiment_id, CAST(MAX(created_at) AS DATE) AS created_at FROM eval_results GROUP BY 1"),
+    "a29_running_spend": "SELECT organization_id, day, day_cost, spent, CAST(organization_id*100000 AS DOUBLE) AS budget, spent>=organization_id*100000 AS exhausted FROM (SELECT *, SUM(day_cost) OVER (PARTITION BY organization_id, DATE_TRUNC('month', day) ORDER BY day) AS spent FROM (SELECT c_nationkey AS organization_id, CAST(o_orderdate AS DATE) AS day, SUM(FLOOR(o_totalprice)) AS day_cost FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1, 2))",
     "a30_regression_gate": _board_sql("SELECT experiment_id, model_id, accuracy, baseline FROM (SELECT *, MAX(accuracy) OVER (PARTITION BY model_id) AS baseline FROM board) WHERE accuracy < baseline - 0.05"),
     "a31_report_facts": oracle(f"SELECT experiment_id, accuracy, total_cost, rows_total, COALESCE(failure_count, 0) AS failure_count, first_failures FROM summary LEFT JOIN (SELECT experiment_id, MAX(n) AS failure_count, STRING_AGG(CAST(row_idx AS VARCHAR), ',' ORDER BY row_idx) FILTER (place<=5) AS first_failures FROM (SELECT experiment_id, row_idx, COUNT(*) OVER (PARTITION BY experiment_id) AS n, ROW_NUMBER() OVER (PARTITION BY experiment_id ORDER BY row_idx) AS place FROM eval_results WHERE {WRONG}) GROUP BY 1) USING (experiment_id)", summary=SUMMARY),
     "a33_result_matrix": _board_sql("SELECT model_id, MAX(accuracy) FILTER (dataset_id=0) AS dataset_0, MAX(accuracy) FILTER (dataset_id=1) AS dataset_1, MAX(accuracy) FILTER (dataset_id=2) AS dataset_2 FROM board GROUP BY 1"),

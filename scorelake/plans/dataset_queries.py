@@ -240,6 +240,7 @@ ORACLE = {
     "g3_backfilled": "SELECT s_suppkey, CASE WHEN s_suppkey%2=0 THEN (s_suppkey%1000)/1000.0 ELSE 0.0 END AS accuracy FROM supplier",
     "g4_model_survivors": "SELECT id, COALESCE(MIN(id) FILTER (used) OVER w, FIRST_VALUE(id) OVER (PARTITION BY provider, model_id ORDER BY created_at, id)) AS survivor FROM (SELECT s_suppkey AS id, s_suppkey%3 AS provider, s_suppkey%7 AS model_id, 1000-s_suppkey AS created_at, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey%11=0) AS used FROM supplier) WINDOW w AS (PARTITION BY provider, model_id)",
     "g7_duplicates": "SELECT l_suppkey, l_partkey, COUNT(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING COUNT(*)>1",
+    "g8_redaction": "SELECT doc_id, n_marks FROM (SELECT doc_id, LEN(REGEXP_EXTRACT_ALL(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) + LEN(LIST_FILTER(REGEXP_EXTRACT_ALL(REGEXP_REPLACE(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '', 'g'), '[0-9]+'), lambda x: REGEXP_FULL_MATCH(x, '1[3-9][0-9]{9}'))) AS n_marks FROM documents) WHERE n_marks>0",
     "g9_reference_counts": oracle("SELECT 'dataset_id' AS component, CAST(dataset_id AS BIGINT) AS id, COUNT(*) AS n FROM models GROUP BY 2 UNION ALL SELECT 'benchmark_id', CAST(benchmark_id AS BIGINT), COUNT(*) FROM models GROUP BY 2 UNION ALL SELECT 'model_id', CAST(model_id AS BIGINT), COUNT(*) FROM models GROUP BY 2"),
     "g10_history": "SELECT event_id, user_id AS entity_id FROM events WHERE event_type='view' AND user_id=(SELECT MIN(user_id) FROM events) ORDER BY ts DESC, event_id DESC LIMIT 20",
     "g11_tenant_scope": oracle("SELECT experiment_id, organization_id FROM models WHERE organization_id=1"),

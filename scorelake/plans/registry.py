@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from scorelake.plans import analytics_queries, dataset_queries, more_queries, scoring_queries, source_queries, streaming_queries
+from scorelake.plans import analytics_queries, dataset_queries, evaluation_queries, more_queries, scoring_queries, source_queries, streaming_queries
 
-MODULES = [analytics_queries, scoring_queries, dataset_queries, source_queries, streaming_queries, more_queries]
+MODULES = [analytics_queries, scoring_queries, dataset_queries, source_queries, streaming_queries, more_queries, evaluation_queries]
 
 
 def queries() -> dict:

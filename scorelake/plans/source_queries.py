@@ -11,8 +11,8 @@ from scorelake.operators import metrics as M
 from scorelake.operators import summaries
 from scorelake.plans.analytics_queries import r6
 from scorelake.sources import files
-from scorelake.sources.fixtures import oracle, view
-from scorelake.streaming.jobs import work_dir
+from scorelake.sources.fixtures import oracle, raw, view
+from scorelake.sources.storage import work_dir
 
 
 def s1_read_jsonl(s, d):
@@ -67,14 +67,53 @@ def m14_semantic_similarity(s, d):
     return view(s, d, "answer_pairs").select("row_idx", rounded(semantic_similarity(F.col("output"), F.col("expected"))).alias("score"))
 
 
+def s4_encodings(s, d):
+    """The same rows written in three encodings, each read back by trying UTF-8, then GBK, then UTF-16."""
+    rows = view(s, d, "dataset_rows").select("row_idx", F.concat(F.col("question"), F.lit(" 答案")).alias("question"))
+    out = None
+    for number, encoding in enumerate(["UTF-8", "GBK", "UTF-16"]):
+        path = work_dir(s)
+        files.write_encoded(rows.select(F.to_json(F.struct("row_idx", "question")).alias("value")), path, encoding)
+        lines = files.read_lines(s, path).select(F.lit(number).alias("encoding"), F.get_json_object("value", "$.row_idx").cast("long").alias("row_idx"), F.get_json_object("value", "$.question").alias("question"))
+        out = lines if out is None else out.union(lines)
+    return out
+
+
+def s5_formats(s, d):
+    path = F.concat(F.lit("data/"), F.col("p_partkey"), F.element_at(F.array(*map(F.lit, [".CSV", ".tsv", ".jsonl", ".ndjson", ".json", ".bin", ""])), (F.col("p_partkey") % 7 + 1).cast("int")))
+    given = F.when(F.col("p_partkey") % 5 == 0, "csv")
+    return raw(s, d, "part").select("p_partkey", files.format_of(path, given).alias("format"))
+
+
+def a32_markdown_report(s, d):
+    results = view(s, d, "eval_results")
+    board = summaries.run_summary(results)
+    names = view(s, d, "models").select("experiment_id", F.col("experiment_name").alias("name"), F.col("model_id").cast("string").alias("model"))
+    facts = A.report_facts(results, board).join(board.drop("accuracy", "total_cost", "rows_total"), "experiment_id").join(names, "experiment_id")
+    return A.markdown_report(facts).select("section", "title", "body")
+
+
+def a31_report_totals(s, d):
+    results = view(s, d, "eval_results")
+    board = summaries.run_summary(results)
+    names = view(s, d, "models").select("experiment_id", F.col("experiment_name").alias("name"), F.col("model_id").cast("string").alias("model"))
+    one = A.report_totals(A.report_facts(results, board).join(board.select("experiment_id", "total_tokens"), "experiment_id").join(names, "experiment_id"))
+    return one.select("n", "cost", "tokens", "failures", F.col("best.experiment_id").alias("best"), F.col("cheapest.experiment_id").alias("cheapest"), F.col("most_failing.experiment_id").alias("most_failing"))
+
+
 def a32_markdown_facts(s, d):
     board = A.report_facts(view(s, d, "eval_results"), summaries.run_summary(view(s, d, "eval_results")))
     line = F.concat(F.lit("| "), F.col("experiment_id").cast("string"), F.lit(" | "), F.col("rows_total").cast("string"), F.lit(" | "), F.col("failure_count").cast("string"), F.lit(" |"))
     return board.select("experiment_id", line.alias("line"))
 
 
+TOKENS = "REGEXP_EXTRACT_ALL(LOWER({}), '[a-z0-9]+(?:[''’][a-z0-9]+)?')"
 WRONG = "(COALESCE(error,'')<>'' OR score < 1.0)"
 ORACLE = {
+    "s4_encodings": oracle("SELECT e.encoding, row_idx, question || ' 答案' AS question FROM dataset_rows, (VALUES (0),(1),(2)) e(encoding)"),
+    "s5_formats": "SELECT p_partkey, CASE WHEN p_partkey%5=0 THEN 'csv' ELSE ['csv','tsv','jsonl','jsonl','json','json','json'][p_partkey%7+1] END AS format FROM part",
+    "a31_report_totals": oracle(f"SELECT COUNT(*) AS n, {r6('SUM(total_cost)')} AS cost, CAST(SUM(total_tokens) AS BIGINT) AS tokens, CAST(SUM(failures) AS BIGINT) AS failures, ARG_MIN(experiment_id, (-accuracy, experiment_id)) AS best, ARG_MIN(experiment_id, (total_cost, experiment_id)) AS cheapest, ARG_MIN(experiment_id, (-failures, experiment_id)) AS most_failing FROM runs", runs=f"SELECT experiment_id, {r6('SUM(cost)')} AS total_cost, SUM(tokens) AS total_tokens, COUNT(*) FILTER ({WRONG}) AS failures, {r6("AVG(CASE WHEN COALESCE(error,'')='' THEN score END)")} AS accuracy FROM eval_results JOIN models USING (experiment_id) GROUP BY 1"),
+    "m11_f1_token": oracle("SELECT row_idx, CASE WHEN common>0 THEN FLOOR(2.0*common/(LEN(g)+LEN(e))*1000000+0.5)/1000000 ELSE 0.0 END AS score FROM (SELECT row_idx, g, e, COALESCE(LIST_SUM(LIST_TRANSFORM(LIST_DISTINCT(g), lambda t: LEAST(LEN(LIST_FILTER(g, lambda x: x=t)), LEN(LIST_FILTER(e, lambda x: x=t))))), 0) AS common FROM (SELECT row_idx, " + TOKENS.format("output || ' and more'") + " AS g, " + TOKENS.format("expected || ' more'") + " AS e FROM answer_pairs))"),
     "s1_read_jsonl": oracle("SELECT CASE WHEN row_idx%10 IN (3,4) THEN 'not a JSON object' END AS error, COUNT(*) AS n, CAST(SUM(CASE WHEN row_idx%10 NOT IN (3,4) THEN row_idx END) AS BIGINT) AS sum_idx FROM dataset_rows GROUP BY 1"),
     "s2_read_json": oracle("SELECT COUNT(*) AS n, CAST(SUM(row_idx) AS BIGINT) AS sum_idx FROM dataset_rows"),
     "s3_read_csv": oracle("SELECT row_idx, LENGTH(question)+7 AS n_chars FROM dataset_rows"),

@@ -1,15 +1,22 @@
-"""Queries T1, T2, T4 and T7: streams run to the end of the events, with oracle SQL over the same events."""
+"""Queries T1-T7: streams run to the end of their files, with oracle SQL over the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorelake.sources.fixtures import oracle, raw
+from scorelake.plans.scoring_queries import ORACLE as SCORING
+from scorelake.sources.fixtures import oracle, raw, view
 from scorelake.streaming import jobs as J
 
 
+def _plain_times(df):
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
 def t1_live_progress(s, d):
-    return J.settle(J.progress(J.event_stream(s, d)), "complete").withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+    out = J.settle(J.progress(J.event_stream(s, d)), "update", ["experiment_id"])
+    planned = raw(s, d, "events").select(F.col("user_id").alias("experiment_id")).distinct().withColumn("planned", F.lit(100))
+    return _plain_times(J.with_eta(out, planned))
 
 
 def t2_idempotent_intake(s, d):
@@ -17,9 +24,34 @@ def t2_idempotent_intake(s, d):
     return J.settle(J.once(events.union(events), ["event_id"]), "append").select("event_id", "experiment_id", "status")
 
 
+def t3_change_feed(s, d):
+    return J.settle(J.change_feed(J.event_stream(s, d)), "append").select("experiment_id", "event_id", "status", "value")
+
+
 def t4_windowed_trend(s, d):
-    out = J.settle(J.windowed(J.event_stream(s, d), "1 day"), "complete")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "failed", "mean_value")
+    return _plain_times(J.settle(J.windowed(J.event_stream(s, d), "1 day"), "update", ["start"]).drop("end"))
+
+
+def t4_sliding_trend(s, d):
+    return _plain_times(J.settle(J.windowed(J.event_stream(s, d), "2 days", "1 day"), "update", ["start"]).drop("end"))
+
+
+def t4_session_trend(s, d):
+    # sessions end only past the watermark: the last ones of the stream stay open and are not told
+    return _plain_times(J.settle(J.sessions(J.event_stream(s, d), "6 hours"), "append"))
+
+
+def t5_task_states(s, d):
+    states = J.settle(J.task_states(J.event_stream(s, d)), "update", ["experiment_id"])
+    now = raw(s, d, "events").agg(F.max("ts").cast("timestamp").alias("now"))
+    out = J.with_stale_failed(states.crossJoin(F.broadcast(now)), F.col("now"), "1 DAY")
+    return _plain_times(out.drop("now"))
+
+
+def t6_streamed_scores(s, d):
+    parts = s.readStream.schema(raw(s, d, "part").schema).option("pathGlobFilter", "part.parquet").parquet(d)
+    answers = view(s, d, "answer_pairs", part=parts).withColumn("error", F.when(F.col("row_idx") % 10 == 0, "rate limited"))
+    return J.scored_stream(answers, [{"name": "exact_match_ci"}], ["row_idx"])
 
 
 def t7_stream_notifications(s, d):
@@ -27,9 +59,17 @@ def t7_stream_notifications(s, d):
     return J.settle(J.notified(J.event_stream(s, d), subs), "append").groupBy("sub_id", "status").agg(F.count("*").alias("n"))
 
 
+def _r(x: str, digits: int = 4) -> str:
+    return f"FLOOR(({x})*{10**digits}+0.5)/CAST({10**digits} AS DOUBLE)"
+
+
+TREND = f"COUNT(*) AS n, COUNT(*) FILTER (status='failed') AS failed, {_r("COUNT(*) FILTER (status='failed')/CAST(COUNT(*) AS DOUBLE)")} AS failure_rate, {_r('AVG(value)')} AS mean_value, {_r('SUM(value)')} AS sum_value"
 ORACLE = {
-    "t1_live_progress": oracle("SELECT experiment_id, COUNT(*) AS processed, COUNT(*) FILTER (status='scored') AS scored, COUNT(*) FILTER (status='failed') AS failed, FLOOR(AVG(CASE WHEN status='scored' THEN value END)*10000+0.5)/10000 AS mean_value, MAX(ts) AS last_ts FROM result_stream GROUP BY 1"),
+    "t1_live_progress": oracle(f"SELECT *, {_r('GREATEST(planned-processed, 0)*ms_per_row', 3)} AS eta_ms FROM (SELECT *, 100 AS planned, {_r('(EPOCH_US(last_ts)-EPOCH_US(first_ts))/1000.0/processed', 3)} AS ms_per_row FROM (SELECT experiment_id, COUNT(*) AS processed, COUNT(*) FILTER (status='scored') AS scored, COUNT(*) FILTER (status='failed') AS failed, {_r("AVG(CASE WHEN status='scored' THEN value END)")} AS mean_value, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM result_stream GROUP BY 1))"),
     "t2_idempotent_intake": oracle("SELECT event_id, experiment_id, status FROM result_stream"),
-    "t4_windowed_trend": oracle("SELECT DATE_TRUNC('day', ts)::TIMESTAMP AS start, COUNT(*) AS n, COUNT(*) FILTER (status='failed') AS failed, FLOOR(AVG(value)*10000+0.5)/10000 AS mean_value FROM result_stream GROUP BY 1"),
+    "t4_windowed_trend": oracle(f"SELECT DATE_TRUNC('day', ts)::TIMESTAMP AS start, {TREND} FROM result_stream GROUP BY 1"),
+    "t4_sliding_trend": oracle(f"SELECT start, {TREND} FROM (SELECT *, UNNEST([DATE_TRUNC('day', ts)::TIMESTAMP, DATE_TRUNC('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS start FROM result_stream) GROUP BY 1"),
+    "t5_task_states": oracle("SELECT experiment_id, attempts, started_at, finished_at, last_ts, CASE WHEN stale THEN 'failed' ELSE status END AS status, CASE WHEN stale THEN 'stale' END AS error FROM (SELECT *, status IN ('queued','running','scored') AND last_ts < (SELECT MAX(ts) FROM result_stream) - INTERVAL 1 DAY AS stale FROM (SELECT experiment_id, ARG_MAX(status, (ts, event_id)) AS status, COUNT(*) FILTER (status='queued') AS attempts, MIN(CASE WHEN status='running' THEN ts END) AS started_at, MAX(CASE WHEN status IN ('completed','failed') THEN ts END) AS finished_at, MAX(ts) AS last_ts FROM result_stream GROUP BY 1))"),
+    "t6_streamed_scores": SCORING["m25_score_rows"],
     "t7_stream_notifications": oracle("SELECT sub_id, status, COUNT(*) AS n FROM (SELECT experiment_id%4 AS project_id, status FROM result_stream) JOIN (SELECT n_nationkey AS sub_id, n_nationkey%4 AS project_id, n_nationkey%2=0 AS even FROM nation WHERE n_nationkey%5<>0) USING (project_id) WHERE status='failed' OR (even AND status='completed') GROUP BY 1, 2"),
 }

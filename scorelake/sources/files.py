@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +15,44 @@ def infer_format(path: str, given: str | None = None) -> str:
     return given or known.get(path.rsplit(".", 1)[-1].lower(), "json")
 
 
+def format_of(path: Column, given: Column) -> Column:
+    """infer_format as a column, for a table of paths."""
+    end = F.lower(F.element_at(F.split(path, r"\."), -1))
+    known = F.when(end.isin("csv", "tsv", "json", "jsonl"), end).when(end == "ndjson", "jsonl").otherwise("json")
+    return F.coalesce(given, F.when(F.instr(path, ".") > 0, known), F.lit("json"))
+
+
+# Encodings in the order in which they are tried.
+ENCODINGS = ["UTF-8", "GBK", "UTF-16"]
+
+
+def decoded_text(content: bytes) -> str:
+    """The text of a file in the first of ENCODINGS that it is valid in; a byte order mark goes."""
+    for encoding in ENCODINGS:
+        try:
+            return content.decode("utf-8-sig" if encoding == "UTF-8" else encoding)
+        except UnicodeDecodeError:
+            continue
+    raise ValueError(f"none of {', '.join(ENCODINGS)}")
+
+
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            lines = [x for x in decoded_text(content).splitlines() if x.strip()]
+            yield pd.DataFrame({"path": path, "line": range(len(lines)), "value": lines})
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the non-blank lines of files of any of ENCODINGS. Each file is read whole by one task, since
+    its encoding is known only then."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_lines, "path string, line long, value string")
+
+
+def write_encoded(lines: DataFrame, path: str, encoding: str) -> None:
+    lines.write.option("encoding", encoding).text(path)
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(input, error): one row per non-blank line; a line that is no JSON object has an error and no input."""
     lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))

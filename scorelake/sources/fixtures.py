@@ -43,13 +43,13 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view over the tables in sf_dir."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A fixture view over the tables in sf_dir; given: tables to take in their place, such as streams of them."""
     sql = VIEWS[name]
     used = [t for t in RAW if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
-    return spark.sql(sql, **{t: raw(spark, sf_dir, t) for t in used})
+    return spark.sql(sql, **{t: given[t] if t in given else raw(spark, sf_dir, t) for t in used})
 
 
 def oracle(sql: str, **more: str) -> str:

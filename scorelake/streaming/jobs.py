@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scorelake.functions.numbers import rounded
+from scorelake.functions.numbers import ratio, rounded
+from scorelake.operators.metrics import score_rows
+from scorelake.sources.storage import work_dir
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scorelake-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+ACTIVE = ["queued", "running", "scored"]
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -26,28 +25,44 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet")
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("experiment_id"), status.alias("status"), "value")
 
 
-def settle(stream: DataFrame, mode: str) -> DataFrame:
+def settle(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there into a Parquet table and return the table.
 
-    complete: each batch replaces the table; append: each batch writes its own folder, so that a retried batch
-    replaces what it wrote before.
+    Each batch writes a folder of its own, so that a retried batch replaces what it wrote before. append: the table is all
+    of them. update: a batch holds the keys that changed; the row of the latest batch counts, and nothing is rewritten.
     """
     spark = stream.sparkSession
     folder = work_dir(spark)
 
     def write(batch: DataFrame, number: int) -> None:
-        target = f"{folder}/table" if mode == "complete" else f"{folder}/table/batch={number}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    if not any(r["numInputRows"] for r in query.recentProgress):
+        return spark.createDataFrame([], stream.schema)
+    columns = stream.columns
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    table = spark.read.schema(schema).parquet(f"{folder}/table")
+    if mode == "append":
+        return table.select(*columns)
+    row = F.struct(*columns)
+    return table.groupBy(*keys).agg(F.max_by(row, "batch").alias("row")).select("row.*")
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Live progress of each experiment: events seen, scored, failed, and the mean value of scored ones."""
+    """Live progress of each experiment: events seen, scored, failed, the mean value of scored ones, and when it began
+    and was last seen."""
     scored = F.col("status") == "scored"
-    return events.groupBy("experiment_id").agg(F.count("*").alias("processed"), F.count_if(scored).alias("scored"), F.count_if(F.col("status") == "failed").alias("failed"), rounded(F.avg(F.when(scored, F.col("value"))), 4).alias("mean_value"), F.max("ts").alias("last_ts"))
+    return events.groupBy("experiment_id").agg(F.count("*").alias("processed"), F.count_if(scored).alias("scored"), F.count_if(F.col("status") == "failed").alias("failed"), rounded(F.avg(F.when(scored, F.col("value"))), 4).alias("mean_value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def with_eta(progress: DataFrame, planned: DataFrame) -> DataFrame:
+    """progress with its planned rows, the mean time per row so far and the time that the rest will take at that pace."""
+    out = progress.join(planned, "experiment_id", "left")
+    spent = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1000
+    out = out.withColumn("ms_per_row", rounded(ratio(spent, F.col("processed")), 3))
+    return out.withColumn("eta_ms", rounded(F.greatest(F.col("planned") - F.col("processed"), F.lit(0)) * F.col("ms_per_row"), 3))
 
 
 def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -55,11 +70,66 @@ def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
-    """Counts, failure rate and mean value in tumbling or sliding windows."""
+def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Counts, failure rate, mean value and cost in tumbling or sliding windows of event time."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    out = events.withWatermark("ts", "1 hour").groupBy(window.alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed"), rounded(F.avg("value"), 4).alias("mean_value"))
-    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "failed", "mean_value")
+    return _trend(events.withWatermark("ts", late).groupBy(window.alias("w")))
+
+
+def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
+    """The same for the sessions of each experiment: runs of events with less than the gap between them."""
+    return _trend(events.withWatermark("ts", late).groupBy("experiment_id", F.session_window("ts", gap).alias("w")), "experiment_id")
+
+
+def _trend(groups, *keys: str) -> DataFrame:
+    failed = F.count_if(F.col("status") == "failed")
+    out = groups.agg(F.count("*").alias("n"), failed.alias("failed"), rounded(failed / F.count("*"), 4).alias("failure_rate"), rounded(F.avg("value"), 4).alias("mean_value"), rounded(F.sum("value"), 4).alias("sum_value"))
+    return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "failed", "failure_rate", "mean_value", "sum_value")
+
+
+def task_states(events: DataFrame) -> DataFrame:
+    """The lifecycle of each task, as a stream in update mode: latest status, attempts, when it started and finished."""
+    last = F.max_by("status", F.struct("ts", "event_id"))
+    done = F.col("status").isin("completed", "failed")
+    return events.groupBy("experiment_id").agg(last.alias("status"), F.count_if(F.col("status") == "queued").alias("attempts"), F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"), F.max(F.when(done, F.col("ts"))).alias("finished_at"), F.max("ts").alias("last_ts"))
+
+
+def with_stale_failed(states: DataFrame, now, after: str) -> DataFrame:
+    """Tasks that are still active but were last seen more than `after` before now count as failed, and say so."""
+    stale = F.col("status").isin(ACTIVE) & (F.col("last_ts") < now - F.expr(f"INTERVAL {after}"))
+    return states.withColumn("error", F.when(stale, "stale")).withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
+
+
+def _changes(step: float):
+    def emit(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, seen, ended = state.get if state.exists else (None, -1.0, False)
+        rows = pd.concat(frames).sort_values(["ts", "event_id"])
+        out = []
+        for r in rows.itertuples():
+            if ended:
+                break
+            if r.status != status or abs(r.value - seen) > step:
+                status, seen = r.status, float(r.value)
+                out.append((key[0], r.event_id, r.ts, status, seen))
+            ended = r.status in ("completed", "failed")
+        state.update((status, seen, ended))
+        yield pd.DataFrame(out, columns=["experiment_id", "event_id", "ts", "status", "value"])
+
+    return emit
+
+
+def change_feed(events: DataFrame, step: float = 0.5) -> DataFrame:
+    """The events at which an experiment changes: another status, or a progress value more than step away from the last
+    one told. After a terminal status an experiment tells nothing more; its state is three values."""
+    schema = "experiment_id long, event_id long, ts timestamp, status string, value double"
+    rows = events.select("experiment_id", "event_id", "ts", "status", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return rows.groupBy("experiment_id").applyInPandasWithState(_changes(step), schema, "status string, seen double, ended boolean", "append", "NoTimeout")
+
+
+def scored_stream(answers: DataFrame, suite: list[dict], keys: list[str]) -> DataFrame:
+    """Score a stream of answers batch by batch and return the table of the latest score of each key."""
+    scored = score_rows(answers, suite).select(*keys, "cleaned", "score", "error_kind")
+    return settle(scored, "update", keys)
 
 
 def notified(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
