@@ -6,16 +6,20 @@ subsequence of three letters counts DECAY to the power of both its spans, up to
 by the root of the words' own. Gaps and inserted characters so lower a match without losing it. Landmarks are the words
 whose document frequency is most raised in toxic training texts, and the commonest words of clean ones.
 
-A sentence's kernel row holds, for each landmark, its best word's value, zero below FLOOR. The Nystroem map turns rows
-into vectors, and a linear SVM is trained on labelled sentences: all sentences of clean texts are negative; of a toxic
-text those are positive that the current machine accepts, and its best one in any case (multiple-instance rounds). A
-text scores as its best sentence, through a logistic curve fitted on the training texts.
+A sentence is told by one word, its witness; its kernel row is that word's, so that rows are exact and the Nystroem map
+is, too. A linear SVM on the map comes down to one number per distinct word: a sentence scores as its best word, a text
+as its best sentence, through a logistic curve fitted on the training texts. Nothing is cut off: a word far from all
+landmarks just scores low. The SVM is trained on labelled sentences, each with the word nearest to a toxic landmark as
+its witness: those of clean texts are negative; of a toxic text those are positive that the current machine accepts, and
+its best one in any case (multiple-instance rounds). Its cost is low, so that the boundary lies well before an exact
+match and words with an inserted letter are still caught.
 
 The sample is at most `sample` toxic and 2 x `sample` clean labelled texts outside the held-out fold, by a seeded hash
-of the id. All texts are scored, whole.
+of the id, and of each the `sentences` sentences that lie nearest to a toxic landmark. All texts are scored, whole.
 
 Defined cases: null and empty texts score as a sentence without any match; words under three letters match nothing;
-labels with nulls are ignored; without both classes all scores are 0; repeated rows score alike.
+labels with nulls are ignored, and an id labelled both ways counts as toxic; of texts with one id the least is learned
+from; without both classes all scores are 0; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -35,10 +39,15 @@ SEED = 13
 CANDIDATES, TOXIC_MARKS, CLEAN_MARKS = 400, 80, 8
 #: A landmark is not taken if its kernel value with one taken before is above this.
 APART = 0.9
-DECAY, SPAN, FLOOR = 0.6, 6, 0.45
+DECAY, SPAN, COST = 0.95, 8, 150.0
 THRESHOLD = 0.3
-EASE = 0.05
+#: Eigenvalues of the landmarks' kernel matrix above which their directions are used.
+RANK = 0.05
+#: Sentences of a training text.
+SENTENCES = 32
 TEXT_BYTES = 1 << 20
+#: Bytes of words whose subsequences are listed at a time, and words whose numbers a worker remembers.
+WORD_BYTES, KNOWN_WORDS = 1 << 16, 1 << 20
 #: Letters a to z, then ten classes of all other letters.
 LETTERS = 36
 GAPS = [(i, j) for i in range(1, SPAN) for j in range(1, SPAN) if i + j <= SPAN]
@@ -84,14 +93,6 @@ def triples(letter: np.ndarray, owner: np.ndarray) -> Iterator[tuple[float, np.n
         yield DECAY ** (d + 1), (letter[same] * LETTERS + letter[same + i]) * LETTERS + letter[same + d], owner[same]
 
 
-def own_values(letter: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The kernel of each word with itself."""
-    parts = [(o * LETTERS**3 + c, np.full(len(c), w)) for w, c, o in triples(letter, owner)]
-    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    sums = np.bincount(at, np.concatenate([w for _, w in parts]), len(key))
-    return np.bincount(key // LETTERS**3, sums**2, n)
-
-
 class Landmarks:
     def __init__(self, words: list[str], toxic: int):
         self.words, self.toxic = words, toxic
@@ -103,49 +104,34 @@ class Landmarks:
         for w, code, o in triples(letter, owner):
             np.add.at(self.table, (code, o), w)
         self.table /= np.sqrt(np.maximum((self.table**2).sum(axis=0), 1e-12))
-        self.most = self.table[:, :toxic].max(axis=1, initial=0).astype(np.float64)
+        self.used = self.table.any(axis=1)
 
     def gram(self) -> np.ndarray:
         return self.table.T.astype(np.float64) @ self.table
 
-    def rows(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the ranges that come within FLOOR of some toxic landmark, and their kernel rows."""
-        none = np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
-        if not len(start):
-            return none
-        letter, owner = folded(raw, start, stop)
-        n = len(start)
-        length = np.bincount(owner, minlength=n)
-        # an upper bound first: the best landmark for each subsequence by itself, over the least own value
-        bound, least = np.zeros(n), np.full(n, 1e-12)
-        for w, code, o in triples(letter, owner):
-            bound += np.bincount(o, w * self.most[code], n)
-        for i, j in GAPS:
-            least += np.maximum(0, length - i - j) * DECAY ** (2 * (i + j + 1))
-        near = np.flatnonzero(bound / np.sqrt(least) >= FLOOR)
-        if not len(near):
-            return none
-        place = np.full(n, -1)
-        place[near] = np.arange(len(near))
-        kept = place[owner] >= 0
-        letter, owner = letter[kept], place[owner[kept]]
-        out = np.zeros((len(near), len(self.words)), np.float32)
-        for a in range(0, len(near), 2048):
-            lo, hi = np.searchsorted(owner, [a, min(len(near), a + 2048)])
-            for w, code, o in triples(letter[lo:hi], owner[lo:hi]):
-                if len(o):
-                    # the k-th subsequences of all words at once: owners are then distinct
-                    first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-                    turn = np.arange(len(o)) - np.repeat(first, np.diff(np.r_[first, len(o)]))
-                    by_turn = np.argsort(turn, kind="stable")
-                    ends = np.r_[0, np.cumsum(np.bincount(turn))]
-                    for x, y in zip(ends[:-1], ends[1:], strict=True):
-                        at = by_turn[x:y]
-                        out[o[at]] += w * self.table[code[at]]
-        out /= np.sqrt(np.maximum(own_values(letter, owner, len(near)), 1e-12))[:, None].astype(np.float32)
-        out[out < FLOOR] = 0
-        good = out[:, : self.toxic].any(axis=1)
-        return near[good], out[good]
+    def rows(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The kernel rows of the words at byte ranges."""
+        out = np.zeros((len(start), len(self.words)), np.float32)
+        for a, b in chunks(np.r_[0, np.cumsum(stop - start)], WORD_BYTES):
+            letter, owner = folded(raw, start[a:b], stop[a:b])
+            if b - a == 1:  # one word, however long, is counted by subsequence
+                counts = sum((w * np.bincount(code, minlength=LETTERS**3) for w, code, _ in triples(letter, owner)), np.zeros(LETTERS**3))
+                out[a] = counts @ self.table / np.sqrt(max(float(counts @ counts), 1e-12))
+                continue
+            parts = [(o * LETTERS**3 + code, np.full(len(code), w)) for w, code, o in triples(letter, owner)]
+            key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            if not len(key):
+                continue
+            sums = np.bincount(at, np.concatenate([w for _, w in parts]), len(key))
+            owner, code = np.divmod(key, LETTERS**3)
+            own = np.sqrt(np.maximum(np.bincount(owner, sums**2, b - a), 1e-12))
+            hit = np.flatnonzero(self.used[code])
+            if len(hit):
+                owner = owner[hit]
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                out[a + owner[first]] = np.add.reduceat(self.table[code[hit]] * sums[hit, None].astype(np.float32), first, axis=0)
+            out[a:b] /= own[:, None].astype(np.float32)
+        return out
 
 
 def apart(words: list[str], limit: int) -> list[str]:
@@ -176,47 +162,54 @@ def words_of(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.r_[start, start[a]], np.r_[stop, stop[b]], np.r_[owner, owner[a]], np.r_[sentence, sentence[a]]
 
 
+def distinct_words(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the first place of each, and which one each word is."""
+    return np.unique(Pieces(raw).hash(start, stop), return_index=True, return_inverse=True)
+
+
 def sentence_rows(marks: Landmarks, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and kernel rows of the sentences of a chunk in which some word matches a toxic landmark."""
+    """Texts and kernel rows of the sentences of a chunk, by their witnesses."""
     start, stop, owner, sentence = words_of(raw, cuts)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros((0, len(marks.words)), np.float32)
-    _, first, which = np.unique(Pieces(raw).hash(start, stop), return_index=True, return_inverse=True)
-    hit, rows = marks.rows(raw, start[first], stop[first])
-    place = np.full(len(first), -1)
-    place[hit] = np.arange(len(hit))
-    found = np.flatnonzero(place[which] >= 0)
-    if not len(found):
-        return np.zeros(0, np.int64), np.zeros((0, len(marks.words)), np.float32)
-    found = found[np.argsort(sentence[found], kind="stable")]
-    group = np.flatnonzero(np.r_[True, np.diff(sentence[found]) != 0])
-    return owner[found[group]], np.maximum.reduceat(rows[place[which[found]]], group, axis=0)
+    _, first, which = distinct_words(raw, start, stop)
+    rows = marks.rows(raw, start[first], stop[first])
+    near = rows[:, : marks.toxic].max(axis=1, initial=0)
+    order = np.lexsort((which, -near[which], sentence))
+    witness = order[np.r_[True, np.diff(sentence[order]) != 0]]
+    return owner[witness], rows[which[witness]]
 
 
 def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each training text."""
     for batch in batches:
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            words = {w for x in (text or "").lower().split() if 3 <= len(w := "".join(c for c in x if c.isalpha())) <= 24}
+            words = {w for x in (text or "").lower().split() if len(w := "".join(c for c in x if c.isalpha())) >= 3}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string()), pa.array([toxic] * len(words), pa.int32())], ["word", "toxic"])
 
 
-def _rows(marks: Landmarks):
+def _rows(marks: Landmarks, sentences: int):
+    """Of each training text the kernel rows of the sentences nearest to a toxic landmark; a zero row if it has none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ends = text_bytes(batch["text"])
             ids, toxic = batch["doc_id"].to_numpy(), batch["toxic"].to_numpy()
             for a, b in chunks(ends, TEXT_BYTES):
                 owner, rows = sentence_rows(marks, raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                bare = np.setdiff1d(np.arange(b - a), owner)  # texts without a match stand for themselves with a zero row
-                both = np.r_[owner, bare]
-                full = np.r_[rows, np.zeros((len(bare), rows.shape[1]), np.float32)]
+                near = rows[:, : marks.toxic].max(axis=1, initial=0)
+                order = np.lexsort((-near, owner))
+                first = np.searchsorted(owner[order], owner[order])
+                order = order[np.arange(len(order)) - first < sentences]
+                bare = np.setdiff1d(np.arange(b - a), owner)
+                both = np.r_[owner[order], bare]
+                full = np.r_[rows[order], np.zeros((len(bare), rows.shape[1]), np.float32)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][both]), pa.array(toxic[a:b][both]), pa.array(full.tolist(), pa.list_(pa.float32()))], ["doc_id", "toxic", "row"])
 
     return run
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 2000.0, rounds: int = 30) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = 30) -> np.ndarray:
     """A linear SVM with squared hinge loss, by Newton steps in the primal; bias last."""
     x = np.c_[x, np.ones(len(x))]
     weight = np.full(len(x), cost / max(1, (y > 0).sum()))
@@ -249,22 +242,44 @@ def logistic(s: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, fl
 
 
 class Model:
-    def __init__(self, marks: Landmarks, weight: np.ndarray, slope: float, offset: float):
-        self.marks, self.weight, self.slope, self.offset = marks, weight, slope, offset
+    """word_weight: of each landmark, by which a word's kernel row becomes its number."""
+
+    def __init__(self, marks: Landmarks, word_weight: np.ndarray, bias: float, slope: float, offset: float):
+        self.marks, self.word_weight, self.bias, self.slope, self.offset = marks, word_weight.astype(np.float32), bias, slope, offset
+        self._known: dict[int, float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": {}}
+
+    def word_numbers(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of distinct words; those of the words met last are remembered."""
+        keys = hashes.tolist()
+        out = np.array([self._known.get(k, np.nan) for k in keys])
+        new = np.flatnonzero(np.isnan(out))
+        if len(new):
+            out[new] = self.marks.rows(raw, start[new], stop[new]) @ self.word_weight
+            if len(self._known) + len(new) > KNOWN_WORDS:
+                self._known.clear()
+            self._known.update(zip([keys[i] for i in new.tolist()], out[new].tolist(), strict=True))
+        return out
 
     def scores(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        best = np.full(len(cuts) - 1, self.weight[-1])
-        owner, rows = sentence_rows(self.marks, raw, cuts)
-        np.maximum.at(best, owner, rows @ self.weight[:-1] + self.weight[-1])
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -30, 30)))
+        best = np.full(len(cuts) - 1, -np.inf)
+        start, stop, owner, _ = words_of(raw, cuts)
+        if len(start):
+            hashes, first, which = distinct_words(raw, start, stop)
+            np.maximum.at(best, owner, self.word_numbers(raw, start[first], stop[first], hashes)[which])
+        best[np.isinf(best)] = 0
+        return 1 / (1 + np.exp(-np.clip(self.slope * (best + self.bias) + self.offset, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED, sentences: int = SENTENCES) -> Model | None:
     """The model of a bounded sample outside the held-out fold; None if a class is missing."""
-    rated = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(id_remainder("doc_id", FOLDS) != HELD_OUT).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    rated = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(id_remainder("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
     chosen = rated.where("toxic = 1").orderBy(*order).limit(sample).union(rated.where("toxic = 0").orderBy(*order).limit(2 * sample))
-    rows = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text"), "toxic-sample")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = stored(texts.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "toxic").agg(F.min("text").alias("text")), "toxic-sample")
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return None
@@ -278,15 +293,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     words = apart([r["word"] for r in top], TOXIC_MARKS)
     toxic_marks = len(words)
     marks = Landmarks(words + [r["word"] for r in common if r["word"] not in words], toxic_marks)
-    got = rows.mapInArrow(_rows(marks), "doc_id long, toxic int, row array<float>").toArrow()
+    got = rows.mapInArrow(_rows(marks, sentences), "doc_id long, toxic int, row array<float>").toArrow()
     ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy()
     rows_k = np.stack([np.asarray(x.values, np.float64) for x in got["row"]])
     value, vector = np.linalg.eigh(marks.gram())
-    # rows of best words are not exact kernel rows; small eigenvalues would blow the difference up
-    root = vector / np.sqrt(np.maximum(value, 0) + EASE)
+    root = vector[:, value > RANK] / np.sqrt(value[value > RANK])
     x = rows_k @ root
     _, doc = np.unique(ids, return_inverse=True)
-    positive = (toxic == 1) & (rows_k[:, :toxic_marks].max(axis=1, initial=0) > 0.9)
+    # a toxic text of which nothing comes near a landmark teaches nothing
+    touched = (toxic == 1) & rows_k.any(axis=1)
+    near = rows_k[:, :toxic_marks].max(axis=1, initial=0)
+    positive = touched & (near > 0.9)
     w = np.zeros(x.shape[1] + 1)
     for _ in range(4):
         if not positive.any():
@@ -296,12 +313,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
         f = x @ w[:-1] + w[-1]
         best = np.full(doc.max() + 1, -np.inf)
         np.maximum.at(best, doc, f)
-        # a toxic text of which nothing matches a landmark teaches nothing
-        positive = (toxic == 1) & rows_k.any(axis=1) & ((f > 0) | (f == best[doc]))
+        positive = touched & ((f > 0) | (f == best[doc]))
     y = np.zeros(doc.max() + 1)
     np.maximum.at(y, doc, toxic)
     slope, offset = logistic(best, y)
-    return Model(marks, np.r_[root @ w[:-1], w[-1]], slope, offset)
+    return Model(marks, root @ w[:-1], float(w[-1]), slope, offset)
 
 
 def _scoring(model: Model | None):
