@@ -7,7 +7,8 @@ Every byte that a LENGTH-byte string covers is removed if that string also start
    the bucket of that K-gram's hash, and all equal windows of the corpus meet in one bucket. Only segments that may
    share a window are sent: texts are packed into parts, each part sends short hashes of its segments' K-grams with the
    bytes beside them, and learns which of them other parts have. Equal segments of a part are merged before the shuffle:
-   the smallest id is sent, the others are known to be covered.
+   the smallest id is sent, the others are known to be covered. Of equal segments of one text those that overlap are
+   sent once with their reach, so that a run of one byte or of a short pattern costs one record, however long it is.
 2. In a bucket only K-grams of several texts matter. Equal segments are merged to their smallest id again. The suffixes
    that start in the remaining segments are sorted to LENGTH bytes: multikey quicksort on eight-byte words to the
    shallow depth SHALLOW, all open groups in step, then each group that still has a longer common prefix by a blind
@@ -22,6 +23,8 @@ windows whose hint no other segment has are not sent, and the others spread over
 The number of buckets and parts grows with the input. A K-gram brings about HOT different segments to a bucket at most,
 besides equal ones; a segment or window held by very many texts is sent once per part, which grows with the parts.
 
+A text longer than a part is worked on in slices that overlap by LENGTH - 1 bytes: each window lies in one of them.
+
 Defined cases: a null text has no bytes; texts of equal id (or with a null id, which counts as larger than any other)
 do not cover each other; bytes are judged on the input; an empty table gives an empty result.
 """
@@ -146,9 +149,10 @@ def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: A segment: index into its blob's owners, first window, number of windows, and the K-gram's place from there.
-SEGMENT = np.dtype([("owner", "<u4"), ("at", "<u4"), ("count", "u1"), ("gram_at", "u1")])
+#: reach: how far the last of its overlapping repeats in the text begins after the first.
+SEGMENT = np.dtype([("owner", "<u4"), ("at", "<u4"), ("reach", "<u4"), ("count", "u1"), ("gram_at", "u1")])
 #: A window that is dealt alone: the hash of its bytes, index into its blob's owners, and place.
-WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("owner", "<u4"), ("at", "<u4")])
+WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("owner", "<u4"), ("at", "<u4"), ("reach", "<u4")])
 #: The number of a text: its id with a hash of its bytes, which tells texts of one id apart.
 TEXT = np.dtype([("id", "<i8"), ("tag", "<u4")])
 INTERVAL = np.dtype([("id", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("stop", "<i4")])
@@ -157,12 +161,6 @@ SIDE = (LENGTH - K) // 2
 ROW = np.dtype([("id", "<i8"), ("tag", "<u4"), ("size", "<i8")])
 
 
-def numbered(rows: np.ndarray) -> np.ndarray:
-    """A sortable number of each row's text."""
-    _, group = np.unique(rows[["id", "tag"]].astype(TEXT), return_inverse=True)
-    return group.astype(np.int64)
-
-
 def merged(intervals: np.ndarray) -> np.ndarray:
     """Disjoint maximal intervals of each text, sorted."""
     if not len(intervals):
@@ -241,6 +239,27 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.r_[0, np.cumsum(rows["size"])], rows[["id", "tag"]].astype(TEXT)
 
 
+def slices(raw: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The bytes and offsets of a part, a longer text in overlapping slices, and where each slice begins."""
+    if len(cuts) != 2 or len(raw) <= BATCH_BYTES + LENGTH:
+        yield raw, cuts, 0
+        return
+    for a in range(0, len(raw) - LENGTH + 1, BATCH_BYTES):
+        part = raw[a : a + BATCH_BYTES + LENGTH - 1]
+        yield part, np.array([0, len(part)]), a
+
+
+def overlapping_runs(group: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places of equal segments of a text the first of each run of overlapping ones, and the run's reach."""
+    order = np.lexsort((at, owner, group))
+    g, o, place = group[order], owner[order], at[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1]) | (np.diff(place) > LENGTH)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(order)] - 1
+    return order[first], place[last] - place[first]
+
+
 def side_hashes(raw: np.ndarray, first: np.ndarray, place: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each segment the hashes of the K-gram with SIDE bytes after it, and with SIDE bytes before it; 0 where the
     segment's windows do not reach so far. A window has LENGTH - K bytes beside its K-gram, so SIDE or more on one side:
@@ -261,14 +280,17 @@ def _hints(buckets: int, bits: int):
         for batch in batches:
             for part, data in zip(batch["part"].to_pylist(), batch["data"], strict=True):
                 raw, cuts, _ = _unpacked(data.as_py())
-                first, count, _, place, _ = segments(raw, cuts)
-                if not len(first):
+                found = []
+                for some, at, _ in slices(raw, cuts):
+                    first, count, _, place, _ = segments(some, at)
+                    if len(first):
+                        found.append(np.unique(np.concatenate(side_hashes(some, first, place, count, bits))))
+                if not found:
                     continue
-                sides = np.unique(np.concatenate(side_hashes(raw, first, place, count, bits)))
+                sides = np.unique(np.concatenate(found))
                 sides = sides[sides > 0]
                 home = ((sides >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                ends = np.searchsorted(home, np.arange(buckets + 1))
-                yield _blobs(BUCKET_DATA, [(b, part, pack(np.diff(sides[ends[b] : ends[b + 1]], prepend=np.uint64(0)))) for b in range(buckets) if ends[b + 1] > ends[b]])
+                yield _blobs(BUCKET_DATA, [(b, part, pack(np.diff(mine, prepend=np.uint64(0)))) for b, mine in _by(home, sides)])
 
     return run
 
@@ -348,20 +370,26 @@ def _scatter(buckets: int, bits: int, hot: np.ndarray):
         part = key[0].as_py()
         rows = []
         for data in texts["data"]:
-            rows += [(b, part, kind, blob) for b, kind, blob in flush(*_unpacked(data.as_py()), [np.cumsum(unpack(x.as_py(), U64)[0]) for x in hints["data"]])]
+            raw, cuts, names = _unpacked(data.as_py())
+            shared = [np.cumsum(unpack(x.as_py(), U64)[0]) for x in hints["data"]]
+            for some, at, begin in slices(raw, cuts):
+                rows += [(b, part, kind, blob) for b, kind, blob in flush(some, at, begin, names, shared)]
         names = [("bucket", pa.int32()), ("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(names)})
 
-    def flush(raw: np.ndarray, cuts: np.ndarray, texts: np.ndarray, shared: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    def flush(raw: np.ndarray, cuts: np.ndarray, begin_at: int, texts: np.ndarray, shared: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
         first, count, owner, place, gram = segments(raw, cuts)
         if not len(first):
             return
         right, left = side_hashes(raw, first, place, count, bits)
-        # of hashes in this part alone only repeated ones matter; a part's own lists are merged with those of others
+        # of hashes in this part alone only those of several texts matter; they join those that other parts have
         wanted = [*shared]
-        for side in (right, left):
-            own = np.sort(side)
-            wanted.append(own[1:][(own[1:] == own[:-1]) & (own[1:] > 0)])
+        for side in (right, left) if len(texts) > 1 else ():
+            turn = np.argsort(side, kind="stable")
+            own, whose = side[turn], owner[turn]
+            wanted.append(own[1:][(own[1:] == own[:-1]) & (own[1:] > 0) & (whose[1:] != whose[:-1])])
+        if not wanted:
+            return
         wanted = np.unique(np.concatenate(wanted))
         if not len(wanted):
             return
@@ -377,30 +405,30 @@ def _scatter(buckets: int, bits: int, hot: np.ndarray):
         group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
         known = np.zeros(len(first), bool)
         known[order] = ids[owner[order]] > least[group]
-        covered = merged(_intervals(texts[owner[known]], first[known] - cuts[owner[known]], count[known]))
+        covered = merged(_intervals(texts[owner[known]], first[known] - cuts[owner[known]] + begin_at, count[known]))
         if len(covered):
             yield int(covered["tag"][0]) % buckets, 1, pack(covered)
-        first, count, owner, place, gram, right, left = (x[~known] for x in (first, count, owner, place, gram, right, left))
+        groups = np.empty(len(first), np.int64)
+        groups[order] = group
+        lead, reach = overlapping_runs(groups[~known], owner[~known], first[~known])
+        first, count, owner, place, gram, right, left = (x[~known][lead] for x in (first, count, owner, place, gram, right, left))
         many = is_among(gram, hot)
         if many.any():
-            yield from windows(raw, cuts, texts, *(x[many] for x in (first, count, owner, place, right, left)))
-            first, count, owner, place, gram = (x[~many] for x in (first, count, owner, place, gram))
+            yield from windows(raw, cuts, begin_at, texts, *(x[many] for x in (first, count, owner, place, right, left, reach)))
+            first, count, owner, place, gram, reach = (x[~many] for x in (first, count, owner, place, gram, reach))
         home = (mixed(gram) % np.uint64(buckets)).astype(np.int64)
-        turn = np.argsort(home, kind="stable")
-        ends = np.r_[0, np.cumsum(np.bincount(home, minlength=buckets))]
-        for b in np.flatnonzero(np.diff(ends)).tolist():
-            mine = turn[ends[b] : ends[b + 1]]
+        for b, mine in _by(home, np.arange(len(home))):
             named, index = np.unique(owner[mine], return_inverse=True)
             rows = np.empty(len(mine), SEGMENT)
-            rows["owner"], rows["at"], rows["count"], rows["gram_at"] = index, first[mine] - cuts[owner[mine]], count[mine], place[mine] - first[mine]
+            rows["owner"], rows["at"], rows["count"], rows["gram_at"], rows["reach"] = index, first[mine] - cuts[owner[mine]] + begin_at, count[mine], place[mine] - first[mine], reach[mine]
             yield b, 0, pack(rows, texts[named], take_ranges(raw, first[mine], count[mine] + LENGTH - 1))
 
-    def windows(raw: np.ndarray, cuts: np.ndarray, texts: np.ndarray, first: np.ndarray, count: np.ndarray, owner: np.ndarray, place: np.ndarray, right: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    def windows(raw: np.ndarray, cuts: np.ndarray, begin_at: int, texts: np.ndarray, first: np.ndarray, count: np.ndarray, owner: np.ndarray, place: np.ndarray, right: np.ndarray, left: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         of = np.repeat(np.arange(len(first)), count)
         at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         # a window with SIDE bytes after its K-gram has the right hint, any other the left one
         some = np.where(at + LENGTH >= place[of] + K + SIDE, right[of], left[of])
-        at, owner = at[some], owner[of[some]]
+        at, owner, reach = at[some], owner[of[some]], reach[of[some]]
         if not len(at):
             return
         same, ids = range_hashes(raw, at, np.full(len(at), LENGTH)), texts["id"]
@@ -408,15 +436,15 @@ def _scatter(buckets: int, bits: int, hot: np.ndarray):
         group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
         known = np.zeros(len(at), bool)
         known[order] = ids[owner[order]] > np.minimum.reduceat(ids[owner[order]], begin)[group]
-        covered = merged(_intervals(texts[owner[known]], at[known] - cuts[owner[known]], np.ones(known.sum(), np.int64)))
+        covered = merged(_intervals(texts[owner[known]], at[known] - cuts[owner[known]] + begin_at, np.ones(known.sum(), np.int64), reach[known]))
         if len(covered):
             yield int(covered["tag"][0]) % buckets, 1, pack(covered)
-        at, owner, same = at[~known], owner[~known], same[~known]
+        at, owner, same, reach = at[~known], owner[~known], same[~known], reach[~known]
         home = ((same[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         for b, mine in _by(home, np.arange(len(home))):
             named, index = np.unique(owner[mine], return_inverse=True)
             rows = np.empty(len(mine), WINDOW)
-            rows["high"], rows["low"], rows["owner"], rows["at"] = same[mine, 0], same[mine, 1], index, at[mine] - cuts[owner[mine]]
+            rows["high"], rows["low"], rows["owner"], rows["at"], rows["reach"] = same[mine, 0], same[mine, 1], index, at[mine] - cuts[owner[mine]] + begin_at, reach[mine]
             yield buckets + b, 0, pack(rows, texts[named])
 
     return run
@@ -550,7 +578,7 @@ def sorted_windows(text: np.ndarray, start: np.ndarray, group: np.ndarray) -> tu
     return order, np.cumsum(new) - 1
 
 
-OPEN = np.dtype([("gram", "<u8"), ("part", "<i4"), ("id", "<i8"), ("tag", "<u4"), ("at", "<i4"), ("count", "<i8")])
+OPEN = np.dtype([("gram", "<u8"), ("part", "<i4"), ("id", "<i8"), ("tag", "<u4"), ("at", "<i4"), ("count", "<i8"), ("reach", "<i8")])
 #: Windows that are sorted at a time; the windows of one K-gram stay together.
 SLICE = 1 << 18
 
@@ -570,7 +598,7 @@ def covered_in_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = wire["count"].astype(np.int64) + LENGTH - 1
     start = np.cumsum(size) - size
     rows = np.empty(len(wire), OPEN)
-    rows["at"], rows["count"], rows["part"] = wire["at"], wire["count"], np.concatenate(parts)[wire["owner"]]
+    rows["at"], rows["count"], rows["reach"], rows["part"] = wire["at"], wire["count"], wire["reach"], np.concatenate(parts)[wire["owner"]]
     rows["id"], rows["tag"] = owners["id"][wire["owner"]], owners["tag"][wire["owner"]]
     rows["gram"] = gram_hashes(take_ranges(text, start + wire["gram_at"], np.full(len(wire), K)))[::K]
     del wire, owners
@@ -591,7 +619,7 @@ def covered_in_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
     covered = np.zeros(len(rows), bool)
     covered[order] = rows["id"][order] > rows["id"][order[begin]][group]
-    out = [(_intervals(rows[covered], rows["at"][covered], rows["count"][covered]), rows["part"][covered])]
+    out = [(_intervals(rows[covered], rows["at"][covered], rows["count"][covered], rows["reach"][covered]), rows["part"][covered])]
     lead = order[~covered[order]]
     # only the segments that share their K-gram with a different segment are sorted window by window
     gram = rows["gram"][lead]
@@ -624,12 +652,13 @@ def _covered_windows(rows: np.ndarray, text: np.ndarray, start: np.ndarray) -> t
     # neighbouring windows of one segment make one run
     at = np.flatnonzero(np.r_[True, (np.diff(window) != 1) | (np.diff(of[window]) != 0)])
     hit = window[at]
-    return _intervals(rows[of[hit]], rows["at"][of[hit]] + offset[hit], np.diff(np.r_[at, len(window)])), rows["part"][of[hit]]
+    return _intervals(rows[of[hit]], rows["at"][of[hit]] + offset[hit], np.diff(np.r_[at, len(window)]), rows["reach"][of[hit]]), rows["part"][of[hit]]
 
 
-def _intervals(rows: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _intervals(rows: np.ndarray, at: np.ndarray, count: np.ndarray, reach: np.ndarray | int = 0) -> np.ndarray:
+    """What count windows from at on cover, with repeats up to reach: these begin LENGTH bytes apart at most."""
     out = np.empty(len(rows), INTERVAL)
-    out["id"], out["tag"], out["start"], out["stop"] = rows["id"], rows["tag"], at, at + count + LENGTH - 1
+    out["id"], out["tag"], out["start"], out["stop"] = rows["id"], rows["tag"], at, at + count + LENGTH - 1 + reach
     return out
 
 
@@ -643,7 +672,7 @@ def covered_by_hash(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ids = texts["id"][order]
     group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
     gone = order[ids > np.minimum.reduceat(ids, begin)[group]]
-    return _intervals(texts[gone], rows["at"][gone].astype(np.int64), np.ones(len(gone), np.int64)), parts[gone]
+    return _intervals(texts[gone], rows["at"][gone].astype(np.int64), np.ones(len(gone), np.int64), rows["reach"][gone].astype(np.int64)), parts[gone]
 
 
 def _sort_buckets(buckets: int):
@@ -700,12 +729,12 @@ def _kept_rows(names: list[str], schema: pa.Schema):
         if not len(texts):
             return schema.empty_table()
         # a character that a removed span cuts goes with it
-        kept = pa.array([kept.decode("utf-8", "ignore") for _, _, kept, _ in _cut_texts(texts, found)], pa.string())
+        pairs = [(kept.decode("utf-8", "ignore"), spans) for _, _, kept, spans in _cut_texts(texts, found)]
+        kept, left = pa.array([t for t, _ in pairs], pa.string()), pa.array([bool(t) or not spans for t, spans in pairs], pa.bool_())
         rest = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in texts["rest"]])["rest"].combine_chunks()
         rest = pa.concat_arrays(rest.chunks) if isinstance(rest, pa.ChunkedArray) else rest
         columns = dict(zip([f.name for f in rest.type], rest.flatten(), strict=True))
-        out = pa.table({n: kept if n == "text" else columns[n] for n in names}).cast(schema)
-        return out.filter(pc.greater(pc.binary_length(out["text"]), 0))
+        return pa.table({n: kept if n == "text" else columns[n] for n in names}).cast(schema).filter(left)
 
     return run
 
@@ -740,9 +769,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", bucke
 
 
 def without_duplicates(docs: DataFrame, key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """docs with the duplicate passages cut from their text; rows of which no text stays go, as do null texts."""
+    """docs with the duplicate passages cut from their text; rows of which the cuts leave nothing go. Null and empty texts
+    lose nothing and stay."""
     schema = to_arrow_schema(docs.schema)
-    return covered(docs.where(F.col("text").isNotNull()), key, "text", bucket_bytes, rest=True).applyInArrow(_kept_rows(docs.columns, schema), docs.schema)
+    cut = covered(docs.where(F.col("text").isNotNull()), key, "text", bucket_bytes, rest=True).applyInArrow(_kept_rows(docs.columns, schema), docs.schema)
+    return cut.union(docs.where(F.col("text").isNull()))
 
 
 def text_tag(text: str):
