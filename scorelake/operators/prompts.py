@@ -79,7 +79,7 @@ def fan_out(models: DataFrame, plan: DataFrame) -> DataFrame:
         return plan.crossJoin(F.broadcast(models))
     shares = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = models.withColumn("_share", F.pmod(F.xxhash64(*models.columns), F.lit(shares)))
-    return plan.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long")).join(dealt, "_share").drop("_share")
+    return plan.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))).join(dealt, "_share").drop("_share")
 
 
 def cost_unknown(models: DataFrame, pricing: str = "pricing") -> DataFrame:

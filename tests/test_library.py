@@ -123,3 +123,149 @@ def test_all_results_are_written(spark, monkeypatch):
     every = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert {r["experiment_id"] for r in source_queries.s6_write_results(spark, sf_dir).collect()} <= set(range(11))
     assert written == [every, 1] and every > 11
+
+
+def test_dense_index_of_many_columns(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, f"x{i}", i / 3, i % 5) for i in range(1000)], "k long, name string, v double, g int").repartition(6)
+    for _ in range(2):
+        got = datasets.with_dense_index(rows, "k").select("k", "name", "idx").collect()
+        assert [r["idx"] for r in sorted(got, key=lambda r: r["k"])] == list(range(1000))
+    assert datasets.with_dense_index(rows.limit(0), "k").count() == 0
+
+
+def test_cleaning_plan_stays_small(spark):
+    frame = spark.createDataFrame([("a",)], "t string").select(cleaning.clean_prediction(F.col("t")).alias("c"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 60
+
+
+def test_case_folds(spark):
+    assert one(spark, [("Straße", "ΣΟΦΟΣ", "ﬁn ſo")], "a string, b string, c string", *[cleaning.case_folded(F.col(c)) for c in "abc"]) == [tuple(x.casefold() for x in ("Straße", "ΣΟΦΟΣ", "ﬁn ſo"))]
+
+
+CANONICAL = {
+    '{"answer": "北京"}': "北京", '{"answer": ["", "北京市"]}': "北京市", '{"answer": {"confidence": 0.9, "text": "x"}}': "x", '{"answer": 42}': "42", '{"result": " b "}': "b",
+    '{"answer": "", "label": "c"}': "c", '{"answer": null, "other": [null, {"k": true}]}': "", '{"other": [null, {"k": true}]}': "True", "{}": "", '{"a": "", "b": "later"}': "",
+}
+
+
+def test_canonical_expected(spark):
+    got = one(spark, [(k,) for k in CANONICAL], "e string", metrics.canonical_expected(F.col("e")))
+    assert dict(zip(CANONICAL, got, strict=True)) == CANONICAL
+
+
+@pytest.mark.parametrize(("said", "tool", "expected", "score"), [
+    ('{"name": "search", "arguments": {"q": 1}}', "search", '{"arguments": {"q": "x"}}', 1.0), ('{"tool": "search", "input": "{\\"p\\": 1}"}', "search", '{"arguments": {"q": "x"}}', 0.5),
+    ('[{"name": "other"}, {"function": {"name": "search"}}]', "search", "{}", 1.0), ("text ```json\n{\"name\": \"search\"}\n``` more", "search", None, 1.0), ('say {"tool_name": "search", "n": {"a": 1}} so', "search", None, 1.0),
+    ("search it", "search", None, 0.0), ('{"name": "search"}', "", None, 0.0), (None, "search", None, 0.0), ('{"name": "find"}', "search", None, 0.0),
+])
+def test_tool_call(spark, said, tool, expected, score):
+    assert one(spark, [(said, tool, expected)], "p string, t string, e string", metrics.tool_call(F.col("p"), F.col("t"), expected_json=F.col("e"))) == [score]
+
+
+def test_rubrics(spark):
+    from scorelake.operators import judges
+
+    dims = judges.rubric([{"name": "Correctness", "weight": 2}, {"name": "Style", "weight": 1}])
+    said = ['{"scores": {"correctness": 5, "style": 2}}', "```json\n{\"correctness\": 9}\n```", "correctness: 4\nstyle：1", "nothing", None, '{"scores": {"style": "x"}} correctness = 5']
+    got = [None if r is None else round(r, 6) for r in one(spark, [(x,) for x in said], "t string", judges.rubric_scores(F.col("t"), dims, 5)["total"])]
+    assert got == [0.8, 0.666667, 0.6, None, None, 0.666667]
+    for bad in ([{"name": " "}], [{"name": "a"}, {"name": "A"}], [{"name": "a", "weight": 0}], [{"name": "a", "weight": -1}], [{"name": "?!"}]):
+        with pytest.raises(ValueError):
+            judges.rubric(bad)
+    assert [d["key"] for d in judges.rubric(None, "unknown")] == ["correctness", "completeness"]
+
+
+def test_similarity_and_nested_redaction(spark):
+    from difflib import SequenceMatcher
+
+    from scorelake.functions import vectorized
+
+    assert vectorized.similar("Paris", "paris!", 0.9) == pytest.approx(1.0) and vectorized.similar("", "x", 0.9) == 0.0
+    want = 0.9 * SequenceMatcher(None, "abcd", "abxd").ratio()
+    assert vectorized.similar("ab cd", "ab xd", 0.9) == pytest.approx(want + 0.1 * 0.5)
+    text = '{"phone": 1, "a": ["me@x.org", {"phone": "z", "n": 5}], "t": "13912345678 and 139123456789"}'
+    got = one(spark, [(text,)], "j string", vectorized.redacted_json(F.col("j"), frozenset(["phone"])))
+    assert got == ['{"phone":"[REDACTED]","a":["[REDACTED]",{"phone":"[REDACTED]","n":5}],"t":"[REDACTED] and 139123456789"}']
+
+
+def test_f1_of_repeated_tokens(spark):
+    cases = [("a a b", "a b b", 2 * 2 / 6), ("北京大学", "北京", 2 * 3 / (7 + 3)), ("", "x", 0.0), ("x", "x", 1.0)]
+    for p, e, score in cases:
+        assert one(spark, [(p, e)], "p string, e string", metrics.f1_token(F.col("p"), F.col("e")))[0] == pytest.approx(score)
+
+
+def test_streaks_over_blocks(spark):
+    import random
+
+    from scorelake.operators import governance
+
+    rng, rows, want = random.Random(3), [], {}
+    for exp in range(8):
+        flags, best, run = [rng.random() < (0.9 if exp % 2 else 0.4) for _ in range(60)], 0, 0
+        for i, f in enumerate(flags):
+            rows.append((exp, 3 * i, f))
+            run = run + 1 if f else 0
+            best = max(best, run)
+        want[exp] = best
+    df = spark.createDataFrame(rows, "experiment_id long, row_idx long, f boolean")
+    for block in (7, 20, 1 << 20):
+        assert {r["experiment_id"]: r["longest"] for r in governance.longest_streaks(df, F.col("f"), 3, block).collect()} == want
+
+
+def test_change_feed_equals_plain_loop(spark):
+    from scorelake.streaming import jobs
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = {(r["experiment_id"], r["event_id"]) for r in jobs.settle(jobs.change_feed(jobs.event_stream(spark, sf_dir)), "append").collect()}
+    status = {"signup": "queued", "view": "running", "click": "scored", "purchase": "completed"}
+    want, last = set(), {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/events.parquet").collect(), key=lambda r: (r["ts"], r["event_id"])):
+        now, seen, ended = last.get(r["user_id"], (None, -1.0, False))
+        s, v = status.get(r["event_type"], "failed"), r["value"] or 0.0
+        if ended:
+            continue
+        if s != now or abs(v - seen) > 0.5:
+            want.add((r["user_id"], r["event_id"]))
+            now, seen = s, v
+        last[r["user_id"]] = now, seen, s in ("completed", "failed")
+    assert got == want and want
+
+
+def test_report_has_its_sections_and_leads(spark):
+    from scorelake.operators import analytics
+    from scorelake.plans import source_queries
+
+    sections = source_queries.a32_markdown_report(spark, "/root/testdata/sf0.001")
+    rows = {r["title"]: r["body"] for r in sections.collect()}
+    assert list(rows) == ["Summary", "Performance", "Cost", "Failures", "Recommendations", "Next steps"] and all(rows.values())
+    runs = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    assert rows["Summary"].startswith(f"{runs} runs.") and rows["Performance"].count("\n") == runs + 1 and "Best accuracy:" in rows["Summary"]
+    assert analytics.report_markdown(sections).first()["markdown"].count("\n## ") == 6
+
+
+def test_wide_fan_out_and_failing_models(spark, monkeypatch):
+    from scorelake.operators import inference
+
+    monkeypatch.setattr(prompts, "FEW", 2)
+    models, plan = spark.range(5).withColumnRenamed("id", "model_id"), spark.range(3).withColumnRenamed("id", "dataset_id")
+    assert len({tuple(r) for r in prompts.fan_out(models, plan).collect()}) == 15
+
+    def fails(asked):
+        raise OSError("no model")
+
+    out = inference.completed(spark.createDataFrame([(1, "p")], "row_idx long, prompt string"), fails).collect()
+    assert [(r["answer"], r["error"]) for r in out] == [(None, "no model")]
+
+
+def test_shared_folder_is_needed_off_a_local_master():
+    from scorelake.sources import storage
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
