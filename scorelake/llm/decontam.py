@@ -5,13 +5,14 @@ of it stands unchanged in the passage; so an Aho-Corasick automaton of all piece
 Myers' bit-parallel search over the surrounding window gives the distance. Before the whole item is searched, the run of
 pieces around the hit is doubled step by step: a run of j pieces must lie within j-1 edits of the text, since of two
 runs that make up one within its budget at least one is within its own. Texts and items are compared in lower case
-with white space collapsed.
+with white space collapsed. An item of under SHORT characters says little inside longer words: it matches only where the
+characters beside the place are neither letters nor digits.
 
 The items are a stated query set. They are taken in blocks of bounded size, one pass over the documents per block.
 
-Defined cases: null and empty texts match nothing; null, blank and too short items (under MIN_CHARS characters after
-normalising) are skipped; repeated items and repeated documents give a row each; an empty table gives an empty result;
-only the id and text columns are read.
+Defined cases: null and empty texts match nothing; null and blank items are skipped, all others are searched; repeated
+items and repeated documents give a row each; an empty table gives an empty result; only the id and text columns are
+read; documents are dropped row by row, whatever their ids.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.1
-MIN_CHARS = 24
+SHORT = 24
 #: Bytes of items that one broadcast block holds.
 BLOCK_BYTES = 4 << 20
 
@@ -84,6 +85,40 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def ends_within(peq: dict[str, int], m: int, text: str, limit: int) -> list[tuple[int, int]]:
+    """(distance, end) of every end of a substring of text within limit edits of the pattern, nearest first."""
+    full, high = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score, out = full, 0, m, []
+    for j, c in enumerate(text, 1):
+        eq = peq.get(c, 0)
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        ph = minus | (full & ~(xh | plus))
+        mh = plus & xh
+        score += 1 if ph & high else -1 if mh & high else 0
+        if score <= limit:
+            out.append((score, j))
+        ph <<= 1
+        mh <<= 1
+        plus = (mh | ~(xv | ph)) & full
+        minus = ph & xv & full
+    return sorted(out)
+
+
+def bounded_match(item: str, errors: int, text: str, start: int, stop: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the nearest place in text[start:stop] that no letter or digit touches."""
+    peq, back = masks(item), masks(item[::-1])
+    for distance, end in ends_within(peq, len(item), text[start:stop], errors):
+        end += start
+        if end < len(text) and text[end].isalnum():
+            continue
+        for _, length in ends_within(back, len(item), text[max(0, end - len(item) - errors) : end][::-1], distance):
+            begin = end - length
+            if begin == 0 or not text[begin - 1].isalnum():
+                return distance, begin, end
+    return None
+
+
 class Matcher:
     """The automaton of a block of items."""
 
@@ -141,10 +176,16 @@ class Matcher:
             best = None
             for start, stop in runs:
                 start = max(0, start)
+                if len(item) < SHORT:
+                    hit = bounded_match(item, errors, text, start, min(stop, len(text)))
+                    best = min(filter(None, (best, hit)), default=None)
+                    continue
                 distance, end = myers(self.masks[n], len(item), text[start:stop])
                 if distance <= errors and (best is None or distance < best[0]):
                     best = distance, start, start + end
-            if best:
+            if best and len(item) < SHORT:
+                yield key, *best
+            elif best:
                 distance, start, end = best
                 _, length = myers(masks(item[::-1]), len(item), text[start:end][::-1])
                 yield key, distance, end - length, end
@@ -174,7 +215,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int, key: str, text: str) ->
     for b in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)) == b)
         items = [(r[0], normal(r[1])) for r in part.select(F.col(key).cast("long"), text).where(F.col(text).isNotNull()).collect()]
-        yield [(k, t) for k, t in items if len(t) >= MIN_CHARS]
+        yield [(k, t) for k, t in items if t]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,6 +228,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item leaks; rows without an id are kept."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _clean(items: list[tuple[int, str]], rate: float, text: str, names: list[str]):
+    built: list[Matcher] = []
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not built:
+            built.append(Matcher(items, rate))
+        for batch in batches:
+            clean = [x.as_py() is None or next(built[0].found(normal(x.as_py())), None) is None for x in batch[text]]
+            yield batch.filter(pa.array(clean, pa.bool_())).select(names)
+
+    return keep
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
+    """The documents in which no benchmark item leaks: one filter per block of items, row by row, in one pass."""
+    for items in item_blocks(benchmark, block_bytes, "item_id", "text"):
+        docs = docs.mapInArrow(_clean(items, rate, text, docs.columns), docs.schema)
+    return docs
