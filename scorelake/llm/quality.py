@@ -5,11 +5,14 @@ all grades: a text's score is the mean weight of its words, of their shapes (cas
 and of a mark for words that repeat the one before, each hashed into a fixed table, plus a weight for its length. The
 ordered thresholds turn the score s into P(grade >= j) = sigmoid(s - threshold_j).
 
-The model is fitted on at most SAMPLE labelled documents, the first by a seeded hash of their id; the bound is the
-parameter `sample`. All documents are scored, whole.
+The scale so puts toxicity below the fully good, as selection wants it; P(grade >= 1) is quality by itself. The labels
+have no finer ratings.
 
-Defined cases: null and wordless texts score by their length weight alone; labels with a null are not used; repeated
-rows score alike; without labels every text is kept with probability 1 and grade 2; only the id and text are read.
+The model is fitted on at most SAMPLE labelled documents outside the held-out fold (crc32 of the id modulo FOLDS), the
+first by a seeded hash of their id; the bound is the parameter `sample`. All documents are scored, whole.
+
+Defined cases: null and wordless texts score by their length weight alone; labels with a null are not used; of labels
+or documents with one id the least grade and the least text are learned from; repeated rows score alike; without labels every text is kept with probability 1 and grade 2; only the id and text are read.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import Pieces, chunks, text_bytes, word_ranges
+from scorelake.llm.common import Pieces, chunks, id_remainder, text_bytes, word_ranges
 
+FOLDS, HELD_OUT = 5, 0
 SAMPLE = 6000
 SEED = 7
 BITS = 14
@@ -75,7 +79,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, hi = np.searchsorted(owner, [d, d + 1])
                 columns, times = np.unique(np.r_[word[lo:hi], shape[lo:hi], np.full(again[lo:hi].sum(), REPEAT)], return_counts=True)
                 rows.append({"columns": [*columns.tolist(), int(length[d])], "vals": [*(times * (SCALE / max(1, count[d]))).tolist(), 1.0]})
-        yield pa.RecordBatch.from_pylist([x | {"grade": g} for x, g in zip(rows, batch["grade"].to_pylist(), strict=True)], pa.schema([("grade", pa.int32()), ("columns", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32()))]))
+        yield pa.RecordBatch.from_pylist([x | {"doc_id": k, "grade": g} for x, k, g in zip(rows, batch["doc_id"].to_pylist(), batch["grade"].to_pylist(), strict=True)], pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("columns", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32()))]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -118,9 +122,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray] | None:
     """The model of a bounded sample of labelled rows; None if there are no two grades among them."""
-    chosen = graded(labels).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "grade").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(_features, "grade int, columns array<int>, vals array<float>").limit(2 * sample).toArrow()
+    one = graded(labels).where(id_remainder("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    chosen = one.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text"))
+    got = rows.select("doc_id", "grade", "text").mapInArrow(_features, "doc_id long, grade int, columns array<int>, vals array<float>").toArrow().sort_by("doc_id")
     grade = got["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grade)) < 2:
         return None
@@ -140,16 +145,16 @@ def _scoring(model: tuple[np.ndarray, np.ndarray] | None):
                 count = np.bincount(owner, minlength=b - a)
                 s = np.bincount(owner, weight[word] + weight[shape] + weight[REPEAT] * again, b - a) * SCALE / np.maximum(1, count) + weight[length_bucket(count)]
                 good[a:b], clean[a:b] = sigmoid(s - theta[0]), sigmoid(s - theta[1])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(good + clean), pa.array(good), pa.array(good >= KEEP)], ["doc_id", "expected_grade", "p_good", "keep"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(good + clean), pa.array(good), pa.array(good >= KEEP)], ["doc_id", "held_out", "expected_grade", "p_good", "keep"])
 
     return score
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, expected_grade, p_good, keep) of every document; p_good is P(grade >= 1)."""
+    """(doc_id, held_out, expected_grade, p_good, keep) of every document; p_good is P(grade >= 1)."""
     model = fit(docs, labels, sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scoring(model), "doc_id long, expected_grade double, p_good double, keep boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_scoring(model), "doc_id long, held_out boolean, expected_grade double, p_good double, keep boolean")
 
 
 def select_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def select_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            judged = next(_scoring(model)(iter([pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch["text"]], ["doc_id", "text"])])))
+            judged = next(_scoring(model)(iter([pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), pa.nulls(len(batch), pa.bool_()), batch["text"]], ["doc_id", "held_out", "text"])])))
             yield batch.filter(judged["keep"]).select(names)
 
     return docs.mapInArrow(keep, docs.schema)

@@ -27,6 +27,44 @@ def test_language_held_out_accuracy(real):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_scores_equal_plain_ridge_regression(spark):
+    rng = random.Random(7)
+    tongue = {"aa": "kalomire", "bb": "thwxnguz", "cc": "päöüßsch"}
+    rows = [(i, "".join(rng.choice(tongue[g] + " ") for _ in range(rng.randint(20, 60))), g) for i in range(60) for g in [rng.choice(list(tongue))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=30, landmarks=9)
+    chosen = langid.training_ids(docs, 30, langid.SEED)
+    assert len({c[1] for c in chosen}) == len(chosen) <= 30 and all(zlib.crc32(str(c[1]).encode()) % 5 for c in chosen)
+    text = {i: t for i, t, _ in rows}
+    grams = lambda t: {t.lower().encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
+    marks = [grams(text[c[1]]) for c in chosen[:9]]
+    known = set().union(*marks)
+    k = lambda t: np.array([len(grams(t) & m) / math.sqrt(len(grams(t) & known) * len(m)) for m in marks])
+    between = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(between)
+    x = np.c_[np.array([k(text[c[1]]) for c in chosen]) @ vector / np.sqrt(value), np.ones(len(chosen))]
+    y = np.array([[1.0 if c[2] == g else -1.0 for g in model.langs] for c in chosen])
+    pull = langid.RIDGE * len(x) * np.eye(x.shape[1])
+    pull[-1, -1] = 1e-9
+    beta = np.linalg.solve(x.T @ x + pull, x.T @ y)
+    raw = [t.encode() for t in text.values()]
+    got = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    want = np.array([np.r_[k(t) @ vector / np.sqrt(value), 1] @ beta for t in text.values()])
+    assert np.abs(got - want).max() < 2e-3
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, sample=30, landmarks=9).collect()}
+    assert out == {i: model.langs[int(np.argmax(w))] for i, w in zip(text, want, strict=True)}
+
+
+def test_language_sample_of_a_hot_language_and_repeated_ids(spark):
+    rows = [(i, f"text number {i}", "en") for i in range(1, 400)] + [(500 + i, f"texte {i}", "fr") for i in range(9)] + [(7, "other text", "en")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = langid.training_ids(docs, 40, 1)
+    per = collections.Counter(c[2] for c in chosen)
+    assert per["en"] == 20 and 4 <= per["fr"] <= 9 and len({c[1] for c in chosen}) == len(chosen)
+    assert langid.training_ids(docs.repartition(7), 40, 1) == chosen
+    assert langid.training_texts(docs, chosen).count() == len(chosen)
+
+
 def test_language_edges(edge_docs, edge_rows, empty_docs):
     got = langid.identify(edge_docs, sample=40, landmarks=10).collect()
     assert len(got) == len(edge_rows)
@@ -51,6 +89,32 @@ def test_quality_separates_labels(real):
     assert all(0 <= r["p_good"] <= 1 and r["p_good"] <= r["expected_grade"] <= 2 for r in rows)
 
 
+def test_quality_held_out(real):
+    rows = quality.quality_scores(real["documents"], real["labels"]).join(real["labels"], "doc_id").where("held_out").collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows) and len(rows) > 40
+    assert sum(r["keep"] == (r["quality"] == 1) for r in rows) / len(rows) > 0.9
+
+
+def test_quality_scores_equal_a_plain_sum_over_words(edge_docs, edge_rows, labels):
+    from scorelake.llm.common import Pieces
+
+    weight, theta = quality.fit(edge_docs, labels)
+    hashed = lambda w: int(Pieces(np.frombuffer(w, np.uint8)).hash(np.array([0]), np.array([len(w)]))[0]) & (1 << quality.BITS) - 1
+
+    def plain(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        kinds = lambda w: [quality._CLASS[c] for c in w]
+        shape = lambda w: bytes(x for i, x in enumerate(kinds(w)) if i == 0 or kinds(w)[i - 1] != x)
+        low = [w.lower() for w in words]
+        s = sum(weight[hashed(v)] + weight[hashed(shape(w)) + (1 << quality.BITS)] for v, w in zip(low, words, strict=True))
+        s += weight[quality.REPEAT] * sum(a == b for a, b in zip(low, low[1:], strict=False))
+        return s * quality.SCALE / max(1, len(words)) + weight[quality.LENGTHS + min(23, int(math.log2(len(words) + 1)))]
+
+    want = sorted((str(r[0]), round(1 / (1 + math.exp(theta[0] - plain(r[1]))), 6)) for r in edge_rows)
+    got = sorted((str(r["doc_id"]), round(r["p_good"], 6)) for r in quality.quality_scores(edge_docs, labels).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-5)
+
+
 def test_quality_edges(edge_docs, edge_rows, labels, empty_docs):
     assert quality.quality_scores(edge_docs, labels).count() == len(edge_rows)
     assert quality.quality_scores(empty_docs, labels).count() == 0
@@ -85,13 +149,29 @@ def test_subsequence_kernel_by_hand():
 
     dot = lambda a, b: sum(a[u] * b[u] for u in a)
     marks = toxicity.Landmarks(["idiot", "stupid"], 2)
-    raw = np.frombuffer(b"id.iot i d i o t stupixd", np.uint8)
-    hit, rows = marks.rows(raw, np.array([0, 7, 17]), np.array([6, 16, 24]))
-    for h, row in zip(hit, rows, strict=True):
-        word = ["idiot", "idiot", "stupixd"][h]
+    long = "xyz" * 30000 + "idiot"
+    text = b"id.iot i d i o t stupixd " + long.encode()
+    start = np.array([0, 7, 17, 25])
+    rows = marks.rows(np.frombuffer(text, np.uint8), start, np.array([6, 16, 24, len(text)]))
+    for word, row in zip(["idiot", "idiot", "stupixd"], rows, strict=False):
         want = [dot(features(word), features(m)) / math.sqrt(dot(features(word), features(word)) * dot(features(m), features(m))) for m in marks.words]
-        assert np.allclose(row, [w if w >= toxicity.FLOOR else 0 for w in want], atol=1e-5)
-    assert len(hit) == 3
+        assert np.allclose(row, want, atol=1e-5)
+    alone = marks.rows(np.frombuffer(text, np.uint8), start[3:], np.array([len(text)]))
+    assert np.allclose(rows[3], alone[0], atol=1e-4) and 0 < rows[3][0] < 0.1
+
+
+def test_toxicity_tolerates_inserted_characters(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice(["an", "th", "er", "ou", "st", "ble", "ing", "re"]) for _ in range(rng.randint(2, 4)))
+    insults = ["idiot", "worthless", "pathetic", "einfaltspinselhafterdummkopfkerl"]
+    prose = lambda n, *more: " ".join(rng.sample([*(word() for _ in range(n)), *more], n + len(more))) + "."
+    rows = [(i, prose(30) if i % 4 else prose(30, insults[i // 4 % 4], insults[i // 4 % 3])) for i in range(800)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    forms = lambda w: [w, w[:3] + "q" + w[3:], ".".join(w), " ".join(w), w.upper(), w.replace("i", "1")]
+    probes = [(1000 + 10 * k + j, prose(30, f)) for k, w in enumerate(insults) for j, f in enumerate(forms(w))] + [(2000 + i, prose(30)) for i in range(50)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(spark.createDataFrame(rows + probes, "doc_id long, text string"), labels).collect()}
+    assert all(got[i] for i, _ in probes if i < 2000), [t for i, t in probes if i < 2000 and not got[i]]
+    assert sum(got[2000 + i] for i in range(50)) <= 5  # words of the insults' own syllables
 
 
 def test_toxicity_edges(edge_docs, edge_rows, labels, empty_docs):
@@ -138,6 +218,34 @@ def test_rules_reject_only_what_is_safe(spark):
     assert all(r["kept"] == (r["doc_id"] % 5 != 0) for r in got)
 
 
+def test_rules_steps_equal_brute_force(spark):
+    rng = random.Random(9)
+    kinds = {"en": (400, 0.02), "de": (120, 0.0), "fr": (60, 0.0), "es": (90, 0.5)}
+    rated = []
+    for lang, (n, noise) in kinds.items():
+        for i in range(2 * n):
+            bad = i >= n
+            ratio = lambda top: rng.random() * top if bad or rng.random() < noise else 0.0
+            rated.append((lang, False, int(not bad), ratio(1.0), ratio(1.0), ratio(0.2), 5 + ratio(18.0)))
+    df = spark.createDataFrame(rated, "stratum string, base_failed boolean, quality int, symbol_ratio double, dup_line_ratio double, repeat_ratio double, word_length double")
+    got = {r["stratum"]: r["step"] for r in rules.safe_steps(df).collect()}
+    names, steps, want = list(rules.GRID), rules.staircase(), {}
+    assert len(steps) == 23 and all(sum(a[n] > b[n] for n in names) == 1 and all(a[n] >= b[n] for n in names) for a, b in zip(steps, steps[1:], strict=False))
+    for lang in kinds:
+        mine = [r for r in rated if r[0] == lang]
+        n, best = sum(r[2] for r in mine), None
+        for i, step in enumerate(steps):
+            out = lambda r: any(v > step[name] for name, v in zip(names, r[3:], strict=True))  # noqa: E731, B023
+            k, hits = sum(out(r) for r in mine if r[2]), sum(out(r) for r in mine if not r[2])
+            if math.fsum(math.comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(k + 1)) > 0.05 / 4:
+                break
+            if hits and (best is None or hits > best[0]):
+                best = hits, i
+        if best:
+            want[lang] = best[1]
+    assert got == want and set(want) == {"en", "de"}
+
+
 def test_rules_empty(empty_docs, labels):
     assert rules.judged(empty_docs, labels).count() == 0
 
@@ -180,3 +288,36 @@ def test_decontamination_finds_planted_items(real, spark, edge_docs, empty_docs)
     assert decontam.leaks(edge_docs, real["benchmark"]).count() == decontam.leaks(empty_docs, real["benchmark"]).count() == 0
     items = spark.createDataFrame([(1, None), (2, " "), (3, "short")], "item_id long, text string")
     assert decontam.decontaminate(edge_docs, items).count() == edge_docs.count()
+    assert decontam.decontaminate(empty_docs, items).columns == empty_docs.columns
+
+
+def test_decontamination_of_short_items(spark):
+    items = spark.createDataFrame([(1, "Tin soldier"), (2, "tin"), (3, "cat 9")], "item_id long, text string")
+    docs = [(1, "one tin  SOLDIER stood"), (2, "a tin"), (3, "satin, tiny, martini"), (None, "(tin)"), (5, "tin soldxer"), (6, "bobcat 9 cat 99"), (7, "cat 9"), (8, None), (8, "tin soldier"), (8, "clean")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.leaks(rows, items).collect()), key=str)
+    assert got == sorted([(1, 1, 0), (1, 2, 0), (2, 2, 0), (None, 2, 0), (5, 1, 1), (5, 2, 0), (7, 3, 0), (8, 1, 0), (8, 2, 0)], key=str)
+    kept = [tuple(r) for r in decontam.decontaminate(rows, items, block_bytes=5).collect()]
+    assert sorted(kept, key=str) == sorted([docs[2], docs[5], docs[7], docs[9]], key=str)
+
+
+def test_decontamination_query_equals_brute_force(real, spark):
+    """Every pair of a document and an item within the item's edits, by the plain dynamic programme on a fixture."""
+    rng = random.Random(2)
+    items = [(k, "".join(rng.choice("abcde fgh") for _ in range(rng.choice([26, 40, 55])))) for k in range(6)]
+    docs = []
+    for i in range(40):
+        text = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 7)):
+            j = rng.randrange(len(text))
+            text[j : j + 1] = rng.choice([[], [text[j], "h"], ["a"]])
+        docs.append((i, "".join(rng.choice("abcdefgh ") for _ in range(60)) + "".join(text) + "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 80)))))
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for i, t in docs:
+        for k, item in items:
+            item = decontam.normal(item)
+            d = sellers(item, decontam.normal(t))
+            if d <= decontam.budget(len(item)):
+                want[i, k] = d
+    assert got == want and len(want) > 15
