@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import decontam, pieces, quality, simhash, suffix
-from scorelake.llm.common import stored, table
+from scorelake.llm.common import discard, fresh_path, stored_at, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,16 +19,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that of the smallest id. Documents without an id stay."""
-    groups = simhash.near_groups(docs)
-    gone = groups.where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each SimHash group: that of the smallest id, and one of wholly equal rows."""
+    return simhash.keep_one(docs)
 
 
 def duplicate_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that start in a text with a smaller id; n_chars follows the text."""
+    """Texts without the passages that start in a text with a smaller id; n_chars follows the text, where there is one."""
     out = suffix.without_duplicates(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +47,16 @@ STAGES = [
     ("sentencepiece_encoding", sentencepiece_encoding),
 ]
 
-#: SQL cannot express these stages; tests compare them with plain versions.
+#: SQL cannot express these stages; tests/llm/test_pipeline.py compares each with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        docs = stored_at(stage(spark, docs, sf_dir), path)
+        if before:
+            discard(before)
+        before = path
     return docs
