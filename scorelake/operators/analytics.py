@@ -45,6 +45,13 @@ def compared(board: DataFrame) -> DataFrame:
     return board.select("experiment_id", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("value")) for d in DIMENSIONS])).alias("d")).select("experiment_id", "d.dimension", "d.value")
 
 
+def compared_wide(board: DataFrame) -> DataFrame:
+    """Wide form: one row per dimension with the compared experiments and their values as lists in order of id."""
+    pairs = F.array_sort(F.collect_list(F.struct("experiment_id", "value")))
+    wide = compared(board).groupBy("dimension").agg(pairs.alias("p"))
+    return wide.select("dimension", F.transform("p", lambda x: x["experiment_id"]).alias("experiments"), F.transform("p", lambda x: x["value"]).alias("values"))
+
+
 def is_failure() -> Column:
     return ~is_clean() | (F.col("score") < 1.0)
 

@@ -239,8 +239,9 @@ def quoted(x: Column) -> Column:
     return F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-def score_reason(metric: str, score: Column, cleaned: Column, expected: Column, components: dict[str, Column] | None = None) -> Column:
-    """Why a row has its score. components: the metric scores of a weighted suite, by name."""
+def score_reason(metric: str, score: Column, cleaned: Column, expected: Column, components: dict[str, Column] | None = None, finish: Column | None = None) -> Column:
+    """Why a row has its score. components: the metric scores of a weighted suite, by name; finish: why the model stopped,
+    which is told of empty predictions."""
     # The wording of a reason.
     details = {"contains": "expected substring matched as a standalone text span", "agent": "expected substring matched as a standalone text span", "numeric_match": "first numeric values matched within tolerance", "fuzzy_match": "normalized Levenshtein similarity met the configured threshold", "fuzzy_match_ci": "normalized Levenshtein similarity met the configured threshold", "llm_judge": "LLM judge classified the prediction as semantically equivalent"}
     if components:
@@ -250,7 +251,8 @@ def score_reason(metric: str, score: Column, cleaned: Column, expected: Column,
         detail = F.lit(details[metric])
     else:
         detail = F.when(cleaned == expected, "cleaned prediction equals expected canonical answer").otherwise(F.concat(F.lit("cleaned prediction "), quoted(cleaned), F.lit(" vs expected "), quoted(expected)))
-    return F.concat(F.lit(f"{metric}: "), F.when(score >= 1.0, "matched").otherwise("did not match"), F.lit("; "), detail)
+    note = F.lit("") if finish is None else F.when(cleaned == "", F.concat(F.lit("; empty_prediction finish_reason="), F.coalesce(finish, F.lit("None")))).otherwise("")
+    return F.concat(F.lit(f"{metric}: "), F.when(score >= 1.0, "matched").otherwise("did not match"), F.lit("; "), detail, note)
 
 
 def score_rows(results: DataFrame, suite: list[dict], policy: dict | None = None) -> DataFrame:

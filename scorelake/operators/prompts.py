@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.numbers import rounded
+from scorelake.functions.numbers import bound, rounded
 
 #: Models that are broadcast at most.
 FEW = 10_000
@@ -89,11 +89,21 @@ def cost_unknown(models: DataFrame, pricing: str = "pricing") -> DataFrame:
 
 
 def few_shot(examples: Column) -> Column:
-    """Examples of a JSON list as text: strings as they are, pairs as Q and A lines, with the first known answer key."""
-    # Keys of a question and of an answer, in order.
-    pick = lambda x, keys: F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in keys])
-    one = lambda x: F.when(x.startswith("{"), F.concat(F.lit("Q: "), F.coalesce(pick(x, ["question", "input", "prompt", "text"]), F.lit("")), F.lit("\nA: "), F.coalesce(pick(x, ["answer", "expected", "output", "label"]), F.lit("")))).otherwise(x)
-    return F.array_join(F.transform(F.from_json(examples, "array<string>"), one), "\n\n")
+    """Examples of a JSON list as text: strings as they are; objects as a Q line for each value but the answer, then an A
+    line with the answer, which stands under the first known key."""
+    # Keys of an answer, in order.
+    keys = ["answer", "expected", "label", "output", "target", "ground_truth"]
+
+    def block(x: Column) -> Column:
+        def lines(pairs: Column) -> Column:
+            own = F.coalesce(*[F.when(F.map_contains_key(pairs, k), F.lit(k)) for k in keys])
+            asked = F.transform(F.map_values(F.map_filter(pairs, lambda k, v: ~k.eqNullSafe(own))), lambda v: F.concat(F.lit("Q: "), F.coalesce(v, F.lit(""))))
+            told = F.when(own.isNotNull(), F.array(F.concat(F.lit("A: "), F.coalesce(F.element_at(pairs, F.coalesce(own, F.lit(""))), F.lit(""))))).otherwise(F.array().cast("array<string>"))
+            return F.array_join(F.concat(asked, told), "\n")
+
+        return F.when(x.startswith("{"), bound(F.from_json(x, "map<string,string>"), lines)).otherwise(x)
+
+    return F.array_join(F.transform(F.from_json(examples, "array<string>"), block), "\n\n")
 
 
 def path_missing(name: str, source: Column) -> Column:

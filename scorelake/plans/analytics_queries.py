@@ -84,6 +84,12 @@ def a9_compare_dimensions(s, d):
     return A.compared(_board(s, d))
 
 
+def a9_compare_wide(s, d):
+    picked = _board(s, d).where("dataset_id = 0 AND dataset_version = 1")
+    wide = A.compared_wide(picked)
+    return wide.select("dimension", F.array_join(F.transform("experiments", lambda x: x.cast("string")), ",").alias("experiments"), rounded(F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 3).alias("total"))
+
+
 def a10_failure_cases(s, d):
     return A.failure_cases(view(s, d, "eval_results"), 5).select("experiment_id", "row_idx", "score", "error", "place")
 
@@ -234,6 +240,7 @@ ORACLE = {
     "a7_cohort_rank": _board_sql(f"SELECT experiment_id, {COHORT}, accuracy, total_cost, CAST(RANK() OVER (PARTITION BY {COHORT} ORDER BY accuracy DESC NULLS LAST, total_cost) AS INT) AS rank_in_cohort FROM board"),
     "a8_comparable_pairs": oracle("SELECT a, b, mismatched, mismatched='' AS comparable FROM (SELECT x.experiment_id AS a, y.experiment_id AS b, CONCAT_WS(',', CASE WHEN x.dataset_id<>y.dataset_id THEN 'dataset_id' END, CASE WHEN x.dataset_version<>y.dataset_version THEN 'dataset_version' END, CASE WHEN x.benchmark_id<>y.benchmark_id THEN 'benchmark_id' END) AS mismatched FROM models x JOIN models y ON y.experiment_id=x.experiment_id+1)"),
     "a9_compare_dimensions": _board_sql(" UNION ALL ".join(f"SELECT experiment_id, '{x.strip()}' AS dimension, CAST({x} AS DOUBLE) AS value FROM board" for x in DIMS.split(","))),
+    "a9_compare_wide": _board_sql("SELECT dimension, STRING_AGG(CAST(experiment_id AS VARCHAR), ',' ORDER BY experiment_id) AS experiments, FLOOR(SUM(COALESCE(value, 0))*1000+0.5)/1000 AS total FROM (" + " UNION ALL ".join(f"SELECT experiment_id, '{x.strip()}' AS dimension, CAST({x} AS DOUBLE) AS value FROM board WHERE dataset_id=0 AND dataset_version=1" for x in DIMS.split(",")) + ") GROUP BY 1"),
     "a10_failure_cases": oracle(f"SELECT * FROM (SELECT experiment_id, row_idx, score, error, CAST(ROW_NUMBER() OVER (PARTITION BY experiment_id ORDER BY score NULLS FIRST, row_idx) AS INT) AS place FROM eval_results WHERE {WRONG}) WHERE place<=5"),
     "a11_trend": _board_sql(f"SELECT model_id, b.experiment_id, created_at, accuracy, {r6('accuracy - LAG(accuracy) OVER (PARTITION BY model_id ORDER BY created_at, b.experiment_id)')} AS accuracy_delta FROM board b JOIN last_day l ON l.experiment_id=b.experiment_id", last_day="SELECT experiment_id, CAST(MAX(created_at) AS DATE) AS created_at FROM eval_results GROUP BY 1"),
     "a12_project_summary": _board_sql(f"SELECT organization_id, COUNT(*) AS runs, COUNT(*) FILTER (rows_failed=0) AS clean_runs, {r6('AVG(accuracy)')} AS avg_accuracy, {r6('SUM(total_cost)')} AS sum_cost, CAST(SUM(total_tokens) AS BIGINT) AS sum_tokens, {r6('SUM(rows_scored)/CAST(SUM(rows_total) AS DOUBLE)')} AS pooled_coverage, {r6('SUM(rows_failed)/CAST(SUM(rows_total) AS DOUBLE)')} AS pooled_failure_rate, ARG_MAX(experiment_id, accuracy*1e6 - experiment_id/1e6) AS best_experiment FROM board GROUP BY 1"),

@@ -269,3 +269,17 @@ def test_shared_folder_is_needed_off_a_local_master():
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session())
+
+
+def test_score_reasons(spark):
+    rows = [("it's", 'say "it"'), ("a\\b\nc", "x"), ("", "x")]
+    got = one(spark, rows, "c string, e string", metrics.score_reason("exact_match", F.lit(0.0), F.col("c"), F.col("e"), finish=F.lit("length")))
+    want = [f"exact_match: did not match; cleaned prediction {c!r} vs expected {e!r}" for c, e in rows]
+    assert got == [want[0], want[1], want[2] + "; empty_prediction finish_reason=length"]
+    parts = metrics.score_reason("suite", F.lit(1.0), F.col("c"), F.col("e"), {"contains": F.lit(1.0), "f1_token": F.lit(0.5)})
+    assert one(spark, rows[:1], "c string, e string", parts) == ["suite: matched; weighted metric components: contains=1.0000, f1_token=0.5000"]
+
+
+def test_few_shot_blocks(spark):
+    shots = '["plain", {"question": "q", "context": "c", "label": 2}, {"a": "x", "b": "y"}]'
+    assert one(spark, [(shots,)], "j string", prompts.few_shot(F.col("j"))) == ["plain\n\nQ: q\nQ: c\nA: 2\n\nQ: x\nQ: y"]
