@@ -11,8 +11,11 @@ is, too. A linear SVM on the map comes down to one number per distinct word: a s
 as its best sentence, through a logistic curve fitted on the training texts. Nothing is cut off: a word far from all
 landmarks just scores low. The SVM is trained on labelled sentences, each with the word nearest to a toxic landmark as
 its witness: those of clean texts are negative; of a toxic text those are positive that the current machine accepts, and
-its best one in any case (multiple-instance rounds). Its cost is low, so that the boundary lies well before an exact
-match and words with an inserted letter are still caught.
+its best one in any case (multiple-instance rounds). The machine's kernel is the sum of the kernel and of a power of it,
+each mapped by its own Nystroem root: the power tells rare stems from common words with most of their letters, the kernel
+itself keeps gapped forms near. So that these stay on the toxic side, toxic landmarks with one inserted letter are trained
+on as further positives (virtual examples), each as much as its landmark is met, where no clean sentence lies nearly as
+close to the landmark.
 
 The sample is at most `sample` toxic and 2 x `sample` clean labelled texts outside the held-out fold, by a seeded hash
 of the id, and of each the `sentences` sentences that lie nearest to a toxic landmark. All texts are scored, whole.
@@ -39,9 +42,14 @@ SEED = 13
 CANDIDATES, TOXIC_MARKS, CLEAN_MARKS = 400, 80, 8
 #: A landmark is not taken if its kernel value with one taken before is above this.
 APART = 0.9
-DECAY, SPAN, COST = 0.95, 8, 150.0
+DECAY, SPAN, COST = 0.95, 8, 0.5
 THRESHOLD = 0.3
-#: Eigenvalues of the landmarks' kernel matrix above which their directions are used.
+#: The kernel is summed with SHARE times its POWER, which tells stems that share most of their letters.
+POWER, SHARE = 6, 1.0
+#: Forms of a toxic landmark with one inserted letter, the weight of all forms against that of the positives, and by how
+#: much they must lie nearer to it than any clean sentence does to be trained on.
+FORMS, FORM_SHARE, CLEAR = 8, 0.4, 0.1
+#: Eigenvalues of the landmarks' kernel matrices above which their directions are used.
 RANK = 0.05
 #: Sentences of a training text.
 SENTENCES = 32
@@ -209,10 +217,9 @@ def _rows(marks: Landmarks, sentences: int):
     return run
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = 30) -> np.ndarray:
-    """A linear SVM with squared hinge loss, by Newton steps in the primal; bias last."""
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """A linear SVM with squared hinge loss and a weight of each row, by Newton steps in the primal; bias last."""
     x = np.c_[x, np.ones(len(x))]
-    weight = np.full(len(x), cost / max(1, (y > 0).sum()))
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     inside = np.ones(len(x), bool)
@@ -226,23 +233,65 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = 30) -> n
     return w
 
 
-def logistic(s: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+def logistic(s: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, float]:
     """Slope and offset of P(y = 1 | s), with Platt's smoothed targets, by Newton steps."""
-    up, down = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-    aim = np.where(y > 0, up, down)
+    ones, zeros = weight @ y, weight @ (1 - y)
+    aim = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     x = np.c_[s, np.ones(len(s))]
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (p - aim) + 1e-3 * w)
+        move = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (weight * (p - aim)) + 1e-3 * w)
         w = w - np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-8:
             break
     return float(w[0]), float(w[1])
 
 
+def inserted(words: list[str], count: int, seed: int = SEED) -> list[str]:
+    """Each word `count` times, with one letter more at a seeded inner place."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for w in words:
+        for _ in range(count):
+            at = int(rng.integers(1, max(2, len(w))))
+            out.append(w[:at] + chr(97 + int(rng.integers(26))) + w[at:])
+    return out
+
+
+def parts(rows: np.ndarray) -> np.ndarray:
+    """Kernel rows, then their powers: the two parts of the summed kernel."""
+    return np.concatenate([rows, rows**POWER], axis=1)
+
+
+def nystroem(gram: np.ndarray) -> np.ndarray:
+    """The map from both parts of a kernel row to the features of the summed kernel."""
+    roots = []
+    for part, share in ((gram, 1.0), (gram**POWER, SHARE)):
+        value, vector = np.linalg.eigh(part)
+        roots.append(np.sqrt(share) * vector[:, value > RANK] / np.sqrt(value[value > RANK]))
+    out = np.zeros((2 * len(gram), sum(r.shape[1] for r in roots)))
+    out[: len(gram), : roots[0].shape[1]] = roots[0]
+    out[len(gram) :, roots[0].shape[1] :] = roots[1]
+    return out
+
+
+def virtual_rows(marks: Landmarks, clean: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel rows of toxic landmarks with an inserted letter, where no clean sentence comes nearly as near, and the
+    share of each form by the toxic sentences (`near`: their kernel values) that hold its landmark."""
+    words = [w.encode() for w in inserted(marks.words[: marks.toxic], FORMS)]
+    stop = np.cumsum([len(w) for w in words])
+    rows = marks.rows(np.frombuffer(b"".join(words), np.uint8), np.r_[0, stop[:-1]], stop).astype(np.float64)
+    own = np.repeat(np.arange(marks.toxic), FORMS)
+    value = rows[np.arange(len(own)), own]
+    nearest = clean[:, : marks.toxic].max(axis=0, initial=0)
+    used = value > nearest[own] + CLEAR
+    support = np.bincount(near.argmax(axis=1)[near.max(axis=1, initial=0) > APART], minlength=marks.toxic)[own[used]]
+    return rows[used], support / max(1, support.sum())
+
+
 class Model:
-    """word_weight: of each landmark, by which a word's kernel row becomes its number."""
+    """word_weight: of each landmark and part, by which a word's kernel row becomes its number."""
 
     def __init__(self, marks: Landmarks, word_weight: np.ndarray, bias: float, slope: float, offset: float):
         self.marks, self.word_weight, self.bias, self.slope, self.offset = marks, word_weight.astype(np.float32), bias, slope, offset
@@ -257,7 +306,7 @@ class Model:
         out = np.array([self._known.get(k, np.nan) for k in keys])
         new = np.flatnonzero(np.isnan(out))
         if len(new):
-            out[new] = self.marks.rows(raw, start[new], stop[new]) @ self.word_weight
+            out[new] = parts(self.marks.rows(raw, start[new], stop[new])) @ self.word_weight
             if len(self._known) + len(new) > KNOWN_WORDS:
                 self._known.clear()
             self._known.update(zip([keys[i] for i in new.tolist()], out[new].tolist(), strict=True))
@@ -294,29 +343,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     toxic_marks = len(words)
     marks = Landmarks(words + [r["word"] for r in common if r["word"] not in words], toxic_marks)
     got = rows.mapInArrow(_rows(marks, sentences), "doc_id long, toxic int, row array<float>").toArrow()
-    ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy()
-    rows_k = np.stack([np.asarray(x.values, np.float64) for x in got["row"]])
-    value, vector = np.linalg.eigh(marks.gram())
-    root = vector[:, value > RANK] / np.sqrt(value[value > RANK])
-    x = rows_k @ root
+    kernel = np.stack([np.asarray(x.values, np.float64) for x in got["row"]])
+    return learned(marks, kernel, got["doc_id"].to_numpy(), got["toxic"].to_numpy())
+
+
+def learned(marks: Landmarks, kernel: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> Model:
+    """The machine of sentences with these kernel rows, ids and labels of their texts."""
+    root = nystroem(marks.gram())
+    x = parts(kernel) @ root
     _, doc = np.unique(ids, return_inverse=True)
     # a toxic text of which nothing comes near a landmark teaches nothing
-    touched = (toxic == 1) & rows_k.any(axis=1)
-    near = rows_k[:, :toxic_marks].max(axis=1, initial=0)
+    touched = (toxic == 1) & kernel.any(axis=1)
+    near = kernel[:, : marks.toxic].max(axis=1, initial=0)
     positive = touched & (near > 0.9)
     w = np.zeros(x.shape[1] + 1)
+    forms, share = virtual_rows(marks, kernel[toxic == 0], kernel[toxic == 1, : marks.toxic])
+    virtual = parts(forms) @ root
     for _ in range(4):
         if not positive.any():
             positive = toxic == 1
         used = positive | (toxic == 0)
-        w = svm(x[used], np.where(positive[used], 1.0, -1.0))
+        y = np.r_[np.where(positive[used], 1.0, -1.0), np.ones(len(virtual))]
+        weight = COST * np.r_[np.ones(used.sum()), FORM_SHARE * positive.sum() * share]
+        w = svm(np.r_[x[used], virtual], y, weight)
         f = x @ w[:-1] + w[-1]
         best = np.full(doc.max() + 1, -np.inf)
         np.maximum.at(best, doc, f)
         positive = touched & ((f > 0) | (f == best[doc]))
     y = np.zeros(doc.max() + 1)
     np.maximum.at(y, doc, toxic)
-    slope, offset = logistic(best, y)
+    slope, offset = logistic(np.r_[best, virtual @ w[:-1] + w[-1]], np.r_[y, np.ones(len(virtual))], np.r_[np.ones(len(y)), FORM_SHARE * y.sum() * share])
     return Model(marks, root @ w[:-1], float(w[-1]), slope, offset)
 
 
