@@ -51,6 +51,8 @@ POWER, SHARE = 6, 1.0
 FORMS, FORM_SHARE, CLEAR = 8, 0.4, 0.1
 #: Eigenvalues of the landmarks' kernel matrices above which their directions are used.
 RANK = 0.05
+#: Training sentences taken at a time.
+BLOCK = 1 << 14
 #: Sentences of a training text.
 SENTENCES = 32
 TEXT_BYTES = 1 << 20
@@ -218,15 +220,23 @@ def _rows(marks: Landmarks, sentences: int):
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """A linear SVM with squared hinge loss and a weight of each row, by Newton steps in the primal; bias last."""
-    x = np.c_[x, np.ones(len(x))]
+    """A linear SVM with squared hinge loss and a weight of each row, by Newton steps in the primal over blocks of rows;
+    the last column of x is the bias."""
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
-    inside = np.ones(len(x), bool)
+    inside = weight > 0
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        part = x[inside] * (2 * weight[inside])[:, None]
-        w = np.linalg.solve(ridge + part.T @ x[inside], part.T @ y[inside])
-        new = y * (x @ w) < 1
+        left, right = ridge.copy(), np.zeros(len(w))
+        at = np.flatnonzero(inside)
+        for a in range(0, len(at), BLOCK):
+            rows = at[a : a + BLOCK]
+            block = x[rows].astype(np.float64)
+            part = block * (2 * weight[rows])[:, None]
+            left += part.T @ block
+            right += part.T @ y[rows]
+        w = np.linalg.solve(left, right)
+        new = (weight > 0) & (y * (x @ w.astype(np.float32)) < 1)
         if (new == inside).all():
             break
         inside = new
@@ -343,36 +353,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     toxic_marks = len(words)
     marks = Landmarks(words + [r["word"] for r in common if r["word"] not in words], toxic_marks)
     got = rows.mapInArrow(_rows(marks, sentences), "doc_id long, toxic int, row array<float>").toArrow()
-    kernel = np.stack([np.asarray(x.values, np.float64) for x in got["row"]])
-    return learned(marks, kernel, got["doc_id"].to_numpy(), got["toxic"].to_numpy())
+    kernel = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got["row"].chunks]).reshape(-1, len(marks.words))
+    ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy()
+    del got
+    return learned(marks, kernel, ids, toxic)
 
 
 def learned(marks: Landmarks, kernel: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> Model:
     """The machine of sentences with these kernel rows, ids and labels of their texts."""
     root = nystroem(marks.gram())
-    x = parts(kernel) @ root
     _, doc = np.unique(ids, return_inverse=True)
     # a toxic text of which nothing comes near a landmark teaches nothing
     touched = (toxic == 1) & kernel.any(axis=1)
     near = kernel[:, : marks.toxic].max(axis=1, initial=0)
     positive = touched & (near > 0.9)
-    w = np.zeros(x.shape[1] + 1)
     forms, share = virtual_rows(marks, kernel[toxic == 0], kernel[toxic == 1, : marks.toxic])
-    virtual = parts(forms) @ root
+    # features of the sentences, then of the forms, and a column for the bias
+    n = len(kernel)
+    x = np.ones((n + len(forms), root.shape[1] + 1), np.float32)
+    x[n:, :-1] = parts(forms) @ root
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        x[a:b, :-1] = parts(kernel[a:b]) @ root
+    w = np.zeros(x.shape[1])
     for _ in range(4):
         if not positive.any():
             positive = toxic == 1
-        used = positive | (toxic == 0)
-        y = np.r_[np.where(positive[used], 1.0, -1.0), np.ones(len(virtual))]
-        weight = COST * np.r_[np.ones(used.sum()), FORM_SHARE * positive.sum() * share]
-        w = svm(np.r_[x[used], virtual], y, weight)
-        f = x @ w[:-1] + w[-1]
+        side = np.r_[np.where(positive, 1.0, -1.0), np.ones(len(forms))]
+        weight = COST * np.r_[positive | (toxic == 0), FORM_SHARE * positive.sum() * share]
+        w = svm(x, side, weight)
+        f = x @ w.astype(np.float32)
         best = np.full(doc.max() + 1, -np.inf)
-        np.maximum.at(best, doc, f)
-        positive = touched & ((f > 0) | (f == best[doc]))
+        np.maximum.at(best, doc, f[:n])
+        positive = touched & ((f[:n] > 0) | (f[:n] == best[doc]))
     y = np.zeros(doc.max() + 1)
     np.maximum.at(y, doc, toxic)
-    slope, offset = logistic(np.r_[best, virtual @ w[:-1] + w[-1]], np.r_[y, np.ones(len(virtual))], np.r_[np.ones(len(y)), FORM_SHARE * y.sum() * share])
+    slope, offset = logistic(np.r_[best, f[n:]], np.r_[y, np.ones(len(forms))], np.r_[np.ones(len(y)), FORM_SHARE * y.sum() * share])
     return Model(marks, root @ w[:-1], float(w[-1]), slope, offset)
 
 
