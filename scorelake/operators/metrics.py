@@ -1,7 +1,8 @@
-"""The metric registry: functions (prediction, expected, policy) -> score column in [0, 1].
+"""The metric registry: functions (prediction, expected, policy, raw, **config) -> score column in [0, 1].
 
-policy is a plain dict: multi_answer (None, all, set), aliases, accepted_answers, valid_answers, strip_units,
-reject_extra, partial_credit. Its lists become literals; rows never leave the engine's own expressions.
+expected is the canonical answer or a whole answer set, raw the expected JSON as it was given. policy is a plain dict:
+multi_answer (None, all, set), aliases, accepted_answers, valid_answers, strip_units, reject_extra, partial_credit. Its
+lists become literals. config holds a metric's own settings, such as a threshold.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.cleaning import clean_prediction, match_text, stripped
+from scorelake.functions.cleaning import case_folded, match_text, stripped
 from scorelake.functions.numbers import bound, rounded
+from scorelake.functions.vectorized import texts
+from scorelake.operators.answers import AnswerSet, answer_set
 
 METRICS: dict[str, Callable[..., Column]] = {}
 # The metric that each task type takes by default.
@@ -40,27 +43,6 @@ def one(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False)).cast("double")
 
 
-def policy_values(policy: dict | None) -> list[str]:
-    """All accepted spellings that a policy names."""
-    out: list[str] = []
-    for key in ("aliases", "accepted_answers", "valid_answers"):
-        stack = [(policy or {}).get(key) or []]
-        while stack:
-            x = stack.pop(0)
-            if isinstance(x, dict):
-                stack = list(x.values()) + stack
-            elif isinstance(x, (list, tuple, set)):
-                stack = list(x) + stack
-            else:
-                out.append(str(x))
-    return [x for x in out if x.strip()]
-
-
-def candidates(expected: Column, policy: dict | None) -> Column:
-    """The non-blank raw answers: expected and the policy's spellings."""
-    return F.filter(F.array(F.coalesce(expected, F.lit("")), *map(F.lit, policy_values(policy))), lambda x: x.rlike(r"(?U)\S"))
-
-
 def split_answers(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"(?U)[,，、]\s*"), lambda v: F.trim(v)), lambda v: v != "")
 
@@ -71,48 +53,59 @@ def option_letter(x: Column) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
+def several(policy: dict | None) -> bool:
+    """Whether a policy asks for more than one answer."""
+    return (policy or {}).get("multi_answer") in ("all", "set")
+
+
+def matching_form(policy: dict | None, remove_whitespace: bool = True) -> Callable[[Column], Column]:
+    units = (policy or {}).get("strip_units", True)
+    return lambda x: match_text(x, units, remove_whitespace)
+
+
 @register_metric("exact_match")
-def exact_match(prediction: Column, expected: Column, policy: dict | None = None) -> Column:
-    return one(expected.rlike(r"(?U)\S") & (prediction == expected))
+def exact_match(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None) -> Column:
+    aim = answer_set(expected, policy, raw).expected
+    return one(aim.rlike(r"(?U)\S") & (prediction == aim))
 
 
 @register_metric("exact_match_ci")
-def exact_match_ci(prediction: Column, expected: Column, policy: dict | None = None) -> Column:
-    policy = policy or {}
-    units = policy.get("strip_units", True)
-    form = lambda x: match_text(x, units)
-    if policy.get("multi_answer") in ("all", "set"):
-        score = _many(prediction, expected, policy, form)
+def exact_match_ci(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None) -> Column:
+    answers, form = answer_set(expected, policy, raw), matching_form(policy)
+    if several(policy):
+        score = _many(prediction, answers, policy or {}, form)
     else:
         def matched(accepted: Column) -> Column:
             rescued = lambda letter: F.exists(accepted, lambda c: c.rlike("^[a-z]$")) & (letter != "") & F.array_contains(accepted, F.lower(letter))
             return F.array_contains(accepted, form(prediction)) | bound(option_letter(prediction), rescued)
 
-        score = one(bound(F.transform(candidates(expected, policy), form), matched))
-    return F.when(form(expected) == "", F.lit(0.0)).otherwise(score)
+        score = one(bound(F.transform(answers.candidates, form), matched))
+    return F.when(form(answers.expected) == "", F.lit(0.0)).otherwise(score)
 
 
-def _many(prediction: Column, expected: Column, policy: dict, form: Callable[[Column], Column]) -> Column:
+def _many(prediction: Column, answers: AnswerSet, policy: dict, form: Callable[[Column], Column]) -> Column:
     """Required answers against given parts: the share found, or all or nothing."""
-    required = F.array_distinct(F.transform(F.split(expected, r"(?U)[,，、]\s*"), form)) if policy.get("split_expected") else F.array(form(expected))
-    compact = form(prediction)
-    letters = F.forall(required, lambda r: r.rlike("^[a-z]$")) & compact.rlike("^[a-z]{2,}$")
-    parts = F.array_distinct(F.when(letters, F.split(compact, "")).otherwise(F.transform(split_answers(prediction), form)))
-    parts = F.filter(parts, lambda p: (p != "") | ~letters)
+    required = F.array_distinct(F.transform(F.filter(answers.required, lambda x: x.rlike(r"(?U)\S")), form))
+
+    def parts(required: Column) -> Column:
+        split = F.array_distinct(F.transform(split_answers(prediction), form))
+        spelled = lambda compact: F.when(F.forall(required, lambda r: r.rlike("^[a-z]$")) & compact.rlike("^[a-z]{2,}$"), F.array_distinct(F.filter(F.split(compact, ""), lambda p: p != ""))).otherwise(split)
+        return bound(form(prediction), spelled)
+
     aliases = policy.get("aliases") or {}
-    hit = lambda r: F.array_contains(parts, r)
-    if isinstance(aliases, dict) and aliases:
-        pairs = [(form(F.lit(k)), F.transform(F.array(*[F.lit(str(v)) for v in (vs if isinstance(vs, list) else [vs])]), form)) for k, vs in aliases.items()]
+    spellings = [(form(F.lit(str(k))), F.transform(F.array(*map(F.lit, texts(v))), form)) for k, v in aliases.items() if texts(v)] if isinstance(aliases, dict) else []
 
-        def hit(r: Column) -> Column:
-            return F.array_contains(parts, r) | _any([(r == k) & F.arrays_overlap(v, parts) for k, v in pairs])
+    def score(required: Column, parts: Column) -> Column:
+        hit = lambda r: _any([F.array_contains(parts, r), *((r == k) & (k != "") & F.arrays_overlap(v, parts) for k, v in spellings)])
+        matched = F.size(F.filter(required, hit))
+        out = matched / F.size(required) if policy.get("partial_credit") else one(matched == F.size(required))
+        if policy.get("reject_extra"):
+            same = (F.size(F.array_except(parts, required)) == 0) & (F.size(F.array_except(required, parts)) == 0)
+            out = F.when(same, out).otherwise(F.lit(0.0))
+        return F.when(F.size(required) == 0, F.lit(0.0)).otherwise(out)
 
-    matched = F.size(F.filter(required, hit))
-    score = matched / F.size(required) if policy.get("partial_credit") else one(matched == F.size(required))
-    if policy.get("reject_extra"):
-        same = (F.size(F.array_except(parts, required)) == 0) & (F.size(F.array_except(required, parts)) == 0)
-        score = F.when(same, score).otherwise(F.lit(0.0))
-    return score
+    both = bound(required, lambda r: F.struct(r.alias("required"), parts(r).alias("parts")))
+    return bound(both, lambda x: score(x["required"], x["parts"]))
 
 
 def _any(flags: list[Column]) -> Column:
@@ -123,10 +116,9 @@ def _any(flags: list[Column]) -> Column:
 
 
 @register_metric("contains")
-def contains(prediction: Column, expected: Column, policy: dict | None = None) -> Column:
-    """Whether a candidate stands in the prediction as words of its own."""
-    units = (policy or {}).get("strip_units", True)
-    form = lambda x: match_text(x, units, remove_whitespace=False)
+def contains(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None) -> Column:
+    """Whether an accepted answer stands in the prediction as words of its own; of several required ones, all or their share."""
+    answers, form = answer_set(expected, policy, raw), matching_form(policy, remove_whitespace=False)
 
     def found_in(text: Column, c: Column) -> Column:
         quoted = F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
@@ -134,50 +126,72 @@ def contains(prediction: Column, expected: Column, policy: dict | None = None) -
         cjk = F.rlike(text, F.concat(F.lit(r"(?<![㐀-鿿])"), quoted, F.lit(r"(?![㐀-鿿])")))
         return F.when(c == "", False).when(c.rlike("^[a-z0-9]+(?:[ _-][a-z0-9]+)*$"), ascii_).when(c.rlike(r"[㐀-鿿]"), cjk).otherwise(F.contains(text, c))
 
-    return F.when(match_text(expected, units) == "", F.lit(0.0)).otherwise(one(bound(form(prediction), lambda text: F.exists(F.transform(candidates(expected, policy), form), lambda c: found_in(text, c)))))
+    # what a helper may have made stands outside the function that reads it
+    row = F.struct(form(prediction).alias("text"), F.transform(answers.candidates, lambda c: form(form(c))).alias("accepted"), F.transform(answers.required, form).alias("required"))
+
+    def score(x: Column) -> Column:
+        found = lambda forms: F.filter(forms, lambda c: found_in(x["text"], c))
+        any_ = one(F.size(found(x["accepted"])) > 0)
+        if not several(policy):
+            return any_
+        n, matched = F.size(x["required"]), F.size(found(x["required"]))
+        share = matched.cast("double") / n if (policy or {}).get("partial_credit") else one(matched == n)
+        return F.when(n > 1, share).otherwise(any_)
+
+    return F.when(match_text(answers.expected, (policy or {}).get("strip_units", True)) == "", F.lit(0.0)).otherwise(bound(row, score))
 
 
 def numbers(x: Column) -> Column:
     """The numbers of a text: with Chinese units first, then plain ones outside those."""
     unit = "|".join(NUMBER_UNITS)
-    text = F.coalesce(x, F.lit(""))
     with_unit = rf"({NUMBER})\s*({unit})"
     factor = F.create_map(*[F.lit(v) for kv in NUMBER_UNITS.items() for v in kv])
     value = lambda t: F.regexp_replace(t, ",", "").try_cast("double")
-    large = F.transform(F.regexp_extract_all(text, F.lit(with_unit), 0), lambda m: value(F.regexp_extract(m, with_unit, 1)) * F.element_at(factor, F.regexp_extract(m, with_unit, 2)))
-    rest = F.regexp_replace(text, with_unit, "\u0001")
-    return F.array_compact(F.concat(large, F.transform(F.regexp_extract_all(rest, F.lit(NUMBER + r"(?:[eE][-+]?\d+)?"), 0), value)))
+
+    def found(text: Column) -> Column:
+        large = F.transform(F.regexp_extract_all(text, F.lit(with_unit), 0), lambda m: value(F.regexp_extract(m, with_unit, 1)) * F.element_at(factor, F.regexp_extract(m, with_unit, 2)))
+        rest = F.regexp_replace(text, with_unit, "\u0001")
+        return F.array_compact(F.concat(large, F.transform(F.regexp_extract_all(rest, F.lit(NUMBER + r"(?:[eE][-+]?\d+)?"), 0), value)))
+
+    # a text without a digit has no number; the patterns are then not tried
+    return bound(F.coalesce(x, F.lit("")), lambda text: F.when(text.rlike(r"\d"), found(text)).otherwise(F.array().cast("array<double>")))
 
 
 @register_metric("numeric_match")
-def numeric_match(prediction: Column, expected: Column, policy: dict | None = None, tolerance: float = 1e-6) -> Column:
+def numeric_match(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None, tolerance: float = 1e-6) -> Column:
     if not 0 <= tolerance < float("inf"):
         raise ValueError("tolerance must be finite and non-negative")
-    got, aims = numbers(prediction), F.array_distinct(F.flatten(F.transform(candidates(expected, policy), numbers)))
-    near = lambda t: F.exists(got, lambda g: F.abs(g - t) <= tolerance)
-    if (policy or {}).get("multi_answer") in ("all", "set"):
+    both = F.struct(numbers(prediction).alias("got"), F.array_distinct(F.flatten(F.transform(answer_set(expected, policy, raw).candidates, numbers))).alias("aims"))
+
+    def score(x: Column) -> Column:
+        got, aims = x["got"], x["aims"]
+        near = lambda t: F.exists(got, lambda g: F.abs(g - t) <= tolerance)
+        any_ = one(F.exists(aims, near))
+        if not several(policy):
+            return any_
         matched = F.size(F.filter(aims, near))
         many = F.try_divide(matched.cast("double"), F.size(aims)) if (policy or {}).get("partial_credit") else one(matched == F.size(aims))
-        return F.when(F.size(aims) > 1, many).otherwise(one(F.exists(aims, near)))
-    return one(F.exists(aims, near))
+        return F.when(F.size(aims) > 1, many).otherwise(any_)
 
+    return bound(both, score)
 
-def _fuzzy(prediction: Column, accepted: Column, threshold: float) -> Column:
-    def near(c: Column) -> Column:
-        longest = F.greatest(F.length(prediction), F.length(c))
-        return (longest == 0) | (1 - F.levenshtein(prediction, c) / longest >= threshold)
 
-    return one(F.exists(accepted, near))
+@register_metric("fuzzy_match")
+def fuzzy_match(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None, threshold: float = 0.8) -> Column:
+    """Whether an accepted answer is near: one minus the edit distance over the longer length. White space and case do not count."""
+    if not 0 <= threshold <= 1:
+        raise ValueError("threshold must be between 0 and 1")
+    form = matching_form(policy)
+    squeezed = lambda x: F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", ""))
 
+    def near(text: Column, c: Column) -> Column:
+        return (c != "") & (1 - F.levenshtein(text, c) / F.greatest(F.length(text), F.length(c)) >= threshold)
 
-@register_metric("fuzzy_match")
-def fuzzy_match(prediction: Column, expected: Column, policy: dict | None = None, threshold: float = 0.8) -> Column:
-    return _fuzzy(F.coalesce(prediction, F.lit("")), candidates(expected, policy), threshold)
+    row = F.struct(squeezed(prediction).alias("text"), F.transform(answer_set(expected, policy, raw).candidates, lambda c: squeezed(form(c))).alias("accepted"))
+    return bound(row, lambda x: one((x["text"] != "") & F.exists(x["accepted"], lambda c: near(x["text"], c))))
 
 
-@register_metric("fuzzy_match_ci")
-def fuzzy_match_ci(prediction: Column, expected: Column, policy: dict | None = None, threshold: float = 0.8) -> Column:
-    return bound(match_text(prediction), lambda p: _fuzzy(p, F.transform(candidates(expected, policy), lambda c: match_text(c)), threshold))
+register_metric("fuzzy_match_ci")(fuzzy_match)
 
 
 def judge_verdict(text: Column, yes: list[str], no: list[str]) -> Column:
@@ -212,21 +226,6 @@ def test_pass_rate(rows: DataFrame, outcomes: DataFrame, keys: list[str]) -> Dat
     return rows.join(rates, keys, "left").withColumn("pass_rate", F.coalesce("pass_rate", F.lit(0.0)))
 
 
-def check_suite(suite: list[dict]) -> list[tuple[str, float]]:
-    """(name, weight) of a metric suite; ValueError on unknown or repeated names and bad weights."""
-    out: list[tuple[str, float]] = []
-    for entry in suite:
-        name, weight = entry["name"], float(entry.get("weight", 1.0))
-        if name not in METRICS:
-            raise ValueError(f"unknown metric {name}")
-        if name in dict(out):
-            raise ValueError(f"metric {name} is given twice")
-        if not 0 < weight < float("inf"):
-            raise ValueError(f"weight of {name} must be positive and finite")
-        out.append((name, weight))
-    return out
-
-
 def guarded(score: Column) -> Column:
     """A score in [0, 1], else null."""
     return bound(score, lambda s: F.when(~F.isnan(s) & s.between(0.0, 1.0), s))
@@ -255,49 +254,54 @@ def score_reason(metric: str, score: Column, cleaned: Column, expected: Column,
     return F.concat(F.lit(f"{metric}: "), F.when(score >= 1.0, "matched").otherwise("did not match"), F.lit("; "), detail, note)
 
 
-def score_rows(results: DataFrame, suite: list[dict], policy: dict | None = None) -> DataFrame:
-    """results (output, expected, error) with cleaned, score_NAME, score and error_kind; one projection, no shuffle."""
-    parts = check_suite(suite)
-    out = results.withColumn("cleaned", clean_prediction(F.col("output")))
-    out = out.withColumns({f"score_{n}": guarded(METRICS[n](F.col("cleaned"), F.col("expected"), policy)) for n, _ in parts})
-    total = sum(w for _, w in parts)
-    score = sum((F.col(f"score_{n}") * w for n, w in parts), F.lit(0.0)) / total
-    failed = F.coalesce(F.col("error"), F.lit("")) != "" if "error" in results.columns else F.lit(False)
-    return out.withColumn("score", F.when(~failed, rounded(score))).withColumn("error_kind", F.when(failed, "provider").when(F.col("score").isNull(), "metric"))
-
-
 def answer_tokens(text: Column) -> Column:
     """Latin words and numbers; for texts with CJK characters the characters and their neighbours in pairs."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    chars = F.regexp_extract_all(low, F.lit(r"(?U)\S"), 0)
-    pairs = F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), lambda c, i: F.concat(c, F.get(chars, i + 1)))
-    return F.when(low.rlike("[　-鿿]"), F.concat(chars, pairs)).otherwise(F.regexp_extract_all(low, F.lit("[a-z0-9]+(?:['’][a-z0-9]+)?"), 0))
+    # The tokens that scores depend on.
+    latin, sign, cjk = "[a-z0-9]+(?:['’][a-z0-9]+)?", r"(?U)\S", "[　-鿿]"
+
+    def pairs(chars: Column) -> Column:
+        return F.concat(chars, F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
+
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(cjk), bound(F.regexp_extract_all(F.lower(text), F.lit(sign), 0), pairs)).otherwise(F.regexp_extract_all(case_folded(text), F.lit(latin), 0))
+
+
+def numbered_tokens(tokens: Column) -> Column:
+    """The tokens, each with its number among equal ones, so that sets of them compare as multisets. The sorted tokens are cut
+    into runs of equal ones: the work grows with the text, not with its square."""
+    runs = F.regexp_extract_all(F.concat(F.array_join(F.array_sort(tokens), " "), F.lit(" ")), F.lit(r"(\S++) (?:\1 )*+"), 0)
+    spread = lambda run, token: F.transform(F.sequence(F.lit(1), (F.length(run) / (F.length(token) + 1)).cast("int")), lambda j: F.concat(token, F.lit(" "), j))
+    return F.flatten(F.transform(runs, lambda run: bound(F.substring_index(run, " ", 1), lambda token: spread(run, token))))
 
 
 @register_metric("f1_token")
-def f1_token(prediction: Column, expected: Column, policy: dict | None = None) -> Column:
-    """Multiset token F1 with the best candidate."""
-    got = answer_tokens(prediction)
+def f1_token(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None) -> Column:
+    """Multiset token F1 with the best accepted answer, or with all required ones as one text."""
+    answers = answer_set(expected, policy, raw)
+    aims = answers.candidates
+    if several(policy):
+        aims = F.when(F.size(answers.required) > 1, F.array(F.array_join(answers.required, " "))).otherwise(aims)
+
+    row = F.struct(numbered_tokens(answer_tokens(prediction)).alias("got"), F.transform(aims, lambda a: numbered_tokens(answer_tokens(a))).alias("aims"))
 
-    def f1(candidate: Column) -> Column:
-        aim = answer_tokens(candidate)
-        times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
-        common = F.aggregate(F.array_intersect(got, aim), F.lit(0), lambda n, t: n + F.least(times(got, t), times(aim, t)))
-        return F.when(common > 0, 2.0 * common / (F.size(got) + F.size(aim))).otherwise(F.lit(0.0))
+    def best(x: Column) -> Column:
+        got = x["got"]
+        f1 = lambda aim: bound(F.size(F.array_intersect(got, aim)), lambda common: F.when(common > 0, 2.0 * common / (F.size(got) + F.size(aim))).otherwise(F.lit(0.0)))
+        return F.array_max(F.transform(x["aims"], f1))
 
-    return F.coalesce(F.array_max(F.transform(candidates(expected, policy), f1)), F.lit(0.0))
+    return F.coalesce(bound(row, best), F.lit(0.0))
 
 
 @register_metric("tool_call")
-def tool_call(prediction: Column, expected: Column, policy: dict | None = None, expected_json: Column | None = None) -> Column:
-    """1, 0.5 or 0: whether the output calls the expected tool with the argument keys of expected_json."""
+def tool_call(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None) -> Column:
+    """1, 0.5 or 0: whether the output calls the expected tool with the argument keys of the raw expected JSON."""
     from scorelake.functions.vectorized import tool_scores
 
-    return tool_scores(prediction, expected, F.lit(None).cast("string") if expected_json is None else expected_json)
+    return tool_scores(prediction, answer_set(expected).expected, F.lit(None).cast("string") if raw is None else raw)
 
 
 @register_metric("semantic_similarity")
-def _semantic_similarity(prediction: Column, expected: Column, policy: dict | None = None) -> Column:
+def _semantic_similarity(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None, text_weight: float = 0.9) -> Column:
     from scorelake.functions.vectorized import semantic_similarity
 
-    return semantic_similarity(prediction, expected)
+    return semantic_similarity(prediction, answer_set(expected).expected, text_weight)

@@ -11,6 +11,7 @@ from scorelake.operators import governance as G
 from scorelake.operators import inference as I
 from scorelake.operators import judges as J
 from scorelake.operators import metrics as M
+from scorelake.operators import scoring as S
 from scorelake.operators import prompts as P
 from scorelake.operators import repair as R
 from scorelake.operators import summaries
@@ -45,7 +46,7 @@ def m15_tool_call(s, d):
     short = F.to_json(F.struct(F.struct(F.col("category").alias("name")).alias("function"), F.to_json(F.struct("size")).alias("parameters")))
     said = F.when(F.col("row_idx") % 5 == 0, call).when(F.col("row_idx") % 5 == 1, F.concat(F.lit("I call it:\n```json\n"), call, F.lit("\n```"))).when(F.col("row_idx") % 5 == 2, short).when(F.col("row_idx") % 5 == 3, F.concat(F.lit("so "), F.regexp_replace(call, "Brand", "Other"), F.lit(" it is"))).otherwise("no call")
     wanted = F.to_json(F.struct(F.struct(F.lit("text").alias("question"), F.lit(1).alias("size")).alias("arguments")))
-    return view(s, d, "dataset_rows").select("row_idx", M.tool_call(said, F.col("category"), expected_json=wanted).alias("score"))
+    return view(s, d, "dataset_rows").select("row_idx", M.tool_call(said, F.col("category"), raw=wanted).alias("score"))
 
 
 def _judged(s, d):
@@ -108,7 +109,7 @@ def w1_evaluation_run(s, d):
     rows = _expected(s, d).select("row_idx", "dataset_id", "expected", F.to_json(F.struct("question", "answer")).alias("input"))
     prompts = rows.withColumn("prompt", P.rendered_or_dumped("Which type is {question}?\nAnswer: {answer}", F.col("input"))).withColumn("context", F.lit(4000))
     answered = I.offline_model(P.overflowing(prompts, "prompt", "context", 256).drop("error"), F.lit("m1"))
-    scored = M.score_rows(answered.withColumnsRenamed({"answer": "output", "expected": "raw"}).withColumn("expected", M.canonical_expected(F.col("raw"))), [{"name": "exact_match_ci"}])
+    scored = S.score_rows(answered.withColumnsRenamed({"answer": "output", "expected": "expected_raw"}), S.ScoringPlan("exact_match_ci"))
     results = scored.select(F.col("dataset_id").alias("experiment_id"), "row_idx", "score", "error", "latency_ms", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.lit(0.0).alias("cost"))
     return summaries.run_summary(results).select("experiment_id", "rows_seen", "rows_scored", "accuracy", "total_tokens")
 
@@ -137,7 +138,7 @@ def d15_file_hashes(s, d):
 
 
 def d17_signal_rows(s, d):
-    cleaned = M.score_rows(view(s, d, "answer_pairs"), [{"name": "exact_match"}]).withColumn("error", F.when(F.col("row_idx") % 50 == 7, "lost"))
+    cleaned = S.score_rows(view(s, d, "answer_pairs"), S.ScoringPlan("exact_match")).withColumn("error", F.when(F.col("row_idx") % 50 == 7, "lost"))
     return D.row_signals(cleaned, 5).select("code", "n_rows", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("shown"))
 
 

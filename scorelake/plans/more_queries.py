@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from scorelake.functions.numbers import rounded
 from scorelake.operators import datasets as D
 from scorelake.operators import governance as G
-from scorelake.operators import metrics as M
 from scorelake.operators import prompts as P
+from scorelake.operators import scoring as S
 from scorelake.sources.fixtures import oracle, raw, view
 
 
@@ -36,7 +36,7 @@ def d16_flat_rows(s, d):
 
 
 def d18_dry_run_summary(s, d):
-    scored = M.score_rows(view(s, d, "answer_pairs"), [{"name": "exact_match_ci"}])
+    scored = S.score_rows(view(s, d, "answer_pairs"), S.ScoringPlan("exact_match_ci"))
     out = D.dry_run_summary(scored, 100)
     return out.withColumn("avg_score", rounded(F.col("avg_score")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelake.operators.scoring import ScoringPlan
 from scorelake.plans.scoring_queries import ORACLE as SCORING
 from scorelake.sources.fixtures import oracle, raw, view
 from scorelake.streaming import jobs as J
@@ -50,8 +51,8 @@ def t5_task_states(s, d):
 
 def t6_streamed_scores(s, d):
     parts = s.readStream.schema(raw(s, d, "part").schema).option("pathGlobFilter", "part.parquet").parquet(d)
-    answers = view(s, d, "answer_pairs", part=parts).withColumn("error", F.when(F.col("row_idx") % 10 == 0, "rate limited"))
-    return J.scored_stream(answers, [{"name": "exact_match_ci"}], ["row_idx"])
+    answers = view(s, d, "answer_sheets", part=parts).withColumn("error", F.when(F.col("row_idx") % 10 == 0, "rate limited"))
+    return J.scored_stream(answers, ScoringPlan("exact_match_ci"), ["row_idx"])
 
 
 def t7_stream_notifications(s, d):

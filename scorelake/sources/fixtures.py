@@ -29,6 +29,11 @@ FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=
 SELECT p_partkey AS row_idx, p_type AS expected,
  CASE p_partkey % 6 WHEN 0 THEN p_type WHEN 1 THEN CONCAT('Answer: ', UPPER(p_type)) WHEN 2 THEN CONCAT('thinking', CHR(10), 'Final Answer: ', p_type, '.')
  WHEN 3 THEN CONCAT('"', p_type, '" (note)') WHEN 4 THEN p_name ELSE '' END AS output FROM part""",
+    "answer_sheets": """
+SELECT p_partkey AS row_idx, p_partkey % 5 AS experiment_id, p_name AS expected, p_brand AS brand, p_type AS kind,
+ CONCAT('{"answer": ["', p_name, '", "', p_brand, '"], "aliases": ["', p_type, '"]}') AS expected_raw,
+ CASE p_partkey % 7 WHEN 0 THEN CONCAT('It is, of course, ', p_name, '.') WHEN 1 THEN CONCAT('Answer: ', UPPER(p_name)) WHEN 2 THEN CONCAT('thinking', CHR(10), 'Final Answer: ', p_name, ', ', p_brand)
+ WHEN 3 THEN CONCAT(p_brand, ', ', p_name, '!') WHEN 4 THEN CONCAT('Answer: ', p_type) WHEN 5 THEN CONCAT('no ', p_brand, ' here') ELSE '' END AS output FROM part""",
     "judge_labels": """
 SELECT doc_id, quality AS gold, 1 - toxic AS judge_a, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE quality END AS judge_b FROM labels""",
     "chat_turns": """
@@ -45,7 +50,7 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
     """A fixture view over the tables in sf_dir; given: tables to take in their place, such as streams of them."""
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
     used = [t for t in RAW if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)

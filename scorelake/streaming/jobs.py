@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.numbers import ratio, rounded
-from scorelake.operators.metrics import score_rows
+from scorelake.operators.scoring import ScoringPlan, score_rows
 from scorelake.sources.storage import work_dir
 
 ACTIVE = ["queued", "running", "scored"]
@@ -126,9 +126,9 @@ def change_feed(events: DataFrame, step: float = 0.5) -> DataFrame:
     return rows.groupBy("experiment_id").applyInPandasWithState(_changes(step), schema, "status string, seen double, ended boolean", "append", "NoTimeout")
 
 
-def scored_stream(answers: DataFrame, suite: list[dict], keys: list[str]) -> DataFrame:
+def scored_stream(answers: DataFrame, plan: ScoringPlan, keys: list[str]) -> DataFrame:
     """Score a stream of answers batch by batch and return the table of the latest score of each key."""
-    scored = score_rows(answers, suite).select(*keys, "cleaned", "score", "error_kind")
+    scored = score_rows(answers, plan).select(*keys, "cleaned", "score", "error_kind")
     return settle(scored, "update", keys)
 
 
