@@ -36,11 +36,11 @@ paired AS (SELECT *, LAG(x) OVER (PARTITION BY conv_id ORDER BY n) || x AS pair
 facts AS (
  SELECT conv_id, COUNT(*) AS rows_, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 'blank') AS blank, COUNT(*) FILTER (fault = 'duplicate') AS duplicate,
   COUNT(*) FILTER (fault = 'truncated') AS truncated, COUNT(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM paired GROUP BY 1),
-nexts(q, x, q2, role) AS (VALUES (0, 's', 1, NULL), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+nexts(q, x, q2, role) AS (VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
 inserts AS (SELECT q, q AS q2, 0 AS cost, '' AS letter, CAST([] AS VARCHAR[]) AS lines FROM (VALUES (0), (1), (2), (3)) t(q) UNION ALL SELECT q, q2, 5, 'I', [role || ':'] FROM nexts WHERE x <> 's'),
 edges AS (
- SELECT q, q2, cost + 2 AS cost, RPAD(letter || 'D', 2, ' ') AS slot, lines, 'D' AS op, NULL AS x, NULL AS role FROM inserts
- UNION ALL SELECT i.q, o.q2, cost, RPAD(letter || 'K', 2, ' '), lines, 'K', x, NULL FROM inserts i JOIN nexts o ON o.q = i.q2
+ SELECT q, q2, cost + 2 AS cost, RPAD(letter || 'D', 2, ' ') AS slot, lines, 'D' AS op, '' AS x, '' AS role FROM inserts
+ UNION ALL SELECT i.q, o.q2, cost, RPAD(letter || 'K', 2, ' '), lines, 'K', x, '' FROM inserts i JOIN nexts o ON o.q = i.q2
  UNION ALL SELECT i.q, o.q2, cost + 1, RPAD(letter || 'R', 2, ' '), lines, 'R', x, o.role FROM inserts i JOIN nexts o ON o.q = i.q2 WHERE x <> 's'),
 dp AS (
  SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM facts
