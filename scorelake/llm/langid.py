@@ -1,8 +1,7 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the blended spectrum with presence: the number of distinct byte n-grams, n = 1 to 3, that
-both hold, divided by the root of the product of their numbers. Only n-grams of some landmark are counted, since no
-other one can add to a kernel value with a landmark. Landmarks are LANDMARKS training texts; the Nystroem map of a text
+both hold, divided by the root of the product of their numbers, all n-grams of a text counted. Landmarks are LANDMARKS training texts; the Nystroem map of a text
 is its kernel row times the inverse root of the landmarks' kernel matrix; one ridge regression per language, one versus
 the rest, is fitted on that map. All kernel rows of a chunk of texts come from one matrix product.
 
@@ -78,19 +77,22 @@ class Kernel:
     def chunk_rows(self) -> int:
         return max(1, min(ROWS, MATRIX_BYTES // (4 * (len(self.vocabulary) + 1))))
 
-    def presence(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Texts by vocabulary; column 0 is spare, for n-grams that no landmark has."""
+    def presence(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts by vocabulary, and how many distinct n-grams each text has, those included that no landmark has."""
         if self._place is None:
             self._place = np.zeros(CODES, np.int32)
             self._place[self.vocabulary] = np.arange(1, len(self.vocabulary) + 1)
         out = np.zeros((len(cuts) - 1, len(self.vocabulary) + 1), np.float32)
         code, owner = codes(raw, cuts)
-        out.reshape(-1)[owner * out.shape[1] + self._place[code]] = 1
-        return out[:, 1:]
+        place = self._place[code]
+        out.reshape(-1)[owner * out.shape[1] + place] = 1
+        other = place == 0
+        others = np.unique(owner[other].astype(np.int64) * CODES + code[other]) // CODES
+        return out[:, 1:], out[:, 1:].sum(axis=1) + np.bincount(others, minlength=len(out))
 
     def rows(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        has = self.presence(raw, cuts)
-        return (has @ self.marks) / np.sqrt(np.maximum(1, has.sum(axis=1)))[:, None]
+        has, count = self.presence(raw, cuts)
+        return (has @ self.marks) / np.sqrt(np.maximum(1, count))[:, None]
 
 
 def _text_runs(ends: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:

@@ -11,6 +11,9 @@ safe steps the one is used that catches the most bad documents, and of equals th
 rules falsely reject no more than ALPHA of the good documents of any stratum. Without enough labels a stratum has no safe
 step and only the base rules act; with no false rejection 85 good labels are enough for four strata.
 
+The trials of a tail are independent: of rows with one id the text of least hash counts, and of equal texts of a stratum,
+whatever their ids, one; where their labels differ, the least.
+
 Defined cases: a null text has no words and fails the base rules; a null language is a stratum of its own; labels with
 null quality are ignored; repeated rows are judged alike; an empty table gives an empty result; the ids, text and
 language are read, whatever other columns there are.
@@ -47,18 +50,19 @@ def _words(text: Column) -> Column:
 
 
 def base_signals(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) without any shuffle.
+    """(doc_id, stratum, text_hash, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) without any shuffle.
 
     The five-word windows of a text are hashed. Where some hash occurs twice, (hash, place) pairs are sorted within the
     row, the places of equal neighbours are the repeated windows, and their union is measured along the text.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    one = docs.select(F.col(key).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"), _words(body).alias("w"))
+    one = docs.select(F.col(key).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.sha2(body, 256).alias("text_hash"), F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"), _words(body).alias("w"))
     windows = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(WINDOW)]))
     one = one.select(
         "doc_id",
         "stratum",
+        "text_hash",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -116,15 +120,34 @@ def rejected(step: dict[str, float]) -> Column:
     return F.coalesce(reduce(Column.__or__, [F.col(name) > cutoff for name, cutoff in step.items()]), F.lit(False))
 
 
+def first_rejection(steps: list[dict[str, float]]) -> Column:
+    """The first step that rejects a row, the number of steps if none does: each step rejects what those before it do."""
+    out = F.lit(len(steps))
+    for i, step in reversed(list(enumerate(steps))):
+        out = F.when(rejected(step), i).otherwise(out)
+    return out
+
+
+def trials(rated: DataFrame) -> DataFrame:
+    """(stratum, quality, first): one row of each id and of each text of a stratum that pass the base rules."""
+    names = ["quality", "first"]
+    held = rated.where("NOT base_failed AND quality IS NOT NULL").withColumn("first", first_rejection(staircase()))
+    row = F.struct("text_hash", *names, "stratum")
+    ids = held.groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    return ids.groupBy("stratum", "text_hash").agg(F.min(F.struct(*names)).alias("row")).select("stratum", "row.*")
+
+
 def safe_steps(rated: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, step): the step of the staircase in use. rated: ratios with quality 0/1 of the labelled holdout."""
-    steps = staircase()
-    held = rated.where("NOT base_failed AND quality IS NOT NULL")
+    """(stratum, step): the step of the staircase in use. rated: doc_id, stratum, text_hash, base_failed and ratios with
+    quality 0/1 of the labelled holdout."""
+    steps = len(staircase())
     good, bad = F.col("quality") == 1, F.col("quality") == 0
-    sums = [F.count_if(side & rejected(step)).alias(f"{kind}{i}") for i, step in enumerate(steps) for kind, side in (("good", good), ("bad", bad))]
-    counts = stored(held.groupBy("stratum").agg(F.count_if(good).alias("n"), *sums).where("n > 0"), "stratum-counts")
+    # a histogram of the first rejections; running sums of it are the rejections of every step
+    shares = trials(rated).groupBy("stratum", "first").agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad"))
+    counts = stored(shares.groupBy("stratum").agg(F.sum("good").alias("n"), F.collect_list(F.struct("first", "good", "bad")).alias("bins")).where("n > 0"), "stratum-counts")
     strata = max(1, counts.count())
-    rows = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"good{i}").alias("k"), F.col(f"bad{i}").alias("hits")) for i in range(len(steps))])
+    until = lambda i, field: F.aggregate(F.filter("bins", lambda b: b["first"] <= i), F.lit(0).cast("long"), lambda a, b: a + b[field])
+    rows = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.struct(i.alias("step"), until(i, "good").alias("k"), until(i, "bad").alias("hits")))
     # a rule that rejects more than its share can't be safe, so that the tail has n * alpha terms at most
     safe = lambda r: (r["k"] <= F.col("n") * alpha) & (log_binomial_tail(F.col("n"), F.least(r["k"], F.ceil(F.col("n") * alpha)), alpha) <= math.log(delta / strata))
     tested = counts.select("stratum", F.transform(rows, lambda r: F.struct(r["step"].alias("step"), r["hits"].alias("hits"), safe(r).alias("safe"))).alias("tested"))
@@ -142,6 +165,6 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
     # a stratum with a safe step has dozens of labelled documents; the table is small unless strata are countless
     if safe.count() <= MAX_BROADCAST_STRATA:
         safe = F.broadcast(safe)
-    over = F.coalesce(reduce(Column.__or__, [(F.col("step") == i) & rejected(step) for i, step in enumerate(staircase())]), F.lit(False))
     out = signals.join(safe, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    over = F.coalesce(first_rejection(staircase()) <= F.col("step"), F.lit(False))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"))

@@ -38,8 +38,7 @@ def test_language_scores_equal_plain_ridge_regression(spark):
     text = {i: t for i, t, _ in rows}
     grams = lambda t: {t.lower().encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
     marks = [grams(text[c[1]]) for c in chosen[:9]]
-    known = set().union(*marks)
-    k = lambda t: np.array([len(grams(t) & m) / math.sqrt(len(grams(t) & known) * len(m)) for m in marks])
+    k = lambda t: np.array([len(grams(t) & m) / math.sqrt(len(grams(t)) * len(m)) for m in marks])
     between = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in marks] for a in marks])
     value, vector = np.linalg.eigh(between)
     x = np.c_[np.array([k(text[c[1]]) for c in chosen]) @ vector / np.sqrt(value), np.ones(len(chosen))]
@@ -74,11 +73,10 @@ def test_language_edges(edge_docs, edge_rows, empty_docs):
 
 def test_language_kernel_by_hand():
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    marks, text = [b"the cat", b"der hund"], b"The mat"
+    marks, text = [b"the cat", b"der hund"], b"The mat, quite another"
     sets = [np.unique(langid.codes(np.frombuffer(m, np.uint8), np.array([0, len(m)]))[0]) for m in marks]
     row = langid.Kernel(sets).rows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-    known = grams(marks[0]) | grams(marks[1])
-    own = grams(text.lower()) & known
+    own = grams(text.lower())
     want = [len(own & grams(m)) / math.sqrt(len(own) * len(grams(m))) for m in marks]
     assert np.allclose(row, want, atol=1e-6)
 
@@ -227,7 +225,8 @@ def test_rules_steps_equal_brute_force(spark):
             bad = i >= n
             ratio = lambda top: rng.random() * top if bad or rng.random() < noise else 0.0
             rated.append((lang, False, int(not bad), ratio(1.0), ratio(1.0), ratio(0.2), 5 + ratio(18.0)))
-    df = spark.createDataFrame(rated, "stratum string, base_failed boolean, quality int, symbol_ratio double, dup_line_ratio double, repeat_ratio double, word_length double")
+    schema = "doc_id long, text_hash string, stratum string, base_failed boolean, quality int, symbol_ratio double, dup_line_ratio double, repeat_ratio double, word_length double"
+    df = spark.createDataFrame([(i, f"t{i}", *r) for i, r in enumerate(rated)], schema)
     got = {r["stratum"]: r["step"] for r in rules.safe_steps(df).collect()}
     names, steps, want = list(rules.GRID), rules.staircase(), {}
     assert len(steps) == 23 and all(sum(a[n] > b[n] for n in names) == 1 and all(a[n] >= b[n] for n in names) for a, b in zip(steps, steps[1:], strict=False))
@@ -246,6 +245,21 @@ def test_rules_steps_equal_brute_force(spark):
     assert got == want and set(want) == {"en", "de"}
 
 
+def test_repeats_are_one_trial(spark):
+    rng = random.Random(4)
+    prose = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(30))
+    junk = lambda: " ".join(f"w{rng.randint(0, 999)}###" for _ in range(30))
+    one, bad = prose(), junk()
+    rows = [(1, one)] * 200 + [(1000 + i, one) for i in range(200)] + [(2, bad)] * 50 + [(5000 + i, junk()) for i in range(5)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i == 1 or 1000 <= i < 5000)) for i in {r[0] for r in rows}], "doc_id long, quality int")
+    assert all(r["kept"] for r in rules.judged(docs, marks).collect())
+    many = [(i, prose()) for i in range(200)] + [(5000 + i, junk()) for i in range(5)] + [(5000, junk())] * 3
+    docs = spark.createDataFrame([(*r, "en") for r in many], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i < 5000)) for i in {r[0] for r in many}], "doc_id long, quality int")
+    assert all(r["kept"] == (r["doc_id"] < 5000) for r in rules.judged(docs, marks).collect())
+
+
 def test_rules_empty(empty_docs, labels):
     assert rules.judged(empty_docs, labels).count() == 0
 
