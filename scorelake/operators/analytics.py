@@ -99,13 +99,6 @@ def subgroups(results: DataFrame, rows: DataFrame, field: str) -> DataFrame:
     )
 
 
-def paired(results: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Error-free rows that both experiments of a pair have: (a, b, row_idx, score_a, score_b)."""
-    clean = results.where(is_clean()).select("experiment_id", "row_idx", "score")
-    left = pairs.select("a", "b").join(clean.withColumnsRenamed({"experiment_id": "a", "score": "score_a"}), "a")
-    return left.join(clean.withColumnsRenamed({"experiment_id": "b", "score": "score_b"}), ["b", "row_idx"]).select("a", "b", "row_idx", "score_a", "score_b")
-
-
 def cohort_joined(results: DataFrame, experiments: DataFrame, *values: str) -> DataFrame:
     """(a, b, row_idx, V_a, V_b) for the rows that two experiments a < b of one cohort share: each result takes its
     cohort along, and one equi-join on (cohort, row_idx) makes all pairs at once."""
@@ -114,18 +107,6 @@ def cohort_joined(results: DataFrame, experiments: DataFrame, *values: str) -> D
     return side("a").join(side("b"), [*COHORT, "row_idx"]).where("a < b").drop(*COHORT)
 
 
-def cohort_paired(results: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Error-free rows that both experiments of a pair of one cohort have, for all pairs."""
-    return cohort_joined(results.where(is_clean()), experiments, "score")
-
-
-def failure_diff(results: DataFrame, experiments: DataFrame) -> DataFrame:
-    """How many shared rows only a, only b, or both get wrong, for all pairs of a cohort."""
-    joined = cohort_joined(results.select("experiment_id", "row_idx", is_failure().alias("wrong")), experiments, "wrong")
-    wa, wb = F.col("wrong_a"), F.col("wrong_b")
-    return joined.groupBy("a", "b").agg(F.count("*").alias("shared_rows"), F.count_if(wa & ~wb).alias("a_only_wrong"), F.count_if(wb & ~wa).alias("b_only_wrong"), F.count_if(wa & wb).alias("both_wrong"))
-
-
 def model_routing(board: DataFrame, floor: float) -> DataFrame:
     """Best run of each model in the dominant cohort, models above the floor first by cost per row, then the weak."""
     sizes = board.groupBy(*COHORT).agg(F.count("*").alias("n"))

@@ -1,13 +1,16 @@
 """Statistics of experiments and pairs: bootstrap, McNemar, Wilson, calibration and agreement.
 
-Row scores are first counted by value, so that a resample is one multinomial draw over the distinct values and costs
-the same for any number of rows; only that draw and two tail functions are Python. Pairs are drawn in batches of many.
+Scores are first counted by value, before any shuffle of rows. A key with at most CELL distinct values is resampled by
+multinomial draws over them. One with more, as continuous scores give, is dealt into cells of about CELL values by a hash of
+the value; each cell draws for every replicate a Poisson weight of each value's count, from a seed of its key and cell, and
+gives the weighted sums; the sums of a replicate add up over the cells. So no task's memory grows with the rows or with the
+distinct values of a key, and a lost task draws the same again.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,43 +19,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.numbers import ratio, rounded
+from scorelake.sources.storage import stored
 
 RESAMPLES, SEED = 2000, 42
+#: Distinct values that one task draws over, and numbers that it holds at a time.
+CELL, BLOCK = 1 << 14, 1 << 21
+#: Keys with more than CELL values up to which their list is broadcast.
+FEW = 10_000
+LEVEL = 0.95
+
+
+def _blocks(resamples: int, width: int) -> Iterator[int]:
+    """Replicates in blocks of at most BLOCK drawn numbers."""
+    step = max(1, BLOCK // max(1, width))
+    for at in range(0, resamples, step):
+        yield min(step, resamples - at)
 
 
 def resampled_means(values: np.ndarray, counts: np.ndarray, resamples: int, seed: list[int]) -> np.ndarray:
-    """Sorted means of resamples of rows that have these values and counts: draws of few rows one by one, else of counts."""
+    """Means of resamples of rows that have these values (a column for each mean) and counts, replicate by replicate."""
     n, rng = int(counts.sum()), np.random.default_rng(seed)
     if n <= 4 * len(values):
-        return np.sort(np.repeat(values, counts)[rng.integers(0, n, (resamples, n))].sum(axis=1) / n)
-    return np.sort(rng.multinomial(n, counts / n, resamples) @ values / n)
-
-
-def bounds(means: np.ndarray, level: float = 0.95) -> tuple[float, float]:
-    """Percentile bounds: floor(tail * B) and floor((1 - tail) * B) - 1."""
-    tail, b = (1 - level) / 2, len(means)
-    return float(means[int(tail * b + 1e-9)]), float(means[int((1 - tail) * b + 1e-9) - 1])
+        each = [np.repeat(v, counts) for v in values.T]
+        drawn = (rng.integers(0, n, (k, n)) for k in _blocks(resamples, n))
+        return np.concatenate([np.stack([v[at].sum(axis=1) for v in each], axis=1) / n for at in drawn])
+    return np.concatenate([rng.multinomial(n, counts / n, k) @ values / n for k in _blocks(resamples, len(values))])
 
 
-def bootstrap_means(results: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """(experiment_id, n, mean, ci_low, ci_high) of the scores of each experiment."""
-    counts = results.where("score IS NOT NULL").groupBy("experiment_id", "score").agg(F.count("*").alias("n"))
+def poisson_sums(values: np.ndarray, counts: np.ndarray, resamples: int, seed: list[int]) -> np.ndarray:
+    """For each replicate the weighted sums of the columns and, last, the sum of the weights."""
+    rng, wide = np.random.default_rng(seed), np.c_[values, np.ones(len(values))]
+    return np.concatenate([rng.poisson(counts, (k, len(counts))) @ wide for k in _blocks(resamples, len(counts))])
 
-    def draw(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("score")
-        values, n = frame["score"].to_numpy(), frame["n"].to_numpy()
-        low, high = bounds(resampled_means(values, n, resamples, [seed, int(key[0])]))
-        return pd.DataFrame({"experiment_id": [key[0]], "n": [int(n.sum())], "mean": [float(values @ n / n.sum())], "ci_low": [low], "ci_high": [high]})
 
-    return counts.groupBy("experiment_id").applyInPandas(draw, "experiment_id long, n long, mean double, ci_low double, ci_high double")
-
-
-def pair_histograms(pairs: DataFrame) -> DataFrame:
-    """(a, b, diffs, only_a, only_b) of (a, b, score_a, score_b): the values of the difference with their counts, in
-    order, and how often only a, or only b, passes. Rows are counted by value first, so that a pair's list is short."""
-    a, b = F.col("score_a") >= 1, F.col("score_b") >= 1
-    counts = pairs.groupBy("a", "b", (F.col("score_a") - F.col("score_b")).alias("diff")).agg(F.count("*").alias("n"), F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"))
-    return counts.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("diff", "n"))).alias("diffs"), F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"))
+def bounds(means: np.ndarray, level: float = LEVEL) -> tuple[float, float]:
+    """Percentile bounds: floor(tail * B) and floor((1 - tail) * B) - 1 of the sorted means."""
+    tail, b = (1 - level) / 2, len(means)
+    low, high = int(tail * b + 1e-9), max(0, int((1 - tail) * b + 1e-9) - 1)
+    placed = np.partition(means, [low, high])
+    return float(placed[low]), float(placed[high])
 
 
 def centred_p(means: np.ndarray, mean: float) -> float:
@@ -62,35 +67,105 @@ def centred_p(means: np.ndarray, mean: float) -> float:
     return min(1.0, 2 * (min(tails) + 1) / (len(means) + 1))
 
 
-def _draws(resamples: int, seed: int):
+def _drawn(keys: list[str], width: int, finish: Callable, columns: list[str], resamples: int, seed: int):
+    """Cells to what `finish` makes of their resampled means (keys with one cell), or to sums that have to be added up."""
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for a, b, diffs in zip(batch["a"], batch["b"], batch["diffs"], strict=True):
-                values, n = np.array([x["diff"] for x in diffs]), np.array([x["n"] for x in diffs])
-                mean = float(values @ n / n.sum())
-                means = resampled_means(values, n, resamples, [seed, int(a), int(b)])
-                rows.append((int(n.sum()), mean, *bounds(means), centred_p(means, mean)))
-            yield pd.concat([batch.drop(columns="diffs").reset_index(drop=True), pd.DataFrame(rows, columns=["n", "diff", "ci_low", "ci_high", "p_value"])], axis=1)
+            out = []
+            for row in batch.itertuples(index=False):
+                cell = sorted((tuple(x["v"]), int(x["n"])) for x in row.cell)
+                values, n = np.array([v for v, _ in cell], np.float64).reshape(len(cell), width), np.array([c for _, c in cell])
+                of = [getattr(row, k) for k in keys]
+                at = [seed, *(abs(int(k)) for k in of), int(row.bucket)]
+                if row.cells == 1:
+                    means = n @ values / n.sum()
+                    out.append((*of, int(n.sum()), *finish(resampled_means(values, n, resamples, at), means), None))
+                else:
+                    out.append((*of, None, *[None] * len(columns), poisson_sums(values, n, resamples, at).ravel()))
+            frame = pd.DataFrame(out, columns=[*keys, "n", *columns, "sums"])
+            yield frame.astype({"n": "Int64"})
 
     return draw
 
 
-def _bootstrapped(histograms: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """Histograms with the draws of many pairs per batch, dealt evenly over the tasks."""
-    parts = int(histograms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return histograms.repartition(parts, "a", "b").mapInPandas(_draws(resamples, seed), "a long, b long, only_a long, only_b long, n long, diff double, ci_low double, ci_high double, p_value double")
+def _merged(keys: list[str], width: int, finish: Callable, columns: list[str]):
+    """Added sums of keys with many cells, and their own means, to what `finish` makes of them."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                sums = np.asarray(row.sums).reshape(-1, width + 1)
+                out.append((*(getattr(row, k) for k in keys), row.n, *finish(sums[:, :-1] / sums[:, -1:], np.asarray(row.means))))
+            yield pd.DataFrame(out, columns=[*keys, "n", *columns])
+
+    return merge
+
+
+def resampled(counts: DataFrame, keys: list[str], values: list[str], finish: Callable, columns: list[str], resamples: int, seed: int, cell: int) -> DataFrame:
+    """(keys, n, columns): for each whole-numbered key what `finish(means of the replicates, means of the rows)` gives, a column
+    of means for each value. counts: keys, values and n, each combination once."""
+    counts = stored(counts.select(*keys, *values, "n"))
+    large = counts.groupBy(*keys).agg(F.count("*").alias("distinct")).where(F.col("distinct") > cell).select(*keys, F.ceil(F.col("distinct") / cell).cast("int").alias("cells"))
+    n_large = large.count()
+    placed = counts.join(F.broadcast(large) if n_large <= FEW else large, keys, "left") if n_large else counts.withColumn("cells", F.lit(1))
+    cells = F.coalesce("cells", F.lit(1))
+    lists = placed.groupBy(*keys, cells.alias("cells"), F.pmod(F.xxhash64(*values), cells).cast("int").alias("bucket")).agg(F.collect_list(F.struct(F.array(*[F.col(v).cast("double") for v in values]).alias("v"), "n")).alias("cell"))
+    named, made = ", ".join(f"{k} long" for k in keys), ", ".join(["n long", *(f"{c} double" for c in columns)])
+    # few keys are dealt evenly over the tasks, each of which has much to draw
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = lists.repartition(parts, *keys, "bucket").mapInPandas(_drawn(keys, len(values), finish, columns, resamples, seed), f"{named}, {made}, sums array<double>")
+    if not n_large:
+        return drawn.drop("sums")
+    drawn = stored(drawn)
+    added = drawn.where("sums IS NOT NULL").select(*keys, F.posexplode("sums").alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("x"))
+    lined = added.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("sums"))
+    means = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col(v) * F.col("n")) / F.sum("n") for v in values]).alias("means"))
+    merged = lined.join(means, keys).select(*keys, "n", "means", "sums").mapInPandas(_merged(keys, len(values), finish, columns), f"{named}, {made}")
+    return drawn.where("sums IS NULL").drop("sums").union(merged)
+
+
+def score_counts(results: DataFrame) -> DataFrame:
+    return results.where("score IS NOT NULL").groupBy("experiment_id", "score").agg(F.count("*").alias("n"))
+
+
+def bootstrap_means(results: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, cell: int = CELL) -> DataFrame:
+    """(experiment_id, n, mean, ci_low, ci_high) of the scores of each experiment."""
+    finish = lambda drawn, mean: (mean[0], *bounds(drawn[:, 0]))
+    return resampled(score_counts(results), ["experiment_id"], ["score"], finish, ["mean", "ci_low", "ci_high"], resamples, seed, cell)
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """(a, b, score_a, score_b, n) of joined rows."""
+    return pairs.groupBy("a", "b", "score_a", "score_b").agg(F.count("*").alias("n"))
+
+
+PAIR_COLUMNS = ["a_mean", "a_low", "a_high", "b_mean", "b_low", "b_high", "diff", "ci_low", "ci_high", "p_value"]
+
+
+def _pair_facts(drawn: np.ndarray, mean: np.ndarray) -> tuple:
+    a, b = drawn.T
+    diff = mean[0] - mean[1]
+    return (mean[0], *bounds(a), mean[1], *bounds(b), diff, *bounds(a - b), centred_p(a - b, diff))
+
+
+def pair_intervals(counts: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, cell: int = CELL) -> DataFrame:
+    """(a, b, n, PAIR_COLUMNS) of joint counts (a, b, score_a, score_b, n): both means, their difference and its centred
+    two-sided p. One resample of the shared rows serves all of them."""
+    return resampled(counts, ["a", "b"], ["score_a", "score_b"], _pair_facts, PAIR_COLUMNS, resamples, seed, cell)
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """(a, b, n, diff, ci_low, ci_high, p_value): mean difference of paired scores, with a centred two-sided p."""
-    return _bootstrapped(pair_histograms(pairs), resamples, seed).drop("only_a", "only_b")
+def paired_bootstrap(counts: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """(a, b, n, diff, ci_low, ci_high, p_value) of joint counts: mean difference of paired scores."""
+    return pair_intervals(counts, resamples, seed).select("a", "b", "n", "diff", "ci_low", "ci_high", "p_value")
 
 
-def discordants(pairs: DataFrame) -> DataFrame:
-    """How often only a, or only b, passes."""
+def counted_discordants(counts: DataFrame) -> DataFrame:
+    """How often only a, or only b, passes, from joint counts."""
     a, b = F.col("score_a") >= 1, F.col("score_b") >= 1
-    return pairs.groupBy("a", "b").agg(F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"))
+    tell = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0))
+    return counts.groupBy("a", "b").agg(tell(a & ~b).alias("only_a"), tell(b & ~a).alias("only_b"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -131,11 +206,15 @@ def wilson(counts: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     return counts.withColumns({"low": rounded(middle - width), "high": rounded(middle + width)})
 
 
-def significance(pairs: DataFrame) -> DataFrame:
-    """Paired bootstrap and McNemar of each pair, with a verdict."""
-    drawn = _bootstrapped(pair_histograms(pairs), RESAMPLES, SEED).withColumnRenamed("p_value", "boot_p")
-    out = mcnemar_corrected(drawn).withColumnsRenamed({"p_value": "mcnemar_p", "boot_p": "p_value"})
-    return out.withColumn("verdict", F.when((F.col("p_value") < 0.05) & (F.col("diff") > 0), "a better").when((F.col("p_value") < 0.05) & (F.col("diff") < 0), "b better").otherwise("no difference"))
+def significance(counts: DataFrame, level: float = LEVEL, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """The report of each pair of joint counts: rows, both means with their intervals, the difference with its interval and
+    p, McNemar's test of passes, and a verdict of each test."""
+    counts = stored(counts)
+    tested = mcnemar_corrected(counted_discordants(counts)).withColumnRenamed("p_value", "mcnemar_p")
+    out = pair_intervals(counts, resamples, seed).join(tested, ["a", "b"])
+    sure = F.col("p_value") < 1 - level
+    verdict = F.when(sure & (F.col("diff") > 0), "a better").when(sure & (F.col("diff") < 0), "b better").otherwise("no difference")
+    return out.withColumns({"significant": sure, "mcnemar_significant": F.col("mcnemar_p") < 1 - level, "verdict": verdict})
 
 
 def calibration(labels: DataFrame, gold: str, judge: str) -> DataFrame:

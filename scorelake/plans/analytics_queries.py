@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import rounded
 from scorelake.operators import analytics as A
+from scorelake.operators import pairs as P
 from scorelake.operators import stats, summaries
 from scorelake.sources.fixtures import oracle, raw, view
 
@@ -111,20 +112,25 @@ def a14_bootstrap_intervals(s, d):
     return stats.bootstrap_means(view(s, d, "eval_results").where(summaries.is_clean()))
 
 
-def _pairs(s, d):
-    return A.cohort_paired(view(s, d, "eval_results"), view(s, d, "models"))
+def _clean(s, d):
+    return view(s, d, "eval_results").where(summaries.is_clean())
+
+
+def _first_pairs(s, d):
+    """The first pair of each cohort."""
+    return A.cohort_pairs(view(s, d, "models")).groupBy(*A.COHORT).agg(F.min_by(F.struct("a", "b"), F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def a15_paired_bootstrap(s, d):
-    return stats.paired_bootstrap(_pairs(s, d))
+    return stats.paired_bootstrap(P.score_pairs(_clean(s, d), view(s, d, "models")))
 
 
 def a16_mcnemar_corrected(s, d):
-    return stats.mcnemar_corrected(stats.discordants(_pairs(s, d))).select("a", "b", "only_a", "only_b", "chi2")
+    return stats.mcnemar_corrected(P.discordants(_clean(s, d), view(s, d, "models"))).select("a", "b", "only_a", "only_b", "chi2")
 
 
 def a17_mcnemar_exact(s, d):
-    return stats.mcnemar_exact(stats.discordants(_pairs(s, d))).withColumn("p_value", rounded(F.col("p_value"), 9))
+    return stats.mcnemar_exact(P.discordants(_clean(s, d), view(s, d, "models"))).withColumn("p_value", rounded(F.col("p_value"), 9))
 
 
 def a18_wilson_interval(s, d):
@@ -132,16 +138,29 @@ def a18_wilson_interval(s, d):
 
 
 def a20_cohort_significance(s, d):
-    return stats.significance(_pairs(s, d))
+    return stats.significance(P.score_pairs(_clean(s, d), view(s, d, "models")))
+
+
+def _facts(report):
+    sums = [rounded(F.col(c) * F.col("n"), 3).alias(s) for c, s in (("a_mean", "sum_a"), ("b_mean", "sum_b"), ("diff", "sum_diff"))]
+    return report.select("a", "b", "n", *sums, "only_a", "only_b", rounded(F.col("chi2")).alias("chi2"), "mcnemar_significant")
+
+
+def a20_cohort_facts(s, d):
+    """What of the reports of all pairs does not rest on draws."""
+    return _facts(stats.significance(P.score_pairs(_clean(s, d), view(s, d, "models")), resamples=50))
+
+
+def a19_pair_facts(s, d):
+    return _facts(stats.significance(P.score_pairs(_clean(s, d), view(s, d, "models"), _first_pairs(s, d)), resamples=50))
 
 
 def a19_pair_significance(s, d):
-    first = A.cohort_pairs(view(s, d, "models")).groupBy(*A.COHORT).agg(F.min_by(F.struct("a", "b"), F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    return stats.significance(A.paired(view(s, d, "eval_results"), first))
+    return stats.significance(P.score_pairs(_clean(s, d), view(s, d, "models"), _first_pairs(s, d)))
 
 
 def a21_failure_diff(s, d):
-    return A.failure_diff(view(s, d, "eval_results"), view(s, d, "models"))
+    return P.failure_diff(view(s, d, "eval_results").withColumn("wrong", A.is_failure()), view(s, d, "models"))
 
 
 def a22_model_routing(s, d):
@@ -223,6 +242,8 @@ def a36_missing_work(s, d):
 PAIRED = f"SELECT p.a, p.b, x.row_idx, x.score AS score_a, y.score AS score_b FROM pairs p JOIN eval_results x ON x.experiment_id=p.a JOIN eval_results y ON y.experiment_id=p.b AND y.row_idx=x.row_idx WHERE COALESCE(x.error,'')='' AND COALESCE(y.error,'')=''"
 PAIRS = "SELECT x.experiment_id AS a, y.experiment_id AS b FROM models x JOIN models y USING (dataset_id, dataset_version, benchmark_id) WHERE x.experiment_id < y.experiment_id"
 DISCORDANT = "SELECT a, b, COUNT(*) FILTER (score_a>=1 AND score_b<1) AS only_a, COUNT(*) FILTER (score_b>=1 AND score_a<1) AS only_b FROM paired GROUP BY a, b"
+PAIR_FACTS = f"SELECT a, b, n, {r6('ma', 3)} AS sum_a, {r6('mb', 3)} AS sum_b, {r6('ma-mb', 3)} AS sum_diff, only_a, only_b, chi2, chi2 > 3.841458820694124 AS mcnemar_significant FROM (SELECT *, CASE WHEN only_a+only_b=0 THEN 0.0 ELSE {r6('POWER(ABS(only_a-only_b)-1,2)/CAST(only_a+only_b AS DOUBLE)')} END AS chi2 FROM (SELECT a, b, COUNT(*) AS n, SUM(score_a) AS ma, SUM(score_b) AS mb, COUNT(*) FILTER (score_a>=1 AND score_b<1) AS only_a, COUNT(*) FILTER (score_b>=1 AND score_a<1) AS only_b FROM paired GROUP BY a, b))"
+FIRST_PAIRS = f"SELECT (p).a AS a, (p).b AS b FROM (SELECT MIN({{'a': x.experiment_id, 'b': y.experiment_id}}) AS p FROM models x JOIN models y USING ({COHORT}) WHERE x.experiment_id < y.experiment_id GROUP BY {COHORT})"
 Z = 1.959963984540054
 
 
@@ -247,6 +268,8 @@ ORACLE = {
     "a13_subgroups": oracle(f"SELECT CASE WHEN TRIM(COALESCE(category,''))='' THEN '(unlabelled)' ELSE category END AS subgroup, COUNT(*) AS n_rows, {r6(f'AVG(CASE WHEN {CLEAN} THEN score END)')} AS avg_score, COUNT(*) FILTER ({CLEAN} AND score>=1) AS n_pass, COUNT(*) FILTER ({CLEAN} AND score<1) AS n_fail, COUNT(*) FILTER (NOT ({CLEAN})) AS n_error FROM eval_results LEFT JOIN dataset_rows USING (row_idx) GROUP BY 1"),
     "a16_mcnemar_corrected": oracle("SELECT a, b, only_a, only_b, CASE WHEN only_a+only_b=0 THEN 0.0 ELSE FLOOR(POWER(ABS(only_a-only_b)-1,2)/CAST(only_a+only_b AS DOUBLE)*1000000+0.5)/1000000 END AS chi2 FROM d", pairs=PAIRS, paired=PAIRED, d=DISCORDANT),
     "a17_mcnemar_exact": oracle(f"SELECT a, b, only_a, only_b, {r6('LEAST(1.0, 2*LIST_SUM(LIST_TRANSFORM(RANGE(0, LEAST(only_a, only_b)+1), lambda i: EXP(LGAMMA(only_a+only_b+1)-LGAMMA(i+1)-LGAMMA(only_a+only_b-i+1)-(only_a+only_b)*LN(2)))))', 9)} AS p_value FROM d", pairs=PAIRS, paired=PAIRED, d=DISCORDANT),
+    "a20_cohort_facts": oracle(PAIR_FACTS, pairs=PAIRS, paired=PAIRED),
+    "a19_pair_facts": oracle(PAIR_FACTS, pairs=FIRST_PAIRS, paired=PAIRED),
     "a18_wilson_interval": oracle(f"SELECT experiment_id, passed, n, {r6(f'(p+{Z*Z}/(2*n))/(1+{Z*Z}/n) - {Z}*SQRT(p*(1-p)/n+{Z*Z}/(4.0*n*n))/(1+{Z*Z}/n)')} AS low, {r6(f'(p+{Z*Z}/(2*n))/(1+{Z*Z}/n) + {Z}*SQRT(p*(1-p)/n+{Z*Z}/(4.0*n*n))/(1+{Z*Z}/n)')} AS high FROM (SELECT experiment_id, COUNT(*) FILTER ({CLEAN} AND score>=1) AS passed, COUNT(*) FILTER ({CLEAN}) AS n, COUNT(*) FILTER ({CLEAN} AND score>=1)/CAST(COUNT(*) FILTER ({CLEAN}) AS DOUBLE) AS p FROM eval_results GROUP BY 1)"),
     "a21_failure_diff": oracle("SELECT a, b, COUNT(*) AS shared_rows, COUNT(*) FILTER (x.w AND NOT y.w) AS a_only_wrong, COUNT(*) FILTER (y.w AND NOT x.w) AS b_only_wrong, COUNT(*) FILTER (x.w AND y.w) AS both_wrong FROM pairs JOIN marked x ON x.experiment_id=a JOIN marked y ON y.experiment_id=b AND y.row_idx=x.row_idx GROUP BY a, b", pairs=PAIRS, marked=f"SELECT experiment_id, row_idx, {WRONG} AS w FROM eval_results"),
     "a22_model_routing": _board_sql(f"SELECT model_id, experiment_id, accuracy, cost_per_row, qualified, CAST(ROW_NUMBER() OVER w AS INT) AS route_rank, qualified AND ROW_NUMBER() OVER w = 1 AS recommended FROM (SELECT model_id, experiment_id, accuracy, {r6('total_cost/CAST(rows_total AS DOUBLE)', 9)} AS cost_per_row, accuracy>=0.4 AS qualified, ROW_NUMBER() OVER (PARTITION BY model_id ORDER BY accuracy DESC, experiment_id) AS r FROM board JOIN top USING ({COHORT})) WHERE r=1 WINDOW w AS (ORDER BY qualified DESC, CASE WHEN qualified THEN cost_per_row END NULLS FIRST, accuracy DESC, model_id)", top=f"SELECT {COHORT} FROM board GROUP BY {COHORT} ORDER BY COUNT(*) DESC, {COHORT} LIMIT 1"),

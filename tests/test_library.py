@@ -156,10 +156,68 @@ def test_bootstrap_bounds(spark):
 
 def test_paired_bootstrap(spark):
     rows = spark.createDataFrame([(1, 2, i, 1.0, 0.0) for i in range(8)] + [(1, 3, i, 1.0, 1.0) for i in range(8)], "a long, b long, row_idx long, score_a double, score_b double")
-    got = {r["b"]: r for r in stats.paired_bootstrap(rows).collect()}
+    got = {r["b"]: r for r in stats.paired_bootstrap(stats.pair_counts(rows)).collect()}
     assert got[2]["diff"] == 1.0 and got[3]["p_value"] == 1.0
 
 
+def test_significance_report(spark):
+    counts = spark.createDataFrame([(1, 2, 1.0, 0.0, 10)] + [(1, 3, 1.0, 1.0, 6), (1, 3, 0.5, 1.0, 2), (1, 3, 1.0, 0.5, 2)], "a long, b long, score_a double, score_b double, n long")
+    got = {r["b"]: r for r in stats.significance(counts).collect()}
+    assert (got[2]["n"], got[2]["a_mean"], got[2]["a_low"], got[2]["b_mean"], got[2]["diff"]) == (10, 1.0, 1.0, 0.0, 1.0)
+    assert got[2]["significant"] and got[2]["mcnemar_significant"] and got[2]["verdict"] == "a better" and got[2]["p_value"] < 0.05
+    assert got[3]["diff"] == 0 and not got[3]["significant"] and not got[3]["mcnemar_significant"] and got[3]["verdict"] == "no difference"
+    assert got[3]["a_low"] < 0.9 <= got[3]["a_high"] <= 1.0
+
+
+def test_bootstrap_of_many_distinct_scores(spark):
+    import math
+
+    rows = spark.range(1_000_000).select(F.lit(1).cast("long").alias("experiment_id"), F.rand(5).alias("score")).union(spark.range(50).select(F.lit(2).cast("long"), (F.col("id") / 50)))
+    got = {r["experiment_id"]: r for r in stats.bootstrap_means(rows, resamples=400).collect()}
+    error = math.sqrt(1 / 12 / 1_000_000)
+    assert got[1]["n"] == 1_000_000 and got[1]["mean"] == pytest.approx(0.5, abs=5 * error)
+    assert (got[1]["ci_high"] - got[1]["ci_low"]) / (2 * 1.96 * error) == pytest.approx(1.0, abs=0.15) and got[2]["n"] == 50
+
+
+def test_poisson_draws_agree_with_multinomial_ones(spark):
+    rows = spark.range(6000).select((F.col("id") % 2).alias("experiment_id"), F.round(F.rand(3), 3).alias("score"))
+    whole = {r["experiment_id"]: r for r in stats.bootstrap_means(rows).collect()}
+    cells = {r["experiment_id"]: r for r in stats.bootstrap_means(rows, cell=100).collect()}
+    again = {r["experiment_id"]: r for r in stats.bootstrap_means(rows.repartition(7), cell=100).collect()}
+    for e in (0, 1):
+        width = whole[e]["ci_high"] - whole[e]["ci_low"]
+        assert cells[e]["ci_low"] == pytest.approx(again[e]["ci_low"], abs=1e-12) and cells[e]["mean"] == pytest.approx(whole[e]["mean"])
+        assert abs(cells[e]["ci_low"] - whole[e]["ci_low"]) < 0.15 * width and abs(cells[e]["ci_high"] - whole[e]["ci_high"]) < 0.15 * width
+    counts = spark.range(2000).select(F.lit(1).alias("a"), F.lit(2).alias("b"), F.round(F.rand(1), 4).alias("score_a"), F.round(F.rand(2) * 0.9, 4).alias("score_b"), F.lit(1).alias("n")).groupBy("a", "b", "score_a", "score_b").agg(F.count("*").alias("n"))
+    one_, many = (stats.pair_intervals(counts, cell=c).first() for c in (1 << 14, 150))
+    for c in ("a_low", "a_high", "b_low", "b_high", "ci_low", "ci_high"):
+        assert abs(one_[c] - many[c]) < 0.004 and one_["diff"] == pytest.approx(many["diff"])
+
+
+def test_pairs_by_bitmaps_equal_a_plain_join(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from scorelake.operators import pairs
+
+    rng = random.Random(6)
+    rows = [(e, r, rng.choice([0.0, 0.5, 1.0])) for e in range(12) for r in rng.sample(range(100_000), 60) + list(range(0, 99_000, 3000))]
+    rows = list({r[:2]: r for r in rows}.values())
+    where = {e: (e % 2, 1, None if e == 11 else 0) for e in range(12)}
+    df = spark.createDataFrame(rows, "experiment_id long, row_idx long, score double")
+    runs = spark.createDataFrame([(e, *c) for e, c in where.items()], "experiment_id long, dataset_id long, dataset_version long, benchmark_id long")
+    of = {(e, r): s for e, r, s in rows}
+    want = Counter((a, b, of[a, r], of[b, r]) for a in range(11) for b in range(a + 1, 11) if where[a] == where[b] for r in {r for e, r, _ in rows if e == a} & {r for e, r, _ in rows if e == b})
+    for tile, levels in ((256, 64), (2, 64), (256, 2)):
+        monkeypatch.setattr(pairs, "TILE", tile)
+        assert {tuple(r)[:4]: r["n"] for r in pairs.score_pairs(df, runs, levels=levels).collect()} == want
+    wanted = spark.createDataFrame([(0, 2), (1, 3), (0, 1)], "a long, b long")
+    got = {(r["a"], r["b"]) for r in pairs.score_pairs(df, runs, wanted).collect()}
+    assert got == {(0, 2), (1, 3)}
+    plan = pairs.score_pairs(df, runs)._jdf.queryExecution().executedPlan().toString()
+    assert "row_idx" not in "".join(line for line in plan.split("\n") if "Join" in line)
+
+
 def test_contract_and_types(spark):
     assert datasets.infer_contract(["question", "Answer", "domain"])["expected"] == ["Answer"]
     with pytest.raises(ValueError):
