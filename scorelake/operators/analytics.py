@@ -12,8 +12,27 @@ COHORT = ["dataset_id", "dataset_version", "benchmark_id"]
 DIMENSIONS = ["accuracy", "avg_latency_ms", "total_cost", "total_tokens", "coverage", "failure_rate"]
 
 
+#: The statuses of runs that are compared.
+FINISHED = ["completed", "partial"]
+
+
+def finished(summaries: DataFrame) -> DataFrame:
+    return summaries.where(F.col("status").isin(FINISHED))
+
+
+def with_stored_accuracy(summaries: DataFrame, blob: str = "metrics") -> DataFrame:
+    """accuracy from its column unless that is null or 0, else from the metrics blob, else 0."""
+    stored = F.get_json_object(blob, "$.accuracy").try_cast("double")
+    return summaries.withColumn("accuracy", F.coalesce(F.nullif("accuracy", F.lit(0.0)), stored, F.lit(0.0)))
+
+
 def leaderboard(summaries: DataFrame, experiments: DataFrame, limit: int | None = None) -> DataFrame:
-    """Summaries with their dimensions, best accuracy first and cheapest of equals within a cohort."""
+    """Summaries with their dimensions, best accuracy first and cheapest of equals within a cohort. Of summaries that have
+    them, a status filters and a metrics blob stands in for an accuracy that is missing."""
+    if "status" in summaries.columns:
+        summaries = finished(summaries)
+    if "metrics" in summaries.columns:
+        summaries = with_stored_accuracy(summaries)
     board = summaries.join(experiments, "experiment_id", "left").withColumn("name", F.coalesce("experiment_name", F.col("experiment_id").cast("string")))
     board = board.select("experiment_id", "name", "model_id", "provider", *COHORT, *DIMENSIONS)
     if limit is None:
@@ -65,6 +84,15 @@ def failure_cases(results: DataFrame, top: int, per: str | None = "experiment_id
     return bad.withColumn("place", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("place") <= top)
 
 
+def redacted_cases(cases: DataFrame, sensitive: list[str]) -> DataFrame:
+    """Failure cases as they may be shown: declared fields of input and expected masked, and personal data in the output."""
+    from scorelake.functions.vectorized import redacted_json
+    from scorelake.operators.governance import redacted
+
+    fields = frozenset(sensitive)
+    return cases.withColumns({"input": redacted_json(F.col("input"), fields), "expected": redacted_json(F.col("expected"), fields), "output": redacted(F.coalesce("output", F.lit("")))})
+
+
 def trend(board: DataFrame, when: str = "created_at") -> DataFrame:
     """Runs in time order within their model, with the change of accuracy from the run before."""
     order = Window.partitionBy("model_id").orderBy(when, "experiment_id")
@@ -107,14 +135,21 @@ def cohort_joined(results: DataFrame, experiments: DataFrame, *values: str) -> D
     return side("a").join(side("b"), [*COHORT, "row_idx"]).where("a < b").drop(*COHORT)
 
 
-def model_routing(board: DataFrame, floor: float) -> DataFrame:
-    """Best run of each model in the dominant cohort, models above the floor first by cost per row, then the weak."""
+def model_routing(board: DataFrame, floor: float, limit: int | None = None) -> DataFrame:
+    """Best run of each model in the dominant cohort: models above the floor by known cost and cost per row, then the weak by
+    accuracy. A board with cost_unknown puts models of unknown cost behind the others. One row for each model is ranked."""
+    if "status" in board.columns:
+        board = finished(board)
+    unknown = F.coalesce("cost_unknown", F.lit(False)) if "cost_unknown" in board.columns else F.lit(False)
     sizes = board.groupBy(*COHORT).agg(F.count("*").alias("n"))
     largest = sizes.orderBy(F.desc("n"), *COHORT).limit(1)
     best = board.join(F.broadcast(largest.drop("n")), COHORT).withColumn("r", F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc("accuracy"), "experiment_id"))).where("r = 1")
-    scored = best.withColumn("cost_per_row", rounded(ratio(F.col("total_cost"), F.col("rows_total")), 9)).withColumn("qualified", F.col("accuracy") >= floor)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("qualified"), F.when(F.col("qualified"), F.col("cost_per_row")), F.desc("accuracy"), "model_id")
-    return scored.select("model_id", "experiment_id", "accuracy", "cost_per_row", "qualified", F.row_number().over(order).alias("route_rank")).withColumn("recommended", F.col("qualified") & (F.col("route_rank") == 1))
+    scored = best.withColumns({"cost_per_row": rounded(ratio(F.col("total_cost"), F.col("rows_total")), 9), "qualified": F.col("accuracy") >= floor, "cost_unknown": unknown})
+    order = [F.desc("qualified"), F.when(F.col("qualified"), F.col("cost_unknown")), F.when(F.col("qualified"), F.col("cost_per_row")), F.desc("accuracy"), "model_id"]
+    if limit is not None:
+        scored = scored.orderBy(*order).limit(limit)
+    ranked = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+    return scored.select("model_id", "experiment_id", "accuracy", "cost_per_row", "cost_unknown", "qualified", ranked.alias("route_rank")).withColumn("recommended", F.col("qualified") & (F.col("route_rank") == 1))
 
 
 def by_provider(board: DataFrame) -> DataFrame:
@@ -220,14 +255,19 @@ def result_matrix(board: DataFrame, datasets: list[int]) -> DataFrame:
     return wide.select("model_id", *[F.col(str(d)).alias(f"dataset_{d}") for d in datasets])
 
 
-def listed(board: DataFrame, equal: dict[str, object], search: str, offset: int, limit: int) -> DataFrame:
-    """A page of rows with equality filters (blank ones do not filter) and a name search, newest first."""
+def filtered(board: DataFrame, equal: dict[str, object], search: str) -> DataFrame:
+    """Rows with equality filters and a name search; blank ones do not filter."""
     for column, value in equal.items():
-        if value not in (None, ""):
+        if value not in (None, "", 0):
             board = board.where(F.col(column) == value)
-    if search:
-        board = board.where(F.col("experiment_name").ilike(f"%{search}%"))
-    return board.orderBy(F.desc("experiment_id")).offset(offset).limit(limit)
+    return board.where(F.col("experiment_name").ilike(f"%{search}%")) if search else board
+
+
+def listed(board: DataFrame, equal: dict[str, object], search: str, offset: int, limit: int, when: str = "created_at") -> DataFrame:
+    """A page of the filtered rows, newest first, with the total of all of them."""
+    rows = filtered(board, equal, search)
+    page = rows.orderBy(F.desc(when), F.desc("experiment_id")).offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
 def missing_work(plan: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:

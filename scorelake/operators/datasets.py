@@ -223,7 +223,7 @@ def deduplicated(rows: DataFrame, text: str, key: str) -> DataFrame:
 def dry_run_summary(scored: DataFrame, head: int) -> DataFrame:
     """Mean, full, zero and failed scores of the first rows by idx."""
     first = scored.orderBy("row_idx").limit(head)
-    return first.agg(F.count("*").alias("n_rows"), F.avg("score").alias("avg_score"), F.count_if(F.col("score") >= 1.0).alias("n_full"), F.count_if(F.col("score") <= 0.0).alias("n_zero"), F.count_if(F.col("score").isNull()).alias("n_error"))
+    return first.agg(F.count("*").alias("n_rows"), F.avg("score").alias("avg_score"), F.count_if(F.col("score") >= 1.0).alias("n_full"), F.count_if(F.col("score") <= 0.0).alias("n_zero"), F.count_if(F.col("error_kind").isNotNull()).alias("n_error"))
 
 
 def preview(rows: DataFrame, columns: list[str], offset: int, limit: int, redact) -> DataFrame:
@@ -258,13 +258,23 @@ def joined_choices(questions: DataFrame, answers: DataFrame, key: str) -> DataFr
     return out.select(key, F.concat("question", F.lit("\n"), shown).alias("question"), F.array_join("letters", "").alias("answer"), F.when(F.size("letters") > 1, "multiple").otherwise("single").alias("kind"))
 
 
-def version_issues(rows: DataFrame, declared: DataFrame, template_roots: list[str], required: list[str]) -> DataFrame:
-    """(dataset_id, code, field, n) of a stored version: row-count drift, prompt variables and required fields that rows
-    lack. rows: dataset_id, idx, input; declared: dataset_id, row_count."""
-    blank = lambda c: is_blank(F.get_json_object("input", f"$.{c}"))
-    made = [F.when(blank(v), F.struct(F.lit("missing_variable").alias("code"), F.lit(v).alias("field"))) for v in template_roots]
-    made += [F.when(blank(c), F.struct(F.lit("missing_required").alias("code"), F.lit(c).alias("field"))) for c in required]
+def version_issues(rows: DataFrame, declared: DataFrame, template_roots: list[str], required: list[str], inputs: list[str] | None = None, expected: list[str] | None = None) -> DataFrame:
+    """(dataset_id, code, field, n) of a stored version: row-count drift, prompt variables that no input field maps, and prompt
+    variables, required and expected fields that rows lack. rows: dataset_id, idx, input and, with expected fields given,
+    expected; declared: dataset_id, row_count. inputs and expected: the fields of the contract; an empty list of expected
+    ones asks for any expected answer at all, and `expected` stands for the whole of it."""
+    unmapped = [v for v in template_roots if inputs and v not in inputs]
+    told = lambda code, field, missing: F.when(missing, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))
+    nothing = lambda value: F.coalesce(value, F.lit("")) == ""
+    answers = expected is not None
+    inside = lambda c: [F.get_json_object("input", f"$.{c}"), F.get_json_object("input", f"$._metadata.{c}"), *([F.get_json_object("expected", f"$.{c}")] if answers else [])]
+    made = [told("missing_variable", v, nothing(F.get_json_object("input", f"$.{v}"))) for v in template_roots if v not in unmapped]
+    made += [told("missing_required", c, is_blank(F.coalesce(*inside(c)))) for c in required]
+    if answers:
+        none = F.coalesce(F.size(F.json_object_keys("expected")), F.lit(0)) <= 0
+        made += [told("missing_expected", c, none if c == "expected" else nothing(F.get_json_object("expected", f"$.{c}"))) for c in expected] or [told("no_expected", "", none)]
     found = rows.select("dataset_id", F.explode(F.array_compact(F.array(*made))).alias("e")).groupBy("dataset_id", "e.code", "e.field").agg(F.count("*").alias("n"))
     counts = rows.groupBy("dataset_id").agg(F.count("*").alias("n"))
     drift = declared.join(counts, "dataset_id", "left").where(F.coalesce("n", F.lit(0)) != F.col("row_count")).select("dataset_id", F.lit("row_count_drift").alias("code"), F.lit("").alias("field"), F.coalesce("n", F.lit(0)).alias("n"))
-    return drift.unionByName(found)
+    lost = declared.crossJoin(rows.sparkSession.createDataFrame([(v,) for v in unmapped], "field string")).select("dataset_id", F.lit("unmapped_variable").alias("code"), "field", F.lit(1).cast("long").alias("n"))
+    return drift.unionByName(found).unionByName(lost)

@@ -62,8 +62,15 @@ def a4_normalized_blobs(s, d):
     return summaries.normalized_blob(raw(s, d, "events").select("event_id", text.alias("metrics"))).drop("metrics")
 
 
+def _stored(s, d):
+    """Summaries as experiments store them: some runs unfinished, some accuracies in the blob only."""
+    e = F.col("experiment_id")
+    status = F.when(e % 5 == 0, "running").when(e % 5 == 1, "partial").when(e % 11 == 3, "failed").otherwise("completed")
+    return _summary(s, d).withColumns({"status": status, "accuracy": F.when(e % 7 == 0, F.lit(0.0)).otherwise(F.col("accuracy")), "metrics": F.format_string('{"accuracy": 0.%d}', e % 10)})
+
+
 def a5_leaderboard(s, d):
-    return A.leaderboard(_summary(s, d), view(s, d, "models"), 50)
+    return A.leaderboard(_stored(s, d), view(s, d, "models"), 50)
 
 
 def a6_leaderboard_intervals(s, d):
@@ -95,6 +102,13 @@ def a10_failure_cases(s, d):
     return A.failure_cases(view(s, d, "eval_results"), 5).select("experiment_id", "row_idx", "score", "error", "place")
 
 
+def a10_shown_cases(s, d):
+    """Failure cases with their inputs and outputs, redacted."""
+    rows = view(s, d, "dataset_rows").select("row_idx", F.to_json(F.struct("question", F.concat(F.lit("mail a.b@c.org, "), F.col("answer")).alias("note"))).alias("input"), F.to_json(F.struct("answer")).alias("expected"), F.concat(F.col("category"), F.lit(" 13912345678")).alias("output"))
+    cases = A.failure_cases(view(s, d, "eval_results"), 3).join(rows, "row_idx")
+    return A.redacted_cases(cases, ["answer"]).select("experiment_id", "row_idx", "input", "expected", "output", "place")
+
+
 def a11_trend(s, d):
     last = view(s, d, "eval_results").groupBy("experiment_id").agg(F.max("created_at").cast("date").alias("created_at"))
     return A.trend(_board(s, d).join(last, "experiment_id")).select("model_id", "experiment_id", "created_at", "accuracy", "accuracy_delta")
@@ -164,7 +178,7 @@ def a21_failure_diff(s, d):
 
 
 def a22_model_routing(s, d):
-    return A.model_routing(_full(s, d), 0.4)
+    return A.model_routing(_full(s, d).withColumn("cost_unknown", F.col("model_id") % 4 == 1), 0.4, 20)
 
 
 def a24_judge_calibration(s, d):
@@ -230,7 +244,8 @@ def a34_first_wrong_samples(s, d):
 
 
 def a35_filtered_page(s, d):
-    return A.listed(_full(s, d), {"benchmark_id": 1, "dataset_id": ""}, "supplier", 5, 10).select("experiment_id", "experiment_name", "accuracy")
+    last = view(s, d, "eval_results").groupBy("experiment_id").agg(F.max("created_at").cast("date").alias("created_at"))
+    return A.listed(_full(s, d).join(last, "experiment_id"), {"benchmark_id": 1, "dataset_id": ""}, "supplier", 5, 10).select("experiment_id", "experiment_name", "accuracy", "created_at", "total")
 
 
 def a36_missing_work(s, d):
@@ -257,7 +272,8 @@ ORACLE = {
     "a2_run_status": oracle(f"SELECT experiment_id, rate_limited, rows_failed, {STATUS} AS status FROM summary", summary=SUMMARY),
     "a3_metric_means": oracle(f"SELECT experiment_id, metric, {r6('AVG(v)')} AS mean_score, COUNT(*) AS n FROM (SELECT experiment_id, 'exact' AS metric, FLOOR(score) AS v FROM eval_results WHERE {CLEAN} UNION ALL SELECT experiment_id, 'graded', score FROM eval_results WHERE {CLEAN}) GROUP BY 1, 2"),
     "a4_normalized_blobs": f"SELECT event_id, t AS rows_total, sc AS rows_scored, t-sc AS rows_failed, CASE WHEN t=0 THEN 0.0 ELSE {r6('sc/CAST(t AS DOUBLE)')} END AS coverage, CASE WHEN t=0 THEN 0.0 ELSE {r6('(t-sc)/CAST(t AS DOUBLE)')} END AS failure_rate FROM (SELECT event_id, CASE event_id%3 WHEN 0 THEN event_id%97+3 WHEN 1 THEN (event_id%50)*2+2 ELSE event_id%40 END AS t, CASE event_id%3 WHEN 0 THEN event_id%3 WHEN 1 THEN event_id%50+1 ELSE event_id%40 END AS sc FROM events)",
-    "a5_leaderboard": _board_sql(f"SELECT experiment_id, name, model_id, provider, {COHORT}, {DIMS} FROM board ORDER BY {COHORT}, accuracy DESC, total_cost, experiment_id LIMIT 50"),
+    "a5_leaderboard": _board_sql(f"SELECT experiment_id, name, model_id, provider, {COHORT}, shown AS accuracy, {DIMS.split(', ', 1)[1]} FROM (SELECT *, CASE WHEN experiment_id%7=0 OR accuracy=0 THEN (experiment_id%10)/10.0 ELSE accuracy END AS shown FROM board WHERE experiment_id%5=1 OR (experiment_id%5<>0 AND experiment_id%11<>3)) ORDER BY {COHORT}, shown DESC, total_cost, experiment_id LIMIT 50"),
+    "a10_shown_cases": oracle(f"SELECT experiment_id, row_idx, '{{\"question\":\"' || question || '\",\"note\":\"mail [REDACTED], ' || answer || '\"}}' AS input, '{{\"answer\":\"[REDACTED]\"}}' AS expected, category || ' [REDACTED]' AS output, place FROM (SELECT experiment_id, row_idx, CAST(ROW_NUMBER() OVER (PARTITION BY experiment_id ORDER BY score NULLS FIRST, row_idx) AS INT) AS place FROM eval_results WHERE {WRONG}) JOIN dataset_rows USING (row_idx) WHERE place<=3"),
     "a7_cohort_rank": _board_sql(f"SELECT experiment_id, {COHORT}, accuracy, total_cost, CAST(RANK() OVER (PARTITION BY {COHORT} ORDER BY accuracy DESC NULLS LAST, total_cost) AS INT) AS rank_in_cohort FROM board"),
     "a8_comparable_pairs": oracle("SELECT a, b, mismatched, mismatched='' AS comparable FROM (SELECT x.experiment_id AS a, y.experiment_id AS b, CONCAT_WS(',', CASE WHEN x.dataset_id<>y.dataset_id THEN 'dataset_id' END, CASE WHEN x.dataset_version<>y.dataset_version THEN 'dataset_version' END, CASE WHEN x.benchmark_id<>y.benchmark_id THEN 'benchmark_id' END) AS mismatched FROM models x JOIN models y ON y.experiment_id=x.experiment_id+1)"),
     "a9_compare_dimensions": _board_sql(" UNION ALL ".join(f"SELECT experiment_id, '{x.strip()}' AS dimension, CAST({x} AS DOUBLE) AS value FROM board" for x in DIMS.split(","))),
@@ -272,7 +288,7 @@ ORACLE = {
     "a19_pair_facts": oracle(PAIR_FACTS, pairs=FIRST_PAIRS, paired=PAIRED),
     "a18_wilson_interval": oracle(f"SELECT experiment_id, passed, n, {r6(f'(p+{Z*Z}/(2*n))/(1+{Z*Z}/n) - {Z}*SQRT(p*(1-p)/n+{Z*Z}/(4.0*n*n))/(1+{Z*Z}/n)')} AS low, {r6(f'(p+{Z*Z}/(2*n))/(1+{Z*Z}/n) + {Z}*SQRT(p*(1-p)/n+{Z*Z}/(4.0*n*n))/(1+{Z*Z}/n)')} AS high FROM (SELECT experiment_id, COUNT(*) FILTER ({CLEAN} AND score>=1) AS passed, COUNT(*) FILTER ({CLEAN}) AS n, COUNT(*) FILTER ({CLEAN} AND score>=1)/CAST(COUNT(*) FILTER ({CLEAN}) AS DOUBLE) AS p FROM eval_results GROUP BY 1)"),
     "a21_failure_diff": oracle("SELECT a, b, COUNT(*) AS shared_rows, COUNT(*) FILTER (x.w AND NOT y.w) AS a_only_wrong, COUNT(*) FILTER (y.w AND NOT x.w) AS b_only_wrong, COUNT(*) FILTER (x.w AND y.w) AS both_wrong FROM pairs JOIN marked x ON x.experiment_id=a JOIN marked y ON y.experiment_id=b AND y.row_idx=x.row_idx GROUP BY a, b", pairs=PAIRS, marked=f"SELECT experiment_id, row_idx, {WRONG} AS w FROM eval_results"),
-    "a22_model_routing": _board_sql(f"SELECT model_id, experiment_id, accuracy, cost_per_row, qualified, CAST(ROW_NUMBER() OVER w AS INT) AS route_rank, qualified AND ROW_NUMBER() OVER w = 1 AS recommended FROM (SELECT model_id, experiment_id, accuracy, {r6('total_cost/CAST(rows_total AS DOUBLE)', 9)} AS cost_per_row, accuracy>=0.4 AS qualified, ROW_NUMBER() OVER (PARTITION BY model_id ORDER BY accuracy DESC, experiment_id) AS r FROM board JOIN top USING ({COHORT})) WHERE r=1 WINDOW w AS (ORDER BY qualified DESC, CASE WHEN qualified THEN cost_per_row END NULLS FIRST, accuracy DESC, model_id)", top=f"SELECT {COHORT} FROM board GROUP BY {COHORT} ORDER BY COUNT(*) DESC, {COHORT} LIMIT 1"),
+    "a22_model_routing": _board_sql(f"SELECT model_id, experiment_id, accuracy, cost_per_row, unknown AS cost_unknown, qualified, CAST(ROW_NUMBER() OVER w AS INT) AS route_rank, qualified AND ROW_NUMBER() OVER w = 1 AS recommended FROM (SELECT model_id, experiment_id, accuracy, {r6('total_cost/CAST(rows_total AS DOUBLE)', 9)} AS cost_per_row, model_id%4=1 AS unknown, accuracy>=0.4 AS qualified, ROW_NUMBER() OVER (PARTITION BY model_id ORDER BY accuracy DESC, experiment_id) AS r FROM board JOIN top USING ({COHORT})) WHERE r=1 WINDOW w AS (ORDER BY qualified DESC, CASE WHEN qualified THEN unknown END NULLS FIRST, CASE WHEN qualified THEN cost_per_row END NULLS FIRST, accuracy DESC, model_id) ORDER BY route_rank LIMIT 20", top=f"SELECT {COHORT} FROM board GROUP BY {COHORT} ORDER BY COUNT(*) DESC, {COHORT} LIMIT 1"),
     "a24_judge_calibration": oracle(f"SELECT tp, fp, fn, tn, {r6('(tp+tn)/CAST(tp+fp+fn+tn AS DOUBLE)')} AS accuracy, {r6('tp/CAST(tp+fp AS DOUBLE)')} AS precision, {r6('tp/CAST(tp+fn AS DOUBLE)')} AS recall, {r6('2.0*tp/(2*tp+fp+fn)')} AS f1 FROM (SELECT COUNT(*) FILTER (gold=1 AND judge_a=1) AS tp, COUNT(*) FILTER (gold=0 AND judge_a=1) AS fp, COUNT(*) FILTER (gold=1 AND judge_a=0) AS fn, COUNT(*) FILTER (gold=0 AND judge_a=0) AS tn FROM judge_labels)"),
     "a25_judge_agreement": oracle(f"SELECT n, {r6('po')} AS agreement, {r6('(po-pe)/(1-pe)')} AS kappa FROM (SELECT COUNT(*) AS n, AVG(CASE WHEN judge_a=judge_b THEN 1.0 ELSE 0.0 END) AS po, AVG(CAST(judge_a AS DOUBLE))*AVG(CAST(judge_b AS DOUBLE))+(1-AVG(CAST(judge_a AS DOUBLE)))*(1-AVG(CAST(judge_b AS DOUBLE))) AS pe FROM judge_labels)"),
     "a26_by_provider": _board_sql(f"SELECT provider, COUNT(*) AS runs, COUNT(DISTINCT model_id) AS models, {r6('AVG(accuracy)')} AS avg_accuracy, {r6('SUM(total_cost)')} AS sum_cost FROM board GROUP BY 1"),
@@ -285,6 +301,6 @@ ORACLE = {
     "a31_report_facts": oracle(f"SELECT experiment_id, accuracy, total_cost, rows_total, COALESCE(failure_count, 0) AS failure_count, first_failures FROM summary LEFT JOIN (SELECT experiment_id, MAX(n) AS failure_count, STRING_AGG(CAST(row_idx AS VARCHAR), ',' ORDER BY row_idx) FILTER (place<=5) AS first_failures FROM (SELECT experiment_id, row_idx, COUNT(*) OVER (PARTITION BY experiment_id) AS n, ROW_NUMBER() OVER (PARTITION BY experiment_id ORDER BY row_idx) AS place FROM eval_results WHERE {WRONG}) GROUP BY 1) USING (experiment_id)", summary=SUMMARY),
     "a33_result_matrix": _board_sql("SELECT model_id, MAX(accuracy) FILTER (dataset_id=0) AS dataset_0, MAX(accuracy) FILTER (dataset_id=1) AS dataset_1, MAX(accuracy) FILTER (dataset_id=2) AS dataset_2 FROM board GROUP BY 1"),
     "a34_first_wrong_samples": oracle(f"SELECT * FROM (SELECT model_id, dataset_id, experiment_id, row_idx, score, CAST(ROW_NUMBER() OVER (PARTITION BY model_id, dataset_id ORDER BY row_idx, experiment_id) AS INT) AS place FROM eval_results JOIN models USING (experiment_id) WHERE {WRONG}) WHERE place<=20"),
-    "a35_filtered_page": _board_sql("SELECT experiment_id, experiment_name, accuracy FROM board WHERE benchmark_id=1 AND experiment_name ILIKE '%supplier%' ORDER BY experiment_id DESC LIMIT 10 OFFSET 5"),
+    "a35_filtered_page": _board_sql("SELECT b.experiment_id, experiment_name, accuracy, created_at, COUNT(*) OVER () AS total FROM board b JOIN last_day l ON l.experiment_id=b.experiment_id WHERE benchmark_id=1 AND experiment_name ILIKE '%supplier%' ORDER BY created_at DESC, b.experiment_id DESC LIMIT 10 OFFSET 5", last_day="SELECT experiment_id, CAST(MAX(created_at) AS DATE) AS created_at FROM eval_results GROUP BY 1"),
     "a36_missing_work": oracle("SELECT model_id, dataset_id FROM (SELECT DISTINCT model_id FROM models) CROSS JOIN (SELECT DISTINCT dataset_id FROM models) EXCEPT SELECT model_id, dataset_id FROM models"),
 }

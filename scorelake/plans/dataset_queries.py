@@ -201,7 +201,7 @@ def g15_notifications(s, d):
 
 
 def g16_bounded_errors(s, d):
-    return raw(s, d, "documents").select("doc_id", F.length(G.bounded_error(F.col("text"))).cast("long").alias("kept_chars"))
+    return raw(s, d, "documents").select("doc_id", G.bounded_error(F.col("text")).alias("kept"))
 
 
 def t8_rate_limit_streaks(s, d):
@@ -248,6 +248,6 @@ ORACLE = {
     "g13_provider_names": "SELECT CASE WHEN n_name IN ('CHINA','JAPAN') THEN 'east' ELSE LOWER(n_name) END AS provider, COUNT(*) AS n FROM nation JOIN supplier ON s_nationkey=n_nationkey GROUP BY 1",
     "g14_due_schedules": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + CAST(CASE o_orderkey%3 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 30 END AS INT) AS DATE) AS following_run FROM orders WHERE o_orderkey%2=0 AND CAST(o_orderdate AS DATE)<=DATE '1996-01-01'",
     "g15_notifications": oracle("SELECT sub_id, status, COUNT(*) AS n FROM (SELECT experiment_id%4 AS project_id, status FROM result_stream) JOIN (SELECT n_nationkey AS sub_id, n_nationkey%4 AS project_id, n_nationkey%2=0 AS even FROM nation WHERE n_nationkey%5<>0) USING (project_id) WHERE status='failed' OR (even AND status='completed') GROUP BY 1, 2"),
-    "g16_bounded_errors": "SELECT doc_id, LEAST(LENGTH(text), 500) AS kept_chars FROM documents",
+    "g16_bounded_errors": "SELECT doc_id, SUBSTR(text, 1, 500) AS kept FROM documents",
     "t8_rate_limit_streaks": oracle("SELECT experiment_id, MAX(run) AS longest, MAX(run)>=3 AS tripped FROM (SELECT experiment_id, island, COUNT(*) AS run FROM (SELECT experiment_id, f, SUM(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY experiment_id ORDER BY row_idx) AS island FROM (SELECT experiment_id, row_idx, COALESCE(error LIKE 'rate limited%', FALSE) AS f FROM eval_results)) WHERE f GROUP BY 1, 2) GROUP BY 1"),
 }

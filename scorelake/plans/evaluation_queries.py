@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import rounded
@@ -77,7 +79,7 @@ def m19_rubric_scores(s, d):
 
 def m20_judge_prompts(s, d):
     long = F.concat(F.col("question"), F.repeat(F.lit("x"), 2500))
-    return view(s, d, "dataset_rows").select("row_idx", F.length(J.judge_prompt("qa", F.col("answer"), long)).cast("long").alias("n_judge"), F.length(J.rubric_prompt(J.rubric(None, "coding"), 5, F.col("answer"), long)).cast("long").alias("n_rubric"))
+    return view(s, d, "dataset_rows").select("row_idx", J.judge_prompt("qa", F.col("answer"), long).alias("judge"), J.rubric_prompt(J.rubric(None, "coding"), 5, F.col("answer"), long).alias("rubric"))
 
 
 def p3_missing_paths(s, d):
@@ -231,6 +233,13 @@ ANSWER = "CASE row_idx%6 WHEN 0 THEN answer WHEN 1 THEN answer WHEN 2 THEN answe
 POINTS = "SELECT row_idx, row_idx%5 AS k, row_idx%6 AS a, row_idx%4 AS b FROM dataset_rows"
 JUDGE = "Decide whether the prediction means the same as the expected answer. Wording and layout do not matter.\n\nExpected: \nPrediction: \n\nAnswer MATCH or NO_MATCH and nothing else."
 RUBRIC = "Expected: \nPrediction: \n\nGive each dimension 1 to 5 points, 5 for no fault:\n- correctness: correctness\n- completeness: completeness\n- quality: quality\n\nAnswer with JSON only: {\"scores\": {\"correctness\": 1-5, \"completeness\": 1-5, \"quality\": 1-5}}"
+def _asked(text: str) -> str:
+    """A judge's question in SQL, with the answer and the first 2,000 characters of the prediction in their places."""
+    head, middle, tail = re.split(r"(?<=Expected: )|(?<=Prediction: )", text)
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"{quote(head)} || answer || {quote(middle)} || SUBSTR(question || REPEAT('x', 2500), 1, 2000) || {quote(tail)}"
+
+
 SURVIVORS = "SELECT id, COALESCE(MIN(id) FILTER (used) OVER w, FIRST_VALUE(id) OVER (PARTITION BY provider, model_id ORDER BY created_at, id)) AS survivor FROM (SELECT s_suppkey AS id, s_suppkey%3 AS provider, s_suppkey%7 AS model_id, 1000-s_suppkey AS created_at, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey%11=0) AS used FROM supplier) WINDOW w AS (PARTITION BY provider, model_id)"
 PROMPT = "CASE row_idx%4 WHEN 0 THEN 'What is ' || size || ' * ' || row_idx || '?' WHEN 1 THEN 'The capital of France?' WHEN 2 THEN 'Say:' || CHR(10) || REPEAT(question, 9) || CHR(10) || ' ' || CHR(10) ELSE '7 / ' || size%2 || ' ?' END"
 OFFLINE = "CASE row_idx%4 WHEN 0 THEN CAST(size*row_idx AS VARCHAR) WHEN 1 THEN 'Paris' WHEN 2 THEN LEFT(REPEAT(question, 9), 120) ELSE CASE WHEN size%2=0 THEN '0' ELSE '7' END END"
@@ -256,5 +265,5 @@ ORACLE = {
     "g1_all_counters": _counts(CHECKS, "check"),
     "g5_repair_report": _counts(STEPS, "step"),
     "g5_after_repair": _counts({k: f"e2 WHERE {k.split('_')[-1]}_id NOT IN (SELECT id FROM {k.split('_')[-1]}s_ WHERE project_id IN (SELECT id FROM projects))" if k in LAST else "projects WHERE FALSE" for k in CHECKS}, "check"),
-    "m20_judge_prompts": oracle(f"SELECT row_idx, {len(JUDGE)} + LENGTH(answer) + 2000 AS n_judge, {len(RUBRIC)} + LENGTH(answer) + 2000 AS n_rubric FROM dataset_rows"),
+    "m20_judge_prompts": oracle(f"SELECT row_idx, {_asked(JUDGE)} AS judge, {_asked(RUBRIC)} AS rubric FROM dataset_rows"),
 }

@@ -19,9 +19,9 @@ def d7_chat_errors(s, d):
 
 
 def d9_version_issues(s, d):
-    rows = view(s, d, "dataset_rows").select("dataset_id", F.col("row_idx").alias("idx"), F.to_json(F.struct("question", F.when(F.col("row_idx") % 7 == 0, " ").otherwise(F.col("category")).alias("category"))).alias("input"))
+    rows = view(s, d, "dataset_rows").select("dataset_id", F.col("row_idx").alias("idx"), F.to_json(F.struct("question", F.when(F.col("row_idx") % 7 == 0, " ").otherwise(F.col("category")).alias("category"))).alias("input"), F.when(F.col("row_idx") % 11 > 0, F.to_json(F.struct(F.when(F.col("row_idx") % 11 == 1, "").otherwise(F.col("answer")).alias("answer")))).alias("expected"))
     declared = rows.groupBy("dataset_id").agg((F.count("*") + F.when(F.col("dataset_id") == 1, 1).otherwise(0)).alias("row_count"))
-    return D.version_issues(rows, declared, ["question", "context"], ["category"])
+    return D.version_issues(rows, declared, ["question", "context", "topic"], ["category"], ["question", "context"], ["answer", "expected"])
 
 
 def d20_joined_choices(s, d):
@@ -63,7 +63,7 @@ def g6_backfilled_versions(s, d):
 
 CLEANED = "REGEXP_REPLACE(CASE row_idx % 6 WHEN 0 THEN expected WHEN 1 THEN UPPER(expected) WHEN 2 THEN expected WHEN 3 THEN expected || CHR(34) WHEN 4 THEN output ELSE '' END, '\\s+', '', 'g')"
 ORACLE = {
-    "d9_version_issues": oracle("SELECT dataset_id, 'row_count_drift' AS code, '' AS field, COUNT(*) AS n FROM dataset_rows WHERE dataset_id=1 GROUP BY 1 UNION ALL SELECT dataset_id, 'missing_variable', 'context', COUNT(*) FROM dataset_rows GROUP BY 1 UNION ALL SELECT dataset_id, 'missing_required', 'category', COUNT(*) FROM dataset_rows WHERE row_idx%7=0 GROUP BY 1"),
+    "d9_version_issues": oracle("SELECT dataset_id, 'row_count_drift' AS code, '' AS field, COUNT(*) AS n FROM dataset_rows WHERE dataset_id=1 GROUP BY 1 UNION ALL SELECT dataset_id, 'missing_variable', 'context', COUNT(*) FROM dataset_rows GROUP BY 1 UNION ALL SELECT dataset_id, 'missing_required', 'category', COUNT(*) FROM dataset_rows WHERE row_idx%7=0 GROUP BY 1 UNION ALL SELECT dataset_id, 'unmapped_variable', 'topic', 1 FROM dataset_rows GROUP BY 1 UNION ALL SELECT dataset_id, 'missing_expected', 'answer', COUNT(*) FROM dataset_rows WHERE row_idx%11<2 GROUP BY 1 UNION ALL SELECT dataset_id, 'missing_expected', 'expected', COUNT(*) FROM dataset_rows WHERE row_idx%11=0 GROUP BY 1"),
     "d20_joined_choices": "SELECT p_partkey, p_name || CHR(10) || 'A. ' || p_type || CHR(10) || 'B. ' || p_brand AS question, CASE WHEN p_partkey%3=0 THEN 'AB' ELSE 'B' END AS answer, CASE WHEN p_partkey%3=0 THEN 'multiple' ELSE 'single' END AS kind FROM part WHERE p_partkey%4<>0",
     "d7_chat_errors": oracle("SELECT conv_id*1000+turn AS idx, 'messages' AS field, 'chat' AS code FROM chat_turns WHERE turn%5=4 OR role NOT IN ('system','user','assistant')"),
     "d16_flat_rows": oracle("SELECT row_idx AS idx, question, category, answer, 3 AS n_keys FROM dataset_rows"),
