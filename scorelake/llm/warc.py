@@ -10,9 +10,9 @@ decodes it alone, whether or not the frame tells its size, and checks version, m
 end and SHA-1 digests. A broken record is returned with its `error`, and reading goes on at the next frame that is whole.
 
 Defined cases: a null payload is empty; a null url or id leaves its header out or written as `null`; of rows with equal
-payloads those with the largest page_id are responses (a row repeated with the same page_id is a response again) and the
-rest revisit that page; null ids never serve as the visited page unless all ids of the payload are null; an empty table
-gives no archive and an empty result; other columns are ignored.
+payloads one with the largest page_id is the response and the rest, rows repeated with that page_id too, revisit it; null
+ids never serve as the visited page, and if all ids of a payload are null its rows are all responses; an empty table gives
+no archive and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -285,10 +285,12 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, page: st
     and the pages stay where they are; with more, both are dealt by digest."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("same"))
-    kept = rows.where(F.octet_length("payload") >= min_payload).groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("same"), F.monotonically_increasing_id().alias("place"))
+    # of rows with the largest id the one of the last place is the response; places are those of the scan, alike in both uses
+    top = F.max(F.struct("page_id", "place"))
+    kept = rows.where(F.octet_length("payload") >= min_payload).groupBy("same").agg(top.alias("top"), F.count("*").alias("copies")).where("copies > 1 AND top.page_id IS NOT NULL").select("same", F.col("top.page_id").alias("refers_to"), F.col("top.place").alias("kept"))
     kept = stored(kept, "repeated-payloads")
-    rows = rows.join(F.broadcast(kept) if kept.count() <= FEW else kept, "same", "left").select("page_id", "url", "payload", F.col("refers_to"), F.coalesce(F.col("page_id") < F.col("refers_to"), F.col("page_id").isNull() & F.col("refers_to").isNotNull()).alias("revisit"))
+    rows = rows.join(F.broadcast(kept) if kept.count() <= FEW else kept, "same", "left").select("page_id", "url", "payload", F.col("refers_to"), F.coalesce(F.col("place") != F.col("kept"), F.lit(False)).alias("revisit"))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     rows.mapInArrow(_writer(folder, archive_bytes), "archive string, records long").write.parquet(f"{folder}/{MANIFEST}")

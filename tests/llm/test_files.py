@@ -71,6 +71,17 @@ def test_warc_round_trip(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), warc.sha1_base32(data))
 
 
+def test_warc_one_response_for_each_payload(spark):
+    rows = [(6, f"http://{i}", "<p>a</p>") for i in range(9)] + [(6, "http://1", "<p>a</p>")] * 4 + [(2, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (6, "u", "other"), (None, "u", "null ids")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = warc.warc_round_trip(df).collect()
+    assert len(got) == len(rows)
+    same = [r for r in got if r["payload_bytes"] == 8 and r["payload_digest"] == warc.sha1_base32(b"<p>a</p>")]
+    assert [r["page_id"] for r in same if r["record_type"] == "response"] == [6] and all(r["refers_to"] == 6 for r in same if r["record_type"] == "revisit")
+    assert sum(r["record_type"] == "response" for r in got if r["payload_bytes"] == 5) == 1
+    assert all(r["record_type"] == "response" for r in got if r["payload_digest"] == warc.sha1_base32(b"null ids"))
+
+
 def test_warc_payloads_come_back(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"<html>{'word ' * (i % 50)}{i}</html>") for i in range(200)]
     folder = f"file://{tmp_path}/archives"
