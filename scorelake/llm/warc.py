@@ -285,12 +285,21 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, page: st
     and the pages stay where they are; with more, both are dealt by digest."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("same"), F.monotonically_increasing_id().alias("place"))
-    # of rows with the largest id the one of the last place is the response; places are those of the scan, alike in both uses
-    top = F.max(F.struct("page_id", "place"))
-    kept = rows.where(F.octet_length("payload") >= min_payload).groupBy("same").agg(top.alias("top"), F.count("*").alias("copies")).where("copies > 1 AND top.page_id IS NOT NULL").select("same", F.col("top.page_id").alias("refers_to"), F.col("top.place").alias("kept"))
-    kept = stored(kept, "repeated-payloads")
-    rows = rows.join(F.broadcast(kept) if kept.count() <= FEW else kept, "same", "left").select("page_id", "url", "payload", F.col("refers_to"), F.coalesce(F.col("place") != F.col("kept"), F.lit(False)).alias("revisit"))
+    rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("same"))
+    # the response is the row with the largest id and, of those, url; times: how often that very row occurs
+    each = rows.where(F.octet_length("payload") >= min_payload).groupBy("same", "page_id", "url").agg(F.count("*").alias("times"))
+    tops = each.groupBy("same").agg(F.max(F.struct("page_id", "url", "times")).alias("top"), F.sum("times").alias("copies")).where("copies > 1 AND top.page_id IS NOT NULL")
+    kept = stored(tops.select("same", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("top_url"), F.col("top.times").alias("times")), "repeated-payloads")
+    is_top = (F.col("page_id") == F.col("refers_to")) & F.col("url").eqNullSafe(F.col("top_url"))
+    joined = rows.join(F.broadcast(kept) if kept.count() <= FEW else kept, "same", "left")
+    columns = ["page_id", "url", "payload", "refers_to"]
+    rows = joined.select(*columns, (F.col("refers_to").isNotNull() & ~F.coalesce(is_top, F.lit(False))).alias("revisit"))
+    repeated = kept.where("times > 1")
+    if not repeated.isEmpty():
+        # wholly equal responses: one row of them is the response, the others revisit it
+        rest = joined.where(~F.coalesce(is_top & (F.col("times") > 1), F.lit(False))).select(*columns, (F.col("refers_to").isNotNull() & ~F.coalesce(is_top, F.lit(False))).alias("revisit"))
+        one = joined.where(is_top & (F.col("times") > 1)).groupBy("page_id", "url", "refers_to", "same").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+        rows = rest.union(one.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k")).select(*columns, (F.col("k") > 1).alias("revisit")))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     rows.mapInArrow(_writer(folder, archive_bytes), "archive string, records long").write.parquet(f"{folder}/{MANIFEST}")
