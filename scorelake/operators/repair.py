@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.operators.governance import dangling
+from scorelake.sources.storage import stored
 
 # The gateway of each vendor prefix of a model id.
 GATEWAYS = {"openai": "openrouter", "anthropic": "openrouter", "google": "openrouter", "deepseek": "deepseek", "qwen": "openrouter", "zhipuai": "openrouter", "tencent": "openrouter", "moonshot": "openrouter", "qiniu": "qiniu"}
@@ -21,12 +21,32 @@ REFERENCES = [
 
 def missing_parents(tables: dict[str, DataFrame]) -> DataFrame:
     """(check, n): the rows of each child table whose parent is not there; a null reference counts as dangling, and tasks
-    that are marked as of a deleted experiment do not count."""
-    checks = []
-    for child, column, parent in REFERENCES:
-        rows = tables[child].where("experiment_deleted_at IS NULL") if child == "evaluation_tasks" else tables[child]
-        checks.append(dangling(rows, column, tables[parent], "id", f"{child}_missing_{parent.removesuffix('s')}", nulls=True))
-    return reduce(DataFrame.unionByName, checks)
+    that are marked as of a deleted experiment do not count.
+
+    Each child table is read once. Its rows are first counted by their references, so that what meets the parents is one row
+    for each combination; a mask with a bit for each missing parent is then counted for all of them together.
+    """
+    return reduce(DataFrame.unionByName, [_missing(child, tables) for child in dict.fromkeys(c for c, _, _ in REFERENCES)])
+
+
+def missing_mask(rows: DataFrame, references: list[tuple[str, DataFrame]]) -> DataFrame:
+    """rows with mask: bit k is set where the reference of the k-th (column, parents) is null or has no parent (id)."""
+    mask = F.lit(0)
+    for k, (column, parents) in enumerate(references):
+        ids = parents.select(F.col("id").alias(f"_id{k}")).distinct()
+        rows = rows.join(ids, F.col(column) == F.col(f"_id{k}"), "left")
+        mask = mask.bitwiseOR(F.when(F.col(f"_id{k}").isNull(), 1 << k).otherwise(0))
+    return rows.withColumn("mask", mask).drop(*(f"_id{k}" for k in range(len(references))))
+
+
+def _missing(child: str, tables: dict[str, DataFrame]) -> DataFrame:
+    of = [(column, parent) for c, column, parent in REFERENCES if c == child]
+    rows = tables[child].where("experiment_deleted_at IS NULL") if child == "evaluation_tasks" else tables[child]
+    counted = rows.groupBy(*(column for column, _ in of)).agg(F.count("*").alias("n"))
+    masked = missing_mask(counted, [(column, tables[parent]) for column, parent in of])
+    sums = masked.agg(*(F.coalesce(F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(len(of))))
+    names = [f"{child}_missing_{parent.removesuffix('s')}" for _, parent in of]
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.col(f"n{k}").alias("n")) for k, name in enumerate(names)))).alias("c")).select("c.*")
 
 
 def gateway(model: Column) -> Column:
@@ -52,36 +72,36 @@ def restored_models(experiments: DataFrame, models: DataFrame) -> tuple[DataFram
 
 
 def repaired(tables: dict[str, DataFrame], now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The tables without dangling references, and (step, n) of what was done."""
-    out, steps = dict(tables), []
+    """The tables without dangling references, and (step, n) of what was done.
 
-    def counted(step: str, rows: DataFrame) -> None:
-        steps.append(rows.agg(F.lit(step).alias("step"), F.count("*").alias("n")))
+    Models come first, then datasets, experiments and results, then the rest. Each table is read once, with a mark of
+    whether each row stays, and written to the shared folder: the count of a step and the steps after it read that.
+    """
+    out, counts = dict(tables), []
 
-    def owned(child: str, column: str, parent: str) -> DataFrame:
-        return out[child].join(out[parent].select(F.col("id").alias(column)), column, "left_semi").select(*tables[child].columns)
+    def told(step: str, n: Column, rows: DataFrame) -> None:
+        counts.append(rows.agg(F.lit(step).alias("step"), n.alias("n")))
 
-    def drop_orphans(child: str, column: str, parent: str, step: str) -> None:
-        counted(step, out[child].join(out[parent].select(F.col("id").alias(column)), column, "left_anti"))
-        out[child] = owned(child, column, parent)
+    def swept(child: str, references: list[tuple[str, str]], step: str) -> None:
+        marked = stored(missing_mask(out[child], [(column, out[parent].select("id")) for column, parent in references]))
+        told(step, F.count_if(F.col("mask") != 0), marked)
+        out[child] = marked.where("mask = 0").select(*tables[child].columns)
 
     back, moved = restored_models(tables["experiments"], tables["models"])
-    counted("models_restored", back)
-    counted("models_repointed", tables["experiments"].join(moved, "model_id"))
+    back, moved = stored(back), stored(moved)
+    told("models_restored", F.count("*"), back)
     out["models"] = tables["models"].unionByName(back, allowMissingColumns=True)
-    out["experiments"] = tables["experiments"].join(moved, "model_id", "left").withColumn("model_id", F.coalesce("target", "model_id")).select(*tables["experiments"].columns)
-    drop_orphans("datasets", "project_id", "projects", "datasets_deleted")
-    drop_orphans("dataset_rows", "dataset_id", "datasets", "dataset_rows_deleted")
-    before = out["experiments"]
-    for child, column, parent in REFERENCES[:5]:
-        out[child] = owned(child, column, parent)
-    counted("experiments_deleted", before.join(out["experiments"].select("id"), "id", "left_anti"))
-    drop_orphans("experiment_results", "experiment_id", "experiments", "experiment_results_deleted")
+    pointed = stored(tables["experiments"].join(F.broadcast(moved), "model_id", "left"))
+    told("models_repointed", F.count("target"), pointed)
+    out["experiments"] = pointed.withColumn("model_id", F.coalesce("target", "model_id")).select(*tables["experiments"].columns)
+    swept("datasets", [("project_id", "projects")], "datasets_deleted")
+    swept("dataset_rows", [("dataset_id", "datasets")], "dataset_rows_deleted")
+    swept("experiments", [(column, parent) for child, column, parent in REFERENCES if child == "experiments"], "experiments_deleted")
+    swept("experiment_results", [("experiment_id", "experiments")], "experiment_results_deleted")
     for child in ("benchmarks", "prompts", "reports"):
-        drop_orphans(child, "project_id", "projects", f"{child}_deleted")
-    alive = out["experiments"].select(F.col("id").alias("experiment_id"), F.lit(True).alias("_alive"))
-    tasks = tables["evaluation_tasks"].join(alive, "experiment_id", "left")
-    mark = F.col("experiment_deleted_at").isNull() & F.col("_alive").isNull()
-    counted("tasks_marked", tasks.where(mark))
+        swept(child, [("project_id", "projects")], f"{child}_deleted")
+    tasks = stored(missing_mask(tables["evaluation_tasks"], [("experiment_id", out["experiments"].select("id"))]))
+    mark = F.col("experiment_deleted_at").isNull() & (F.col("mask") != 0)
+    told("tasks_marked", F.count_if(mark), tasks)
     out["evaluation_tasks"] = tasks.withColumn("experiment_deleted_at", F.when(mark, now).otherwise(F.col("experiment_deleted_at"))).select(*tables["evaluation_tasks"].columns)
-    return out, reduce(DataFrame.unionByName, steps)
+    return out, reduce(DataFrame.unionByName, counts)

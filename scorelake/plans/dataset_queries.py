@@ -8,7 +8,9 @@ from scorelake.functions.numbers import rounded
 from scorelake.operators import datasets as D
 from scorelake.operators import governance as G
 from scorelake.operators import prompts as P
+from scorelake.operators import versions as V
 from scorelake.sources.fixtures import oracle, raw, view
+from scorelake.sources.storage import work_dir
 
 JSON = "to_json(named_struct('question', question, 'answer', answer, 'category', CASE WHEN row_idx % 7 = 0 THEN ' ' ELSE category END, 'size', size))"
 
@@ -62,6 +64,29 @@ def d13_appended_version(s, d):
     return D.appended_version(rows, "dataset_id", new).groupBy("dataset_id").agg(F.count("*").alias("n"), F.max("idx").alias("last_idx"))
 
 
+def _versions(s, d):
+    """Versions kept as manifests: all rows, then more of some datasets, then other rows for one, then one rolled back."""
+    folder = work_dir(s)
+    rows = view(s, d, "dataset_rows").select("dataset_id", (F.floor(F.col("row_idx") / 4)).cast("long").alias("idx"), "question")
+    V.write_version(rows, folder, 1, "replace")
+    V.write_version(rows.where("dataset_id > 0 AND idx < 10"), folder, 2)
+    V.write_version(rows.where("dataset_id > 1 AND idx < 20"), folder, 3)
+    V.write_version(rows.where("dataset_id = 1 AND idx < 5"), folder, 4, "replace")
+    V.activate(s.createDataFrame([(3, 2)], "dataset_id long, version int"), folder, 5)
+    return folder, rows.schema
+
+
+def d13_manifest_versions(s, d):
+    folder, schema = _versions(s, d)
+    every = V.manifest(s, folder).select("dataset_id", "version").distinct()
+    return V.read_version(s, folder, schema, every).groupBy("dataset_id", "version").agg(F.count("*").alias("n"), F.max("idx").alias("last_idx"), F.countDistinct("idx").alias("n_idx"))
+
+
+def d14_rolled_back(s, d):
+    folder, schema = _versions(s, d)
+    return V.read_version(s, folder, schema).select("dataset_id", "version", "idx", "question")
+
+
 def d14_active_version(s, d):
     versions = view(s, d, "models").select("dataset_id", F.col("dataset_version").alias("version"))
     chosen = versions.where("dataset_id = 1").groupBy("dataset_id").agg(F.min("version").alias("chosen"))
@@ -210,6 +235,10 @@ def t8_rate_limit_streaks(s, d):
 
 ROWS = "SELECT row_idx AS idx, question, answer, CASE WHEN row_idx%7=0 THEN ' ' ELSE category END AS category, size FROM dataset_rows"
 TOKENS = "CAST(FLOOR((LENGTH(text)+3)/4) AS BIGINT)"
+BASE = "SELECT dataset_id, CAST(FLOOR(row_idx/4.0) AS BIGINT) AS idx, question FROM dataset_rows"
+SIZE = "(SELECT COUNT(*) FROM b AS c WHERE c.dataset_id=b.dataset_id)"
+SECOND = f"SELECT dataset_id, {{}} AS version, idx, question FROM b WHERE dataset_id>{{}} UNION ALL SELECT dataset_id, {{}}, {SIZE}+idx, question FROM b WHERE dataset_id>{{}} AND idx<10"
+VERSIONS = f"SELECT dataset_id, 1 AS version, idx, question FROM b UNION ALL {SECOND.format(2, 0, 2, 0)} UNION ALL {SECOND.format(3, 1, 3, 1)} UNION ALL SELECT dataset_id, 3, {SIZE}+10+idx, question FROM b WHERE dataset_id>1 AND idx<20 UNION ALL SELECT dataset_id, 3, idx, question FROM b WHERE dataset_id=1 AND idx<5"
 ORACLE = {
     "d1_column_order": "SELECT * FROM (VALUES ('question',0),('answer',1),('category',2),('size',3)) t(name, position)",
     "d2_profile": oracle("SELECT name, (SELECT COUNT(*) FROM src) AS n_rows, CASE name WHEN 'category' THEN (SELECT COUNT(*) FROM src WHERE TRIM(category)='') WHEN 'absent' THEN (SELECT COUNT(*) FROM src) ELSE CAST(0 AS BIGINT) END AS n_blank FROM (VALUES ('question'),('answer'),('category'),('size'),('absent')) t(name)", src=ROWS),
@@ -221,6 +250,8 @@ ORACLE = {
     "d10_empty_rows": oracle("SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (TRIM(question)='' AND TRIM(answer)='') AS n_empty, COUNT(*) FILTER (TRIM(category)='') AS n_missing FROM src", src=ROWS),
     "d12_dense_index": "SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey, o_custkey, o_totalprice)-1 AS idx FROM orders",
     "d13_appended_version": oracle("SELECT dataset_id, COUNT(*)+COUNT(*) FILTER (idx<10) AS n, MAX(idx)+1+MAX(idx) FILTER (idx<10) AS last_idx FROM (SELECT dataset_id, CAST(FLOOR(row_idx/4.0) AS BIGINT) AS idx FROM dataset_rows) GROUP BY 1"),
+    "d13_manifest_versions": oracle("SELECT dataset_id, CAST(version AS INT) AS version, COUNT(*) AS n, MAX(idx) AS last_idx, COUNT(DISTINCT idx) AS n_idx FROM v GROUP BY 1, 2", b=BASE, v=VERSIONS),
+    "d14_rolled_back": oracle("SELECT dataset_id, CAST(version AS INT) AS version, idx, question FROM v WHERE version=CASE dataset_id WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE 2 END", b=BASE, v=VERSIONS),
     "d14_active_version": oracle("SELECT dataset_id, CASE WHEN dataset_id=1 THEN MIN(dataset_version) ELSE MAX(dataset_version) END AS version FROM models GROUP BY 1"),
     "d15_content_hash": "SELECT w.project_id, w.content_hash, w.idempotency_key, s.same_as FROM (SELECT doc_id%2 AS project_id, 'k' || doc_id AS idempotency_key, SHA256(text) AS content_hash FROM documents WHERE doc_id%3=0) w LEFT JOIN (SELECT doc_id%2 AS project_id, SHA256(text) AS content_hash, MIN(doc_id) AS same_as FROM documents WHERE doc_id%3<>0 GROUP BY 1, 2) s USING (project_id, content_hash)",
     "d17_row_signals": oracle("SELECT 'empty_output' AS code, COUNT(*) AS n_rows, MIN(row_idx) AS first_row FROM answer_pairs WHERE TRIM(output)='' GROUP BY 1"),
