@@ -6,19 +6,25 @@ subsequence of three letters counts DECAY to the power of both its spans, up to
 by the root of the words' own. Gaps and inserted characters so lower a match without losing it. Landmarks are the words
 whose document frequency is most raised in toxic training texts, and the commonest words of clean ones.
 
+A second kernel of words does not mind gaps at all: it counts common subsequences of ORDER letters whatever lies between them,
+divided by the root of the words' own counts. A letter put into every gap of an insult leaves it near a fifth, while
+other words with the same letters hardly have them in that order. It is computed for the landmarks all of whose letters a word
+of at most LONG letters has, and is zero for the others.
+
 A sentence is told by one word, its witness; its kernel row is that word's, so that rows are exact and the Nystroem map
 is, too. A linear SVM on the map comes down to one number per distinct word: a sentence scores as its best word, a text
 as its best sentence, through a logistic curve fitted on the training texts. Nothing is cut off: a word far from all
 landmarks just scores low. The SVM is trained on labelled sentences, each with the word nearest to a toxic landmark as
 its witness: those of clean texts are negative; of a toxic text those are positive that the current machine accepts, and
-its best one in any case (multiple-instance rounds). The machine's kernel is the sum of the kernel and of a power of it,
-each mapped by its own Nystroem root: the power tells rare stems from common words with most of their letters, the kernel
-itself keeps gapped forms near. So that these stay on the toxic side, toxic landmarks with one inserted letter are trained
-on as further positives (virtual examples), each as much as its landmark is met, where no clean sentence lies nearly as
-close to the landmark.
+its best one in any case (multiple-instance rounds). The machine's kernel is the sum of the first kernel, a power of it and
+the second one, each mapped by its own Nystroem root: the power tells rare stems from common words with most of their letters.
+So that spoilt forms stay on the toxic side, toxic landmarks with one to three inserted letters, with a letter in every gap and
+with a letter less are trained on as further positives (virtual examples), each by the square of how often its landmark is
+met, where no clean sentence lies nearly as close to the landmark in one of the two kernels.
 
 The sample is at most `sample` toxic and 2 x `sample` clean labelled texts outside the held-out fold, by a seeded hash
-of the id, and of each the `sentences` sentences that lie nearest to a toxic landmark. All texts are scored, whole.
+of the id, and all their sentences: equal witnesses are merged and counted, those of clean texts together and those of toxic
+ones text by text. Settings were chosen by cross-validation within the training folds. All texts are scored, whole.
 
 Defined cases: null and empty texts score as a sentence without any match; words under three letters match nothing;
 labels with nulls are ignored, and an id labelled both ways counts as toxic; of texts with one id the least is learned
@@ -46,15 +52,18 @@ DECAY, SPAN, COST = 0.95, 8, 0.5
 THRESHOLD = 0.3
 #: The kernel is summed with SHARE times its POWER, which tells stems that share most of their letters.
 POWER, SHARE = 6, 1.0
-#: Forms of a toxic landmark with one inserted letter, the weight of all forms against that of the positives, and by how
-#: much they must lie nearer to it than any clean sentence does to be trained on.
-FORMS, FORM_SHARE, CLEAR = 8, 0.4, 0.1
+#: Letters of the subsequences that may have any gaps, and of the words in which they are looked for.
+ORDER, LONG = 4, 24
+#: Forms of a toxic landmark with one, two and three inserted letters, a letter in every gap and a letter less, the weight of all
+#: forms against that of the positives, and by how much they must lie nearer to it than any clean sentence does in the
+#: first or the second kernel to be trained on.
+FORMS, FORM_SHARE, CLEAR, GAP_CLEAR = (4, 4, 4, 8, 6), 2.0, 0.1, 0.03
 #: Eigenvalues of the landmarks' kernel matrices above which their directions are used.
 RANK = 0.05
 #: Training sentences taken at a time.
 BLOCK = 1 << 14
-#: Sentences of a training text.
-SENTENCES = 32
+#: Pairs of words whose common subsequences are counted at a time.
+PAIRS = 1 << 15
 TEXT_BYTES = 1 << 20
 #: Bytes of words whose subsequences are listed at a time, and words whose numbers a worker remembers.
 WORD_BYTES, KNOWN_WORDS = 1 << 16, 1 << 20
@@ -103,13 +112,45 @@ def triples(letter: np.ndarray, owner: np.ndarray) -> Iterator[tuple[float, np.n
         yield DECAY ** (d + 1), (letter[same] * LETTERS + letter[same + i]) * LETTERS + letter[same + d], owner[same]
 
 
+def places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of words one after the other, and their starts and stops."""
+    stop = np.cumsum([len(w.encode()) for w in words]) if words else np.zeros(0, np.int64)
+    return np.frombuffer("".join(words).encode(), np.uint8), np.r_[0, stop[:-1]][: len(words)], stop
+
+
+def spelled(letter: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters by word and place (-1 beyond its end), sizes, and sets of letters as bits; words over LONG letters are empty."""
+    size = np.bincount(owner, minlength=count)
+    out = np.full((count, LONG), -1, np.int8)
+    inside = size[owner] <= LONG
+    place = np.arange(len(owner)) - np.r_[0, np.cumsum(size)][owner]
+    out[owner[inside], place[inside]] = letter[inside]
+    bits = np.zeros(count, np.uint64)
+    np.bitwise_or.at(bits, owner[inside], np.uint64(1) << letter[inside].astype(np.uint64))
+    return out, np.where(size <= LONG, size, 0), bits
+
+
+def common_subsequences(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """For each pair of words, in how many ways subsequences of ORDER letters of one are those of the other, with any gaps."""
+    n, high, wide = len(a), int(a_size.max(initial=0)), int(b_size.max(initial=0))
+    above = np.zeros((ORDER + 1, wide + 1, n))
+    above[0] = 1
+    for i in range(high):
+        row = np.zeros_like(above)
+        row[0] = 1
+        for j in range(wide):
+            same = (a[:, i] == b[:, j]) & (a[:, i] >= 0)
+            row[1:, j + 1] = above[1:, j + 1] + row[1:, j] - above[1:, j] + same * above[:-1, j]
+        above = row
+    return above[ORDER, wide]
+
+
 class Landmarks:
     def __init__(self, words: list[str], toxic: int):
         self.words, self.toxic = words, toxic
-        raw = "".join(words).encode()
-        size = np.array([len(w.encode()) for w in words])
-        stop = np.cumsum(size)
-        letter, owner = folded(np.frombuffer(raw, np.uint8), stop - size, stop)
+        letter, owner = folded(*places(words))
+        self.spelled = spelled(letter, owner, len(words))
+        self.own = common_subsequences(*self.spelled[:2], *self.spelled[:2])
         self.table = np.zeros((LETTERS**3, len(words)), np.float32)
         for w, code, o in triples(letter, owner):
             np.add.at(self.table, (code, o), w)
@@ -119,6 +160,33 @@ class Landmarks:
     def gram(self) -> np.ndarray:
         return self.table.T.astype(np.float64) @ self.table
 
+    def gap_gram(self) -> np.ndarray:
+        n = len(self.words)
+        i, j = np.divmod(np.arange(n * n), n)
+        letters, size, _ = self.spelled
+        counts = common_subsequences(letters[i], size[i], letters[j], size[j]).reshape(n, n)
+        return counts / np.sqrt(np.maximum(self.own[:, None] * self.own[None, :], 1e-12))
+
+    def gap_rows(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Rows of the second kernel of the words at byte ranges."""
+        out = np.zeros((len(start), len(self.words)), np.float32)
+        marks, mark_size, mark_bits = self.spelled
+        for a, b in chunks(np.r_[0, np.cumsum(stop - start)], WORD_BYTES):
+            letters, size, bits = spelled(*folded(raw, start[a:b], stop[a:b]), b - a)
+            fits = (mark_bits[None, :] & ~bits[:, None] == 0) & (mark_size[None, :] >= ORDER) & (size[:, None] >= mark_size[None, :])
+            w, m = np.nonzero(fits)
+            used, at = np.unique(w, return_inverse=True)
+            own = np.concatenate([np.zeros(0), *(common_subsequences(letters[u], size[u], letters[u], size[u]) for u in np.array_split(used, len(used) // PAIRS + 1))])
+            for k in range(0, len(w), PAIRS):
+                x, y = w[k : k + PAIRS], m[k : k + PAIRS]
+                counts = common_subsequences(letters[x], size[x], marks[y], mark_size[y])
+                out[a + x, y] = counts / np.sqrt(np.maximum(own[at[k : k + PAIRS]] * self.own[y], 1e-12))
+        return out
+
+    def both(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Rows of the first kernel, then of the second."""
+        return np.concatenate([self.rows(raw, start, stop), self.gap_rows(raw, start, stop)], axis=1)
+
     def rows(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The kernel rows of the words at byte ranges."""
         out = np.zeros((len(start), len(self.words)), np.float32)
@@ -177,17 +245,16 @@ def distinct_words(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tupl
     return np.unique(Pieces(raw).hash(start, stop), return_index=True, return_inverse=True)
 
 
-def sentence_rows(marks: Landmarks, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and kernel rows of the sentences of a chunk, by their witnesses."""
+def witnesses(marks: Landmarks, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and place in the chunk's words of the witness of each sentence."""
     start, stop, owner, sentence = words_of(raw, cuts)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros((0, len(marks.words)), np.float32)
-    _, first, which = distinct_words(raw, start, stop)
-    rows = marks.rows(raw, start[first], stop[first])
-    near = rows[:, : marks.toxic].max(axis=1, initial=0)
+        return (np.zeros(0, np.int64),) * 3
+    hashes, first, which = distinct_words(raw, start, stop)
+    near = marks.rows(raw, start[first], stop[first])[:, : marks.toxic].max(axis=1, initial=0)
     order = np.lexsort((which, -near[which], sentence))
     witness = order[np.r_[True, np.diff(sentence[order]) != 0]]
-    return owner[witness], rows[which[witness]]
+    return owner[witness], hashes[which[witness]].astype(np.int64), first[which[witness]]
 
 
 def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,23 +265,27 @@ def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string()), pa.array([toxic] * len(words), pa.int32())], ["word", "toxic"])
 
 
-def _rows(marks: Landmarks, sentences: int):
-    """Of each training text the kernel rows of the sentences nearest to a toxic landmark; a zero row if it has none."""
+def _rows(marks: Landmarks):
+    """(doc_id, toxic, word, times, row) of the witnesses of training texts: of toxic texts each one's, of clean ones those of a
+    chunk together, without id. row: both kernels' rows as half floats. A text without words has one zero row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ends = text_bytes(batch["text"])
             ids, toxic = batch["doc_id"].to_numpy(), batch["toxic"].to_numpy()
             for a, b in chunks(ends, TEXT_BYTES):
-                owner, rows = sentence_rows(marks, raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                near = rows[:, : marks.toxic].max(axis=1, initial=0)
-                order = np.lexsort((-near, owner))
-                first = np.searchsorted(owner[order], owner[order])
-                order = order[np.arange(len(order)) - first < sentences]
+                part, cuts = raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+                owner, word, place = witnesses(marks, part, cuts)
                 bare = np.setdiff1d(np.arange(b - a), owner)
-                both = np.r_[owner[order], bare]
-                full = np.r_[rows[order], np.zeros((len(bare), rows.shape[1]), np.float32)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][both]), pa.array(toxic[a:b][both]), pa.array(full.tolist(), pa.list_(pa.float32()))], ["doc_id", "toxic", "row"])
+                of = np.where(toxic[a:b] == 1, np.arange(b - a), -1)
+                keys, first, times = np.unique(np.c_[np.r_[of[owner], of[bare]], np.r_[word, np.zeros(len(bare), np.int64)]], axis=0, return_index=True, return_counts=True)
+                start, stop, *_ = words_of(part, cuts) if len(owner) else (place, place)
+                rows = np.zeros((len(keys), 2 * len(marks.words)), np.float16)
+                worded = first < len(owner)
+                at = place[first[worded]]
+                rows[worded] = marks.both(part, start[at], stop[at])
+                doc = keys[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][doc], mask=doc < 0), pa.array((doc >= 0).astype(np.int32)), pa.array(keys[:, 1]), pa.array(times), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "toxic", "word", "times", "row"])
 
     return run
 
@@ -258,46 +329,53 @@ def logistic(s: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200
     return float(w[0]), float(w[1])
 
 
-def inserted(words: list[str], count: int, seed: int = SEED) -> list[str]:
-    """Each word `count` times, with one letter more at a seeded inner place."""
-    rng = np.random.default_rng(seed)
+def spoilt(word: str, forms: tuple[int, ...] = FORMS, seed: int = SEED) -> list[str]:
+    """Forms of a word as FORMS tells, at seeded inner places."""
+    rng = np.random.default_rng([seed, *word.encode()])
+    letter = lambda: chr(97 + int(rng.integers(26)))
     out = []
-    for w in words:
+    for more, count in enumerate(forms[:3], 1):
         for _ in range(count):
-            at = int(rng.integers(1, max(2, len(w))))
-            out.append(w[:at] + chr(97 + int(rng.integers(26))) + w[at:])
+            at = set(rng.choice(np.arange(1, max(2, len(word))), min(more, max(1, len(word) - 1)), replace=False).tolist())
+            out.append("".join((letter() if i in at else "") + c for i, c in enumerate(word)))
+    out += ["".join((letter() if i else "") + c for i, c in enumerate(word)) for _ in range(forms[3])]
+    for _ in range(forms[4]):
+        at = int(rng.integers(1, max(2, len(word) - 1)))
+        out.append(word[:at] + word[at + 1 :])
     return out
 
 
 def parts(rows: np.ndarray) -> np.ndarray:
-    """Kernel rows, then their powers: the two parts of the summed kernel."""
-    return np.concatenate([rows, rows**POWER], axis=1)
+    """Both kernels' rows to the three parts of the summed kernel: the first, its power, and the second."""
+    first, second = np.split(rows, 2, axis=1)
+    return np.concatenate([first, first**POWER, second], axis=1)
 
 
-def nystroem(gram: np.ndarray) -> np.ndarray:
-    """The map from both parts of a kernel row to the features of the summed kernel."""
+def nystroem(gram: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """The map from the parts of a kernel row to the features of the summed kernel."""
     roots = []
-    for part, share in ((gram, 1.0), (gram**POWER, SHARE)):
+    for part, share in ((gram, 1.0), (gram**POWER, SHARE), (gaps, 1.0)):
         value, vector = np.linalg.eigh(part)
         roots.append(np.sqrt(share) * vector[:, value > RANK] / np.sqrt(value[value > RANK]))
-    out = np.zeros((2 * len(gram), sum(r.shape[1] for r in roots)))
-    out[: len(gram), : roots[0].shape[1]] = roots[0]
-    out[len(gram) :, roots[0].shape[1] :] = roots[1]
+    n = len(gram)
+    out = np.zeros((3 * n, sum(r.shape[1] for r in roots)))
+    column = 0
+    for k, root in enumerate(roots):
+        out[k * n : (k + 1) * n, column : column + root.shape[1]] = root
+        column += root.shape[1]
     return out
 
 
 def virtual_rows(marks: Landmarks, clean: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel rows of toxic landmarks with an inserted letter, where no clean sentence comes nearly as near, and the
-    share of each form by the toxic sentences (`near`: their kernel values) that hold its landmark."""
-    words = [w.encode() for w in inserted(marks.words[: marks.toxic], FORMS)]
-    stop = np.cumsum([len(w) for w in words])
-    rows = marks.rows(np.frombuffer(b"".join(words), np.uint8), np.r_[0, stop[:-1]], stop).astype(np.float64)
-    own = np.repeat(np.arange(marks.toxic), FORMS)
-    value = rows[np.arange(len(own)), own]
-    nearest = clean[:, : marks.toxic].max(axis=0, initial=0)
-    used = value > nearest[own] + CLEAR
-    support = np.bincount(near.argmax(axis=1)[near.max(axis=1, initial=0) > APART], minlength=marks.toxic)[own[used]]
-    return rows[used], support / max(1, support.sum())
+    """Rows of both kernels of spoilt toxic landmarks where no clean sentence comes nearly as near (`clean`: the largest values of
+    clean sentences), and the share of each form by the toxic sentences (`near`: their values) that hold its landmark."""
+    forms = [spoilt(w) for w in marks.words[: marks.toxic]]
+    own = np.repeat(np.arange(marks.toxic), [len(f) for f in forms])
+    rows = marks.both(*places([w for f in forms for w in f])).astype(np.float64)
+    each, n = np.arange(len(own)), len(marks.words)
+    used = (rows[each, own] > clean[own] + CLEAR) | (rows[each, n + own] > clean[n + own] + GAP_CLEAR)
+    support = np.bincount(near.argmax(axis=1)[near.max(axis=1, initial=0) > APART], minlength=marks.toxic)[own[used]].astype(float) ** 2
+    return rows[used], support / max(1.0, support.sum())
 
 
 class Model:
@@ -316,23 +394,27 @@ class Model:
         out = np.array([self._known.get(k, np.nan) for k in keys])
         new = np.flatnonzero(np.isnan(out))
         if len(new):
-            out[new] = parts(self.marks.rows(raw, start[new], stop[new])) @ self.word_weight
+            out[new] = parts(self.marks.both(raw, start[new], stop[new])) @ self.word_weight
             if len(self._known) + len(new) > KNOWN_WORDS:
                 self._known.clear()
             self._known.update(zip([keys[i] for i in new.tolist()], out[new].tolist(), strict=True))
         return out
 
-    def scores(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    def numbers(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The number of each text's best word, 0 without words, and the bias."""
         best = np.full(len(cuts) - 1, -np.inf)
         start, stop, owner, _ = words_of(raw, cuts)
         if len(start):
             hashes, first, which = distinct_words(raw, start, stop)
             np.maximum.at(best, owner, self.word_numbers(raw, start[first], stop[first], hashes)[which])
         best[np.isinf(best)] = 0
-        return 1 / (1 + np.exp(-np.clip(self.slope * (best + self.bias) + self.offset, -30, 30)))
+        return best + self.bias
+
+    def scores(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.numbers(raw, cuts) + self.offset, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED, sentences: int = SENTENCES) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model | None:
     """The model of a bounded sample outside the held-out fold; None if a class is missing."""
     rated = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(id_remainder("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
@@ -352,44 +434,62 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     words = apart([r["word"] for r in top], TOXIC_MARKS)
     toxic_marks = len(words)
     marks = Landmarks(words + [r["word"] for r in common if r["word"] not in words], toxic_marks)
-    got = rows.mapInArrow(_rows(marks, sentences), "doc_id long, toxic int, row array<float>").toArrow()
-    kernel = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got["row"].chunks]).reshape(-1, len(marks.words))
-    ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy()
+    found = rows.mapInArrow(_rows(marks), "doc_id long, toxic int, word long, times long, row binary")
+    got = found.groupBy("doc_id", "toxic", "word").agg(F.sum("times").alias("times"), F.first("row").alias("row")).toArrow().sort_by([("toxic", "ascending"), ("doc_id", "ascending"), ("word", "ascending")])
+    kernel = np.frombuffer(b"".join(got["row"].to_pylist()), np.float16).reshape(-1, 2 * len(marks.words))
+    toxic, times = got["toxic"].to_numpy(), got["times"].to_numpy()
+    ids = got["doc_id"].fill_null(0).to_numpy()
     del got
-    return learned(marks, kernel, ids, toxic)
-
-
-def learned(marks: Landmarks, kernel: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> Model:
-    """The machine of sentences with these kernel rows, ids and labels of their texts."""
-    root = nystroem(marks.gram())
-    _, doc = np.unique(ids, return_inverse=True)
+    model, forms = learned(marks, kernel, ids, toxic, times)
+    # the curve is fitted on the numbers of whole texts
+    best = rows.mapInArrow(_numbering(model), "toxic int, number double").toArrow()
+    number, label = best["number"].to_numpy(), best["toxic"].to_numpy().astype(float)
+    form_number, share = forms
+    model.slope, model.offset = logistic(np.r_[number, form_number], np.r_[label, np.ones(len(form_number))], np.r_[np.ones(len(label)), FORM_SHARE * label.sum() * share])
+    return model
+
+
+def learned(marks: Landmarks, kernel: np.ndarray, ids: np.ndarray, toxic: np.ndarray, times: np.ndarray) -> tuple[Model, tuple[np.ndarray, np.ndarray]]:
+    """The machine of witnesses with these kernel rows, labels and counts, those of toxic texts with their ids; and the numbers
+    and shares of the virtual examples."""
+    n, m = len(kernel), len(marks.words)
+    root = nystroem(marks.gram(), marks.gap_gram())
+    first = kernel[:, :m]
+    _, doc = np.unique(np.where(toxic == 1, ids, ids.max(initial=0) + 1), return_inverse=True)
     # a toxic text of which nothing comes near a landmark teaches nothing
-    touched = (toxic == 1) & kernel.any(axis=1)
-    near = kernel[:, : marks.toxic].max(axis=1, initial=0)
-    positive = touched & (near > 0.9)
-    forms, share = virtual_rows(marks, kernel[toxic == 0], kernel[toxic == 1, : marks.toxic])
-    # features of the sentences, then of the forms, and a column for the bias
-    n = len(kernel)
+    touched = (toxic == 1) & first.any(axis=1)
+    positive = touched & (first[:, : marks.toxic].max(axis=1, initial=0) > 0.9)
+    forms, share = virtual_rows(marks, kernel[toxic == 0].max(axis=0, initial=0).astype(np.float64), first[toxic == 1, : marks.toxic])
+    # features of the witnesses, then of the forms, and a column for the bias
     x = np.ones((n + len(forms), root.shape[1] + 1), np.float32)
     x[n:, :-1] = parts(forms) @ root
     for a in range(0, n, BLOCK):
         b = min(n, a + BLOCK)
-        x[a:b, :-1] = parts(kernel[a:b]) @ root
+        x[a:b, :-1] = parts(kernel[a:b].astype(np.float64)) @ root
     w = np.zeros(x.shape[1])
     for _ in range(4):
         if not positive.any():
             positive = toxic == 1
         side = np.r_[np.where(positive, 1.0, -1.0), np.ones(len(forms))]
-        weight = COST * np.r_[positive | (toxic == 0), FORM_SHARE * positive.sum() * share]
+        weight = COST * np.r_[times * (positive | (toxic == 0)), FORM_SHARE * (times * positive).sum() * share]
         w = svm(x, side, weight)
         f = x @ w.astype(np.float32)
-        best = np.full(doc.max() + 1, -np.inf)
+        best = np.full(doc.max(initial=0) + 1, -np.inf)
         np.maximum.at(best, doc, f[:n])
         positive = touched & ((f[:n] > 0) | (f[:n] == best[doc]))
-    y = np.zeros(doc.max() + 1)
-    np.maximum.at(y, doc, toxic)
-    slope, offset = logistic(np.r_[best, f[n:]], np.r_[y, np.ones(len(forms))], np.r_[np.ones(len(y)), FORM_SHARE * y.sum() * share])
-    return Model(marks, root @ w[:-1], float(w[-1]), slope, offset)
+    return Model(marks, root @ w[:-1], float(w[-1]), 1.0, 0.0), (f[n:], share)
+
+
+def _numbering(model: Model):
+    """(toxic, number) of training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, ends = text_bytes(batch["text"])
+            number = np.concatenate([np.zeros(0), *(model.numbers(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]) for a, b in chunks(ends, TEXT_BYTES))])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(number)], ["toxic", "number"])
+
+    return run
 
 
 def _scoring(model: Model | None):

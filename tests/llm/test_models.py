@@ -132,6 +132,8 @@ def test_toxicity_held_out(real):
     rows = toxicity.toxicity_scores(real["documents"], real["labels"]).join(real["labels"], "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.9
+    held = lambda toxic: [r["predicted"] == toxic for r in rows if r["held_out"] and r["toxic"] == toxic]
+    assert (np.mean(held(0)) + np.mean(held(1))) / 2 > 0.75
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
@@ -172,6 +174,63 @@ def test_toxicity_tolerates_inserted_characters(spark):
     assert sum(got[2000 + i] for i in range(50)) <= 5  # words of the insults' own syllables
 
 
+def test_gap_kernel_by_hand():
+    from itertools import combinations
+
+    count = lambda w: collections.Counter("".join(c) for c in combinations(w, toxicity.ORDER))
+    dot = lambda a, b: sum(a[u] * b[u] for u in a)
+    marks = toxicity.Landmarks(["idiot", "stupid", "scum"], 3)
+    words = ["idiot", "ixdyizoqt", "toidi", "distribution", "sqcwuem", "x" * 30 + "idiot", "id"]
+    rows = marks.gap_rows(*toxicity.places(words))
+    for word, row in zip(words, rows, strict=True):
+        for mark, got in zip(marks.words, row, strict=True):
+            fits = set(mark) <= set(word) and len(mark) <= len(word) <= toxicity.LONG
+            want = dot(count(word), count(mark)) / math.sqrt(dot(count(word), count(word)) * dot(count(mark), count(mark))) if fits else 0.0
+            assert abs(got - want) < 1e-5, (word, mark)
+    assert np.allclose(np.diag(marks.gap_gram()), 1)
+
+
+@pytest.mark.parametrize(("form", "least"), [("plain", 1.0), ("one", 0.95), ("two", 0.9), ("three", 0.8), ("gaps", 0.7), ("dropped", 0.75)])
+def test_toxicity_of_spoilt_insults(spoilt_scores, form, least):
+    assert spoilt_scores[form] >= least and spoilt_scores["clean"] <= 0.06
+
+
+@pytest.fixture(scope="module")
+def spoilt_scores(spark):
+    """Shares of spoilt insults that are found in clean texts, and of the clean texts that are; trained at sf0.1."""
+    rng, folder = random.Random(3), "/root/testdata/sf0.1"
+    insults = ["idiot", "stupid", "trash", "worthless", "disgusting", "pathetic", "loser", "clown", "moron", "scum"]
+    letter = lambda: chr(97 + rng.randrange(26))
+
+    def more(word, k):
+        at = set(rng.sample(range(1, len(word)), min(k, len(word) - 1)))
+        return "".join((letter() if i in at else "") + c for i, c in enumerate(word))
+
+    def less(word):
+        at = rng.randrange(1, len(word) - 1)
+        return word[:at] + word[at + 1 :]
+
+    make = {"plain": lambda w: w, "one": lambda w: more(w, 1), "two": lambda w: more(w, 2), "three": lambda w: more(w, 3), "gaps": lambda w: more(w, len(w)), "dropped": less}
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    clean = [r["text"] for r in docs.join(labels, "doc_id").where("toxic = 0 AND quality = 1 AND lang = 'en' AND crc32(CAST(doc_id AS STRING)) % 4 = 2").orderBy("doc_id").limit(60).collect()]
+    probes, kind = [], {}
+    for name, form in make.items():
+        for k in range(60):
+            words = clean[k].split(" ")
+            words.insert(rng.randrange(len(words) + 1), form(insults[k % 10]))
+            probes.append((10**9 + len(probes), " ".join(words)))
+            kind[probes[-1][0]] = name
+    for text in clean:
+        probes.append((10**9 + len(probes), text))
+        kind[probes[-1][0]] = "clean"
+    model = toxicity.fit(docs, labels)
+    frame = spark.createDataFrame(probes, "doc_id long, text string").selectExpr("doc_id", "false AS held_out", "text")
+    got = collections.defaultdict(list)
+    for r in frame.mapInArrow(toxicity._scoring(model), "doc_id long, held_out boolean, score double, predicted int").collect():
+        got[kind[r["doc_id"]]].append(r["predicted"])
+    return {k: np.mean(v) for k, v in got.items()}
+
+
 def test_toxicity_edges(edge_docs, edge_rows, labels, empty_docs):
     assert toxicity.toxicity_scores(edge_docs, labels).count() == len(edge_rows)
     assert toxicity.toxicity_scores(empty_docs, labels).count() == 0
