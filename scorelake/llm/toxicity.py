@@ -435,11 +435,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     toxic_marks = len(words)
     marks = Landmarks(words + [r["word"] for r in common if r["word"] not in words], toxic_marks)
     found = rows.mapInArrow(_rows(marks), "doc_id long, toxic int, word long, times long, row binary")
-    got = found.groupBy("doc_id", "toxic", "word").agg(F.sum("times").alias("times"), F.first("row").alias("row")).toArrow().sort_by([("toxic", "ascending"), ("doc_id", "ascending"), ("word", "ascending")])
-    kernel = np.frombuffer(b"".join(got["row"].to_pylist()), np.float16).reshape(-1, 2 * len(marks.words))
-    toxic, times = got["toxic"].to_numpy(), got["times"].to_numpy()
-    ids = got["doc_id"].fill_null(0).to_numpy()
-    del got
+    got = found.groupBy("doc_id", "toxic", "word").agg(F.sum("times").alias("times"), F.first("row").alias("row")).toArrow()
+    # rows of one length lie one after the other in the column's own memory
+    column = pa.concat_arrays(got["row"].chunks)
+    kernel = np.frombuffer(column.buffers()[2], np.float16).reshape(-1, 2 * len(marks.words))[column.offset :][: len(column)]
+    toxic, times, ids, word = (got[c].fill_null(0).to_numpy() for c in ("toxic", "times", "doc_id", "word"))
+    order = np.lexsort((word, ids, toxic))
+    kernel, toxic, times, ids = kernel[order], toxic[order], times[order], ids[order]
+    del got, column
     model, forms = learned(marks, kernel, ids, toxic, times)
     # the curve is fitted on the numbers of whole texts
     best = rows.mapInArrow(_numbering(model), "toxic int, number double").toArrow()
