@@ -8,7 +8,9 @@ runs that make up one within its budget at least one is within its own. Texts an
 with white space collapsed. An item of under SHORT characters says little inside longer words: it matches only where the
 characters beside the place are neither letters nor digits.
 
-The items are a stated query set. They are taken in blocks of bounded size, one pass over the documents per block.
+The items are a stated query set. Equal items are matched once; the distinct ones are written to the shared folder in files
+of bounded size. One stage reads the documents: a task holds a bounded run of them, goes over the files and has the automaton
+of one file at a time. Neither the items nor the documents pass through the driver.
 
 Defined cases: null and empty texts match nothing; null and blank items are skipped, all others are searched; repeated
 items and repeated documents give a row each; an empty table gives an empty result; only the id and text columns are
@@ -20,13 +22,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.llm.common import stored
+
 ERROR_RATE = 0.1
 SHORT = 24
-#: Bytes of items that one broadcast block holds.
+#: Bytes of items that one automaton holds.
 BLOCK_BYTES = 4 << 20
+#: Bytes of documents that a task holds while it goes over the blocks, if there are several.
+HELD_BYTES = 32 << 20
 
 
 def normal(text: str) -> str:
@@ -120,12 +128,13 @@ def bounded_match(item: str, errors: int, text: str, start: int, stop: int) -> t
 
 
 class Matcher:
-    """The automaton of a block of items."""
+    """The automaton of a block of items; owners: the id and the number of copies of each item, where it was read from a file."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
         self.items = [(k, item, budget(len(item), rate)) for k, item in items]
+        self.owners: list[tuple[int | None, int]] = []
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int, tuple]]] = {}
         for n, (_, item, errors) in enumerate(self.items):
@@ -191,58 +200,79 @@ class Matcher:
                 yield key, distance, end - length, end
 
 
-def _matching(items: list[tuple[int, str]], rate: float):
-    built: list[Matcher] = []
+def item_files(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, key: str = "item_id", text: str = "text") -> list[str]:
+    """Files of the item table (id, text, copies) in the shared folder, each a block of about block_bytes."""
+    items = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    items = items.groupBy("id", "text").agg(F.count("*").alias("copies"))
+    total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    return sorted(stored(items.repartition(max(1, -(-int(total) // block_bytes)), "id", "text"), "items").inputFiles())
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(Matcher(items, rate))
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-                if (text := text.as_py()) is not None:
-                    rows += [(key, *hit) for hit in built[0].found(normal(text))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
 
-    return match
+_last: dict[tuple[str, float], Matcher] = {}
+
+
+def matcher(file: str, rate: float) -> Matcher:
+    """The automaton of one block; a worker holds one at a time and keeps it for its next task."""
+    if (file, rate) not in _last:
+        _last.clear()
+        store, path = fs.FileSystem.from_uri(file)
+        block = pq.read_table(path, filesystem=store).to_pylist()
+        block = [(r["id"], normal(r["text"]), r["copies"]) for r in block]
+        built = Matcher([(n, t) for n, (_, t, _) in enumerate(block) if t], rate)
+        built.owners = [(k, c) for k, _, c in block]
+        _last[file, rate] = built
+    return _last[file, rate]
+
 
+def _held(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in runs of about limit bytes."""
+    run, size = [], 0
+    for batch in batches:
+        run.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
-def item_blocks(benchmark: DataFrame, block_bytes: int, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_bytes, dealt by a hash, normalised."""
-    total = benchmark.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    for b in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)) == b)
-        items = [(r[0], normal(r[1])) for r in part.select(F.col(key).cast("long"), text).where(F.col(text).isNotNull()).collect()]
-        yield [(k, t) for k, t in items if t]
+
+def _matching(files: list[str], rate: float):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _held(batches, HELD_BYTES if len(files) > 1 else 0):
+            texts = [(key, normal(x.as_py())) for batch in run for key, x in zip(batch["id"].to_pylist(), batch["text"], strict=True) if x.is_valid]
+            for file in files:
+                block, rows = matcher(file, rate), []
+                for key, text in texts:
+                    for n, *place in block.found(text):
+                        item, copies = block.owners[n]
+                        rows += [(key, item, *place)] * copies
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
+
+    return match
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end): every pair of a document and an item within the item's budget."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    out = None
-    for items in item_blocks(benchmark, block_bytes, "item_id", "text"):
-        part = rows.mapInArrow(_matching(items, rate), "doc_id long, item_id long, distance long, start long, end long")
-        out = part if out is None else out.union(part)
-    return out
-
+    return rows.mapInArrow(_matching(item_files(benchmark, block_bytes), rate), "doc_id long, item_id long, distance long, start long, end long")
 
-def _clean(items: list[tuple[int, str]], rate: float, text: str, names: list[str]):
-    built: list[Matcher] = []
 
+def _clean(files: list[str], rate: float, text: str, names: list[str]):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(Matcher(items, rate))
-        for batch in batches:
-            clean = [x.as_py() is None or next(built[0].found(normal(x.as_py())), None) is None for x in batch[text]]
-            yield batch.filter(pa.array(clean, pa.bool_())).select(names)
+        for run in _held(batches, HELD_BYTES if len(files) > 1 else 0):
+            texts = [[None if not x.is_valid else normal(x.as_py()) for x in batch[text]] for batch in run]
+            clean = [[True] * len(batch) for batch in run]
+            for file in files:
+                block = matcher(file, rate)
+                clean = [[ok and (t is None or next(block.found(t), None) is None) for ok, t in zip(*both, strict=True)] for both in zip(clean, texts, strict=True)]
+            for batch, ok in zip(run, clean, strict=True):
+                yield batch.filter(pa.array(ok, pa.bool_())).select(names)
 
     return keep
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
-    """The documents in which no benchmark item leaks: one filter per block of items, row by row, in one pass."""
-    for items in item_blocks(benchmark, block_bytes, "item_id", "text"):
-        docs = docs.mapInArrow(_clean(items, rate, text, docs.columns), docs.schema)
-    return docs
+    """The documents in which no benchmark item leaks, judged row by row in one pass."""
+    return docs.mapInArrow(_clean(item_files(benchmark, block_bytes), rate, text, docs.columns), docs.schema)

@@ -374,6 +374,22 @@ def test_decontamination_of_short_items(spark):
     assert sorted(kept, key=str) == sorted([docs[2], docs[5], docs[7], docs[9]], key=str)
 
 
+def test_decontamination_goes_over_item_files(real, spark):
+    """Repeated items give a row each and are matched once; one stage reads the documents however many blocks there are."""
+    items = real["benchmark"].select("item_id", "text")
+    doubled = items.union(items).union(items.limit(3))
+    once = sorted(map(tuple, decontam.leaks(real["documents"], items).collect()))
+    first = {r["item_id"] for r in items.limit(3).collect()}
+    again = decontam.leaks(real["documents"], doubled, block_bytes=1500)
+    assert sorted(map(tuple, again.collect())) == sorted(r for r in once for _ in range(3 if r[1] in first else 2))
+    assert len(decontam.item_files(doubled, 1500)) > 3 and len(decontam.item_files(doubled)) == 1
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    kept = decontam.decontaminate(real["documents"], doubled, block_bytes=1500)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in real["documents"].collect()} - {r[0] for r in once}
+
+
 def test_decontamination_query_equals_brute_force(real, spark):
     """Every pair of a document and an item within the item's edits, by the plain dynamic programme on a fixture."""
     rng = random.Random(2)
