@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import connected_components, join_with_hot, stored, text_bytes
@@ -188,6 +188,10 @@ def record_sign(docs: DataFrame):
     return F.xxhash64(F.lit(SEED), *[F.array_sort(F.map_entries(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields])
 
 
+def _identity(key: Column, sign: Column) -> list[Column]:
+    return [F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("late"), sign.alias("sign")]
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id, and of rows with one id that of the least
     record hash. Rows are told apart by id and record, so that different texts under one id are judged by themselves;
@@ -201,12 +205,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int
     # the least of each fingerprint first, so that a large group brings a row per fingerprint to its component
     first = keys.groupBy("fp").agg(least)
     chosen = first.join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min("one").alias("one"))
-    chosen = stored(chosen.select(F.col("one.id").alias("_id"), F.col("one.sign").alias("_sign"), F.col("one.copies").alias("_copies")), "chosen-rows")
-    marked = docs.select(F.struct("*").alias("record"), F.col(key).cast("long").alias("_own"), record_sign(docs).alias("_own_sign"))
-    kept = marked.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_sign") == F.col("_sign"))).select("record", "_id", "_sign", "_copies")
+    chosen = stored(chosen.select(F.struct(*_identity(F.col("one.id"), F.col("one.sign"))).alias("_row"), F.col("one.copies").alias("_copies"), F.col("one.copies").alias("_share")), "chosen-rows")
+    marked = docs.select(F.struct(*_identity(F.col(key).cast("long"), record_sign(docs))).alias("_row"), F.struct("*").alias("record"))
+    # a row in very many wholly equal copies meets its choice by broadcast; the copies of a row merge before they are shuffled
+    kept = join_with_hot(marked, chosen, "_row", "_share", rows.count()).select("record", "_row", "_copies")
     single = kept.select("record")
     if chosen.where("_copies > 1").limit(1).count():
-        again = kept.where("_copies > 1").groupBy("_id", "_sign").agg(F.first("record").alias("record"))
+        again = kept.where("_copies > 1").groupBy("_row").agg(F.first("record").alias("record"))
         single = kept.where("_copies = 1").select("record").union(again.select("record"))
     return single.select(*[F.col(f"record.`{c}`").alias(c) for c in columns])
 

@@ -1,6 +1,7 @@
 """Suffix-array deduplication and SimHash groups against brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -192,6 +193,15 @@ def test_one_row_of_each_group_stays(spark, edge_docs, edge_rows):
     assert sorted(map(tuple, simhash.keep_one(two).collect())) == [(0, "a second text under the same id"), (1, "one text that stands here alone")]
 
 
+def test_one_row_stays_of_many_equal_ones(spark):
+    """Copies of over a thousandth of the rows meet their choice by broadcast, fewer are dealt by key: one row of each stays."""
+    rng = random.Random(11)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12))
+    rows = [(i, line()) for i in range(1500)] + [(None, line())] * 400 + [(7000, line())] * 600 + [(8000, line())] * 2
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(set(rows), key=str)
+
+
 def test_simhash_empty(empty_docs):
     assert simhash.keep_one(empty_docs).columns == empty_docs.columns and simhash.keep_one(empty_docs).count() == 0
     assert simhash.simhash_groups(empty_docs).count() == 0
