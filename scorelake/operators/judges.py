@@ -16,6 +16,8 @@ from scorelake.sources.storage import stored
 # What a judge may answer, and how much of a prediction it is shown.
 YES, NO = ["MATCH", "YES", "CORRECT", "TRUE"], ["NO_MATCH", "NO", "INCORRECT", "FALSE"]
 SHOWN = 2000
+#: Share of the rows from which a question's answer is broadcast.
+HOT_SHARE = 1e-3
 #: What is judged in each kind of task, and the rubric dimensions it has by default.
 TASKS = {
     "qa": ("means the same as the expected answer", ["correctness", "completeness"]),
@@ -85,13 +87,19 @@ def judged_once(rows: DataFrame, call: Callable[[DataFrame], DataFrame], model:
     """rows (prediction, expected) with judge_score, and the grown cache (judge_key, judge_score).
 
     Equal questions are asked once: their keys are made distinct, those of the cache go, and the answers come back by a
-    join on the key. call: (judge_key, prompt) -> (judge_key, answer). Answers that are no verdict are not cached.
+    join on the key. Questions of over HOT_SHARE of the rows, at most 1 / HOT_SHARE of them, get theirs by broadcast, so that
+    a common short answer fills no task. call: (judge_key, prompt) -> (judge_key, answer). Answers that are no verdict are not cached.
     """
     keyed = rows.withColumn("judge_key", judge_key(F.col("prediction"), F.col("expected"), F.lit(model), F.lit(provider), F.lit(kind)))
-    asked = keyed.groupBy("judge_key").agg(F.min(F.struct("expected", "prediction")).alias("q"))
-    if cache is not None:
-        asked = asked.join(cache, "judge_key", "left_anti")
+    met = stored(keyed.groupBy("judge_key").agg(F.min(F.struct("expected", "prediction")).alias("q"), F.count("*").alias("n")))
+    asked = met if cache is None else met.join(cache, "judge_key", "left_anti")
     answers = stored(call(asked.select("judge_key", judge_prompt(kind, F.col("q.expected"), F.col("q.prediction")).alias("prompt"))).select("judge_key", judge_verdict(F.col("answer"), YES, NO).alias("judge_score")))
     known = answers.where("judge_score IS NOT NULL")
     known = known if cache is None else known.unionByName(cache.select("judge_key", "judge_score"))
-    return keyed.join(known, "judge_key", "left"), known
+    total = met.agg(F.sum("n")).first()[0] or 0
+    hot = met.where(F.col("n") > max(1, int(total * HOT_SHARE))).select("judge_key")
+    if not hot.limit(1).count():
+        return keyed.join(known, "judge_key", "left"), known
+    often = F.broadcast(hot)
+    told = keyed.join(F.broadcast(hot.join(known, "judge_key", "left")), "judge_key")
+    return told.unionByName(keyed.join(often, "judge_key", "left_anti").join(known, "judge_key", "left")), known

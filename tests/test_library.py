@@ -416,3 +416,31 @@ def test_score_reasons(spark):
 def test_few_shot_blocks(spark):
     shots = '["plain", {"question": "q", "context": "c", "label": 2}, {"a": "x", "b": "y"}]'
     assert one(spark, [(shots,)], "j string", prompts.few_shot(F.col("j"))) == ["plain\n\nQ: q\nQ: c\nA: 2\n\nQ: x\nQ: y"]
+
+
+def test_common_questions_are_judged_once_and_told_by_broadcast(spark):
+    """Two questions of most rows, one without a verdict, among rare ones, with and without a cache: each is asked once."""
+    from scorelake.operators import judges
+
+    pairs = [("yes", "yes")] * 400 + [("perhaps", "no")] * 300 + [(f"p{i}", f"e{i}") for i in range(40)] + [(None, "x")] * 3
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "row_idx long, prediction string, expected string").repartition(6)
+    asked = spark.sparkContext.accumulator(0)
+
+    def call(prompts):
+        def answered(batches):
+            for batch in batches:
+                asked.add(len(batch))
+                yield batch.assign(answer=["YES" if "yes" in p else "hm" if "perhaps" in p else "NO" for p in batch["prompt"].str.split("PREDICTION|Prediction", regex=True).str[-1]])[["judge_key", "answer"]]
+
+        return prompts.mapInPandas(answered, "judge_key string, answer string")
+
+    out, cache = judges.judged_once(rows, call, "m", "p")
+    got = {r["row_idx"]: r["judge_score"] for r in out.collect()}
+    assert len(got) == len(pairs) == out.count() and asked.value == 43
+    assert {got[i] for i in range(400)} == {1.0} and {got[i] for i in range(400, 700)} == {None} and {got[i] for i in range(700, 743)} == {0.0}
+    again, _ = judges.judged_once(rows, call, "m", "p", cache=cache)
+    assert {r["row_idx"]: r["judge_score"] for r in again.collect()} == got and asked.value == 44  # only what had no verdict
+    rare = rows.where("row_idx >= 700 AND row_idx < 740")
+    assert {r["judge_score"] for r in judges.judged_once(rare, call, "m", "p", cache=cache)[0].collect()} == {0.0}
+    none = rows.where("row_idx < 0")
+    assert judges.judged_once(none, call, "m", "p")[0].columns == out.columns and judges.judged_once(none, call, "m", "p")[0].count() == 0
