@@ -63,7 +63,8 @@ def extract_code(text: Column) -> Column:
 def half_width(x: Column) -> Column:
     """Full-width ASCII forms and the ideographic space as their plain forms."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    return F.translate(x, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+    return bound(x, lambda t: F.when(t.rlike("[！-～　]"), F.translate(t, wide, plain)).otherwise(t))
 
 
 #: Folds that lower-casing does not make: sharp s, final sigma, the long s and Latin ligatures.
@@ -72,11 +73,15 @@ FOLDS = {"ß": "ss", "ς": "σ", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl
 
 def case_folded(x: Column) -> Column:
     """Lower case with the folds of FOLDS; other special folds are left as lower-casing makes them."""
-    low = F.translate(F.lower(x), "ςſ", "σs")
-    for sign, letters in FOLDS.items():
-        if len(letters) > 1:
-            low = F.replace(low, F.lit(sign), F.lit(letters))
-    return low
+
+    def folded(low: Column) -> Column:
+        out = F.translate(low, "ςſ", "σs")
+        for sign, letters in FOLDS.items():
+            if len(letters) > 1:
+                out = F.replace(out, F.lit(sign), F.lit(letters))
+        return F.when(low.rlike(f"[{''.join(FOLDS)}]"), out).otherwise(low)
+
+    return bound(F.lower(x), folded)
 
 
 def match_text(x: Column, strip_units: bool = True, remove_whitespace: bool = True) -> Column:

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorelake.functions.numbers import bound
 from scorelake.functions.vectorized import ANSWER_KEYS, nested_answer_sets, texts
 
 #: JSON whose values are texts, whole numbers, nulls and lists of these: read without a helper.
@@ -46,13 +47,16 @@ def policy_values(policy: dict | None) -> list[str]:
 
 
 def _flat_sets(raw: Column) -> Column:
-    """struct(accepted, required) of flat JSON; required is null if it names none."""
-    json = F.try_parse_json(raw)
-    listed = lambda path: F.array_compact(F.coalesce(F.try_variant_get(json, path, "array<string>"), F.array(F.try_variant_get(json, path, "string"))))
+    """struct(accepted, required) of flat JSON, which is parsed once; required is null if it names none."""
     is_list = raw.rlike(r"^\s*\[")
-    members = F.flatten(F.array(*(listed(f"$.{k}") for k in (*ANSWER_KEYS, "aliases"))))
     has_answer = F.array_contains(F.json_object_keys(raw), "answer")
-    return F.struct(F.when(is_list, listed("$")).otherwise(members).alias("accepted"), F.when(is_list, listed("$")).when(has_answer, listed("$.answer")).alias("required"))
+
+    def sets(json: Column) -> Column:
+        listed = lambda path: F.array_compact(F.coalesce(F.try_variant_get(json, path, "array<string>"), F.array(F.try_variant_get(json, path, "string"))))
+        members = F.flatten(F.array(*(listed(f"$.{k}") for k in (*ANSWER_KEYS, "aliases"))))
+        return F.struct(F.when(is_list, listed("$")).otherwise(members).alias("accepted"), F.when(is_list, listed("$")).when(has_answer, listed("$.answer")).alias("required"))
+
+    return bound(F.try_parse_json(raw), sets)
 
 
 def answer_set(expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None) -> AnswerSet:

@@ -79,7 +79,7 @@ def exact_match_ci(prediction: Column, expected: Column | AnswerSet, policy: dic
             rescued = lambda letter: F.exists(accepted, lambda c: c.rlike("^[a-z]$")) & (letter != "") & F.array_contains(accepted, F.lower(letter))
             return F.array_contains(accepted, form(prediction)) | bound(option_letter(prediction), rescued)
 
-        score = one(bound(F.transform(answers.candidates, form), matched))
+        score = one(bound(F.transform(F.array_distinct(answers.candidates), form), matched))
     return F.when(form(answers.expected) == "", F.lit(0.0)).otherwise(score)
 
 
@@ -127,7 +127,7 @@ def contains(prediction: Column, expected: Column | AnswerSet, policy: dict | No
         return F.when(c == "", False).when(c.rlike("^[a-z0-9]+(?:[ _-][a-z0-9]+)*$"), ascii_).when(c.rlike(r"[㐀-鿿]"), cjk).otherwise(F.contains(text, c))
 
     # what a helper may have made stands outside the function that reads it
-    row = F.struct(form(prediction).alias("text"), F.transform(answers.candidates, lambda c: form(form(c))).alias("accepted"), F.transform(answers.required, form).alias("required"))
+    row = F.struct(form(prediction).alias("text"), F.transform(F.array_distinct(answers.candidates), lambda c: form(form(c))).alias("accepted"), F.transform(answers.required, form).alias("required"))
 
     def score(x: Column) -> Column:
         found = lambda forms: F.filter(forms, lambda c: found_in(x["text"], c))
@@ -187,7 +187,7 @@ def fuzzy_match(prediction: Column, expected: Column | AnswerSet, policy: dict |
     def near(text: Column, c: Column) -> Column:
         return (c != "") & (1 - F.levenshtein(text, c) / F.greatest(F.length(text), F.length(c)) >= threshold)
 
-    row = F.struct(squeezed(prediction).alias("text"), F.transform(answer_set(expected, policy, raw).candidates, lambda c: squeezed(form(c))).alias("accepted"))
+    row = F.struct(squeezed(prediction).alias("text"), F.transform(F.array_distinct(answer_set(expected, policy, raw).candidates), lambda c: squeezed(form(c))).alias("accepted"))
     return bound(row, lambda x: one((x["text"] != "") & F.exists(x["accepted"], lambda c: near(x["text"], c))))
 
 
@@ -278,7 +278,7 @@ def numbered_tokens(tokens: Column) -> Column:
 def f1_token(prediction: Column, expected: Column | AnswerSet, policy: dict | None = None, raw: Column | None = None) -> Column:
     """Multiset token F1 with the best accepted answer, or with all required ones as one text."""
     answers = answer_set(expected, policy, raw)
-    aims = answers.candidates
+    aims = F.array_distinct(answers.candidates)
     if several(policy):
         aims = F.when(F.size(answers.required) > 1, F.array(F.array_join(answers.required, " "))).otherwise(aims)
 
