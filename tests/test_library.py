@@ -218,6 +218,39 @@ def test_pairs_by_bitmaps_equal_a_plain_join(spark, monkeypatch):
     assert "row_idx" not in "".join(line for line in plan.split("\n") if "Join" in line)
 
 
+def test_runs_of_different_blocks_never_meet(spark, monkeypatch):
+    """Records stay short and are sent once where a block has few runs, however many its cohort has."""
+    import numpy as np
+    import pandas as pd
+
+    from scorelake.operators import pairs
+
+    monkeypatch.setattr(pairs, "TILE", 2)
+    made = spark.range(60).selectExpr("1 AS dataset_id", "1 AS dataset_version", "0 AS benchmark_id", "id AS experiment_id", "floor(id / 2) AS block", "explode(array(0.0D, 1.0D)) AS level")
+    assert pairs._sides(made).count() == made.count() == 120
+    places = [np.array([0, 5, 32767]), np.arange(0, 32768, 3)]
+    packed = next(pairs._packed(iter([pd.DataFrame({"places": places})])))["places"]
+    assert [len(x) for x in packed] == [6, 4096]
+    assert all((pairs._places(x) == y).all() for x, y in zip(packed, places, strict=True))
+
+
+def test_first_pairs_are_those_of_all_pairs(spark):
+    from scorelake.operators import analytics
+
+    runs = spark.range(40).selectExpr("id * 7 % 41 AS experiment_id", "id % 3 AS dataset_id", "1 AS dataset_version", "IF(id = 0, NULL, id % 2) AS benchmark_id").union(spark.sql("SELECT 99L, 9L, 1, 0L"))
+    every = analytics.cohort_pairs(runs).groupBy(*analytics.COHORT).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+    first = analytics.first_pairs(runs)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, every.collect())) and first.count() == 6
+
+
+def test_equally_few_rows_share_their_draws(spark):
+    counts = spark.createDataFrame([(a, 100, s, 1.0 - s, 6) for a in range(50) for s in (0.0, 1.0)], "a long, b long, score_a double, score_b double, n long")
+    got = {tuple(r)[2:] for r in stats.pair_intervals(counts, resamples=400).collect()}
+    assert len(got) == 1 and next(iter(got))[:2] == (12, 0.5)
+    draws = stats.shared_draws(12, 400, 42)
+    assert draws.shape == (400, 12) and (draws.sum(axis=1) == 12).all() and 3 < draws.max() < 12
+
+
 def test_contract_and_types(spark):
     assert datasets.infer_contract(["question", "Answer", "domain"])["expected"] == ["Answer"]
     with pytest.raises(ValueError):
