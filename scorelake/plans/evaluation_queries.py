@@ -21,6 +21,7 @@ from scorelake.plans.analytics_queries import r6
 from scorelake.plans.dataset_queries import ROWS, _rows
 from scorelake.plans.scoring_queries import SQUEEZED
 from scorelake.sources.fixtures import oracle, raw, view
+from scorelake.sources.storage import spread
 
 
 def _expected(s, d):
@@ -108,7 +109,7 @@ def p9_completed(s, d):
 
 def w1_evaluation_run(s, d):
     """Rows to prompts, prompts to answers of the offline model, answers to scores, scores to run summaries."""
-    rows = _expected(s, d).select("row_idx", "dataset_id", "expected", F.to_json(F.struct("question", "answer")).alias("input"))
+    rows = spread(_expected(s, d).select("row_idx", "dataset_id", "expected", F.to_json(F.struct("question", "answer")).alias("input")))
     prompts = rows.withColumn("prompt", P.rendered_or_dumped("Which type is {question}?\nAnswer: {answer}", F.col("input"))).withColumn("context", F.lit(4000))
     answered = I.offline_model(P.overflowing(prompts, "prompt", "context", 256).drop("error"), F.lit("m1"))
     scored = S.score_rows(answered.withColumnsRenamed({"answer": "output", "expected": "expected_raw"}), S.ScoringPlan("exact_match_ci"))

@@ -10,9 +10,10 @@ from scorelake.operators import metrics as M
 from scorelake.operators import scoring as S
 from scorelake.operators.answers import answer_set
 from scorelake.sources.fixtures import oracle, raw, view
+from scorelake.sources.storage import spread
 
 def _pairs(s, d):
-    return view(s, d, "answer_pairs")
+    return spread(view(s, d, "answer_pairs"))
 
 
 def _cleaned(s, d):
@@ -38,7 +39,7 @@ MANY = {"multi_answer": "set", "partial_credit": True, "aliases": {"red widget":
 
 
 def _sheets(s, d):
-    return view(s, d, "answer_sheets")
+    return spread(view(s, d, "answer_sheets"))
 
 
 def _raws(s, d):
@@ -94,7 +95,7 @@ def m12_multi_numeric(s, d):
     raw_ = F.concat(F.lit('{"answer": ['), F.col("p_size"), F.lit(', "'), F.format_number(F.col("p_partkey") + 1000, 0), F.lit('"]}'))
     said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("from "), F.col("p_size"), F.lit(" to "), F.col("p_partkey") + 1000)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("about "), F.format_number(F.col("p_partkey") + 1000, 0), F.lit(" km"))).otherwise("none")
     score = lambda policy: M.numeric_match(said, F.col("p_size").cast("string"), policy, raw_)
-    return raw(s, d, "part").select("p_partkey", score(None).alias("any"), score({"multi_answer": "all", "partial_credit": True}).alias("share"), score({"multi_answer": "all"}).alias("all"))
+    return spread(raw(s, d, "part")).select("p_partkey", score(None).alias("any"), score({"multi_answer": "all", "partial_credit": True}).alias("share"), score({"multi_answer": "all"}).alias("all"))
 
 
 def m10_contains(s, d):
@@ -103,11 +104,11 @@ def m10_contains(s, d):
 
 def m12_numeric_match(s, d):
     text = F.concat(F.lit("about "), F.format_number((F.col("o_orderkey") * 997) % 2000000, 0), F.lit(" units"))
-    return raw(s, d, "orders").select("o_orderkey", M.numeric_match(text, ((F.col("o_orderkey") * 997) % 2000000 + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).cast("string")).alias("score"))
+    return spread(raw(s, d, "orders")).select("o_orderkey", M.numeric_match(text, ((F.col("o_orderkey") * 997) % 2000000 + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).cast("string")).alias("score"))
 
 
 def m13_fuzzy_match(s, d):
-    return raw(s, d, "part").select("p_partkey", M.fuzzy_match(F.concat("p_brand", F.lit("x")), F.col("p_brand"), threshold=0.8).alias("near"), M.fuzzy_match(F.col("p_name"), F.col("p_type"), threshold=0.5).alias("far"))
+    return spread(raw(s, d, "part")).select("p_partkey", M.fuzzy_match(F.concat("p_brand", F.lit("x")), F.col("p_brand"), threshold=0.8).alias("near"), M.fuzzy_match(F.col("p_name"), F.col("p_type"), threshold=0.5).alias("far"))
 
 
 def m16_test_pass_rate(s, d):
@@ -181,7 +182,7 @@ def _rescored(s, d):
 
 
 def a23_recompute(s, d):
-    known = _sheets(s, d).groupBy("experiment_id").agg(F.count("*").alias("n")).select("experiment_id", F.when(F.col("experiment_id") < 2, F.lit(0.25)).alias("stored_accuracy"), F.when(F.col("experiment_id") < 4, F.col("n") + 3 * F.col("experiment_id")).alias("dataset_rows_total"))
+    known = view(s, d, "answer_sheets").groupBy("experiment_id").agg(F.count("*").alias("n")).select("experiment_id", F.when(F.col("experiment_id") < 2, F.lit(0.25)).alias("stored_accuracy"), F.when(F.col("experiment_id") < 4, F.col("n") + 3 * F.col("experiment_id")).alias("dataset_rows_total"))
     return S.recompute_report(_rescored(s, d), known, 20)
 
 
