@@ -23,6 +23,7 @@ from scorelake.functions.cleaning import clean_prediction, extract_code, strippe
 from scorelake.functions.numbers import ratio, rounded
 from scorelake.operators.answers import AnswerSet, answer_set
 from scorelake.operators.metrics import METRICS, canonical_expected, guarded, score_reason
+from scorelake.sources.storage import stored
 
 # The metrics for which a run cuts outputs at the first comma.
 SHORT_ANSWER_METRICS = frozenset(["exact_match", "exact_match_ci", "numeric_match"])
@@ -122,9 +123,10 @@ def reason(plan: ScoringPlan, finish: Column | None = None) -> Column:
 
 def recomputed(results: DataFrame, plan: ScoringPlan) -> DataFrame:
     """results (experiment_id, row_idx, output, score, expected or expected_raw, error) scored again without a model:
-    stored_score, score, cleaned, error_kind and score_reason."""
-    stored = results.withColumn("stored_score", F.coalesce(F.col("score"), F.lit(0.0))).drop("score")
-    return score_rows(stored, plan).withColumn("score_reason", reason(plan))
+    stored_score, score, cleaned, error_kind and score_reason. They are stored, since filters on a score would else compute it
+    again."""
+    before = results.withColumn("stored_score", F.coalesce(F.col("score"), F.lit(0.0))).drop("score")
+    return stored(score_rows(before, plan)).withColumn("score_reason", reason(plan))
 
 
 def differences(rescored: DataFrame, limit: int | None = 100) -> DataFrame:
