@@ -59,6 +59,17 @@ def test_results_of_many_experiments_make_few_files(spark):
     assert len(written) <= 2 * 40
 
 
+def test_folders_do_not_grow_with_experiments_and_replace_only_theirs(spark, monkeypatch):
+    monkeypatch.setattr(files, "PARTS", 4)
+    path = tempfile.mkdtemp() + "/results"
+    rows = spark.range(400).select((F.col("id") % 50).alias("experiment_id"), F.col("id").alias("row_idx"), F.lit(1.0).alias("score"))
+    files.write_results(rows, path)
+    files.write_results(rows.where("experiment_id = 3 AND row_idx < 100").withColumn("score", F.lit(0.5)), path)
+    assert len([x for x in os.listdir(path) if "=" in x]) == 4
+    got = {r["experiment_id"]: (r["n"], r["total"]) for r in spark.read.parquet(path).groupBy("experiment_id").agg(F.count("*").alias("n"), F.sum("score").alias("total")).collect()}
+    assert got == {e: (2, 1.0) if e == 3 else (8, 8.0) for e in range(50)}
+
+
 def test_bucketed_results_join_on_rows_without_an_exchange(spark):
     rows = spark.range(4000).select((F.col("id") % 4).alias("experiment_id"), F.floor(F.col("id") / 4).alias("row_idx"), F.rand(1).alias("score"))
     name = "bucketed_results_test"
