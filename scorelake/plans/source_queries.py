@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from scorelake.functions.numbers import rounded
+from scorelake.functions.numbers import exact_mean, rounded
 from scorelake.functions.vectorized import semantic_similarity
 from scorelake.operators import analytics as A
 from scorelake.operators import metrics as M
@@ -63,7 +63,7 @@ def s6_write_all_results(s, d):
     results = view(s, d, "eval_results").select("experiment_id", "row_idx", "score")
     files.write_results(results, path)
     files.write_results(results.where("experiment_id = 3").withColumn("score", F.lit(0.5)), path)
-    return s.read.parquet(path).groupBy(F.col("experiment_id").cast("long").alias("experiment_id")).agg(F.count("*").alias("n"), rounded(F.avg("score")).alias("mean"))
+    return s.read.parquet(path).groupBy(F.col("experiment_id").cast("long").alias("experiment_id")).agg(F.count("*").alias("n"), rounded(exact_mean(F.col("score"))).alias("mean"))
 
 
 def s7_read_page(s, d):

@@ -268,6 +268,20 @@ def test_recomputed_scores_are_computed_once(spark):
     assert [(r["row_idx"], r["recomputed_score"]) for r in changed.orderBy("row_idx").collect()] == [(0, 1.0), (1, 0.0)]
 
 
+def test_accuracy_does_not_depend_on_the_order_of_rows(spark):
+    from scorelake.functions.numbers import exact_mean
+    from scorelake.operators import summaries
+
+    scores = [0.1] * 33 + [0.7] * 18 + [0.3] * 13
+    means = set()
+    for order in (sorted(scores), sorted(scores, reverse=True), scores[::3] + scores[1::3] + scores[2::3]):
+        rows = spark.createDataFrame([(1, s) for s in order], "experiment_id long, score double").coalesce(1).withColumns({"error": F.lit(None).cast("string"), "latency_ms": F.lit(1), "cost": F.lit(0.0), "tokens": F.lit(1)})
+        means.add((summaries.run_summary(rows).first()["accuracy"], rows.agg(exact_mean(F.col("score"))).first()[0]))
+    assert len(means) == 1 and next(iter(means))[1] == sum(round(10 * s) for s in scores) / 10 / 64
+    odd = spark.createDataFrame([(float("nan"),), (1.0,)], "score double").agg(exact_mean(F.col("score")).alias("m"))
+    assert odd.where("isnan(m)").count() == 1
+
+
 def test_contract_and_types(spark):
     assert datasets.infer_contract(["question", "Answer", "domain"])["expected"] == ["Answer"]
     with pytest.raises(ValueError):
