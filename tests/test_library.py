@@ -508,3 +508,29 @@ def test_common_questions_are_judged_once_and_told_by_broadcast(spark):
     assert {r["judge_score"] for r in judges.judged_once(rare, call, "m", "p", cache=cache)[0].collect()} == {0.0}
     none = rows.where("row_idx < 0")
     assert judges.judged_once(none, call, "m", "p")[0].columns == out.columns and judges.judged_once(none, call, "m", "p")[0].count() == 0
+
+
+def test_many_runs_of_few_rows_are_one_tile(spark, monkeypatch):
+    """Runs of a block that have few rows each meet in one task, their records are sent once, and the counts are those of a
+    plain loop, whether a row is counted in the matrix or written out, in one tile or in several."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from scorelake.operators import pairs
+
+    rng = random.Random(8)
+    rows = {(e, r): rng.choice([0.0, 0.5, 1.0]) for e in range(40) for r in rng.sample(range(1, 70_000, 70), 40) + [0, 40_000]}
+    df = spark.createDataFrame([(*k, s) for k, s in rows.items()], "experiment_id long, row_idx long, score double")
+    runs = spark.range(40).selectExpr("id AS experiment_id", "id % 2 AS dataset_id", "1 AS dataset_version", "0L AS benchmark_id")
+    by_row = {}
+    for (e, r), s in rows.items():
+        by_row.setdefault((e % 2, r), []).append((e, s))
+    want = Counter((*sorted((a, b)), *(s for _, s in sorted([(a, x), (b, y)]))) for found in by_row.values() for (a, x), (b, y) in combinations(found, 2))
+    monkeypatch.setattr(pairs, "TILE", 4)
+    made = spark.range(40).selectExpr("0 AS dataset_id", "1 AS dataset_version", "0 AS benchmark_id", "id AS experiment_id", "0 AS block", "1.0D AS level", "20 AS n")
+    assert pairs._sides(made).count() == 40
+    for rows_, hot, shared in ((1 << 19, 16, 1 << 21), (1 << 19, 0, 7), (100, 3, 50), (100, 1 << 20, 1 << 21), (5, 16, 1 << 21)):
+        for name, value in (("ROWS", rows_), ("HOT", hot), ("SHARED", shared)):
+            monkeypatch.setattr(pairs, name, value)
+        assert {tuple(r)[:4]: r["n"] for r in pairs.score_pairs(df, runs).collect()} == want, (rows_, hot, shared)
