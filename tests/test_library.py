@@ -534,3 +534,26 @@ def test_many_runs_of_few_rows_are_one_tile(spark, monkeypatch):
         for name, value in (("ROWS", rows_), ("HOT", hot), ("SHARED", shared)):
             monkeypatch.setattr(pairs, name, value)
         assert {tuple(r)[:4]: r["n"] for r in pairs.score_pairs(df, runs).collect()} == want, (rows_, hot, shared)
+
+
+def test_report_of_pairs_brings_their_counts_together_once(spark):
+    """Counts of few scores are neither stored nor joined again, and a result is made once for all pairs with the same rows."""
+    from scorelake.operators import pairs
+
+    df = spark.range(3000).selectExpr("id % 30 AS experiment_id", "id DIV 30 AS row_idx", "CAST(id % 3 AS DOUBLE) / 2 AS score")
+    runs = spark.range(30).selectExpr("id AS experiment_id", "0 AS dataset_id", "1 AS dataset_version", "0L AS benchmark_id")
+    counts, most = pairs.bounded_score_pairs(df, runs)
+    assert most == 9
+    report = stats.significance(counts, most=most, resamples=200)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("FlatMapGroups")]
+    assert after.count("Exchange") == 1 and "Join" not in after
+    plain = {tuple(r)[:2]: tuple(r) for r in stats.significance(counts, resamples=200).collect()}
+    assert {tuple(r)[:2]: tuple(r) for r in report.collect()} == plain and len(plain) == 435
+    made = []
+    finish = lambda drawn, mean: made.append(1) or (mean[0],)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2, 3], "cells": [1, 1, 1], "bucket": [0, 0, 0], "v0": [[0.0, 1.0], [0.0, 1.0], [1.0]], "counts": [[2, 2], [2, 2], [4]]})
+    got = next(stats._drawn(["a"], 1, finish, ["mean"], [], 20, 42)(iter([batch[:0], batch[1:], batch]))).to_pylist()
+    assert [(r["a"], r["n"], r["mean"]) for r in got] == [(2, 4, 0.5), (3, 4, 1.0)] and len(made) == 2
