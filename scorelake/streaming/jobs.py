@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,9 +148,6 @@ def _lifecycle(after: timedelta):
     """One task's state: it folds a batch's events in, and a timer that the events set tells when it has become stale."""
     wait = int(after.total_seconds() * 1000)
 
-    def micros(times: pd.Series) -> pd.Series:
-        return times.astype("datetime64[us]").astype("int64")
-
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         status, attempts, started, finished, last, last_id, stale = state.get if state.exists else (None, 0, None, None, -(1 << 62), -(1 << 62), False)
         if state.hasTimedOut:
@@ -157,14 +155,17 @@ def _lifecycle(after: timedelta):
         for frame in frames:
             if not len(frame):
                 continue
-            at, ended = micros(frame["ts"]), frame["status"].isin(["completed", "failed"])
-            attempts += int((frame["status"] == "queued").sum())
-            began = at[frame["status"] == "running"]
-            started = min([*([] if started is None else [started]), *([int(began.min())] if len(began) else [])], default=None)
-            finished = max([*([] if finished is None else [finished]), *([int(at[ended].max())] if ended.any() else [])], default=None)
-            newest = frame.assign(at=at).sort_values(["at", "event_id"]).iloc[-1]
-            if (int(newest["at"]), int(newest["event_id"])) > (last, last_id):
-                status, last, last_id = newest["status"], int(newest["at"]), int(newest["event_id"])
+            # plain arrays: a task has few events, for which operations on frames would cost more than the events
+            at, ids, said = frame["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), frame["event_id"].to_numpy(), frame["status"].to_numpy(dtype=object)
+            attempts += int((said == "queued").sum())
+            began, ended = at[said == "running"], at[(said == "completed") | (said == "failed")]
+            if len(began):
+                started = int(began.min()) if started is None else min(started, int(began.min()))
+            if len(ended):
+                finished = int(ended.max()) if finished is None else max(finished, int(ended.max()))
+            newest = np.lexsort((ids, at))[-1]
+            if (int(at[newest]), int(ids[newest])) > (last, last_id):
+                status, last, last_id = said[newest], int(at[newest]), int(ids[newest])
             stale = False
         state.update((status, attempts, started, finished, last, last_id, stale))
         if status in ACTIVE and not stale:

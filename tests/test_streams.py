@@ -110,3 +110,32 @@ def test_an_empty_stream_gives_an_empty_table(spark, mode):
     folder = work_dir(spark)
     spark.createDataFrame([], SCHEMA).write.parquet(folder)
     assert jobs.settle(stream_of(spark, folder), mode).count() == 0
+
+
+def test_lifecycle_folds_plain_arrays():
+    """A task's few events are folded without a frame operation for each step: sorting or indexing frames cost more than they."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, at):
+            self.timer = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    at = pd.to_datetime(["2024-01-01 00:00:02", "2024-01-01 00:00:05.000001", "2024-01-01 00:00:01", "2024-01-01 00:00:05.000001"], format="ISO8601")
+    frame = pd.DataFrame({"event_id": [7, 3, 9, 2], "ts": at, "status": ["running", "completed", "queued", "scored"]})
+    state, fold = State(), jobs._lifecycle(timedelta(days=1))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pd.DataFrame, "sort_values", None)
+        row = next(fold((5,), iter([frame[:0], frame]), state)).iloc[0]
+        assert (row["experiment_id"], row["status"], row["attempts"], row["error"]) == (5, "completed", 1, None)
+        assert (row["started_at"], row["finished_at"], row["last_ts"]) == (at[0], at[1], at[1])
+        later = pd.DataFrame({"event_id": [1], "ts": pd.to_datetime(["2024-01-01 00:00:09"]), "status": ["running"]})
+        row = next(fold((5,), iter([later]), state)).iloc[0]
+    assert (row["status"], row["started_at"], row["last_ts"]) == ("running", at[0], later["ts"][0]) and state.timer > 0
